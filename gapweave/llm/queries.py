@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, jaccard, language, media, packing, pii, quality
+from . import counts, fingerprints, jaccard, language, media, packing, pieces, pii, quality, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.train(secrets.labelled_findings())
+    found = secrets.scan(_documents(spark, sf_dir), forest)
+    kept = F.filter("findings", lambda f: f["secret"])
+    spans = F.array_join(F.transform(kept, lambda f: F.concat_ws(":", f["start"].cast("string"), f["end"].cast("string"))), ",")
+    top = F.coalesce(F.array_max(F.transform("findings", lambda f: f["score"])), F.lit(0.0))
+    return found.select("doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(kept).cast("long").alias("n_secrets"), spans.alias("spans"), top.alias("score"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, F.coalesce(_remainder(4) != 2, F.lit(False)))
@@ -35,6 +44,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(_documents(spark, sf_dir))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.replay(_documents(spark, sf_dir))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_documents(spark, sf_dir))
 
@@ -47,6 +60,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(_documents(spark, sf_dir))
+    decoded = pieces.decode(encoded, keep=("doc_id", "n_tokens", "ids_crc32"))
+    return decoded.select("doc_id", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -57,7 +76,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality, op4_fingerprints, op6_ngram_jaccard, op7_pii, op9_packing, op10_media)}
+    return {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_fingerprints, op5_token_counts, op6_ngram_jaccard, op7_pii, op8_sentencepiece, op9_packing, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
