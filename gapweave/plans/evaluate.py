@@ -46,6 +46,7 @@ def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int,
     chosen = [fills.method(m) for m in methods]
     h, w, c = shape
     columns = [f.name for f in RESULTS] + ["reconstruction"] * keep_arrays
+    texts = [f.name for f in RESULTS if f.dataType.simpleString() == "string"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -67,7 +68,8 @@ def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int,
                         row |= {"status": "error", "error_msg": f"{type(e).__name__}: {e}"}
                     row["elapsed_s"] = time.perf_counter() - began
                     rows.append(row)
-            yield pd.DataFrame(rows, columns=columns)
+            # text as objects: Spark takes no chunked string columns
+            yield pd.DataFrame(rows, columns=columns).astype(dict.fromkeys(texts, object))
 
     out = patches.select("seed", "noise_level", "patch_id", "satellite", "gap_fraction", "clean", "degraded", "mask").mapInPandas(run, FIELDS + (", reconstruction array<float>" if keep_arrays else ""))
     return out.withColumns({m: F.when(~F.isnan(m), F.col(m)) for m in METRICS})
