@@ -20,14 +20,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose calibrated quality score is QUALITY_LEAST or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, F.lit(True))
-    return quality.score(docs, model, tuple(docs.columns)).filter(F.col("score") >= QUALITY_LEAST).select(*docs.columns)
+    return quality.score(docs, model, tuple(docs.columns), "_quality").filter(F.col("_quality") >= QUALITY_LEAST).select(*docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network knows, with a pooled probability of LANGUAGE_LEAST or more."""
     net = language.train(docs, F.lit(True))
-    found = language.identify(docs, net, tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_LEAST)).select(*docs.columns)
+    found = language.identify(docs, net, tuple(docs.columns), ("_language", "_sure"))
+    return found.filter((F.col("_language") != "und") & (F.col("_sure") >= LANGUAGE_LEAST)).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with [SECRET] in the place of each secret and n_chars to match."""
     forest = secrets.train(secrets.labelled_findings())
-    found = secrets.scan(docs, forest, tuple(docs.columns), redact="[SECRET]")
-    changed = F.exists("findings", lambda f: f["secret"])
+    found = secrets.scan(docs, forest, tuple(docs.columns), redact="[SECRET]", out="_findings")
+    changed = F.exists("_findings", lambda f: f["secret"])
     return found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

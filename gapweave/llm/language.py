@@ -211,11 +211,11 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> N
     return fit(net, [t.encode() for _, t in seen], np.array([languages.index(c) for c, _ in seen]))
 
 
-def identify(docs: DataFrame, net: Net, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns, lang_pred and score (its pooled probability) of every whole text."""
+def identify(docs: DataFrame, net: Net, keep: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`keep` columns, the predicted language and its pooled probability of every whole text."""
     _arrow.ship(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out[0]}` string, `{out[1]}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,6 +230,6 @@ def identify(docs: DataFrame, net: Net, keep: tuple[str, ...] = ("doc_id",)) ->
                     for k in range(part.num_rows):
                         if sure[k] or at[k + 1] > at[k] and _lettered(buf[at[k] : at[k + 1]].tobytes()):
                             found[k], score[k] = net.languages[best[k]], min(1.0, p[k, best[k]])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found), pa.array(score)], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found), pa.array(score)], [*keep, *out])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)

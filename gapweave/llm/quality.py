@@ -198,16 +198,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: object, label: str = "quali
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns and the calibrated score of each text (0 to 1, higher: better)."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """`keep` columns and the calibrated score of each text (0 to 1, higher: better) under the name `out`."""
     _arrow.ship(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _arrow.slices(batch, "text"):
                 s = model.score(statistics(*_arrow.utf8(part.column("text"))))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s)], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s)], [*keep, out])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)

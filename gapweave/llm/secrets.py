@@ -239,11 +239,10 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, s
     return out
 
 
-def scan(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",), path: str = "source", threshold: float = THRESHOLD, vocabulary: str | None = None, redact: str | None = None) -> DataFrame:
-    """`keep` columns and findings array<struct<start, end, score, secret>> of every document.
+def scan(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",), path: str = "source", threshold: float = THRESHOLD, vocabulary: str | None = None, redact: str | None = None, out: str = "findings") -> DataFrame:
+    """`keep` columns and, as `out`, array<struct<start, end, score, secret>> of every document.
 
-    With `redact`, the kept text has this string in the place of each secret, and the column
-    replaced says how many there were.
+    With `redact`, the kept text has this string in the place of each secret.
     """
     _arrow.ship(docs.sparkSession)
     kinds = dict(docs.dtypes)
@@ -267,7 +266,7 @@ def scan(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",), p
                 for (d, s, e), p in zip(got, scores):
                     start = len(raw[at[d] : s].decode())
                     found[d].append({"start": start, "end": start + len(raw[s:e].decode()), "score": float(p), "secret": bool(p >= threshold)})
-                out = {c: part.column(c) for c in keep}
+                kept = {c: part.column(c) for c in keep}
                 if redact is not None and "text" in keep:
                     rows = part.column("text").to_pylist()
                     for d, spans in enumerate(found):
@@ -275,8 +274,8 @@ def scan(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",), p
                             if f["secret"]:
                                 rows[d] = texts[d] = rows[d][: f["start"]] + redact + rows[d][f["end"] :]
                     if texts:
-                        out["text"] = pa.array(rows, pa.string())
-                yield pa.RecordBatch.from_arrays([*out.values(), pa.array(found, struct)], [*keep, "findings"])
+                        kept["text"] = pa.array(rows, pa.string())
+                yield pa.RecordBatch.from_arrays([*kept.values(), pa.array(found, struct)], [*keep, out])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", findings array<struct<start: long, end: long, score: double, secret: boolean>>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out}` array<struct<start: long, end: long, score: double, secret: boolean>>"
     return docs.select(*columns).mapInArrow(run, schema)
