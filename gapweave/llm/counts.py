@@ -82,7 +82,7 @@ class Store:
             raise ValueError("batch ids consist of letters, digits, hyphens and underscores")
         if self.committed(batch):
             return False
-        deltas(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        deltas(changes).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         return True
 
     def totals(self, *keys: str) -> DataFrame:
