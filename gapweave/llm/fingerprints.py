@@ -1,11 +1,11 @@
 """One-permutation MinHash fingerprints with DataFrame functions alone.
 
-Shingles of WIDTH words (runs of characters other than space and tab to carriage return, A-Z
+Shingles of WIDTH words (runs of characters other than space and tab to carriage return,
 lower-cased; a shorter text is one shingle) are hashed once. The top bits of a hash name its bin
-and each bin keeps its least hash. An empty bin j takes the value of the filled bin b with the
-least hash of (j, b): each empty bin probes all bins in a random order of its own until one is
-filled, which is optimal densification without repeated probes. The low 8 bits of the BINS
-values are stored. Likeness is the share of equal values, corrected for chance agreement.
+and each bin keeps its least hash. An empty bin j takes the value of the first filled bin among
+PROBES hashed ones, and after these that of the filled bin b with the least hash of (j, b): each
+empty bin probes in a random order of its own until one is filled, which is optimal
+densification. The low 8 bits of the BINS values are stored. Likeness is the share of equal values, corrected for chance agreement.
 
 Cases: null is an empty text; a text without words has the empty fingerprint, whose likeness is
 1 with itself and 0 with others; equal texts have equal fingerprints; null doc_ids stand behind
@@ -16,14 +16,15 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import _arrow
+
 WIDTH = 5
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
 LOW_BITS = 8
+PROBES = 6
 RANGES = 256  # key ranges in which the order of documents is found
 
 
@@ -33,45 +34,57 @@ def _let(value: Column, body) -> Column:
 
 
 def words(text: Column) -> Column:
-    spaces = "\t\n\x0b\x0c\r"
-    plain = F.translate(text, string.ascii_uppercase + spaces, string.ascii_lowercase + " " * len(spaces))
-    return F.array_remove(F.split(plain, " "), "")
+    return F.array_remove(F.split(F.lower(text), "[ \\t\\n\\x0B\\f\\r]+"), "")
 
 
 def shingles(text: Column) -> Column:
-    """The shingle hashes of a text, sorted, with repeats; empty without words."""
+    """The shingle hashes of a text, with repeats; empty without words."""
 
     def hashed(w: Column) -> Column:
         last = F.greatest(F.size(w) - WIDTH, F.lit(0))
         # get() is null behind the end, and the hash skips nulls
         every = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WIDTH))))
-        return F.when(F.size(w) > 0, F.sort_array(every)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(w) > 0, every).otherwise(F.array().cast("array<bigint>"))
 
     return _let(words(text), hashed)
 
 
 def _bin(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BIN_BITS).cast("int")
+    return F.shiftrightunsigned(h, 64 - BIN_BITS)
 
 
-def codes(text: Column) -> Column:
-    """The low bits of all BINS values as array<tinyint> (128 less than the unsigned code); empty without words."""
-    low = lambda h: (h.bitwiseAND(F.lit((1 << LOW_BITS) - 1)) - F.lit(128)).cast("tinyint")
+_REST = (1 << 64 - BIN_BITS) - 1  # all low bits: the value that stands in each bin for no hash
+_NONE = [((j << 64 - BIN_BITS | _REST) + (1 << 63)) % (1 << 64) - (1 << 63) for j in range(BINS)]
 
-    def dense(least: Column) -> Column:
-        def value(bins: Column) -> Column:
-            def of(j: Column) -> Column:
-                probe = F.array_min(F.transform(least, lambda h: F.struct(F.xxhash64(j, _bin(h)).alias("p"), h.alias("h"))))["h"]
-                return low(F.coalesce(F.get(least, (F.array_position(bins, j) - 1).cast("int")), probe))
 
-            return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), of)
+def codes(text: Column) -> Column:
+    """The low bits of all BINS values as array<tinyint> (128 less than the unsigned code); empty without words.
 
-        return F.when(F.size(least) > 0, _let(F.transform(least, _bin), value)).otherwise(F.array().cast("array<tinyint>"))
+    A stand-in for every bin is sorted in with the hashes, so the first value of each bin makes
+    an array of BINS values in the order of bins, and an empty bin shows its stand-in.
+    """
+    low = lambda h: (h.bitwiseAND(F.lit((1 << LOW_BITS) - 1)) - F.lit(128)).cast("tinyint")
+    filled = lambda h: h.bitwiseAND(F.lit(_REST)) != F.lit(_REST)
 
     def firsts(s: Column) -> Column:
         return F.filter(s, lambda h, i: (i == 0) | (_bin(h) != _bin(F.get(s, i - 1))))
 
-    return _let(_let(shingles(text), firsts), dense)
+    def dense(v: Column) -> Column:
+        def of(h: Column, j: Column) -> Column:
+            probes = []
+            for t in range(PROBES):
+                # lazily evaluated: the next probe runs only if this bin is empty
+                at = F.pmod(F.xxhash64(j, F.lit(t)), F.lit(BINS)).cast("int")
+                probes.append(_let(F.get(v, at), lambda x: F.when(filled(x), x)))
+            rest = F.array_min(F.transform(F.filter(v, filled), lambda x: F.struct(F.xxhash64(j, _bin(x)).alias("p"), x.alias("h"))))["h"]
+            return low(F.when(filled(h), h).otherwise(F.coalesce(*probes, rest)))
+
+        return F.transform(v, of)
+
+    def whole(s: Column) -> Column:
+        return F.when(F.size(s) > 0, _let(_let(F.sort_array(F.concat(s, F.array(*map(F.lit, _NONE)))), firsts), dense)).otherwise(F.array().cast("array<tinyint>"))
+
+    return _let(shingles(text), whole)
 
 
 def packed(code: Column) -> Column:
@@ -112,15 +125,27 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """Fingerprints of every text and of its edited text, and their likenesses.
 
     The last third of a text's code points gives way to the first as many of the next
-    document's. Texts are shuffled once: both joins read the same exchange.
+    document's. Codes of the texts are computed once and kept in the shared folder; both joins
+    of texts read the same exchange, and all joins run on doc_id alone.
     """
+    _arrow.shared_dir(docs.sparkSession)
+    # ids as keys without nulls, so that aggregations and joins on them share one partitioning
+    key = lambda c, p="": [F.coalesce(c, F.lit(0)).alias(f"{p}k"), F.col(c).isNull().alias(f"{p}z")]
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    near = following(base.select("doc_id", F.length("text").alias("n"))).select(F.col("doc_id").alias("to"), F.col("next.doc_id").alias("from"), "need")
-    x = base.select("doc_id", "text", codes(F.col("text")).alias("codes"))
-    sent = x.join(near, x["doc_id"].eqNullSafe(near["from"])).select("to", F.struct(F.xxhash64("text").alias("h"), F.left("text", "need").alias("head"), F.col("codes").alias("codes")).alias("donor"))
-    sent = sent.groupBy("to").agg(F.min("donor").alias("donor"))
-    both = x.join(sent, x["doc_id"].eqNullSafe(sent["to"])).select("doc_id", "text", "codes", "donor", F.length("text").alias("n_chars"))
+    code = base.select(*key("doc_id"), F.xxhash64("text").alias("h"), codes(F.col("text")).alias("codes")).groupBy("k", "z", "h").agg(F.first("codes").alias("codes")).checkpoint()
+    near = following(base.select("doc_id", F.length("text").alias("n"))).select(*key("doc_id", "to_"), *key("next.doc_id"), "need")
+    texts = base.select(*key("doc_id"), "text")
+
+    def coded(rows: DataFrame, name: str) -> DataFrame:
+        """rows with the codes of their text; equal hashes are no join key, so rows stay where k and z put them."""
+        c = code.select("k", "z", F.col("h").alias("_h"), F.col("codes").alias(name))
+        return rows.join(c, ["k", "z"]).filter(F.col("h").bitwiseXOR(F.col("_h")) == 0).drop("_h")
+
+    heads = texts.join(near, ["k", "z"]).select("k", "z", "to_k", "to_z", F.xxhash64("text").alias("h"), F.left("text", "need").alias("head"))
+    heads = coded(heads, "next_codes").groupBy(F.col("to_k").alias("k"), F.col("to_z").alias("z")).agg(F.min(F.struct("h", "head", "next_codes")).alias("donor"))
+    both = texts.join(heads, ["k", "z"]).select("k", "z", "text", "donor", F.length("text").alias("n_chars"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     both = both.withColumn("edited", F.concat(F.left("text", F.col("n_chars") - cut), F.left(F.col("donor.head"), cut)))
-    both = both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "codes", codes(F.col("edited")).alias("edited_codes"), F.col("donor.codes").alias("next_codes"))
+    both = both.select("k", "z", F.col("n_chars").cast("long").alias("n_chars"), F.xxhash64("text").alias("h"), "edited", F.col("donor.next_codes").alias("next_codes"))
+    both = coded(both, "codes").select(F.when(~F.col("z"), F.col("k")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "codes", codes(F.col("edited")).alias("edited_codes"), "next_codes")
     return both.select("doc_id", "n_chars", "edited_sha256", packed(F.col("codes")).alias("fingerprint"), packed(F.col("edited_codes")).alias("edited_fingerprint"), likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"), likeness(F.col("codes"), F.col("next_codes")).alias("near_next"))
