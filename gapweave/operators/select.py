@@ -133,6 +133,21 @@ def sample_ids(df: DataFrame, by: str, most: int, seed: int = 42, key: str = "pa
     return picked.groupBy(by).applyInPandas(draw, f"{by} {kind[by]}, {key} {kind[key]}, draw long")
 
 
+def patch_plan(train: DataFrame, seeds: Sequence[int], most: int | None = None) -> DataFrame:
+    """satellite, patch_id and seed of every patch to evaluate, each once, under the first seed that draws it.
+
+    Without a cap all patches come under the first seed. With one, each seed draws at most
+    `most` patches a satellite; seeds of the draws are spawned, so they are independent.
+    """
+    if most is None:
+        return train.select("satellite", "patch_id").distinct().withColumn("seed", F.lit(int(seeds[0])))
+    draws = None
+    for pos, (seed, child) in enumerate(zip(seeds, np.random.SeedSequence(list(seeds)).spawn(len(seeds)))):
+        got = sample_ids(train, "satellite", most, int(child.generate_state(1)[0])).select("satellite", "patch_id", F.lit(int(seed)).alias("seed"), F.lit(pos).alias("seed_pos"))
+        draws = got if draws is None else draws.unionByName(got)
+    return first_seed(draws)
+
+
 def grid(spark, parameters: dict[str, Sequence]) -> DataFrame:
     """The cartesian product of parameter lists, one row a combination, with sorted-key JSON."""
     df = spark.range(1).select()

@@ -419,3 +419,31 @@ def bootstrap_ci(spark, sf):
 @query()
 def sample_ids(spark, sf):
     return sel.sample_ids(fact(spark, sf), "satellite", 30)
+
+
+@query()
+def patch_plan(spark, sf):
+    return sel.patch_plan(sel.only(fact(spark, sf), "train"), [42, 43], 20)
+
+
+@query("SELECT p_partkey AS patch_id, CASE WHEN p_size % 4 = 0 THEN concat('d/', p_partkey, '_inf.npy') ELSE concat('d/', p_partkey, '_20.npy') END AS path FROM part")
+def noise_column(spark, sf):
+    """The path column that a row's noise level names."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("patch_id"), F.when(F.col("p_size") % 4 == 0, "inf").otherwise("20").alias("noise_level"))
+    p = p.withColumns({f"degraded_{n}_path": F.concat(F.lit("d/"), F.col("patch_id").cast("string"), F.lit(f"_{n}.npy")) for n in NOISE_LEVELS})
+    return p.select("patch_id", F.coalesce(*(F.when(F.col("noise_level") == n, F.col(f"degraded_{n}_path")) for n in NOISE_LEVELS)).alias("path"))
+
+
+@query("WITH k AS (SELECT * FROM (SELECT unnest(['A', 'N', 'R', 'X']) AS satellite), (SELECT unnest([7, 15]) AS window_px)), m AS (SELECT l_returnflag AS satellite, 7 AS window_px, avg(l_quantity) AS mean FROM lineitem GROUP BY 1) SELECT k.satellite, k.window_px, coalesce(printf('%.2f', m.mean), '--') AS cell FROM k LEFT JOIN m ON k.satellite = m.satellite AND k.window_px = m.window_px")
+def grid_lookup(spark, sf):
+    """Report cells looked up by key on the grid of all keys, `--` where there is none."""
+    cells = sel.grid(spark, {"satellite": ["A", "N", "R", "X"], "window_px": [7, 15]}).drop("params")
+    means = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("satellite")).agg(F.avg("l_quantity").alias("mean")).withColumn("window_px", F.lit(7))
+    return cells.join(means, ["satellite", "window_px"], "left").select("satellite", "window_px", F.when(F.col("mean").isNull(), "--").otherwise(F.format_string("%.2f", "mean")).alias("cell"))
+
+
+@query("SELECT o_orderkey, CASE WHEN p < 1e-10 THEN '<1e-10' ELSE printf('%.2e', p) END AS p_text, round(2 * (o_orderkey % 97) / 97.0::DOUBLE - 1, 6) AS cliff, least(1.0::DOUBLE, p * 10) AS bonferroni FROM (SELECT o_orderkey, (o_orderkey % 97) / 97.0::DOUBLE / power(10, o_orderkey % 13) AS p FROM orders)")
+def report_scalars(spark, sf):
+    k = F.col("o_orderkey") % 97 / F.lit(97.0)
+    o = table(spark, sf, "orders").select("o_orderkey", (k / F.pow(F.lit(10.0), F.col("o_orderkey") % 13)).alias("p"), k.alias("k"))
+    return o.select("o_orderkey", S.p_text(F.col("p")).alias("p_text"), F.round(2 * F.col("k") - 1, 6).alias("cliff"), F.least(F.lit(1.0), F.col("p") * 10).alias("bonferroni"))
