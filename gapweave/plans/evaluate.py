@@ -32,7 +32,7 @@ def local_entropy(grey: np.ndarray, window: int) -> np.ndarray:
         s = np.pad((g == level).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
         c = s[y1][:, x1] - s[y0][:, x1] - s[y1][:, x0] + s[y0][:, x0]
         total += c * np.log2(np.maximum(c, 1))
-    return np.log2(n) - total / n
+    return np.maximum(np.log2(n) - total / n, 0.0)
 
 
 def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int, int], params: dict[str, dict] | None = None, keep_arrays: bool = False) -> DataFrame:

@@ -42,10 +42,14 @@ def csv_by_name(spark: SparkSession, path: str, schema: T.StructType, names: Seq
 
 
 def csv_lenient(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows, bad lines): lines that do not fit the schema are set aside, not fatal."""
+    """(rows, bad lines): lines that do not fit the schema are set aside, not fatal. One row is one line."""
+    first = ",".join(header(spark, path))
     full = T.StructType([*schema, T.StructField("_bad", T.StringType())])
-    df = spark.read.options(**CSV, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").schema(full).csv(path)
-    return nan_to_null(df.filter("_bad is null").drop("_bad")), df.filter("_bad is not null").select("_bad")
+    options = {k: v for k, v in CSV.items() if k != "header"} | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full)
+    rows = spark.read.text(path).filter((F.col("value") != first) & (F.col("value") != "")).select("value", F.from_csv("value", ddl, options).alias("r"))
+    good = rows.filter("r._bad is null").select(*(F.col("r")[f.name].alias(f.name) for f in schema))
+    return nan_to_null(good), rows.filter("r._bad is not null").select(F.col("value").alias("line"))
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
