@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import fills
 from ..operators.select import remaining
-from ..schemas import METRICS, RESULTS
+from ..schemas import ENTROPY_COLUMNS, METRICS, RESULTS
 
 FIELDS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RESULTS)
 
@@ -35,12 +35,13 @@ def local_entropy(grey: np.ndarray, window: int) -> np.ndarray:
     return np.maximum(np.log2(n) - total / n, 0.0)
 
 
-def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int, int], params: dict[str, dict] | None = None, keep_arrays: bool = False) -> DataFrame:
+def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int, int], params: dict[str, dict] | None = None, keep_arrays: bool = False, tasks: int | None = None) -> DataFrame:
     """Results rows for every patch row and method.
 
     patches: seed, noise_level, patch_id, satellite, gap_fraction, clean, degraded and mask
     arrays. A patch crosses into Python once and all methods run on it there; an error makes a row with
-    status `error` and NULL metrics. With keep_arrays the reconstruction comes along.
+    status `error` and NULL metrics. With keep_arrays the reconstruction comes along. A table of few
+    bytes is one task by itself; `tasks` deals its patches out, as the work is in the methods.
     """
     params = params or {}
     chosen = [fills.method(m) for m in methods]
@@ -52,16 +53,22 @@ def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int,
         for pdf in batches:
             rows = []
             for p in pdf.itertuples(index=False):
+                try:
+                    clean, degraded = (np.asarray(x, np.float32).reshape(h, w, c)[..., 0 if c == 1 else slice(None)] for x in (p.clean, p.degraded))
+                    mask = np.asarray(p.mask).reshape(h, w) != 0
+                    grey = clean if c == 1 else clean.mean(2)
+                    entropies, broken = {f"entropy_{n}": float(local_entropy(grey, n).mean()) for n in (7, 15, 31)}, None
+                except Exception as e:  # unusable arrays: every method's row says so
+                    entropies, broken = {}, e
                 for m in chosen:
                     row = {"seed": p.seed, "noise_level": p.noise_level, "method": m.name, "method_category": m.category, "patch_id": p.patch_id, "satellite": p.satellite, "gap_fraction": p.gap_fraction, "status": "ok"}
                     began = time.perf_counter()
                     try:
-                        clean, degraded = (np.asarray(x, np.float32).reshape(h, w, c)[..., 0 if c == 1 else slice(None)] for x in (p.clean, p.degraded))
-                        mask = np.asarray(p.mask).reshape(h, w) != 0
+                        if broken:
+                            raise broken
                         filled = m.apply(degraded, mask, **params.get(m.name, {}))
                         row |= fills.all_metrics(clean, filled, mask)
-                        grey = clean if c == 1 else clean.mean(2)
-                        row |= {f"entropy_{n}": float(local_entropy(grey, n).mean()) for n in (7, 15, 31)}
+                        row |= entropies
                         if keep_arrays:
                             row["reconstruction"] = filled.ravel()
                     except Exception as e:  # a patch's failure is a row, the job goes on
@@ -71,21 +78,23 @@ def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int,
             # text as objects: Spark takes no chunked string columns
             yield pd.DataFrame(rows, columns=columns).astype(dict.fromkeys(texts, object))
 
+    if tasks:
+        patches = patches.repartition(tasks)
     out = patches.select("seed", "noise_level", "patch_id", "satellite", "gap_fraction", "clean", "degraded", "mask").mapInPandas(run, FIELDS + (", reconstruction array<float>" if keep_arrays else ""))
-    return out.withColumns({m: F.when(~F.isnan(m), F.col(m)) for m in METRICS})
+    return out.withColumns({m: F.when(~F.isnan(m), F.col(m)) for m in (*METRICS, *ENTROPY_COLUMNS)})
 
 
-def resume(patches: DataFrame, done: DataFrame | None, methods: Sequence[str], shape: tuple[int, int, int], retry_errors: bool = False) -> DataFrame:
+def resume(patches: DataFrame, done: DataFrame | None, methods: Sequence[str], shape: tuple[int, int, int], retry_errors: bool = False, tasks: int | None = None) -> DataFrame:
     """evaluate() of the patch and method pairs without a row in `done`.
 
     Arrays take no part in the anti join: only the keys of what is left are joined back to them.
     """
     if done is None:
-        return evaluate(patches, methods, shape)
+        return evaluate(patches, methods, shape, tasks=tasks)
     names = [fills.method(m).name for m in methods]
     keys = patches.select("seed", "noise_level", "patch_id").withColumn("method", F.explode(F.array(*map(F.lit, names))))
     left = remaining(keys, done, retry_errors=retry_errors)
     wanted = left.groupBy("seed", "noise_level", "patch_id").agg(F.collect_set("method").alias("wanted"))
     rows = patches.join(wanted, ["seed", "noise_level", "patch_id"])
-    out = evaluate(rows, methods, shape)
+    out = evaluate(rows, methods, shape, tasks=tasks)
     return out.join(left, ["seed", "noise_level", "patch_id", "method"], "left_semi").select(*out.columns)

@@ -145,9 +145,13 @@ def _rows(spark, sf, bands: int = 1) -> DataFrame:
     return patches(spark, sf, bands).select(F.lit(0).alias("seed"), F.lit("inf").alias("noise_level"), "patch_id", F.col("label").cast("string").alias("satellite"), ra.gap_fraction(F.col("mask")).alias("gap_fraction"), "clean", "degraded", "mask")
 
 
+def _tasks(spark) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def _fill(name: str):
     def run(spark, sf):
-        return evaluate(_rows(spark, sf), [name], (8, 8, 1)).select("patch_id", "status", "psnr", "ssim", "rmse")
+        return evaluate(_rows(spark, sf), [name], (8, 8, 1), tasks=_tasks(spark)).select("patch_id", "status", "psnr", "ssim", "rmse")
 
     return run
 
@@ -159,15 +163,15 @@ for _name in fills.METHODS:
 
 @query()
 def metric_ssim(spark, sf):
-    return evaluate(_rows(spark, sf, 4), ["idw"], (4, 4, 4)).select("patch_id", "ssim", "sam", "ergas")
+    return evaluate(_rows(spark, sf, 4), ["idw"], (4, 4, 4), tasks=_tasks(spark)).select("patch_id", "ssim", "sam", "ergas")
 
 
 @query()
 def evaluate_pipeline(spark, sf):
     """All cheap methods on all patches, with a resume over what one method has done."""
     rows = _rows(spark, sf)
-    done = evaluate(rows, ["nearest"], (8, 8, 1))
-    left = resume(rows, done.select("seed", "noise_level", "method", "patch_id", "status"), ["nearest", "idw", "dct", "lanczos"], (8, 8, 1))
+    done = evaluate(rows, ["nearest"], (8, 8, 1), tasks=_tasks(spark))
+    left = resume(rows, done.select("seed", "noise_level", "method", "patch_id", "status"), ["nearest", "idw", "dct", "lanczos"], (8, 8, 1), tasks=_tasks(spark))
     return left.groupBy("method").agg(F.count("*").alias("n"), F.avg("psnr").alias("psnr"), F.avg("ssim").alias("ssim"))
 
 
@@ -178,4 +182,4 @@ def moran_permutation(spark, sf):
             got = [st.moran_permutation(np.asarray(c).reshape(8, 8)) for c in pdf["clean"]]
             yield pd.DataFrame({"patch_id": pdf["patch_id"], "moran_i": [g["i"] for g in got], "p": [g["p"] for g in got], "significant_cells": [int((g["local_p"] <= 0.05).sum()) for g in got]})
 
-    return patches(spark, sf).select("patch_id", "clean").mapInPandas(run, "patch_id long, moran_i double, p double, significant_cells long")
+    return patches(spark, sf).select("patch_id", "clean").repartition(_tasks(spark)).mapInPandas(run, "patch_id long, moran_i double, p double, significant_cells long")
