@@ -36,8 +36,12 @@ from . import _arrow
 from .components import components
 
 WIDTH, PERCENT = 5, 80
-HEAVY, HEAVY_FROM = 1 << 17, 4
-BLOCK = 256
+HEAVY, HEAVY_FROM = 1 << 20, 4
+COUNTED = 1 << 63  # prefixes are drawn from the low end of the hash range: shingles below this are counted
+SET_BYTES = 6  # of a shingle's hash that verification compares
+BLOCK = 2048
+BROADCAST_ROWS = 200_000
+TOKEN_BYTES, GROUP_BYTES = 5, 6  # of a shingle's hash and a group's id in a posting; fewer bits only add candidates
 BITS = 1024
 MEMBER_BITS = 24
 FLUSH = 16 << 20  # bytes of text between two flushes of a task's buckets
@@ -64,6 +68,11 @@ def set_id(u: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(u.tobytes()))
 
 
+def group_id(first: np.ndarray, size: int) -> int:
+    """A number of GROUP_BYTES bytes for a prefix and a set size."""
+    return xxhash.xxh3_64_intdigest(first.tobytes(), size) >> 64 - 8 * GROUP_BYTES
+
+
 def prefix(u: np.ndarray, heavy: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The first shingles of a sorted set in the global order."""
     size = len(u) - -(-percent * len(u) // 100) + 1
@@ -116,7 +125,9 @@ def _dealt(packed: DataFrame) -> DataFrame:
 def heavy_shingles(docs: DataFrame, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of all documents (top 40 bits, sorted) and their frequency ranks.
 
-    Each document counts a shingle once. Only `most` counts reach the driver.
+    Each document counts a shingle once. Shingles in the upper half of the hash range are left
+    out: a prefix reaches them only where nearly all of a document is frequent. Only `most`
+    counts reach the driver.
     """
     buckets = _buckets(docs.sparkSession)
 
@@ -129,7 +140,7 @@ def heavy_shingles(docs: DataFrame, most: int = HEAVY) -> tuple[np.ndarray, np.n
 
         for batch in batches:
             for part in _arrow.slices(batch, "text"):
-                held += [u for u in _sets(part) if len(u)]
+                held += [x for u in _sets(part) if len(x := u[: np.searchsorted(u, np.uint64(COUNTED))])]
                 size += part.nbytes
                 if size > FLUSH and held:
                     yield out()
@@ -168,27 +179,49 @@ def bitmap(u: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((u & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1 != 0)
 
 
+def short(u: np.ndarray) -> bytes:
+    """The upper SET_BYTES bytes of each hash."""
+    return u.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    x = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
+    x[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
+    return x.view(np.uint64).ravel()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link; sets has sid, n and its shingles."""
+    """The pairs (a, b) of nodes that link; sets has sid, n and its shingles.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [np.frombuffer(v, np.uint64) for v in batch.column("x").to_pylist()]
-            y = [np.frombuffer(v, np.uint64) for v in batch.column("y").to_pylist()]
-            good = []
-            for k in range(batch.num_rows):
-                both = len(x[k]) + len(y[k]) - len(np.union1d(x[k], y[k]))
-                if 100 * both >= percent * (len(x[k]) + len(y[k]) - both):
-                    good.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
-
-    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("y"))
-    sizes = sets.select("sid", "n")
-    # sizes first: pairs that cannot link carry no set
+    Each pair's two sets meet in one task, row after row. Pairs whose sizes forbid a link are
+    dropped before. The list of pairs is broadcast to the sets only if it was counted to have no
+    more than BROADCAST_ROWS sides; otherwise both are shuffled.
+    """
+    sizes = sets.select("sid", "n").distinct()
     near = pairs.join(sizes.select(F.col("sid").alias("a"), "n"), "a").join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("m")), "b")
     near = near.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b")
-    return near.join(left.drop("n"), "a").join(right.drop("m"), "b").mapInArrow(run, "a long, b long")
+    sides = near.withColumn("sid", F.explode(F.array("a", "b"))).checkpoint()
+    if sides.count() <= BROADCAST_ROWS:
+        sides = F.broadcast(sides)
+    both = sets.select("sid", "shingles").join(sides, "sid").select("a", "b", "sid", "shingles")
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = (None, None, None, b"")
+        for batch in batches:
+            good_a, good_b = [], []
+            for a, b, sid, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sid")), batch.column("shingles")):
+                raw = raw.as_py()
+                if (a, b) == before[:2] and sid != before[2]:
+                    x, y = _long(before[3]), _long(raw)
+                    shared = len(x) + len(y) - len(np.union1d(x, y))
+                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                        good_a.append(a)
+                        good_b.append(b)
+                before = (a, b, sid, raw)
+            yield pa.RecordBatch.from_arrays([pa.array(good_a, pa.int64()), pa.array(good_b, pa.int64())], ["a", "b"])
+
+    return both.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
@@ -242,7 +275,7 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
                 for u in _sets(part):
                     n.append(len(u))
                     sid.append(set_id(u) if len(u) else None)
-                    gid.append(_signed(xxhash.xxh3_64_intdigest(prefix(u, heavy, rank, percent).tobytes(), len(u))) if len(u) else None)
+                    gid.append(group_id(prefix(u, heavy, rank, percent), len(u)) if len(u) else None)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(gid, pa.int64())], ["doc_id", "key", "n", "sid", "gid"])
 
     rows = base.mapInArrow(describe, "doc_id long, key long, n long, sid long, gid long").checkpoint()
@@ -254,7 +287,8 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
 
         def out():
             x = np.concatenate(keys)
-            return _packed(x, np.stack([x, np.concatenate(groups)], 1).view(np.uint8), buckets)
+            rows = np.concatenate([x.view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN_BYTES :], np.concatenate(groups).view(np.uint8).reshape(-1, 8)[:, :GROUP_BYTES]], 1)
+            return _packed(x, rows, buckets)
 
         for batch in batches:
             for part in _arrow.slices(batch, "text"):
@@ -263,7 +297,7 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
                     if not len(u):
                         continue
                     p = prefix(u, heavy, rank, percent)
-                    g = xxhash.xxh3_64_intdigest(p.tobytes(), len(u))
+                    g = group_id(p, len(u))
                     if g not in seen:
                         seen.add(g)
                         keys.append(p)
@@ -278,8 +312,10 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for raw in _unpacked(batches, 16):
-            x = np.ascontiguousarray(raw).view(np.uint64)
+        for raw in _unpacked(batches, TOKEN_BYTES + GROUP_BYTES):
+            wide = np.zeros((len(raw), 16), np.uint8)
+            wide[:, :TOKEN_BYTES], wide[:, 8 : 8 + GROUP_BYTES] = raw[:, :TOKEN_BYTES], raw[:, TOKEN_BYTES:]
+            x = wide.view(np.uint64)
             x = x[np.lexsort((x[:, 1], x[:, 0]))]
             fresh = np.append(True, (x[1:] != x[:-1]).any(1))
             x = x[fresh]
@@ -304,8 +340,7 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
     several = nodes.groupBy("gid").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("gid").alias("sig"), "gid")
     members = listed.union(several).join(nodes.select("gid", "sid", "key", "n"), "gid").select("sig", "sid", "key", "n").checkpoint()
 
-    wanted = members.select("key", "sid").distinct()
-    member = _membership(wanted)
+    member = _membership(members.select("key").distinct())
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,12 +350,13 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
                 found = [u for u in _sets(part)]
                 good = [k for k, u in enumerate(found) if len(u)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(pa.array(good, pa.int64())), pa.array([set_id(found[k]) for k in good], pa.int64()), pa.array([len(found[k]) for k in good], pa.int64()), pa.array([found[k].tobytes() for k in good], pa.binary()), pa.array([bitmap(found[k]).tobytes() for k in good], pa.binary())],
-                    ["key", "sid", "n", "shingles", "bits"],
+                    [pa.array([set_id(found[k]) for k in good], pa.int64()), pa.array([len(found[k]) for k in good], pa.int64()), pa.array([short(found[k]) for k in good], pa.binary()), pa.array([bitmap(found[k]).tobytes() for k in good], pa.binary())],
+                    ["sid", "n", "shingles", "bits"],
                 )
 
-    scanned = base.select("key", "text", F.pmod(F.xxhash64("key"), F.lit(1 << MEMBER_BITS)).alias("p")).mapInArrow(take, "key long, sid long, n long, shingles binary, bits binary")
-    sets = scanned.join(wanted, ["key", "sid"], "left_semi").dropDuplicates(["sid"]).checkpoint()
+    scanned = base.select("key", "text", F.pmod(F.xxhash64("key"), F.lit(1 << MEMBER_BITS)).alias("p")).mapInArrow(take, "sid long, n long, shingles binary, bits binary")
+    # a few sets more than wanted, and repeated rows' sets twice: neither changes which pairs link
+    sets = scanned.checkpoint()
 
     pivots = members.groupBy("sig").agg(F.min("sid").alias("a"))
     pairs = members.join(pivots, "sig").select("a", F.col("sid").alias("b")).filter("a <> b").distinct()
@@ -328,7 +364,7 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
     comp = components(links)
     placed = members.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid"))
     mixed = placed.groupBy("sig").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("k > 2 and lo <> hi").select("sig")
-    across = _across(placed.join(mixed, "sig", "left_semi").select("sig", "sid", "comp", "n").join(sets.select("sid", "bits"), "sid"), percent)
+    across = _across(placed.join(mixed, "sig", "left_semi").select("sig", "sid", "comp", "n").join(sets.select("sid", "bits").dropDuplicates(["sid"]), "sid"), percent)
     more = _verified(across, sets, percent)
     comp = components(links.union(more))
 
