@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a forward pass over a trie of distinct marked words.
 
 The vocabulary is a BPE model with byte fallback. A word is a run of space marks and the
-characters behind it; no piece crosses from a character to a mark, so words are encoded alone.
+characters behind it up to a line's end; no piece crosses from a character to a mark or over a
+line's end, so words are encoded alone.
 Distinct words of a slice are sorted; walking them in this order is a depth-first traversal of
 their trie, and the forward states of a shared prefix are kept on a stack and used again.
 
@@ -17,7 +18,6 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from . import _arrow, _tokens
 
 MARK = "▁"
-CACHE_CHARS = 8_000_000
+CACHE_CHARS, CACHE_PAIRS = 12_000_000, 600_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -54,7 +54,14 @@ class Model:
                 self.rank[p] = -sp.get_score(i)
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces of this vocabulary cross word bounds")
-        self.longest = max(map(len, self.id))
+        if any("\n" in p for p in self.id):
+            raise ValueError("pieces of this vocabulary cross line ends")
+        ends: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        #: lengths of the pieces that end in two given characters, longest first
+        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self.fits: dict[tuple[str, str], bool] = {}
         self._clear()
 
@@ -65,13 +72,17 @@ class Model:
 
     def merge(self, text: str) -> list[str]:
         """The merge encoding of a short text, by definition: best rank first, leftmost of equals."""
-        parts = list(text)
-        while True:
-            best = min(((self.rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.rank), default=None)
-            if best is None:
-                return parts
-            k = best[1]
+        parts, none = list(text), 1e18
+        ranks = [self.rank.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < none:
+            k = ranks.index(least)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = self.rank.get(parts[k - 1] + parts[k], none)
+            if k < len(ranks):
+                ranks[k] = self.rank.get(parts[k] + parts[k + 1], none)
+        return parts
 
     def merge_long(self, text: str) -> list[str]:
         """The same with a heap, for words of any length."""
@@ -95,21 +106,24 @@ class Model:
         return [p for p in part if p is not None]
 
     def compatible(self, a: str, b: str) -> bool:
-        """Whether merges leave the pieces a and b side by side."""
+        """Whether merges leave the pieces a and b side by side; never if they make a piece together."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 400_000:
+            if a + b in self.rank:
+                return False
+            if len(self.fits) > CACHE_PAIRS:
                 self.fits.clear()
             known = self.fits[a, b] = self.merge(a + b) == [a, b]
         return known
 
     def step(self, word: str, states: list[str], at: int) -> str:
         """The last piece of the encoding of word[:at], given those of all shorter prefixes."""
-        for size in range(min(self.longest, at), 0, -1):
-            p = word[at - size : at]
-            if (size == 1 or p in self.rank) and (size == at or self.compatible(states[at - size], p)):
-                return p
-        raise AssertionError("a single character always follows")
+        for size in self.ends.get(word[at - 2 : at], ()) if at > 1 else ():
+            if size <= at:
+                p = word[at - size : at]
+                if p in self.rank and (size == at or self.compatible(states[at - size], p)):
+                    return p
+        return word[at - 1]
 
     def forward(self, words: list[str]) -> Iterator[list[str]]:
         """Encodings of sorted distinct words; states of the prefix shared with the word before are reused."""
@@ -118,7 +132,11 @@ class Model:
             if len(w) > 4096:  # deeper than a trie of words: merged by definition, without states
                 yield self.merge_long(w)
                 continue
-            same = len(os.path.commonprefix((before, w)))
+            same = 0
+            for x, y in zip(before, w):
+                if x != y:
+                    break
+                same += 1
             del states[same + 1 :]
             for at in range(same + 1, len(w) + 1):
                 states.append(self.step(w, states, at))
@@ -171,13 +189,21 @@ class Model:
 
 
 def _split(text: str | None) -> list[str]:
-    """Marked words of a text with its leading mark."""
+    """Marked words and line ends of a text with its leading mark; no piece crosses either."""
     if not text:
         return []
-    t = MARK + text.replace(" ", MARK)
-    if MARK * 2 in t:
-        return _WORDS.findall(t)
-    return [MARK + w for w in t[1:].split(MARK)] if not t.endswith(MARK) else _WORDS.findall(t)
+    out: list[str] = []
+    for k, line in enumerate((MARK + text.replace(" ", MARK)).split("\n")):
+        if k:
+            out.append("\n")
+        if MARK * 2 in line or line.endswith(MARK):
+            out += _WORDS.findall(line)
+        else:
+            first, *rest = line.split(MARK)
+            if first:
+                out.append(first)
+            out += [MARK + w for w in rest]
+    return out
 
 
 _models: dict[str, Model] = {}
