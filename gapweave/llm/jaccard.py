@@ -41,6 +41,7 @@ COUNTED = 1 << 63  # prefixes are drawn from the low end of the hash range: shin
 SET_BYTES = 6  # of a shingle's hash that verification compares
 BLOCK = 2048
 BROADCAST_ROWS = 200_000
+OTHERS = 8192
 TOKEN_BYTES, GROUP_BYTES = 5, 6  # of a shingle's hash and a group's id in a posting; fewer bits only add candidates
 BITS = 1024
 MEMBER_BITS = 24
@@ -227,18 +228,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different components in the same list that the bitmaps do not rule out.
 
-    members: sig, sid, comp, n, bits. A list of m nodes is cut into about m / BLOCK blocks.
+    members: sig, sid, comp, n, bits and sigs, all lists the node is in. A list of m nodes is cut
+    into about m / BLOCK blocks. Nodes that share many lists are compared in the one with the
+    least sig (or in several, if a block's nodes are in more than OTHERS other lists).
     """
     sizes = members.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("k"))
     m = members.join(sizes, "sig").withColumn("i", F.pmod(F.xxhash64("sid", "sig"), F.col("k")).cast("int"))
     m = m.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    m = m.select("sig", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "sid", "comp", "n", "bits")
+    m = m.select("sig", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "sid", "comp", "n", "bits", "sigs")
 
     def run(table: pa.Table) -> pa.Table:
         sid, comp, n, i = (table.column(c).to_numpy() for c in ("sid", "comp", "n", "i"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(sid), BITS // 64)
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         a, b = [], []
+        lists = table.column("sigs").combine_chunks()
+        edges = lists.offsets.to_numpy()
+        owner, flat = np.repeat(np.arange(len(sid)), np.diff(edges)), lists.values.to_numpy()[edges[0] : edges[-1]]
+        less = flat < table.column("sig")[0].as_py()
+        kinds, place, times = np.unique(flat[less], return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1
+        earlier = None
+        if 0 < (times > 1).sum() <= OTHERS:
+            grid = np.zeros((len(sid), int((times > 1).sum())), bool)
+            use = times[place] > 1
+            grid[owner[less][use], column[place[use]]] = True
+            earlier = np.packbits(grid, axis=1)
         for k in range(len(sid)):
             # within one block each pair once; between two blocks from the first to the second
             if p != q and i[k] != p:
@@ -250,6 +265,8 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                 total = n[at] + n[k]
                 # intersection <= (total - apart) / 2, and it must reach percent * total / (100 + percent)
                 at = at[(total - apart) * (100 + percent) >= 2 * percent * total]
+                if earlier is not None and len(at):
+                    at = at[~(earlier[at] & earlier[k]).any(1)]
                 a += [sid[k]] * len(at)
                 b += sid[at].tolist()
         a, b = np.array(a, np.int64), np.array(b, np.int64)
@@ -364,7 +381,10 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
     comp = components(links)
     placed = members.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid"))
     mixed = placed.groupBy("sig").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("k > 2 and lo <> hi").select("sig")
-    across = _across(placed.join(mixed, "sig", "left_semi").select("sig", "sid", "comp", "n").join(sets.select("sid", "bits").dropDuplicates(["sid"]), "sid"), percent)
+    open_ = placed.join(mixed, "sig", "left_semi").select("sig", "sid", "comp", "n")
+    # a node is in no more lists than its prefix has shingles
+    known = open_.groupBy("sid").agg(F.array_sort(F.collect_list("sig")).alias("sigs")).join(sets.select("sid", "bits").dropDuplicates(["sid"]), "sid")
+    across = _across(open_.join(known, "sid"), percent)
     more = _verified(across, sets, percent)
     comp = components(links.union(more))
 
