@@ -36,7 +36,7 @@ from . import _arrow
 from .components import components
 
 WIDTH, PERCENT = 5, 80
-HEAVY, HEAVY_FROM = 1 << 20, 4
+HEAVY, HEAVY_FROM = 1 << 18, 4
 COUNTED = 1 << 63  # prefixes are drawn from the low end of the hash range: shingles below this are counted
 SET_BYTES = 6  # of a shingle's hash that verification compares
 BLOCK = 2048
@@ -159,8 +159,8 @@ def heavy_shingles(docs: DataFrame, most: int = HEAVY) -> tuple[np.ndarray, np.n
                 yield pa.RecordBatch.from_arrays([pa.array(kinds[top].astype(np.int64)), pa.array(n[top])], ["code", "n"])
 
     counts = _dealt(docs.select("text").mapInArrow(collect, "bucket int, payload binary")).mapInArrow(count, "code long, n long")
-    top = counts.orderBy(F.desc("n"), "code").limit(most).toPandas()
-    code, rank = top["code"].to_numpy(np.uint64), np.arange(len(top), dtype=np.int32)[::-1]
+    top = counts.orderBy(F.desc("n"), "code").limit(most).select("code").toArrow()
+    code, rank = top.column("code").to_numpy().astype(np.uint64), np.arange(len(top), dtype=np.int32)[::-1]
     order = np.argsort(code)
     return code[order], rank[order]
 
