@@ -51,38 +51,88 @@ def bootstrap_mean(values: np.ndarray, resamples: int = RESAMPLES, level: float
     return tuple(float(x) for x in np.quantile(means, [tail, 1 - tail]))
 
 
+def bootstrap_paths(sizes: Sequence[int]) -> list[list[tuple[int, int, int, int]]]:
+    """For each chunk the splits (first chunk, end, values on the left, on the right) of a binary tree that lead to it."""
+    sums, out, todo = np.concatenate([[0], np.cumsum(sizes)]), [[] for _ in sizes], [(0, len(sizes), [])]
+    while todo:
+        a, b, path = todo.pop()
+        if b - a == 1:
+            out[a] = path
+        else:
+            m = (a + b) // 2
+            path = [*path, (a, b, int(sums[m] - sums[a]), int(sums[b] - sums[m]))]
+            todo += [(a, m, path), (m, b, path)]
+    return out
+
+
+def bootstrap_chunk(values: np.ndarray, weights: np.ndarray, chunk: int, path: Sequence[tuple[int, int, int, int]], resamples: int = RESAMPLES, seed: int = SEED) -> np.ndarray:
+    """What one chunk of a group adds to the sum of each resample.
+
+    A resample's draws fall on the chunks by a multinomial law. Each split of the path draws its
+    binomial share with a seed of its own, so chunks agree on their counts without seeing each
+    other; a chunk then draws that many of its own values.
+    """
+    total = int(weights.sum())
+    counts = np.full(resamples, path[0][2] + path[0][3] if path else total)
+    for a, b, left, right in path:
+        share = np.random.default_rng([seed, 1, a, b]).binomial(counts, left / (left + right))
+        counts = share if chunk < (a + b) // 2 else counts - share
+    rng, out = np.random.default_rng([seed, 2, chunk]), np.zeros(resamples)
+    if total > 20 * len(values):  # many equal values: a draw for each value is shorter than one for each row
+        step = max(1, 1_000_000 // len(values))
+        for k in range(0, resamples, step):
+            out[k : k + step] = rng.multinomial(counts[k : k + step], weights / total) @ values
+        return out
+    values = np.repeat(values, weights)
+    step = max(1, 1_000_000 // total)
+    for k in range(0, resamples, step):
+        n = counts[k : k + step]
+        drawn, some = values[rng.integers(0, total, int(n.sum()))], np.flatnonzero(n)
+        if len(some):
+            out[k + some] = np.add.reduceat(drawn, (np.cumsum(n) - n)[some])
+    return out
+
+
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], metric: str = "psnr", order: Sequence[str] = (), most: int = 20_000) -> DataFrame:
-    """keys, ci95_lo and ci95_hi of the mean.
+    """keys, ci95_lo and ci95_hi of the mean: percentiles of 10,000 resamples of all values.
 
-    A group of up to `most` values is resampled as it is, in the order of `order`. A larger one
-    is reduced first to sums of `most` random cells; cells are then resampled by their means and
-    sizes (a cell bootstrap), so no group is ever gathered whole.
+    A group of up to `most` values replays numpy's generator in the order of `order`. A larger one
+    is dealt into chunks of about `most` values by hash; every chunk adds its part to the sums of
+    the same resamples, with seeds of its own, so no group is ever gathered whole. NaN counts
+    as missing; a group of nothing else has null bounds.
     """
-    kinds = dict(df.dtypes)
-    w = Window.partitionBy(*keys)
-    df = df.filter(F.col(metric).isNotNull()).select(*keys, F.col(metric).cast("double").alias("v"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("size"))
-    df = df.join(sizes, list(keys))
-    tag = F.xxhash64("v", *(f"_o{i}" for i in range(len(order))))
-    small = df.filter(F.col("size") <= most).select(*keys, "v", F.lit(1.0).alias("m"), *(f"_o{i}" for i in range(len(order))))
-    large = df.filter(F.col("size") > most).groupBy(*keys, F.pmod(tag, F.lit(most)).alias("cell")).agg(F.avg("v").alias("v"), F.count("*").cast("double").alias("m"))
-    cells = small.unionByName(large.drop("cell"), allowMissingColumns=True)
-    names = [f"_o{i}" for i in range(len(order))]
+    kinds, names = dict(df.dtypes), [f"_o{i}" for i in range(len(order))]
+    spec = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    df = df.filter(F.col(metric).isNotNull()).select(*keys, F.col(metric).cast("double").alias("v"), *(F.col(c).alias(n) for n, c in zip(names, order)))
+    sizes = df.groupBy(*keys).agg(F.count_if(~F.isnan("v")).alias("size"))
+    df = df.join(sizes, list(keys)).filter(~F.isnan("v") | (F.col("size") == 0))
+    part = F.pmod(F.xxhash64("v", *names), F.ceil(F.col("size") / most)).alias("chunk")
+    small = df.filter(F.col("size") <= most).select(*keys, "v", *names)
+    large = df.filter(F.col("size") > most).groupBy(*keys, part, "v").agg(F.count("*").alias("m"))
+    chunks = large.groupBy(*keys, "chunk").agg(F.sum("m").alias("m"))
 
     def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*names, "v"])
-        v, m = pdf["v"].to_numpy(), pdf["m"].to_numpy()
-        if (m == 1).all():
-            lo, hi = bootstrap_mean(v)
-        else:
-            rng, out = np.random.default_rng(SEED), []
-            for _ in range(RESAMPLES // 10):
-                i = rng.integers(0, len(v), len(v))
-                out.append((v[i] * m[i]).sum() / m[i].sum())
-            lo, hi = (float(x) for x in np.quantile(out, [0.025, 0.975]))
+        lo, hi = bootstrap_mean(pdf.sort_values([*names, "v"])["v"].to_numpy())
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "ci95_lo": [lo], "ci95_hi": [hi]})
 
-    return cells.groupBy(*keys).applyInPandas(interval, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ci95_lo double, ci95_hi double")
+    def paths(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk").reset_index(drop=True)
+        found = bootstrap_paths(pdf["m"].tolist())
+        return pdf[[*keys]].assign(chunk=pdf["chunk"], place=range(len(pdf)), path=[[x for split in p for x in split] for p in found])
+
+    def sums(pdf: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        pdf, flat = pdf.sort_values("v"), np.asarray(at["path"].iloc[0], np.int64).reshape(-1, 4).tolist()
+        s = bootstrap_chunk(pdf["v"].to_numpy(), pdf["m"].to_numpy(), int(at["place"].iloc[0]), flat)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(s) for k in keys}, "resample": np.arange(len(s)), "s": s})
+
+    where = chunks.groupBy(*keys).applyInPandas(paths, f"{spec}, chunk long, place long, path array<long>")
+    # a fixed number of partitions: a chunk is short in bytes and long in work
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = large.repartition(n, *keys, "chunk").groupBy(*keys, "chunk").cogroup(where.groupBy(*keys, "chunk")).applyInPandas(sums, f"{spec}, resample int, s double")
+    means = parts.groupBy(*keys, "resample").agg(F.sum("s").alias("s")).join(sizes, list(keys)).withColumn("mean", F.col("s") / F.col("size"))
+    bounds = F.percentile("mean", [(1 - LEVEL) / 2, (1 + LEVEL) / 2])
+    whole = means.groupBy(*keys).agg(bounds.alias("q")).select(*keys, F.get("q", F.lit(0)).alias("ci95_lo"), F.get("q", F.lit(1)).alias("ci95_hi"))
+    return small.groupBy(*keys).applyInPandas(interval, f"{spec}, ci95_lo double, ci95_hi double").unionByName(whole)
 
 
 def run_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

@@ -115,6 +115,29 @@ def test_bootstrap_is_deterministic_and_brackets_the_mean(spark):
     assert cells["ci95_lo"] < v.mean() < cells["ci95_hi"]
 
 
+def test_bootstrap_of_large_groups_resamples_all_values(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.lognormal(3, 1, 500), np.full(700, 5.0)])
+    rows = [("a", i, float(x)) for i, x in enumerate(v)] + [("b", i, 2.0) for i in range(150)] + [("a", -1, None), ("a", -2, math.nan), (None, 1, 3.0), ("c", 1, math.nan), ("d", 1, 4.0)]
+    df = spark.createDataFrame(rows, "method string, i int, psnr double")
+    got = {r["method"]: (r["ci95_lo"], r["ci95_hi"]) for r in summary.bootstrap_ci(df, ["method"], order=["i"], most=100).collect()}
+    assert set(got) == {"a", "b", "c", "d"} and got["b"] == pytest.approx((2, 2)) and got["d"] == (4, 4) and got["c"] == (None, None)
+    lo, hi = summary.bootstrap_mean(v)
+    assert got["a"] == pytest.approx((lo, hi), abs=0.05 * (hi - lo))
+    # without an order, the 700 equal values share a chunk
+    assert [*summary.bootstrap_ci(df.filter("method = 'a'"), ["method"], most=100).first()][1:] == pytest.approx((lo, hi), abs=0.05 * (hi - lo))
+
+
+def test_bootstrap_chunks_share_each_resample():
+    parts = [np.full(n, float(k + 1)) for k, n in enumerate((40, 1, 300, 25, 7))]
+    paths = summary.bootstrap_paths([len(p) for p in parts])
+    sums = [summary.bootstrap_chunk(p, np.ones(len(p), int), k, paths[k]) for k, p in enumerate(parts)]
+    counts = np.array([s / (k + 1) for k, s in enumerate(sums)])
+    assert counts.shape == (5, summary.RESAMPLES) and (counts.sum(0) == 373).all()  # as many draws as values
+    n = np.array([40, 1, 300, 25, 7])
+    assert np.allclose(counts.mean(1), n, rtol=0.05) and np.allclose(counts.var(1), n * (1 - n / 373), rtol=0.1)
+
+
 def test_robust_regression_resists_outliers(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=400)
