@@ -1,7 +1,10 @@
 """Secret scans: candidates from character runs, false positives removed by a random forest.
 
 Candidates are runs of 16 or more characters of the alphabets credentials use, with a digit and a
-letter, runs of 8 or more right behind an assignment, and PEM private-key headers. The forest
+letter, runs of 8 or more right behind an assignment, quoted values of 8 or more bytes behind one up
+to the closing quote on the line, and PEM private-key headers. `=` belongs to a run only as padding
+at its end; elsewhere it parts a name from a value. Findings do not overlap: a quoted value gives
+way to runs in it when they are secrets and it is none. The forest
 judges each by its length, the transitions between its characters' classes, how much of it a
 dictionary covers, its path and the words around it. It is trained from labelled findings:
 rows of candidate, before, after, path and label.
@@ -14,10 +17,11 @@ columns are ignored. Offsets are code points, end exclusive.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,22 +53,52 @@ _ASSIGN = re.compile(rb"[A-Za-z_][A-Za-z0-9_]*[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}
 _WORD = re.compile(r"[a-z0-9_]+")
 
 
+def quoted(buf: np.ndarray, at: np.ndarray, raw: bytes) -> list[tuple[int, int, int]]:
+    """(text number, start, end) of assigned values between equal quotes on one line; a backslash keeps a quote from closing."""
+    out = []
+    sign = np.concatenate([[0], np.cumsum((buf == ord("=")) | (buf == ord(":")) | (buf == ord(">")))])
+    stops = np.flatnonzero((buf == 10) | (buf == 13))
+    for q in b"\"'`":
+        opens = np.flatnonzero(buf == q)
+        closes = opens[(opens == 0) | (buf[np.maximum(opens - 1, 0)] != 92)]
+        opens = opens[sign[opens] > sign[np.maximum(opens - 4, 0)]]
+        if not len(opens) or not len(closes):
+            continue
+        to = np.append(closes, len(buf))[np.searchsorted(closes, opens, "right")]
+        line = np.append(stops, len(buf))[np.searchsorted(stops, opens, "right")]
+        owner = np.searchsorted(at, opens, "right") - 1
+        fit = (to < np.minimum(line, at[owner + 1])) & (to - opens > ASSIGNED)
+        for s, e, doc in zip((opens[fit] + 1).tolist(), to[fit].tolist(), owner[fit].tolist()):
+            if _ASSIGN.search(raw[max(int(at[doc]), s - CONTEXT) : s]) and _ALPHA[buf[s:e]].any():
+                out.append((doc, s, e))
+    return out
+
+
 def candidates(buf: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
-    """(text number, start, end) in bytes of the whole buffer, by place."""
+    """(text number, start, end) in bytes of the whole buffer, by place; quoted values can hold further candidates."""
     n = len(buf)
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = _ALPHABET[buf]
-    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     edges = at[1:-1]
     edges = edges[(edges > 0) & (edges < n)]
+    equals = np.flatnonzero(buf == ord("="))
+    if len(equals):  # blocks of `=` that a further character of the alphabet follows are no padding
+        cut = np.zeros(n + 1, bool)
+        cut[edges], cut[n] = True, True
+        ends_block = np.append(equals[1:] != equals[:-1] + 1, True) | cut[equals + 1]
+        block = np.concatenate([[0], np.cumsum(ends_block)[:-1]])
+        stop = equals[ends_block] + 1
+        inner = inside[1:][stop] & ~cut[stop]
+        inside[1 + equals[inner[block]]] = False
+    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     first[edges], last[edges - 1] = inside[1:-1][edges], inside[1:-1][edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     digits, letters = np.concatenate([[0], np.cumsum(_DIGIT[buf])]), np.concatenate([[0], np.cumsum(_ALPHA[buf])])
     size, d, a = ends - starts, digits[ends] - digits[starts], letters[ends] - letters[starts]
     long = (size >= LONG) & (d > 0) & (a > 0)
     before = buf[np.maximum(starts - 1, 0)]
-    assigned = (size >= ASSIGNED) & (a > 0) & (starts > 0) & np.isin(before, [*b"=: \"'`"])
-    # an assignment sign stands within four bytes before the run, or at its own start
+    assigned = (size >= ASSIGNED) & (a > 0) & (starts > 0) & np.isin(before, [*b"=:> \"'`"])
+    # an assignment sign stands within four bytes before the run
     signs = np.concatenate([[0], np.cumsum((buf == ord("=")) | (buf == ord(":")))])
     assigned &= signs[starts] > signs[np.maximum(starts - 4, 0)]
     pick = np.flatnonzero(long | assigned)
@@ -85,8 +119,18 @@ def candidates(buf: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
             doc = int(np.searchsorted(at, m.start(), "right")) - 1
             if m.end() <= at[doc + 1]:
                 out = [x for x in out if not (m.start() <= x[1] < m.end())] + [(doc, m.start(), m.end())]
-        out.sort()
-    return out
+    return sorted({*out, *quoted(buf, at, raw)})
+
+
+def settle(got: list[tuple[int, int, int]], scores: Sequence[float], threshold: float) -> list[int]:
+    """Places of candidates that do not overlap, in order: secrets before others, longer before shorter."""
+    kept: list[tuple[int, int, int]] = []  # bytes of a buffer: start, end, place
+    for k in sorted(range(len(got)), key=lambda k: (scores[k] < threshold, got[k][1] - got[k][2], got[k][1])):
+        _, s, e = got[k]
+        i = bisect.bisect(kept, (s, e, k))
+        if (i == 0 or kept[i - 1][1] <= s) and (i == len(kept) or e <= kept[i][0]):
+            kept.insert(i, (s, e, k))
+    return [k for _, _, k in kept]
 
 
 @functools.lru_cache(4)
@@ -263,7 +307,8 @@ def scan(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",), p
                 show = lambda a, b: raw[a:b].decode("utf-8", "replace")
                 x = [features(show(s, e), show(max(at[d], s - CONTEXT), s), show(e, min(at[d + 1], e + CONTEXT)), str(sources[d] or "") if sources else "", words) for d, s, e in got]
                 scores = forest.predict(np.array(x)) if x else []
-                for (d, s, e), p in zip(got, scores):
+                for k in settle(got, scores, threshold):
+                    (d, s, e), p = got[k], scores[k]
                     start = len(raw[at[d] : s].decode())
                     found[d].append({"start": start, "end": start + len(raw[s:e].decode()), "score": float(p), "secret": bool(p >= threshold)})
                 kept = {c: part.column(c) for c in keep}

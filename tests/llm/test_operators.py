@@ -81,6 +81,38 @@ def test_secrets_spans_and_redaction(spark, docs, none):
     assert secrets.train([]).predict(np.zeros((2, 3))).tolist() == [0, 0]
 
 
+def _runs(*texts):
+    import pyarrow as pa
+
+    buf, at = _arrow.utf8(pa.array(texts))
+    raw = buf.tobytes()
+    return [(d, raw[s:e].decode()) for d, s, e in secrets.candidates(buf, at)]
+
+
+def test_secrets_assigned_values_without_spaces():
+    assert _runs("pwd=hunter2hu", "export password=correcthorse\n", "?a=1&token=abcdefgh1&b=2", "pwd:=hunter2hu", "pwd=>hunter2hu") == [(0, "hunter2hu"), (1, "correcthorse"), (2, "abcdefgh1"), (3, "hunter2hu"), (4, "hunter2hu")]
+    assert _runs(f"api_key={TOKEN}", "token=ghp_" + "aB3" * 12) == [(0, TOKEN), (1, "ghp_" + "aB3" * 12)]
+    assert _runs("key=", "hunter2hu", "x" * 15 + "1==") == [(2, "x" * 15 + "1==")]  # padding stays, texts stay apart
+    assert _runs("a==correcthorse", "see correcthorse", 'x="', 'correct"') == []
+
+
+def test_secrets_quoted_values_go_up_to_the_closing_quote():
+    assert _runs('password="c\u00f6rrect hunter!2" end', "pwd: 'a$b\\'c%d9&x'", 'pwd="open\nend"', 'pwd="short"') == [(0, "c\u00f6rrect hunter!2"), (1, "a$b\\'c%d9&x")]
+    got = [(0, 0, 50), (0, 10, 20), (0, 30, 40), (0, 60, 70)]
+    assert secrets.settle(got, [0.1, 0.9, 0.1, 0.2], 0.5) == [1, 2, 3]
+    assert secrets.settle(got, [0.1, 0.1, 0.1, 0.2], 0.5) == secrets.settle(got, [0.6, 0.9, 0.1, 0.2], 0.5) == [0, 3]
+
+
+def test_secrets_of_key_value_lines_end_to_end(spark):
+    gh = "ghp_" + "aZ3k" * 9
+    text = f"API_KEY={TOKEN}\ncurl https://h/x?token={gh}&page=2\npwd=hunter2hu\n"
+    df = spark.createDataFrame([(1, text, "config/prod.env")], "doc_id long, text string, source string")
+    row = secrets.scan(df, secrets.train(secrets.labelled_findings()), ("doc_id", "text"), redact="[SECRET]").first()
+    spans = [(f["start"], f["end"]) for f in row["findings"]]
+    assert spans == [(text.index(x), text.index(x) + len(x)) for x in (TOKEN, gh, "hunter2hu")]
+    assert row["text"].startswith("API_KEY=[SECRET]\ncurl https://h/x?token=[SECRET]&page=2\npwd=")
+
+
 # ---- 3 quality ------------------------------------------------------------------------------
 
 
