@@ -31,10 +31,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group that links connect; rows without a doc_id stay."""
-    away = jaccard.join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(away, "doc_id", "left_anti").select(*docs.columns)
-    return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    """One row of each group that links connect, by the least doc_id (null last) and text hash; wordless rows stay, equal ones once."""
+    away = jaccard.join(docs, by_row=True).filter("not stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rows = docs.withColumn("_h", F.xxhash64("text"))
+    kept = rows.join(away, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,13 +275,21 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return m.groupBy("sig", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document."""
+def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", by_row: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document.
+
+    With `by_row` also text_hash (xxhash64 of the text) and stays: whether the row stands for its
+    component as the one with the least doc_id (null last) and text hash, or has no words.
+    """
     spark = docs.sparkSession
     _arrow.ship(spark)
     _arrow.shared_dir(spark)
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     base = base.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    further = ["text_hash"] if by_row else []
+    if by_row:
+        base = base.withColumn("text_hash", F.xxhash64("text"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     heavy, rank = heavy_shingles(base)
     buckets = _buckets(spark)
 
@@ -293,10 +301,10 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
                     n.append(len(u))
                     sid.append(set_id(u) if len(u) else None)
                     gid.append(group_id(prefix(u, heavy, rank, percent), len(u)) if len(u) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(gid, pa.int64())], ["doc_id", "key", "n", "sid", "gid"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(gid, pa.int64()), *map(part.column, further)], ["doc_id", "key", "n", "sid", "gid", *further])
 
-    rows = base.mapInArrow(describe, "doc_id long, key long, n long, sid long, gid long").checkpoint()
-    nodes = rows.filter("sid is not null").groupBy("sid").agg(F.min("gid").alias("gid"), F.min("n").alias("n"), F.min("key").alias("key"), F.min("doc_id").alias("least")).checkpoint()
+    rows = base.mapInArrow(describe, "doc_id long, key long, n long, sid long, gid long" + "".join(f", {c} long" for c in further)).checkpoint()
+    nodes = rows.filter("sid is not null").groupBy("sid").agg(F.min("gid").alias("gid"), F.min("n").alias("n"), F.min("key").alias("key"), F.min("doc_id").alias("least"), *([F.min(row).alias("first")] if by_row else [])).checkpoint()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -389,6 +397,7 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
     comp = components(links.union(more))
 
     full = nodes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = full.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = full.join(least, "root").select("sid", "component_id")
-    return rows.join(labels, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
+    least = full.groupBy("root").agg(F.min("least").alias("component_id"), *([F.min("first").alias("stands")] if by_row else []))
+    labels = full.join(least, "root").select("sid", "component_id", *(["stands"] if by_row else []))
+    more_columns = ["text_hash", F.coalesce(F.col("stands").eqNullSafe(row) | F.col("sid").isNull(), F.lit(False)).alias("stays")] if by_row else []
+    return rows.join(labels, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"), *more_columns)

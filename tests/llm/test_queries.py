@@ -49,3 +49,13 @@ def test_stages_take_odd_and_empty_tables(spark, docs, none, k):
     assert got.count() > 0
     if k < 4:
         assert got.columns == docs.columns
+
+
+def test_near_duplicates_are_decided_by_row(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("river", "stone", "light"))
+    rows = [(3, a), (7, a + " end"), (7, b), (8, c), (8, c + " end"), (None, b + " end"), (None, "green " + c), (None, "house " * 9), (None, "house " * 9), (9, ""), (9, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.without_near_duplicates(spark, df, SF).collect()]
+    eight = [t for i, t in got if i == 8]
+    assert len(eight) == 1 and eight[0] in (c, c + " end")
+    assert sorted(map(str, got)) == sorted(map(str, [(3, a), (7, b), (8, eight[0]), (None, "house " * 9), (9, ""), (9, None)]))
