@@ -96,19 +96,22 @@ class Store:
 def replay(docs: DataFrame, version: str = "word_bpe_49k", folder: str | None = None) -> DataFrame:
     """Totals after four batches over all documents, one of them sent twice.
 
-    All documents come in; copies of a text other than the one with the least doc_id go; the
-    counts of what stays are revised to include an end token; the revision is sent again.
+    All documents come in; one row of each text stays, the one with the least doc_id, or, where
+    no row has one, without; among equal ids the least source and language decide, and of
+    repeated rows one stays. The other rows go; the counts of what stays are revised to
+    include an end token; the revision is sent again.
     """
     spark = docs.sparkSession
     root = f"{_arrow.shared_dir(spark)}/counts-{uuid.uuid4().hex}"
     fields = docs.select("doc_id", "source", "lang", F.col("text").cast("string").alias("text"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), F.coalesce(F.hash("text"), F.lit(0)).alias("h2"))
     rows = count_tokens(fields, version, folder, ("doc_id", "source", "lang", "h", "h2"))
-    rows.write.parquet(f"{root}/ledger")
+    rows.withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{root}/ledger")
     ledger = spark.read.parquet(f"{root}/ledger")
     store = Store(spark, f"{root}/store")
     store.commit("load", ledger.withColumn("op", F.lit("insert")))
-    first = ledger.groupBy("h", "h2").agg(F.min("doc_id").alias("first"))
-    marked = ledger.join(first, ["h", "h2"]).withColumn("stays", F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False)))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang", "row"))
+    first = ledger.groupBy("h", "h2").agg(least["row"].alias("first"))
+    marked = ledger.join(first, ["h", "h2"]).withColumn("stays", F.col("row") == F.col("first"))
     store.commit("copies", marked.filter("not stays").withColumn("op", F.lit("delete")))
     revised = marked.filter("stays").select("source", "lang", "tokenizer_version", F.lit("revise").alias("op"), F.col("n_tokens").alias("old_n_tokens"), (F.col("n_tokens") + 1).alias("n_tokens"))
     store.commit("end-token", revised)

@@ -208,6 +208,23 @@ def test_replay_counts_each_text_once(docs, rows, none):
     assert counts.replay(none).count() == 0
 
 
+def test_replay_keeps_one_row_of_each_text_with_and_without_ids(spark, docs, rows):
+    got = counts.replay(docs.select("doc_id", "text", "lang", "source")).collect()
+    first = {}
+    for i, text, lang, source in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(text, (source, lang))
+    from tokenizers import Tokenizer
+
+    t, want = Tokenizer.from_file(_tokens.tokenizer_path("word_bpe_49k.json")), {}
+    for text, k in first.items():
+        n, m = want.get(k, (0, 0))
+        want[k] = (n + 1, m + 1 + len(t.encode(text or "", add_special_tokens=False).ids))
+    assert {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in got} == want
+    odd = [(None, "one two", "en", "s1"), (None, "one two", "en", "s0"), (4, "three", "en", "s2"), (None, "three", "en", "s0"), (4, "three", "en", "s2")]
+    got = counts.replay(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string")).collect()
+    assert {r["source"]: r["n_docs"] for r in got} == {"s0": 1, "s2": 1}
+
+
 # ---- 6 n-gram Jaccard join ------------------------------------------------------------------
 
 
