@@ -144,7 +144,7 @@ def dictionary(path: str) -> frozenset[str]:
 def coverage(token: str, words: frozenset[str]) -> float:
     """Share of a token's letters that dictionary words cover, longest first from the left."""
     covered = letters = 0
-    for run in re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", token[:256]).lower()):
+    for run in re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", token).lower()):
         letters += len(run)
         at = 0
         while at < len(run):

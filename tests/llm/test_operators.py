@@ -89,6 +89,12 @@ def _runs(*texts):
     return [(d, raw[s:e].decode()) for d, s, e in secrets.candidates(buf, at)]
 
 
+def test_secrets_coverage_is_that_of_the_whole_candidate():
+    words = frozenset({"river", "stone"})
+    assert secrets.coverage("zq" * 200 + "river" * 80, words) == 0.5
+    assert secrets.coverage("river-stone/" * 100, words) == 1 and secrets.coverage("riverx", words) == 5 / 6
+
+
 def test_secrets_assigned_values_without_spaces():
     assert _runs("pwd=hunter2hu", "export password=correcthorse\n", "?a=1&token=abcdefgh1&b=2", "pwd:=hunter2hu", "pwd=>hunter2hu") == [(0, "hunter2hu"), (1, "correcthorse"), (2, "abcdefgh1"), (3, "hunter2hu"), (4, "hunter2hu")]
     assert _runs(f"api_key={TOKEN}", "token=ghp_" + "aB3" * 12) == [(0, TOKEN), (1, "ghp_" + "aB3" * 12)]
