@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import tails
 
 ALPHA = 0.05
+MAX_LEVELS = 1000  # of a category that becomes 0/1 columns
 HUBER_T, MAD_TO_SIGMA = 1.345, 0.6745  # fixed values: Huber's tuning constant, the normal quartile
 
 
@@ -128,10 +129,15 @@ def pairwise_test(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def dummies(df: DataFrame, columns: Sequence[str], levels: dict[str, list[str]] | None = None) -> tuple[DataFrame, list[str]]:
-    """0/1 columns for each level but the first in order; levels are found if not given."""
+    """0/1 columns for each level but the first in order; levels are found if not given.
+
+    More than MAX_LEVELS levels are an error rather than rows that join the first level.
+    """
     out = []
     for c in columns:
-        found = levels[c] if levels else sorted(r[0] for r in df.filter(F.col(c).isNotNull()).select(c).distinct().limit(1000).collect())
+        found = levels[c] if levels else sorted(r[0] for r in df.filter(F.col(c).isNotNull()).select(c).distinct().limit(MAX_LEVELS + 1).collect())
+        if not levels and len(found) > MAX_LEVELS:
+            raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
         for v in found[1:]:
             name = f"{c}_{v}"
             df = df.withColumn(name, (F.col(c) == v).cast("double"))

@@ -138,6 +138,15 @@ def test_bootstrap_chunks_share_each_resample():
     assert np.allclose(counts.mean(1), n, rtol=0.05) and np.allclose(counts.var(1), n * (1 - n / 373), rtol=0.1)
 
 
+def test_dummies_refuse_more_levels_than_they_can_hold(spark, monkeypatch):
+    df = spark.range(1001).select(F.format_string("v%04d", "id").alias("c"))
+    with pytest.raises(ValueError, match="more than 1000 levels"):
+        stats.dummies(df, ["c"])
+    monkeypatch.setattr(stats, "MAX_LEVELS", 3)
+    assert stats.dummies(df.filter("c < 'v0003'"), ["c"])[1] == ["c_v0001", "c_v0002"]
+    assert stats.dummies(df, ["c"], {"c": ["a", "b"]})[1] == ["c_b"]
+
+
 def test_robust_regression_resists_outliers(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=400)
