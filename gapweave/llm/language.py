@@ -8,7 +8,8 @@ passage at a place that the document's hash fixes. Every byte of every text is r
 state starts anew at each window, so tasks hold a bounded number of windows at a time.
 
 Cases: `und` with score 0 for null, empty and letterless texts, and for all if there is nothing to
-learn from; with one language, it is every lettered text's label; repeated rows and
+learn from; with one language, it is every lettered text's label; more than MAX_LANGUAGES
+languages to learn are an error, as those left out would get other languages' labels; repeated rows and
 null doc_ids are scored like any row; an empty table gives no rows; further columns are ignored.
 """
 
@@ -197,7 +198,9 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> N
     _arrow.ship(docs.sparkSession)
     rows = docs.filter(learn).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("h"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"the network labels at most {MAX_LANGUAGES} languages")
     if not counts:
         return fresh([])
     languages = sorted(counts)

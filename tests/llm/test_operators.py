@@ -53,6 +53,13 @@ def test_language_on_cases(docs, none):
     assert {r["lang_pred"] for r in language.identify(docs, language.fresh([])).collect()} == {"und"}
 
 
+def test_language_refuses_more_languages_than_it_can_label(docs, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="at most 2 languages"):
+        language.train(docs, F.lit(True))  # en, de, fr
+    assert language.train(docs.filter("lang <> 'fr'"), F.lit(True)).languages == ["de", "en"]
+
+
 # ---- 2 secrets ------------------------------------------------------------------------------
 
 TOKEN = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
