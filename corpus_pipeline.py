@@ -59,7 +59,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-ORACLE_SQL = None  # models and a tokenizer; tests hold the stages against brute-force versions
+ORACLE_SQL = None  # models and a tokenizer; tests hold what the stages keep and make against the models' scores, all pairs and the tokenizer
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

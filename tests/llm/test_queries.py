@@ -59,3 +59,55 @@ def test_near_duplicates_are_decided_by_row(spark):
     eight = [t for i, t in got if i == 8]
     assert len(eight) == 1 and eight[0] in (c, c + " end")
     assert sorted(map(str, got)) == sorted(map(str, [(3, a), (7, b), (8, eight[0]), (None, "house " * 9), (9, ""), (9, None)]))
+
+
+def test_stages_equal_brute_force(spark):
+    """On sf0.001: rows kept by the models' scores, by all pairs of sets, redaction by spans, pieces by the tokenizer."""
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+
+    from tokenizers import Tokenizer
+
+    from gapweave.llm import _tokens, language, quality, secrets
+    from .test_operators import brute
+
+    source = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    columns = source.columns
+    rows = lambda df: Counter((r["doc_id"], r["text"], r["n_chars"]) for r in df.collect())
+
+    model = quality.train(source, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True))
+    scored = quality.score(source, model, tuple(columns)).collect()
+    assert rows(corpus_pipeline.good_quality(spark, source, SF)) == Counter((r["doc_id"], r["text"], r["n_chars"]) for r in scored if r["score"] >= 0.5)
+
+    named = language.identify(source, language.train(source, F.lit(True)), tuple(columns)).collect()
+    assert rows(corpus_pipeline.known_language(spark, source, SF)) == Counter((r["doc_id"], r["text"], r["n_chars"]) for r in named if r["lang_pred"] != "und" and r["score"] >= 0.4)
+
+    plain = [(r["doc_id"], r["text"]) for r in source.select("doc_id", "text").collect()]
+    ids = {i for i, _, least in brute(plain) if i == least}
+    assert len(ids) < len(plain) == len(dict(plain))
+    kept = {(i, t) for i, t in plain if i in ids}
+    got = corpus_pipeline.without_near_duplicates(spark, source, SF).collect()
+    assert len(got) == len(kept) and {(r["doc_id"], r["text"]) for r in got} == kept
+
+    said = 'the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ends.'
+    told = source.union(spark.createDataFrame([(10**9, said, "en", "src1", len(said))], source.schema))
+    want = Counter()
+    for r in secrets.scan(told, secrets.train(secrets.labelled_findings()), ("doc_id", "text", "n_chars")).collect():
+        text, spans = r["text"], [f for f in r["findings"] if f["secret"]]
+        for f in reversed(spans):
+            text = text[: f["start"]] + "[SECRET]" + text[f["end"] :]
+        want[r["doc_id"], text, len(text) if spans else r["n_chars"]] += 1
+    assert rows(corpus_pipeline.without_secrets(spark, told, SF)) == want and any("[SECRET]" in (t or "") for _, t, _ in want)
+
+    tokenizer, pieces = Tokenizer.from_file(_tokens.tokenizer_path("word_bpe_49k.json")), {}
+    for r in corpus_pipeline.packed(spark, source, SF).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"]))
+    assert set(pieces) == set(dict(plain))
+    for i, t in plain:
+        ids, at = tokenizer.encode(t or "", add_special_tokens=False).ids + [2], 0
+        for start, n, crc in sorted(pieces[i]):
+            assert start == at and zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()) == crc
+            at += n
+        assert at == len(ids)
