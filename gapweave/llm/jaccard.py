@@ -4,27 +4,35 @@ Words are runs of bytes other than space and tab to carriage return, A-Z lower-c
 document's set holds its distinct shingles of WIDTH words (64-bit hashes). Sets link when
 100 * intersection >= percent * union.
 
-1. Equal sets are one node. Its prefix is the first n - ceil(percent * n / 100) + 1 shingles in a
-   global order: by hash, but the HEAVY most frequent shingles of the corpus last, by frequency,
-   so that common passages seldom stand in a prefix. Any one order gives whole results.
-2. Nodes with the same prefix and size are one group. Postings (shingle, group) travel packed by
-   shingle range. Groups that share a prefix shingle make a list; equal lists are kept once.
-3. Lists are expanded to their nodes. Each node is verified against one pivot of its list, and
-   the verified links are merged to components.
-4. Only lists that still hold several components go on: they are cut into blocks of about BLOCK
-   nodes, and pairs of blocks are compared by parity bitmaps whose distance bounds the
-   intersection from above. Pairs of different components that the bound leaves are verified
-   exactly. So all links between components are found, and a group of near copies is merged
-   without its pairs being listed.
+1. Equal sets are one node. A node's prefix is its first n - ceil(percent * n / 100) + 1 shingles
+   in one global order: by the class of their frequency, then by hash, so that common passages
+   seldom stand in a prefix. The classes come from counters over all shingles of all documents
+   (`frequency_classes`); any order at all gives whole results.
+2. Nodes with the same prefix and size are one group. Postings (shingle, group, size, place in
+   the prefix) travel packed; the groups that share a prefix shingle make a list.
+3. Within a list, pairs of groups are filtered by size and by place. Each group is paired with
+   one pivot group that passes; such pairs are expanded to nodes, filtered by parity bitmaps
+   (their distance bounds the intersection from above) and verified on whole sets. The links
+   are merged to components.
+4. Only lists that still hold several components go on. Their group pairs are filtered in blocks,
+   the rest expanded to pairs of nodes of different components, filtered by bitmaps and verified:
+   first each node with the closest one of every other component, then, in the lists that are
+   still open, all pairs left. So links between components are all found, and a group of near
+   copies is merged without its pairs being listed.
+
+Memory: a task holds one bucket of postings (17 bytes each), one block pair, or one pivot's set
+and the set that is compared with it.
 
 Cases: null, empty and wordless texts have n_shingles 0 and link with nothing; shorter texts
-have their whole sequence as one shingle; rows with the same doc_id and repeated rows are
-documents of their own; a null doc_id never names a component if another id is there; an empty
-table gives no rows; further columns are ignored.
+have their whole sequence as one shingle; very long texts are taken whole; rows with the same
+doc_id and repeated rows are documents of their own; a null doc_id never names a component if
+another id is there; ties of size or frequency go by hash; an empty table gives no rows; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +44,15 @@ from . import _arrow
 from .components import components
 
 WIDTH, PERCENT = 5, 80
-HEAVY, HEAVY_FROM = 1 << 18, 4
-COUNTED = 1 << 63  # prefixes are drawn from the low end of the hash range: shingles below this are counted
-SET_BYTES = 6  # of a shingle's hash that verification compares
+PLACES, SLICE = 1 << 20, 1 << 14  # frequency counters, and those of them that travel in one row
+STAR = 256  # groups that one pivot of a list, or one task row of verification, takes
 BLOCK = 2048
-BROADCAST_ROWS = 200_000
-OTHERS = 8192
-TOKEN_BYTES, GROUP_BYTES = 5, 6  # of a shingle's hash and a group's id in a posting; fewer bits only add candidates
-BITS = 1024
-MEMBER_BITS = 24
+SIZE_SCALE, PLACE_SCALE = 2048, 256  # steps of a size's logarithm, and of a place as a share of the size
+MOST_BITS = 1 << 17  # of a bitmap; shorter texts have two bits a shingle
+BROADCAST_ROWS = 200_000  # rows of 28 bytes
+MEMBER_BITS = 1 << 27  # largest filter of document keys that is sent to tasks: 16 MB
+TOKEN_BYTES = 6  # of a shingle's hash in a posting; fewer bits only add candidates
+POSTING = TOKEN_BYTES + 8 + 2 + 1
 FLUSH = 16 << 20  # bytes of text between two flushes of a task's buckets
 
 
@@ -69,33 +77,132 @@ def set_id(u: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(u.tobytes()))
 
 
-def group_id(first: np.ndarray, size: int) -> int:
-    """A number of GROUP_BYTES bytes for a prefix and a set size."""
-    return xxhash.xxh3_64_intdigest(first.tobytes(), size) >> 64 - 8 * GROUP_BYTES
+def group_key(first: np.ndarray, size: int) -> int:
+    """128 bits for a prefix and a set size; the lower 64 are the group's id."""
+    return xxhash.xxh3_128_intdigest(first.tobytes(), size)
 
 
-def prefix(u: np.ndarray, heavy: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first shingles of a sorted set in the global order."""
+def _group(key: int) -> int:
+    return _signed(key & (1 << 64) - 1)
+
+
+def prefix(u: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first shingles of a sorted set in the global order, in that order."""
     size = len(u) - -(-percent * len(u) // 100) + 1
-    if not len(heavy):
-        return u[:size]
-    code = u >> np.uint64(24)
-    at = np.minimum(np.searchsorted(heavy, code), len(heavy) - 1)
-    hit = heavy[at] == code
-    light = u[~hit]
-    if len(light) >= size:
-        return light[:size]
-    last = u[hit]
-    return np.concatenate([light, last[np.argsort(rank[at[hit]], kind="stable")][: size - len(light)]])
+    c = classes[(u & np.uint64(PLACES - 1)).astype(np.int64)]
+    return u[np.argsort(c, kind="stable")[:size]] if c.any() else u[:size]
+
+
+def bitmap(u: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles that fall on each place; about two places a shingle."""
+    size = min(MOST_BITS, max(64, 1 << (2 * len(u) - 1).bit_length()))
+    return np.packbits(np.bincount((u >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1 != 0).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """The distance of two bitmaps, the longer one folded to the length of the shorter one."""
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half], "big") ^ int.from_bytes(x[half:], "big")).to_bytes(half, "big")
+    return (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count()
+
 
+def size_code(n: int) -> int:
+    return min(65535, int(math.log(n) * SIZE_SCALE))
 
-def _buckets(spark: SparkSession) -> int:
-    return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+class _Filter:
+    """Which pairs of a list's groups can link, by size and by place; lenient by more than the codes' rounding.
+
+    A shared shingle at places i and j of two sets in one order leaves at most min(i, j) shared
+    shingles before it and min(n - i, m - j) from it on.
+    """
+
+    def __init__(self, code: np.ndarray, place: np.ndarray, percent: int):
+        self.code, self.percent = code.astype(np.int64), percent
+        self.n = np.exp(self.code / SIZE_SCALE)
+        self.before, self.after = self.n * (place + 1.0) / PLACE_SCALE, self.n * (1 - place / PLACE_SCALE)
+        self.slack = math.ceil(SIZE_SCALE * math.log(100 / percent)) + 2
+
+    def __call__(self, k, other) -> np.ndarray:
+        shared = np.minimum(self.before[k], self.before[other]) + 1 + np.minimum(self.after[k], self.after[other])
+        need = self.percent * (self.n[k] + self.n[other]) / (100 + self.percent)
+        return (np.abs(self.code[k] - self.code[other]) <= self.slack) & (shared * 1.002 + 1 >= need * 0.999)
+
+
+def pivots(allowed: _Filter, n: int) -> np.ndarray:
+    """For each group of a list in order of size the group that it is paired with, or itself.
+
+    The list is taken in runs of STAR groups. In a run the first group without a pivot becomes one
+    and takes all that pass its filter; the first pivots of consecutive runs are paired.
+    """
+    lead = np.full(n, -1)
+    for start in range(0, n, STAR):
+        stop = min(n, start + STAR)
+        for k in range(start, stop):
+            if lead[k] < 0:
+                lead[k] = k
+                later = np.arange(k + 1, stop)
+                later = later[lead[k + 1 : stop] < 0]
+                lead[later[allowed(k, later)]] = k
+        if start and lead[start] == start and allowed(start - STAR, start):
+            lead[start] = start - STAR
+    return lead
+
+
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def frequency_classes(docs: DataFrame) -> np.ndarray:
+    """A class from 0 (common or rare, as most) to 255 (most frequent) for each of PLACES counters.
+
+    Every shingle of every document is counted once at the place of its low bits. A place's class
+    follows from how many standard deviations of a mean place's count it exceeds the mean by, so
+    the classes keep their meaning at every size of the corpus. The counters (8 MB) are all that
+    reaches the driver, the classes (1 MB) all that goes back.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = np.zeros(PLACES, np.int64), [], 0
+        for batch in batches:
+            for part in _arrow.slices(batch, "text"):
+                held += list(_sets(part))
+                size += sum(map(len, held[-part.num_rows :]))
+                if size > PLACES:
+                    total += np.bincount((np.concatenate(held) & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+                    held, size = [], 0
+        if size:
+            total += np.bincount((np.concatenate(held) & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+        parts = total.reshape(-1, SLICE)
+        used = np.flatnonzero(parts.any(1))
+        # bytes of the same weight side by side, so that the shuffle's compression finds the zeros
+        planes = [np.ascontiguousarray(parts[k].view(np.uint8).reshape(-1, 8).T).tobytes() for k in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(planes, pa.binary())], ["slice", "planes"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column("slice").to_pylist(), batch.column("planes")):
+                x = np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+                sums[k] = sums[k] + x if k in sums else x
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "planes"])
+
+    schema = "slice int, planes binary"
+    sums = docs.select("text").mapInArrow(tally, schema).repartition(_partitions(docs.sparkSession), "slice").mapInArrow(add, schema).toArrow()
+    total = np.zeros((PLACES // SLICE, SLICE))
+    for k, x in zip(sums.column("slice").to_pylist(), sums.column("planes").to_pylist()):
+        total[k] = np.frombuffer(x, np.int64)
+    above = (total.ravel() - total.mean()) / np.sqrt(total.mean() + 1) / 6
+    return np.where(above > 1, 1 + np.minimum(254, 8 * np.log2(np.maximum(above, 1))), 0).astype(np.uint8)
 
 
 def _packed(keys: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows of bytes, packed into one binary value for each range of 64-bit keys."""
-    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    """Rows of bytes, packed into one binary value for each of the buckets that shingles are dealt to."""
+    bucket = (keys >> np.uint64(20) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)
     order = np.argsort(bucket, kind="stable")
     kinds, first = np.unique(bucket[order], return_index=True)
     ends = np.append(first, len(order)) * rows.shape[1]
@@ -118,161 +225,271 @@ def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndar
         yield np.concatenate(held)
 
 
-def _dealt(packed: DataFrame) -> DataFrame:
-    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket")
-
-
-def heavy_shingles(docs: DataFrame, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of all documents (top 40 bits, sorted) and their frequency ranks.
-
-    Each document counts a shingle once. Shingles in the upper half of the hash range are left
-    out: a prefix reaches them only where nearly all of a document is frequent. Only `most`
-    counts reach the driver.
-    """
-    buckets = _buckets(docs.sparkSession)
+def _lists(base: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
+    """sig, gids, codes, places, leads: each list of several groups once, in order of size, with each group's pivot by its place in the list."""
+    parts = _partitions(base.sparkSession)
+    buckets = max(64, 4 * parts)
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        tokens, tails, size = [], [], 0
 
         def out():
-            x = np.concatenate(held)
-            return _packed(x, x.view(np.uint8).reshape(-1, 8)[:, 3:], buckets)
+            x = np.concatenate(tokens)
+            return _packed(x, np.concatenate([x.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES], np.concatenate(tails)], 1), buckets)
 
         for batch in batches:
             for part in _arrow.slices(batch, "text"):
-                held += [x for u in _sets(part) if len(x := u[: np.searchsorted(u, np.uint64(COUNTED))])]
                 size += part.nbytes
-                if size > FLUSH and held:
+                for u in _sets(part):
+                    if not len(u):
+                        continue
+                    p = prefix(u, classes, percent)
+                    key = group_key(p, len(u))
+                    if key in seen:
+                        continue
+                    seen.add(key)
+                    tail = np.zeros((len(p), 11), np.uint8)
+                    tail[:, :8] = np.frombuffer((key & (1 << 64) - 1).to_bytes(8, "little"), np.uint8)
+                    tail[:, 8:10] = np.frombuffer(size_code(len(u)).to_bytes(2, "little"), np.uint8)
+                    tail[:, 10] = np.minimum(255, np.arange(len(p)) * PLACE_SCALE // len(u))
+                    tokens.append(p)
+                    tails.append(tail)
+                if size > FLUSH and tokens:
                     yield out()
-                    held, size = [], 0
-        if held:
+                    tokens, tails, size = [], [], 0
+                if len(seen) > 500_000:
+                    seen.clear()
+        if tokens:
             yield out()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _unpacked(batches, 5):
-            x = np.zeros((len(rows), 8), np.uint8)
-            x[:, :5] = rows
-            kinds, n = np.unique(x.view(np.uint64).ravel(), return_counts=True)
-            top = np.flatnonzero(n >= HEAVY_FROM)
-            if len(top):
-                yield pa.RecordBatch.from_arrays([pa.array(kinds[top].astype(np.int64)), pa.array(n[top])], ["code", "n"])
-
-    counts = _dealt(docs.select("text").mapInArrow(collect, "bucket int, payload binary")).mapInArrow(count, "code long, n long")
-    top = counts.orderBy(F.desc("n"), "code").limit(most).select("code").toArrow()
-    code, rank = top.column("code").to_numpy().astype(np.uint64), np.arange(len(top), dtype=np.int32)[::-1]
-    order = np.argsort(code)
-    return code[order], rank[order]
-
-
-def _membership(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the bits of pmod(xxhash64(key)) set; a superset of the keys passes it."""
-    bits = ids.select(F.pmod(F.xxhash64("key"), F.lit(1 << MEMBER_BITS)).alias("p"))
-    words = bits.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("x")).collect()  # 2 ** 18 rows at most
-    out = np.zeros(1 << MEMBER_BITS - 6, np.int64)
-    for r in words:
-        out[r["w"]] = r["x"]
-    return out
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for raw in _unpacked(batches, POSTING):
+            token, gid = np.zeros((len(raw), 8), np.uint8), np.ascontiguousarray(raw[:, TOKEN_BYTES : TOKEN_BYTES + 8])
+            token[:, :TOKEN_BYTES] = raw[:, :TOKEN_BYTES]
+            token, gid = token.view(np.uint64).ravel(), gid.view(np.int64).ravel()
+            code = np.ascontiguousarray(raw[:, TOKEN_BYTES + 8 : TOKEN_BYTES + 10]).view(np.uint16).ravel()
+            # most shingles stand in one posting only: leave them before the sort by three keys
+            order = np.argsort(token, kind="stable")
+            t = token[order]
+            same = np.append(t[1:] == t[:-1], False)
+            order = order[same | np.append(False, same[:-1])]
+            order = order[np.lexsort((gid[order], code[order], token[order]))]
+            token, gid, code, place = token[order], gid[order], code[order], raw[order, POSTING - 1]
+            fresh = np.append(True, (token[1:] != token[:-1]) | (gid[1:] != gid[:-1]) | (code[1:] != code[:-1])) if len(token) else np.zeros(0, bool)
+            token, gid, code, place = token[fresh], gid[fresh], code[fresh], place[fresh]
+            first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+            size = np.diff(np.append(first, len(token)))
+            allowed = _Filter(code, place, percent)
+            twos = first[size == 2]
+            hopeless = set(twos[~allowed(twos, twos + 1)].tolist())
+            sig, gids, codes, places, leads = [], [], [], [], []
+            for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
+                if a in hopeless:
+                    continue
+                g = gid[a : a + n]
+                s = _signed(xxhash.xxh3_64_intdigest(g.tobytes()))
+                if s in seen:
+                    continue
+                seen.add(s)
+                sig.append(s)
+                gids.append(g)
+                codes.append(code[a : a + n].astype(np.int32))
+                places.append(place[a : a + n].astype(np.int16))
+                leads.append(np.array([0, 0], np.int32) if n == 2 else pivots(_Filter(code[a : a + n], place[a : a + n], percent), n).astype(np.int32))
+            if sig:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sig, pa.int64()), pa.array(gids, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int16())), pa.array(leads, pa.list_(pa.int32()))],
+                    ["sig", "gids", "codes", "places", "leads"],
+                )
+            if len(seen) > 500_000:
+                seen.clear()
 
+    postings = base.select("text").mapInArrow(post, "bucket int, payload binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    # equal lists of several tasks stand for different shingles; the places of one of them are enough, as each alone bounds the pairs
+    return postings.mapInArrow(lists, "sig long, gids array<long>, codes array<int>, places array<short>, leads array<int>").dropDuplicates(["sig"]).checkpoint()
 
-def bitmap(u: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of shingles that fall on each of BITS places, packed."""
-    return np.packbits(np.bincount((u & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1 != 0)
 
+def _alike(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose sizes (n, m) and bitmaps (x, y) allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            good = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
+            x, y = batch.column("x"), batch.column("y")
+            for k in np.flatnonzero(good).tolist():
+                # intersection <= (n + m - apart) / 2, and it must reach percent * (n + m) / (100 + percent)
+                total = int(n[k] + m[k])
+                good[k] = (total - _apart(x[k].as_py(), y[k].as_py())) * (100 + percent) >= 2 * percent * total
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
-def short(u: np.ndarray) -> bytes:
-    """The upper SET_BYTES bytes of each hash."""
-    return u.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :].tobytes()
+    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _long(raw: bytes) -> np.ndarray:
-    x = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
-    x[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
-    return x.view(np.uint64).ravel()
+def _wanted(base: DataFrame, keys: DataFrame) -> DataFrame:
+    """The texts of the rows with these keys, and perhaps a few more.
+
+    Up to MEMBER_BITS / 16 keys make a bitmap of 16 bits a key that tasks test before a text
+    reaches Python; more keys are a semi-join.
+    """
+    bits = max(1 << 16, 1 << (16 * max(1, keys.count()) - 1).bit_length())
+    if bits > MEMBER_BITS:
+        return base.join(keys, "key", "left_semi").select("text")
+    words = keys.select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("p")).groupBy(F.shiftright("p", 6).alias("w"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("x")).toArrow()  # MEMBER_BITS / 64 rows at most
+    member = np.zeros(bits // 64, np.int64)
+    member[words.column("w").to_numpy()] = words.column("x").to_numpy()
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column("p").to_numpy()
+            yield batch.select(["text"]).filter(pa.array((member[p >> 6] >> (p & 63) & 1) != 0))
 
+    return base.select("text", F.pmod(F.xxhash64("key"), F.lit(bits)).alias("p")).mapInArrow(take, "text string")
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link; sets has sid, n and its shingles.
 
-    Each pair's two sets meet in one task, row after row. Pairs whose sizes forbid a link are
-    dropped before. The list of pairs is broadcast to the sets only if it was counted to have no
-    more than BROADCAST_ROWS sides; otherwise both are shuffled.
+def _verified(pairs: DataFrame, base: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b of nodes that link, by their whole sets, which are built anew from the texts.
+
+    The set of a and those of up to about STAR partners meet in one task, one after another. The
+    rows that tell where a set must go are broadcast only if they were counted to be no more than
+    BROADCAST_ROWS; otherwise both sides are shuffled.
     """
-    sizes = sets.select("sid", "n").distinct()
-    near = pairs.join(sizes.select(F.col("sid").alias("a"), "n"), "a").join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("m")), "b")
-    near = near.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b")
-    sides = near.withColumn("sid", F.explode(F.array("a", "b"))).checkpoint()
-    if sides.count() <= BROADCAST_ROWS:
-        sides = F.broadcast(sides)
-    both = sets.select("sid", "shingles").join(sides, "sid").select("a", "b", "sid", "shingles")
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("k"))
+    dealt = pairs.join(stars, "a").withColumn("s", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
+    to = dealt.select("a", "s", F.col("b").alias("sid"), F.lit(1).alias("role")).union(dealt.select("a", "s", F.col("a").alias("sid"), F.lit(0)).distinct()).checkpoint()
+    few = to.count() <= BROADCAST_ROWS
+    keys = nodes.select("sid", "key").join(to.select("sid").distinct(), "sid").select("key").distinct().checkpoint()
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _arrow.slices(batch, "text"):
+                found = [u for u in _sets(part) if len(u)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(set_id, found), pa.int64()), pa.array([u.tobytes() for u in found], pa.binary())], ["sid", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = (None, None, None, b"")
+        now, pivot = None, None
         for batch in batches:
-            good_a, good_b = [], []
-            for a, b, sid, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sid")), batch.column("shingles")):
-                raw = raw.as_py()
-                if (a, b) == before[:2] and sid != before[2]:
-                    x, y = _long(before[3]), _long(raw)
-                    shared = len(x) + len(y) - len(np.union1d(x, y))
-                    if 100 * shared >= percent * (len(x) + len(y) - shared):
-                        good_a.append(a)
-                        good_b.append(b)
-                before = (a, b, sid, raw)
-            yield pa.RecordBatch.from_arrays([pa.array(good_a, pa.int64()), pa.array(good_b, pa.int64())], ["a", "b"])
-
-    return both.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
-
-
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components in the same list that the bitmaps do not rule out.
-
-    members: sig, sid, comp, n, bits and sigs, all lists the node is in. A list of m nodes is cut
-    into about m / BLOCK blocks. Nodes that share many lists are compared in the one with the
-    least sig (or in several, if a block's nodes are in more than OTHERS other lists).
-    """
-    sizes = members.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("k"))
-    m = members.join(sizes, "sig").withColumn("i", F.pmod(F.xxhash64("sid", "sig"), F.col("k")).cast("int"))
-    m = m.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    m = m.select("sig", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "sid", "comp", "n", "bits", "sigs")
-
-    def run(table: pa.Table) -> pa.Table:
-        sid, comp, n, i = (table.column(c).to_numpy() for c in ("sid", "comp", "n", "i"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(sid), BITS // 64)
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        a, b = [], []
-        lists = table.column("sigs").combine_chunks()
-        edges = lists.offsets.to_numpy()
-        owner, flat = np.repeat(np.arange(len(sid)), np.diff(edges)), lists.values.to_numpy()[edges[0] : edges[-1]]
-        less = flat < table.column("sig")[0].as_py()
-        kinds, place, times = np.unique(flat[less], return_inverse=True, return_counts=True)
-        column = np.cumsum(times > 1) - 1
-        earlier = None
-        if 0 < (times > 1).sum() <= OTHERS:
-            grid = np.zeros((len(sid), int((times > 1).sum())), bool)
-            use = times[place] > 1
-            grid[owner[less][use], column[place[use]]] = True
-            earlier = np.packbits(grid, axis=1)
-        for k in range(len(sid)):
+            left, right = [], []
+            for a, s, sid, role, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "s", "sid", "role")), batch.column("shingles")):
+                if not role:
+                    now, pivot = a, np.frombuffer(raw.as_py(), np.uint64)
+                elif a == now:
+                    u = np.frombuffer(raw.as_py(), np.uint64)
+                    both = np.sort(np.concatenate([pivot, u]))
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= percent * (len(both) - shared):
+                        left.append(a)
+                        right.append(sid)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    sets = _wanted(base, keys).mapInArrow(take, "sid long, shingles binary")
+    met = sets.join(F.broadcast(to) if few else to, "sid").select("a", "s", "sid", "role", "shingles")
+    return met.repartition(_partitions(base.sparkSession), "a", "s").sortWithinPartitions("a", "s", "role").mapInArrow(run, "a long, b long").distinct().checkpoint()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key after another from batches that are sorted by key."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        edge = np.zeros(batch.num_rows, bool)
+        edge[0] = True
+        for c in columns:
+            edge[1:] |= c[1:] != c[:-1]
+        starts = np.append(np.flatnonzero(edge), batch.num_rows)
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            key = tuple(int(c[a]) for c in columns)
+            if key != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _block_pairs(table: pa.Table, percent: int, closest: bool) -> list[tuple[int, int]]:
+    """Pairs of nodes of one block pair: groups are filtered first, then their nodes by component and bitmap."""
+    p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+    gid, sid, comp, n, i = (table.column(c).to_numpy() for c in ("gid", "sid", "comp", "n", "i"))
+    raw = table.column("bits").to_pylist()
+    longs = np.array([len(x) for x in raw])
+    kinds = {}
+    for length in np.unique(longs).tolist():
+        at = np.flatnonzero(longs == length)
+        kinds[length] = at, np.frombuffer(b"".join(raw[k] for k in at.tolist()), np.uint64).reshape(len(at), length // 8)
+    row = np.zeros(len(sid), np.int64)
+    for at, _ in kinds.values():
+        row[at] = np.arange(len(at))
+    _, first, group = np.unique(gid, return_index=True, return_inverse=True)
+    allowed = _Filter(table.column("code").to_numpy()[first], table.column("place").to_numpy()[first], percent)
+    out: list[tuple[int, int]] = []
+    everyone = np.arange(len(first))
+    order = np.argsort(group, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+    for g in range(len(first)):
+        passes = allowed(g, everyone)[group]
+        for k in order[ends[g] : ends[g + 1]].tolist():
             # within one block each pair once; between two blocks from the first to the second
             if p != q and i[k] != p:
                 continue
-            low, high = np.minimum(n[k], n), np.maximum(n[k], n)
-            at = np.flatnonzero((comp != comp[k]) & (low * 100 >= high * percent) & ((sid > sid[k]) if p == q else (i == q)))
-            if len(at):
-                apart = np.bitwise_count(bits[at] ^ bits[k]).sum(1, dtype=np.int64)
-                total = n[at] + n[k]
-                # intersection <= (total - apart) / 2, and it must reach percent * total / (100 + percent)
-                at = at[(total - apart) * (100 + percent) >= 2 * percent * total]
-                if earlier is not None and len(at):
-                    at = at[~(earlier[at] & earlier[k]).any(1)]
-                a += [sid[k]] * len(at)
-                b += sid[at].tolist()
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return m.groupBy("sig", "p", "q").applyInArrow(run, "a long, b long").distinct()
+            at = np.flatnonzero(passes & (comp != comp[k]) & (np.minimum(n[k], n) * 100 >= np.maximum(n[k], n) * percent) & ((sid > sid[k]) if p == q else (i == q)))
+            if not len(at):
+                continue
+            margin = np.zeros(len(at), np.int64)
+            for length in np.unique(longs[at]).tolist():
+                here = longs[at] == length
+                x, y = kinds[longs[k]][1][row[k]], kinds[length][1][row[at[here]]]
+                while x.shape[-1] > y.shape[-1]:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while y.shape[-1] > x.shape[-1]:
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                total = n[at[here]] + n[k]
+                margin[here] = (total - np.bitwise_count(y ^ x).sum(1, dtype=np.int64)) * (100 + percent) - 2 * percent * total
+            at, margin = at[margin >= 0], margin[margin >= 0]
+            if closest and len(at) > 1:
+                at = at[np.lexsort((sid[at], -margin))]
+                at = at[np.unique(comp[at], return_index=True)[1]]
+            out += [(min(x, sid[k]), max(x, sid[k])) for x in sid[at].tolist()]
+    return out
+
+
+def _across(members: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Pairs of nodes of different components of the same list that no filter rules out; with `closest` for each node and other component of a block the closest one.
+
+    members: sig, gid, code, place, sid, n, bits, comp. The nodes of a list's largest component are dealt
+    to blocks of about BLOCK and meet only the nodes outside it; those are few where a list is long,
+    and are dealt to blocks that meet each other too.
+    """
+    sizes = members.groupBy("sig", "comp").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"))
+    blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    sizes = sizes.select("sig", F.col("top.comp").alias("top"), blocks(F.col("m") - F.col("top.c")).alias("others"), blocks(F.col("top.c")).alias("tops")).filter("others > 0")
+    m = members.join(sizes, "sig").withColumn("h", F.xxhash64("sid", "sig"))
+    m = m.withColumn("i", F.when(F.col("comp") == F.col("top"), F.col("others") + F.pmod("h", F.col("tops"))).otherwise(F.pmod("h", F.col("others"))).cast("int"))
+    m = m.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(F.col("comp") == F.col("top"), F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1)))
+    m = m.select("sig", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "gid", "code", "place", "sid", "comp", "n", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+
+        def out():
+            x = np.array(sorted(found), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+        for table in _runs(batches, ("sig", "p", "q")):
+            found.update(_block_pairs(table, percent, closest))
+            if len(found) > 200_000:
+                yield out()
+                found.clear()
+        yield out()
+
+    return m.repartition(_partitions(members.sparkSession), "sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", by_row: bool = False) -> DataFrame:
@@ -290,111 +507,51 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
     if by_row:
         base = base.withColumn("text_hash", F.xxhash64("text"))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    heavy, rank = heavy_shingles(base)
-    buckets = _buckets(spark)
+    classes = frequency_classes(base)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _arrow.slices(batch, "text"):
-                n, sid, gid = [], [], []
+                n, sid, gid, bits = [], [], [], []
                 for u in _sets(part):
                     n.append(len(u))
                     sid.append(set_id(u) if len(u) else None)
-                    gid.append(group_id(prefix(u, heavy, rank, percent), len(u)) if len(u) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(gid, pa.int64()), *map(part.column, further)], ["doc_id", "key", "n", "sid", "gid", *further])
-
-    rows = base.mapInArrow(describe, "doc_id long, key long, n long, sid long, gid long" + "".join(f", {c} long" for c in further)).checkpoint()
-    nodes = rows.filter("sid is not null").groupBy("sid").agg(F.min("gid").alias("gid"), F.min("n").alias("n"), F.min("key").alias("key"), F.min("doc_id").alias("least"), *([F.min(row).alias("first")] if by_row else [])).checkpoint()
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        keys, groups, size = [], [], 0
-
-        def out():
-            x = np.concatenate(keys)
-            rows = np.concatenate([x.view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN_BYTES :], np.concatenate(groups).view(np.uint8).reshape(-1, 8)[:, :GROUP_BYTES]], 1)
-            return _packed(x, rows, buckets)
-
-        for batch in batches:
-            for part in _arrow.slices(batch, "text"):
-                size += part.nbytes
-                for u in _sets(part):
-                    if not len(u):
-                        continue
-                    p = prefix(u, heavy, rank, percent)
-                    g = group_id(p, len(u))
-                    if g not in seen:
-                        seen.add(g)
-                        keys.append(p)
-                        groups.append(np.full(len(p), g, np.uint64))
-                if size > FLUSH and keys:
-                    yield out()
-                    keys, groups, size = [], [], 0
-                if len(seen) > 1_000_000:
-                    seen.clear()
-        if keys:
-            yield out()
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for raw in _unpacked(batches, TOKEN_BYTES + GROUP_BYTES):
-            wide = np.zeros((len(raw), 16), np.uint8)
-            wide[:, :TOKEN_BYTES], wide[:, 8 : 8 + GROUP_BYTES] = raw[:, :TOKEN_BYTES], raw[:, TOKEN_BYTES:]
-            x = wide.view(np.uint64)
-            x = x[np.lexsort((x[:, 1], x[:, 0]))]
-            fresh = np.append(True, (x[1:] != x[:-1]).any(1))
-            x = x[fresh]
-            first = np.flatnonzero(np.append(True, x[1:, 0] != x[:-1, 0]))
-            size = np.diff(np.append(first, len(x)))
-            sig, members = [], []
-            for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
-                g = np.ascontiguousarray(x[a : a + n, 1])
-                s = _signed(xxhash.xxh3_64_intdigest(g.tobytes()))
-                if s not in seen:
-                    seen.add(s)
-                    sig.append(s)
-                    members.append(g.view(np.int64))
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(members, pa.list_(pa.int64()))], ["sig", "members"])
-            if len(seen) > 1_000_000:
-                seen.clear()
-
-    postings = _dealt(base.select("text").mapInArrow(post, "bucket int, payload binary"))
-    # the same list can come from several tasks: its members are then equal, and distinct() below drops them
-    listed = postings.mapInArrow(lists, "sig long, members array<long>").select("sig", F.explode("members").alias("gid")).distinct()
-    several = nodes.groupBy("gid").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("gid").alias("sig"), "gid")
-    members = listed.union(several).join(nodes.select("gid", "sid", "key", "n"), "gid").select("sig", "sid", "key", "n").checkpoint()
-
-    member = _membership(members.select("key").distinct())
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column("p").to_numpy()
-            batch = batch.filter(pa.array((member[p >> 6] >> (p & 63) & 1) != 0))
-            for part in _arrow.slices(batch, "text"):
-                found = [u for u in _sets(part)]
-                good = [k for k, u in enumerate(found) if len(u)]
+                    gid.append(_group(group_key(prefix(u, classes, percent), len(u))) if len(u) else None)
+                    bits.append(bitmap(u) if len(u) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_id(found[k]) for k in good], pa.int64()), pa.array([len(found[k]) for k in good], pa.int64()), pa.array([short(found[k]) for k in good], pa.binary()), pa.array([bitmap(found[k]).tobytes() for k in good], pa.binary())],
-                    ["sid", "n", "shingles", "bits"],
+                    [part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(gid, pa.int64()), pa.array(bits, pa.binary()), *map(part.column, further)],
+                    ["doc_id", "key", "n", "sid", "gid", "bits", *further],
                 )
 
-    scanned = base.select("key", "text", F.pmod(F.xxhash64("key"), F.lit(1 << MEMBER_BITS)).alias("p")).mapInArrow(take, "sid long, n long, shingles binary, bits binary")
-    # a few sets more than wanted, and repeated rows' sets twice: neither changes which pairs link
-    sets = scanned.checkpoint()
-
-    pivots = members.groupBy("sig").agg(F.min("sid").alias("a"))
-    pairs = members.join(pivots, "sig").select("a", F.col("sid").alias("b")).filter("a <> b").distinct()
-    links = _verified(pairs, sets, percent).checkpoint()
+    rows = base.mapInArrow(describe, "doc_id long, key long, n long, sid long, gid long, bits binary" + "".join(f", {c} long" for c in further)).checkpoint()
+    per_set = [F.min(c).alias(c) for c in ("gid", "n", "key", "bits")] + [F.min("doc_id").alias("least"), *([F.min(row).alias("first")] if by_row else [])]
+    nodes = rows.filter("sid is not null").groupBy("sid").agg(*per_set).checkpoint()
+
+    lists = _lists(base, classes, percent)
+    several = nodes.groupBy("gid").agg(F.count("*").alias("k"), F.min("sid").alias("head")).checkpoint()
+
+    # pairs of groups, expanded to the first node of the pivot group and all nodes of the other one
+    entries = lists.select("gids", "leads", F.posexplode("leads").alias("at", "lead")).filter("lead <> at")
+    groups = entries.select(F.expr("gids[lead]").alias("one"), F.expr("gids[at]").alias("gid")).distinct()
+    groups = groups.union(several.filter("k > 1").select("gid", "gid"))
+    heads = several.join(nodes.select(F.col("sid").alias("head"), "n", F.col("bits").alias("x")), "head").select(F.col("gid").alias("one"), F.col("head").alias("a"), "n", "x")
+    pairs = groups.join(heads, "one").join(nodes.select("gid", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "gid").filter("a <> b")
+    tested = _alike(pairs, percent).distinct().checkpoint()
+    links = _verified(tested, base, nodes, percent)
+
+    listed = lists.filter(F.size("gids") > 2).select("sig", F.posexplode("gids").alias("at", "gid"), "codes", "places")
+    listed = listed.select("sig", "gid", F.expr("codes[at]").alias("code"), F.expr("places[at]").cast("int").alias("place"))
+    listed = listed.union(several.filter("k > 2").select("gid", "gid", F.lit(0), F.lit(0)))
+    for closest in (True, False):
+        comp = components(links)
+        placed = nodes.select("sid", "gid").join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "gid", F.coalesce("root", "sid").alias("comp"))
+        members = listed.join(placed, "gid")
+        mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
+        members = members.join(mixed, "sig", "left_semi").join(nodes.select("sid", "n", "bits"), "sid")
+        more = _across(members, percent, closest).join(tested, ["a", "b"], "left_anti").checkpoint()
+        links = links.union(_verified(more, base, nodes, percent)).checkpoint()
+        tested = tested.union(more)
     comp = components(links)
-    placed = members.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid"))
-    mixed = placed.groupBy("sig").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("k > 2 and lo <> hi").select("sig")
-    open_ = placed.join(mixed, "sig", "left_semi").select("sig", "sid", "comp", "n")
-    # a node is in no more lists than its prefix has shingles
-    known = open_.groupBy("sid").agg(F.array_sort(F.collect_list("sig")).alias("sigs")).join(sets.select("sid", "bits").dropDuplicates(["sid"]), "sid")
-    across = _across(open_.join(known, "sid"), percent)
-    more = _verified(across, sets, percent)
-    comp = components(links.union(more))
 
     full = nodes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = full.groupBy("root").agg(F.min("least").alias("component_id"), *([F.min("first").alias("stands")] if by_row else []))
