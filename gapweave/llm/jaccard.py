@@ -10,15 +10,16 @@ document's set holds its distinct shingles of WIDTH words (64-bit hashes). Sets
    (`frequency_classes`); any order at all gives whole results.
 2. Nodes with the same prefix and size are one group. Postings (shingle, group, size, place in
    the prefix) travel packed; the groups that share a prefix shingle make a list.
-3. Within a list, pairs of groups are filtered by size and by place. Each group is paired with
-   one pivot group that passes; such pairs are expanded to nodes, filtered by parity bitmaps
-   (their distance bounds the intersection from above) and verified on whole sets. The links
-   are merged to components.
-4. Only lists that still hold several components go on. Their group pairs are filtered in blocks,
-   the rest expanded to pairs of nodes of different components, filtered by bitmaps and verified:
-   first each node with the closest one of every other component, then, in the lists that are
-   still open, all pairs left. So links between components are all found, and a group of near
-   copies is merged without its pairs being listed.
+3. Within a list, pairs of groups are filtered by size and by place, and groups that no other
+   one passes with leave the list. In a list of up to SMALL groups all pairs that pass are taken,
+   in a longer one each group is paired with one pivot group that it passes with. Such pairs are
+   expanded to nodes, filtered by parity bitmaps (their distance bounds the intersection from
+   above) and verified on whole sets. The links are merged to components.
+4. Only longer lists, and lists with groups of several nodes, that still hold several components go on. Their group pairs are filtered in
+   blocks, the rest expanded to pairs of nodes of different components, filtered by bitmaps and
+   verified: first each node with the closest one of every other component, then, in the lists
+   that are still open, all pairs left. So links between components are all found, and a group of
+   near copies is merged without its pairs being listed.
 
 Memory: a task holds one bucket of postings (17 bytes each), one block pair, or one pivot's set
 and the set that is compared with it.
@@ -45,12 +46,12 @@ from .components import components
 
 WIDTH, PERCENT = 5, 80
 PLACES, SLICE = 1 << 20, 1 << 14  # frequency counters, and those of them that travel in one row
+SMALL = 16  # groups of a list whose pairs are all taken if they pass the filters
 STAR = 256  # groups that one pivot of a list, or one task row of verification, takes
 BLOCK = 2048
 SIZE_SCALE, PLACE_SCALE = 2048, 256  # steps of a size's logarithm, and of a place as a share of the size
-MOST_BITS = 1 << 17  # of a bitmap; shorter texts have two bits a shingle
-BROADCAST_ROWS = 200_000  # rows of 28 bytes
-MEMBER_BITS = 1 << 27  # largest filter of document keys that is sent to tasks: 16 MB
+MOST_BITS = 1 << 17  # of a bitmap; smaller sets have a bit or two for each shingle
+BROADCAST_ROWS = 200_000  # rows of up to 28 bytes
 TOKEN_BYTES = 6  # of a shingle's hash in a posting; fewer bits only add candidates
 POSTING = TOKEN_BYTES + 8 + 2 + 1
 FLUSH = 16 << 20  # bytes of text between two flushes of a task's buckets
@@ -94,8 +95,8 @@ def prefix(u: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> np.nda
 
 
 def bitmap(u: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles that fall on each place; about two places a shingle."""
-    size = min(MOST_BITS, max(64, 1 << (2 * len(u) - 1).bit_length()))
+    """Parities of the numbers of shingles that fall on each place."""
+    size = min(MOST_BITS, max(64, 1 << (len(u) - 1).bit_length()))
     return np.packbits(np.bincount((u >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1 != 0).tobytes()
 
 
@@ -152,6 +153,34 @@ def pivots(allowed: _Filter, n: int) -> np.ndarray:
     return lead
 
 
+def partnered(allowed: _Filter, n: int) -> np.ndarray:
+    """Which groups of a list in order of size pass the filter with any other one; neighbours are tried first."""
+    every = np.arange(n)
+    out = np.zeros(n, bool)
+    for step in (1, 2, 4):
+        if n > step:
+            good = allowed(every[:-step], every[step:])
+            out[:-step] |= good
+            out[step:] |= good
+    for k in np.flatnonzero(~out).tolist():
+        lo, hi = np.searchsorted(allowed.code, (allowed.code[k] - allowed.slack, allowed.code[k] + allowed.slack + 1))
+        near = np.delete(every[lo:hi], k - lo)
+        good = near[allowed(k, near)]
+        out[good] = True
+        out[k] = len(good) > 0
+    return out
+
+
+def group_pairs(allowed: _Filter, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a list's groups that are taken at once, by places in the list."""
+    if n <= SMALL:
+        one, other = np.triu_indices(n, 1)
+        good = allowed(one, other)
+        return one[good], other[good]
+    lead, every = pivots(allowed, n), np.arange(n)
+    return lead[lead != every], every[lead != every]
+
+
 def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -226,7 +255,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndar
 
 
 def _lists(base: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
-    """sig, gids, codes, places, leads: each list of several groups once, in order of size, with each group's pivot by its place in the list."""
+    """sig, gids, codes, places, ones, others: each list of groups that can link once, in order of size, with the pairs to take by places in it."""
     parts = _partitions(base.sparkSession)
     buckets = max(64, 4 * parts)
 
@@ -263,6 +292,9 @@ def _lists(base: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
         if tokens:
             yield out()
 
+    ints = pa.list_(pa.int32())
+    kinds = (pa.int64(), pa.list_(pa.int64()), ints, pa.list_(pa.int16()), ints, ints)
+
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for raw in _unpacked(batches, POSTING):
@@ -284,31 +316,27 @@ def _lists(base: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
             allowed = _Filter(code, place, percent)
             twos = first[size == 2]
             hopeless = set(twos[~allowed(twos, twos + 1)].tolist())
-            sig, gids, codes, places, leads = [], [], [], [], []
+            rows = []
             for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
                 if a in hopeless:
                     continue
-                g = gid[a : a + n]
-                s = _signed(xxhash.xxh3_64_intdigest(g.tobytes()))
+                s = xxhash.xxh3_64_intdigest(gid[a : a + n].tobytes())
                 if s in seen:
                     continue
                 seen.add(s)
-                sig.append(s)
-                gids.append(g)
-                codes.append(code[a : a + n].astype(np.int32))
-                places.append(place[a : a + n].astype(np.int16))
-                leads.append(np.array([0, 0], np.int32) if n == 2 else pivots(_Filter(code[a : a + n], place[a : a + n], percent), n).astype(np.int32))
-            if sig:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig, pa.int64()), pa.array(gids, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int16())), pa.array(leads, pa.list_(pa.int32()))],
-                    ["sig", "gids", "codes", "places", "leads"],
-                )
+                take = np.arange(a, a + n)
+                take = take[partnered(_Filter(code[take], place[take], percent), n)]
+                if len(take):
+                    one, other = group_pairs(_Filter(code[take], place[take], percent), len(take))
+                    rows.append((_signed(s), gid[take], code[take].astype(np.int32), place[take].astype(np.int16), one.astype(np.int32), other.astype(np.int32)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["sig", "gids", "codes", "places", "ones", "others"])
             if len(seen) > 500_000:
                 seen.clear()
 
     postings = base.select("text").mapInArrow(post, "bucket int, payload binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     # equal lists of several tasks stand for different shingles; the places of one of them are enough, as each alone bounds the pairs
-    return postings.mapInArrow(lists, "sig long, gids array<long>, codes array<int>, places array<short>, leads array<int>").dropDuplicates(["sig"]).checkpoint()
+    return postings.mapInArrow(lists, "sig long, gids array<long>, codes array<int>, places array<short>, ones array<int>, others array<int>").dropDuplicates(["sig"]).checkpoint()
 
 
 def _alike(pairs: DataFrame, percent: int) -> DataFrame:
@@ -328,40 +356,18 @@ def _alike(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _wanted(base: DataFrame, keys: DataFrame) -> DataFrame:
-    """The texts of the rows with these keys, and perhaps a few more.
-
-    Up to MEMBER_BITS / 16 keys make a bitmap of 16 bits a key that tasks test before a text
-    reaches Python; more keys are a semi-join.
-    """
-    bits = max(1 << 16, 1 << (16 * max(1, keys.count()) - 1).bit_length())
-    if bits > MEMBER_BITS:
-        return base.join(keys, "key", "left_semi").select("text")
-    words = keys.select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("p")).groupBy(F.shiftright("p", 6).alias("w"))
-    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("x")).toArrow()  # MEMBER_BITS / 64 rows at most
-    member = np.zeros(bits // 64, np.int64)
-    member[words.column("w").to_numpy()] = words.column("x").to_numpy()
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column("p").to_numpy()
-            yield batch.select(["text"]).filter(pa.array((member[p >> 6] >> (p & 63) & 1) != 0))
-
-    return base.select("text", F.pmod(F.xxhash64("key"), F.lit(bits)).alias("p")).mapInArrow(take, "text string")
-
-
 def _verified(pairs: DataFrame, base: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b of nodes that link, by their whole sets, which are built anew from the texts.
 
-    The set of a and those of up to about STAR partners meet in one task, one after another. The
-    rows that tell where a set must go are broadcast only if they were counted to be no more than
-    BROADCAST_ROWS; otherwise both sides are shuffled.
+    The set of a and those of up to about STAR partners meet in one task, one after another. Texts
+    outside the pairs do not reach Python. The rows that tell where a set must go are broadcast only
+    if they were counted to be no more than BROADCAST_ROWS; otherwise both sides are shuffled.
     """
     stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("k"))
     dealt = pairs.join(stars, "a").withColumn("s", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
     to = dealt.select("a", "s", F.col("b").alias("sid"), F.lit(1).alias("role")).union(dealt.select("a", "s", F.col("a").alias("sid"), F.lit(0)).distinct()).checkpoint()
-    few = to.count() <= BROADCAST_ROWS
-    keys = nodes.select("sid", "key").join(to.select("sid").distinct(), "sid").select("key").distinct().checkpoint()
+    sent = F.broadcast if to.count() <= BROADCAST_ROWS else (lambda df: df)  # keys are no more than rows
+    keys = nodes.select("sid", "key").join(to.select("sid").distinct(), "sid").select("key").distinct()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,8 +391,8 @@ def _verified(pairs: DataFrame, base: DataFrame, nodes: DataFrame, percent: int)
                         right.append(sid)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    sets = _wanted(base, keys).mapInArrow(take, "sid long, shingles binary")
-    met = sets.join(F.broadcast(to) if few else to, "sid").select("a", "s", "sid", "role", "shingles")
+    sets = base.join(sent(keys), "key", "left_semi").select("text").mapInArrow(take, "sid long, shingles binary")
+    met = sets.join(sent(to), "sid").select("a", "s", "sid", "role", "shingles")
     return met.repartition(_partitions(base.sparkSession), "a", "s").sortWithinPartitions("a", "s", "role").mapInArrow(run, "a long, b long").distinct().checkpoint()
 
 
@@ -531,15 +537,18 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
     several = nodes.groupBy("gid").agg(F.count("*").alias("k"), F.min("sid").alias("head")).checkpoint()
 
     # pairs of groups, expanded to the first node of the pivot group and all nodes of the other one
-    entries = lists.select("gids", "leads", F.posexplode("leads").alias("at", "lead")).filter("lead <> at")
-    groups = entries.select(F.expr("gids[lead]").alias("one"), F.expr("gids[at]").alias("gid")).distinct()
+    entries = lists.select("gids", F.explode(F.arrays_zip("ones", "others")).alias("p"))
+    groups = entries.select(F.expr("gids[p.ones]").alias("one"), F.expr("gids[p.others]").alias("gid")).distinct()
     groups = groups.union(several.filter("k > 1").select("gid", "gid"))
     heads = several.join(nodes.select(F.col("sid").alias("head"), "n", F.col("bits").alias("x")), "head").select(F.col("gid").alias("one"), F.col("head").alias("a"), "n", "x")
     pairs = groups.join(heads, "one").join(nodes.select("gid", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "gid").filter("a <> b")
     tested = _alike(pairs, percent).distinct().checkpoint()
     links = _verified(tested, base, nodes, percent)
 
-    listed = lists.filter(F.size("gids") > 2).select("sig", F.posexplode("gids").alias("at", "gid"), "codes", "places")
+    # lists whose pairs of nodes are not all tested yet: long ones, and those with a group of several nodes
+    whole = lists.filter(F.size("gids") <= SMALL).select("sig", F.explode("gids").alias("gid")).join(several.filter("k > 1"), "gid").select("sig")
+    whole = whole.union(lists.filter(F.size("gids") > SMALL).select("sig")).distinct()
+    listed = lists.join(whole, "sig", "left_semi").select("sig", F.posexplode("gids").alias("at", "gid"), "codes", "places")
     listed = listed.select("sig", "gid", F.expr("codes[at]").alias("code"), F.expr("places[at]").cast("int").alias("place"))
     listed = listed.union(several.filter("k > 2").select("gid", "gid", F.lit(0), F.lit(0)))
     for closest in (True, False):

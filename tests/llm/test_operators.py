@@ -241,7 +241,7 @@ def test_replay_keeps_one_row_of_each_text_with_and_without_ids(spark, docs, row
 # ---- 6 n-gram Jaccard join ------------------------------------------------------------------
 
 
-def brute(rows):
+def brute(rows, percent=80):
     sets = [shingles(t) for _, t, *_ in rows]
     parent = list(range(len(rows)))
 
@@ -253,7 +253,7 @@ def brute(rows):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 parent[find(a)] = find(b)
     least = {}
     for k, (i, *_) in enumerate(rows):
@@ -292,6 +292,26 @@ def test_join_compares_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("small", [16, 2])
+def test_join_of_groups_with_several_nodes(spark, monkeypatch, small):
+    # short sets: prefixes of a few shingles, so that many nodes share one
+    for name, value in (("SMALL", small), ("STAR", 3), ("BLOCK", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(90):
+        w = [f"b{k % 3}w{i}" for i in range(14 + k % 4)]
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(len(w)))] = f"x{int(rng.integers(4))}"
+        if rng.random() < 0.3:
+            w = w[int(rng.integers(3)) :]
+        rows.append((k, " ".join(w), "en", "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for percent in (80, 50):
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(df, percent).collect()), key=str)
+        assert got == brute(rows, percent)
+
+
 def test_components_of_long_chains(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7), (None, 3), (100, 101)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
