@@ -47,7 +47,7 @@ from .components import components
 WIDTH, PERCENT = 5, 80
 PLACES, SLICE = 1 << 20, 1 << 14  # frequency counters, and those of them that travel in one row
 SMALL = 16  # groups of a list whose pairs are all taken if they pass the filters
-STAR = 256  # groups that one pivot of a list, or one task row of verification, takes
+STAR = 256  # groups of a list that one pivot can take
 BLOCK = 2048
 SIZE_SCALE, PLACE_SCALE = 2048, 256  # steps of a size's logarithm, and of a place as a share of the size
 MOST_BITS = 1 << 17  # of a bitmap; smaller sets have a bit or two for each shingle
@@ -91,7 +91,7 @@ def prefix(u: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> np.nda
     """The first shingles of a sorted set in the global order, in that order."""
     size = len(u) - -(-percent * len(u) // 100) + 1
     c = classes[(u & np.uint64(PLACES - 1)).astype(np.int64)]
-    return u[np.argsort(c, kind="stable")[:size]] if c.any() else u[:size]
+    return u[np.argsort(c, kind="stable")[:size]]
 
 
 def bitmap(u: np.ndarray) -> bytes:
@@ -186,12 +186,13 @@ def _partitions(spark: SparkSession) -> int:
 
 
 def frequency_classes(docs: DataFrame) -> np.ndarray:
-    """A class from 0 (common or rare, as most) to 255 (most frequent) for each of PLACES counters.
+    """A class from 0 (least) to 255 (most frequent) for each of PLACES counters.
 
     Every shingle of every document is counted once at the place of its low bits. A place's class
-    follows from how many standard deviations of a mean place's count it exceeds the mean by, so
-    the classes keep their meaning at every size of the corpus. The counters (8 MB) are all that
-    reaches the driver, the classes (1 MB) all that goes back.
+    follows from how many standard deviations of a mean place's count it lies above the mean (in
+    eighths up to 10, by the logarithm beyond), so the classes keep their meaning at every size of
+    the corpus. The counters (8 MB) are all that reaches the driver, the classes (1 MB) all that
+    goes back.
     """
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +223,12 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
 
     schema = "slice int, planes binary"
     sums = docs.select("text").mapInArrow(tally, schema).repartition(_partitions(docs.sparkSession), "slice").mapInArrow(add, schema).toArrow()
-    total = np.zeros((PLACES // SLICE, SLICE))
+    total = np.zeros((PLACES // SLICE, SLICE), np.float32)
     for k, x in zip(sums.column("slice").to_pylist(), sums.column("planes").to_pylist()):
         total[k] = np.frombuffer(x, np.int64)
-    above = (total.ravel() - total.mean()) / np.sqrt(total.mean() + 1) / 6
-    return np.where(above > 1, 1 + np.minimum(254, 8 * np.log2(np.maximum(above, 1))), 0).astype(np.uint8)
+    mean = total.mean(dtype=np.float64)
+    above = (total.ravel() - np.float32(mean)) / np.float32(np.sqrt(mean + 1))
+    return np.clip(np.where(above < 10, 40 + 8 * above, 120 + 8 * np.log2(np.maximum(above, 10) / 10)), 0, 255).astype(np.uint8)
 
 
 def _packed(keys: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -359,15 +361,13 @@ def _alike(pairs: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, base: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b of nodes that link, by their whole sets, which are built anew from the texts.
 
-    The set of a and those of up to about STAR partners meet in one task, one after another. Texts
-    outside the pairs do not reach Python. The rows that tell where a set must go are broadcast only
-    if they were counted to be no more than BROADCAST_ROWS; otherwise both sides are shuffled.
+    The set of a and those of its partners meet in one task, one after another. Texts outside the
+    pairs do not reach Python. The rows that tell where a set must go are broadcast only if they were
+    counted to be no more than BROADCAST_ROWS; otherwise both sides are shuffled.
     """
-    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("k"))
-    dealt = pairs.join(stars, "a").withColumn("s", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
-    to = dealt.select("a", "s", F.col("b").alias("sid"), F.lit(1).alias("role")).union(dealt.select("a", "s", F.col("a").alias("sid"), F.lit(0)).distinct()).checkpoint()
-    sent = F.broadcast if to.count() <= BROADCAST_ROWS else (lambda df: df)  # keys are no more than rows
-    keys = nodes.select("sid", "key").join(to.select("sid").distinct(), "sid").select("key").distinct()
+    to = pairs.select("a", F.col("b").alias("sid"), F.lit(1).alias("role")).union(pairs.select("a", F.col("a").alias("sid"), F.lit(0)).distinct())
+    sent = F.broadcast if 2 * pairs.count() <= BROADCAST_ROWS else (lambda df: df)
+    keys = nodes.select("sid", "key").join(sent(to.select("sid").distinct()), "sid", "left_semi").select("key").distinct()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,7 +379,7 @@ def _verified(pairs: DataFrame, base: DataFrame, nodes: DataFrame, percent: int)
         now, pivot = None, None
         for batch in batches:
             left, right = [], []
-            for a, s, sid, role, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "s", "sid", "role")), batch.column("shingles")):
+            for a, sid, role, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "sid", "role")), batch.column("shingles")):
                 if not role:
                     now, pivot = a, np.frombuffer(raw.as_py(), np.uint64)
                 elif a == now:
@@ -392,8 +392,8 @@ def _verified(pairs: DataFrame, base: DataFrame, nodes: DataFrame, percent: int)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     sets = base.join(sent(keys), "key", "left_semi").select("text").mapInArrow(take, "sid long, shingles binary")
-    met = sets.join(sent(to), "sid").select("a", "s", "sid", "role", "shingles")
-    return met.repartition(_partitions(base.sparkSession), "a", "s").sortWithinPartitions("a", "s", "role").mapInArrow(run, "a long, b long").distinct().checkpoint()
+    met = sets.join(sent(to), "sid").select("a", "sid", "role", "shingles")
+    return met.repartition(_partitions(base.sparkSession), "a").sortWithinPartitions("a", "role").mapInArrow(run, "a long, b long").checkpoint()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -558,7 +558,7 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
         mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
         members = members.join(mixed, "sig", "left_semi").join(nodes.select("sid", "n", "bits"), "sid")
         more = _across(members, percent, closest).join(tested, ["a", "b"], "left_anti").checkpoint()
-        links = links.union(_verified(more, base, nodes, percent)).checkpoint()
+        links = links.union(_verified(more, base, nodes, percent))
         tested = tested.union(more)
     comp = components(links)
 
