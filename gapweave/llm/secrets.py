@@ -2,7 +2,8 @@
 
 Candidates are runs of 16 or more characters of the alphabets credentials use, with a digit and a
 letter, runs of 8 or more right behind an assignment, quoted values of 8 or more bytes behind one up
-to the closing quote on the line, and PEM private-key headers. `=` belongs to a run only as padding
+to the closing quote on the line, and PEM private keys from their BEGIN to their END line (without
+one, as far as lines of base64 or headers go on). `=` belongs to a run only as padding
 at its end; elsewhere it parts a name from a value. Findings do not overlap: a quoted value gives
 way to runs in it when they are secrets and it is none. The forest
 judges each by its length, the transitions between its characters' classes, how much of it a
@@ -32,6 +33,7 @@ from . import _arrow, _tokens
 
 TREES, DEPTH, LEAF, SEED = 40, 10, 2, 5
 THRESHOLD = 0.5
+KINDS = ("hex", "mixed", "cloud", "forge", "payment", "base64", "signed", "short", "pem")  # of credentials in labelled_findings
 CONTEXT = 48  # bytes before and after a candidate
 LONG, ASSIGNED = 16, 8
 
@@ -48,7 +50,7 @@ _ALPHA = np.zeros(256, bool)
 _ALPHA[65:91] = _ALPHA[97:123] = True
 _KINDS = np.full(256, 3)
 _KINDS[97:123], _KINDS[65:91], _KINDS[48:58] = 0, 1, 2
-_PEM = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[^-]|-(?!----END |----BEGIN ))*-----END \1PRIVATE KEY(?: BLOCK)?-----|(?:\s+[A-Za-z0-9+/=]{16,}(?![^\s])|\s+[A-Z][A-Za-z-]+: [^\r\n]+)*)")
 _ASSIGN = re.compile(rb"[A-Za-z_][A-Za-z0-9_]*[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?$")
 _WORD = re.compile(r"[a-z0-9_]+")
 
@@ -114,11 +116,13 @@ def candidates(buf: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
         if out and out[-1][0] == doc and s < out[-1][2]:
             continue
         out.append((doc, s, e))
-    if b"PRIVATE KEY-----" in raw:
-        for m in _PEM.finditer(raw):
-            doc = int(np.searchsorted(at, m.start(), "right")) - 1
-            if m.end() <= at[doc + 1]:
-                out = [x for x in out if not (m.start() <= x[1] < m.end())] + [(doc, m.start(), m.end())]
+    if b"PRIVATE KEY" in raw:
+        keys = []
+        for doc in np.unique([np.searchsorted(at, m.start(), "right") - 1 for m in re.finditer(b"PRIVATE KEY", raw)]).tolist():
+            keys += [(doc, m.start(), m.end()) for m in _PEM.finditer(raw, int(at[doc]), int(at[doc + 1]))]
+        starts = [s for _, s, _ in keys]
+        covered = lambda x: (i := bisect.bisect(starts, x[1])) > 0 and x[1] < keys[i - 1][2]
+        out = [x for x in out if not covered(x)] + keys
     return sorted({*out, *quoted(buf, at, raw)})
 
 
@@ -241,11 +245,12 @@ def train(findings: list[tuple[str, str, str, str, int]], words: frozenset[str]
     return Forest([grow(x[pick], y[pick], rng) for pick in (rng.integers(0, len(y), len(y)) for _ in range(trees))])
 
 
-def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
+def labelled_findings(n: int = 3000, seed: int = SEED, without: tuple[str, ...] = ()) -> list[tuple[str, str, str, str, int]]:
     """Labelled findings made by rule: issued-looking credentials against look-alikes, half each.
 
     They stand in where no audited findings are at hand. Look-alikes are commit hashes, checksums,
     identifiers, paths, placeholders, encoded data and long words, some behind credential cues.
+    `without` names kinds of credential (KINDS) to leave out, for tests on kinds never seen.
     """
     rng = np.random.default_rng(seed)
     pick = lambda *c: c[rng.integers(len(c))]
@@ -259,7 +264,18 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, s
         path = pick("src/app.py", "config/prod.env", "docs/readme.md", "tests/test_api.py", f"src{rng.integers(20)}", f"src{rng.integers(20)}", "", "vendor/package.lock", "examples/sample.js")
         quote = pick('"', "'", "")
         if k % 2 == 0:
-            token = pick(chars(hexes, 40), chars(hexes, 32), chars(hexes, 64), chars(upper + lower + digit, int(rng.integers(20, 48))), "AKIA" + chars(upper + digit, 16), "ghp_" + chars(upper + lower + digit, 36), "sk_live_" + chars(upper + lower + digit, 24), chars(upper + lower + digit + "+/", 40), "eyJ" + chars(upper + lower + digit + "-_", 40), chars(upper + lower + digit + "-_", int(rng.integers(12, 24))))
+            made = {
+                "hex": lambda: chars(hexes, int(pick(32, 40, 64))),
+                "mixed": lambda: chars(upper + lower + digit, int(rng.integers(20, 48))),
+                "cloud": lambda: "AKIA" + chars(upper + digit, 16),
+                "forge": lambda: "ghp_" + chars(upper + lower + digit, 36),
+                "payment": lambda: "sk_live_" + chars(upper + lower + digit, 24),
+                "base64": lambda: chars(upper + lower + digit + "+/", 40),
+                "signed": lambda: "eyJ" + chars(upper + lower + digit + "-_", 40),
+                "short": lambda: chars(upper + lower + digit + "-_", int(rng.integers(12, 24))),
+                "pem": lambda: "\n".join(["-----BEGIN PRIVATE KEY-----", *(chars(upper + lower + digit + "+/", 64) for _ in range(int(rng.integers(1, 12)))), "-----END PRIVATE KEY-----"]),
+            }
+            token = made[pick(*(c for c in KINDS if c not in without))]()
             cue = pick("token", "api_key", "secret", "password", "access_token", "auth_token", "client_secret", "API_KEY", "private_key", "bearer", "signing_key")
             before = f"{prose()} {cue}{pick(' = ', '=', ': ', ' := ', ' ')}{quote}" if rng.random() < 0.93 else f"{prose()} {quote}"
             out.append((token, before[-CONTEXT:], f"{quote} {prose()}"[:CONTEXT], path, 1))
@@ -300,26 +316,24 @@ def scan(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",), p
             for part in _arrow.slices(batch, "text"):
                 buf, at = _arrow.utf8(part.column("text"))
                 raw = buf.tobytes()
+                points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])  # code points before each byte
                 sources = part.column(path).to_pylist() if path in columns else None
                 found: list[list[dict]] = [[] for _ in range(part.num_rows)]
-                texts: dict[int, str] = {}
                 got = candidates(buf, at)
                 show = lambda a, b: raw[a:b].decode("utf-8", "replace")
                 x = [features(show(s, e), show(max(at[d], s - CONTEXT), s), show(e, min(at[d + 1], e + CONTEXT)), str(sources[d] or "") if sources else "", words) for d, s, e in got]
                 scores = forest.predict(np.array(x)) if x else []
                 for k in settle(got, scores, threshold):
                     (d, s, e), p = got[k], scores[k]
-                    start = len(raw[at[d] : s].decode())
-                    found[d].append({"start": start, "end": start + len(raw[s:e].decode()), "score": float(p), "secret": bool(p >= threshold)})
+                    found[d].append({"start": int(points[s] - points[at[d]]), "end": int(points[e] - points[at[d]]), "score": float(p), "secret": bool(p >= threshold)})
                 kept = {c: part.column(c) for c in keep}
                 if redact is not None and "text" in keep:
                     rows = part.column("text").to_pylist()
                     for d, spans in enumerate(found):
-                        for f in reversed(spans):
-                            if f["secret"]:
-                                rows[d] = texts[d] = rows[d][: f["start"]] + redact + rows[d][f["end"] :]
-                    if texts:
-                        kept["text"] = pa.array(rows, pa.string())
+                        if cut := [f for f in spans if f["secret"]]:
+                            edges = [0, *(x for f in cut for x in (f["start"], f["end"])), len(rows[d])]
+                            rows[d] = redact.join(rows[d][a:b] for a, b in zip(edges[::2], edges[1::2]))
+                    kept["text"] = pa.array(rows, pa.string())
                 yield pa.RecordBatch.from_arrays([*kept.values(), pa.array(found, struct)], [*keep, out])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out}` array<struct<start: long, end: long, score: double, secret: boolean>>"
