@@ -20,11 +20,20 @@ def slugify(text: Column, default: str = "run") -> Column:
 
 
 def six_digits(x: Column) -> Column:
-    """A number with six significant digits at most and no trailing zeros; null is `none`."""
-    size = F.floor(F.log10(F.abs(x)))
-    plain = F.format_number(x, "0.##########")
-    fixed = F.round(x * F.pow(F.lit(10.0), 5 - size)) / F.pow(F.lit(10.0), 5 - size)
-    return F.when(x.isNull(), "none").when(x == 0, "0").when((size >= -4) & (size < 6), F.format_number(fixed, "0.##########")).otherwise(plain)
+    """A number with six significant digits at most and no trailing zeros; null is `none`.
+
+    Exponents under -4 and from 6 on are written as such, with two digits at least. A tie in the
+    seventh digit is rounded away from zero.
+    """
+    said = F.format_string("%.5e", F.abs(x))
+    digits, power = F.replace(F.substring(said, 1, 7), F.lit("."), F.lit("")), F.substring(said, 9, 9).cast("int")
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+    sign, one = F.when(x < 0, "-").otherwise(""), F.lit(1)
+    above = F.concat(F.substr(digits, one, power + 1), F.lit("."), F.substr(digits, power + 2))
+    below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    scientific = F.concat(bare(F.substring(said, 1, 7)), F.substring(said, 8, 10))
+    text = F.when((power >= 0) & (power < 6), bare(above)).when((power < 0) & (power >= -4), bare(below)).otherwise(scientific)
+    return F.when(x.isNull(), "none").when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf"))).when(x == 0, "0").otherwise(F.concat(sign, text))
 
 
 def array_path(patch_id: Column, variant: str, *folders: Column) -> Column:

@@ -116,10 +116,10 @@ def fill_nearest(px: DataFrame, radius: float | None = None) -> DataFrame:
 
 
 def fill_idw(px: DataFrame, power: float = 2.0, radius: float | None = None) -> DataFrame:
-    """Gaps filled with means of known pixels weighted by 1 / distance ** power."""
+    """Gaps filled with means of known pixels weighted by 1 / distance ** power; a radius is that of a square window."""
     near = _gaps_and_known(px)
     if radius is not None:
-        near = near.filter(F.col("d2") <= radius * radius)
+        near = near.filter((F.abs(F.col("y") - F.col("ky")) <= radius) & (F.abs(F.col("x") - F.col("kx")) <= radius))
     weight = 1 / F.pow(F.greatest(F.sqrt("d2"), F.lit(1e-10)), F.lit(power))
     best = near.groupBy("patch_id", "y", "x", "b").agg((F.sum(weight * F.col("kv")) / F.sum(weight)).alias("fill"))
     filled = px.join(best, ["patch_id", "y", "x", "b"], "left")

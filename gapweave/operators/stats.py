@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import tails
+from ..session import ship
 
 ALPHA = 0.05
 MAX_LEVELS = 1000  # of a category that becomes 0/1 columns
@@ -18,6 +19,9 @@ HUBER_T, MAD_TO_SIGMA = 1.345, 0.6745  # fixed values: Huber's tuning constant,
 def _p(function, *columns: Column) -> Column:
     """A tail probability as an Arrow UDF; it runs on one row a test, after the aggregation."""
 
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
+
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([float("nan") if pd.isna(x) or pd.isna(y) else function(float(x), float(y)) for x, y in zip(a, b)])
@@ -217,10 +221,22 @@ def neighbours(px: DataFrame, value: str = "v") -> DataFrame:
     return z.join(lag, ["patch_id", "y", "x"])
 
 
-def moran(px: DataFrame, value: str = "v") -> DataFrame:
-    """Moran's I with row-standardised queen weights and its expectation."""
-    got = neighbours(px, value).groupBy("patch_id").agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("lag")).alias("a"), F.sum(F.col("z") * F.col("z")).alias("b"))
-    return got.select("patch_id", "n", F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(0.0).alias("moran_i"), (-1 / (F.col("n") - 1)).alias("expected_i"))
+def masked(px: DataFrame, value: str = "v", gap: str = "gap") -> DataFrame:
+    """patch_id, y, x, value with the mean of the gap cells in the place of all other cells' values."""
+    inside = F.when(F.col(gap) == 1, F.col(value))
+    return px.withColumn(value, F.coalesce(inside, F.avg(inside).over(Window.partitionBy("patch_id")))).select("patch_id", "y", "x", value)
+
+
+def moran(px: DataFrame, value: str = "v", gap: str | None = None) -> DataFrame:
+    """Moran's I with row-standardised queen weights and its expectation; with `gap` over the gap cells.
+
+    Both are 0 where the values have no spread or fewer than three of them differ.
+    """
+    few = (px if gap is None else px.filter(F.col(gap) == 1)).groupBy("patch_id").agg(F.count_distinct(value).alias("kinds"))
+    got = neighbours(px if gap is None else masked(px, value, gap), value).groupBy("patch_id").agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("lag")).alias("a"), F.sum(F.col("z") * F.col("z")).alias("b"))
+    got = got.join(few, "patch_id", "left")
+    use = (F.col("b") > 0) & (F.col("kinds") >= 3)
+    return got.select("patch_id", "n", F.when(use, F.col("a") / F.col("b")).otherwise(0.0).alias("moran_i"), F.when(use, -1 / (F.col("n") - 1)).otherwise(0.0).alias("expected_i"))
 
 
 def quadrants(px: DataFrame, value: str = "v") -> DataFrame:
@@ -244,24 +260,37 @@ def lattice_lag(z: np.ndarray) -> np.ndarray:
 
 
 def moran_permutation(errors: np.ndarray, mask: np.ndarray | None = None, permutations: int = 999, seed: int = 42) -> dict:
-    """I, its folded pseudo-p, quadrant labels and local pseudo-p of one error map."""
+    """I, its folded pseudo-p, quadrant labels and local pseudo-p of one error map.
+
+    Only masked cells count; the others take their mean. The global p shuffles the whole map; a
+    local p holds its cell fixed and deals the other cells' values to its neighbours. Fewer than
+    three different values, or none with spread, give I 0, p 1 and no labels.
+    """
     v = errors.astype(float)
-    if mask is not None:
-        v = np.where(mask, v, v[mask].mean() if mask.any() else 0.0)
-    z = v - v.mean()
-    if v.size < 4 or (z * z).sum() < 1e-12:
+    inside = np.ones(v.shape, bool) if mask is None else mask.astype(bool)
+    if inside.sum() < 2 or len(np.unique(v[inside])) < 3 or v[inside].std() == 0:
         return {"i": 0.0, "p": 1.0, "labels": np.zeros(v.shape, int), "local_p": np.ones(v.shape)}
+    v = np.where(inside, v, v[inside].mean())
+    z = v - v.mean()
     lag = lattice_lag(z)
     s2 = (z * z).sum()
     i = float((z * lag).sum() / s2)
     rng = np.random.default_rng(seed)
-    larger, local = 0, np.zeros(v.shape)
+    larger = 0
     for k in range(0, permutations, 64):
         n = min(64, permutations - k)
         shuffled = rng.permuted(np.tile(z.ravel(), (n, 1)), axis=1).reshape(n, *z.shape)
-        l2 = lattice_lag(shuffled)
-        larger += int(((shuffled * l2).sum((1, 2)) / s2 >= i).sum())
-        local += ((z * l2) >= (z * lag)).sum(0)
+        larger += int(((shuffled * lattice_lag(shuffled)).sum((1, 2)) / s2 >= i).sum())
+    flat, around = z.ravel(), lattice_neighbours(*z.shape).ravel()
+    # places among the other cells: one set of draws serves every cell, as each leaves another cell out
+    draws = np.array([rng.choice(len(flat) - 1, min(8, len(flat) - 1), replace=False) for _ in range(permutations)])
+    local = np.array([(flat[c] * flat[draws[:, : around[c]] + (draws[:, : around[c]] >= c)].mean(1) >= flat[c] * lag.flat[c]).sum() for c in range(len(flat))]).reshape(z.shape)
     fold = lambda a: (1 + np.minimum(a, permutations - a)) / (1 + permutations)
     labels = np.where(z > 0, np.where(lag > 0, 1, 4), np.where(lag > 0, 2, 3))
     return {"i": i, "p": float(fold(larger)), "labels": labels, "local_p": fold(local)}
+
+
+def lattice_neighbours(h: int, w: int) -> np.ndarray:
+    """The number of queen neighbours of each cell."""
+    rows, cols = (1 + (np.arange(n) > 0) + (np.arange(n) < n - 1) for n in (h, w))
+    return np.outer(rows, cols) - 1

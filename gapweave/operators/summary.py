@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import ship
 from .select import terciles
 
 RESAMPLES, LEVEL, SEED = 10_000, 0.95, 42
@@ -34,6 +35,18 @@ def by_bin(df: DataFrame, column: str, out: str, metric: str = "psnr") -> DataFr
     return summary(terciles(df.filter(F.col(metric).isNotNull()), column, out), ["method", out], metric, False)
 
 
+def with_interval(df: DataFrame, keys: Sequence[str], metric: str = "psnr", order: Sequence[str] = (), spread: bool = True) -> DataFrame:
+    """summary() and the bootstrap interval of each group's mean (ci95_lo, ci95_hi)."""
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
+    return summary(df, keys, metric, spread).join(bootstrap_ci(df, keys, metric, order), list(keys), "left")
+
+
+def half_width(lo: Column, hi: Column) -> Column:
+    """Half the width of an interval; null if a bound is missing."""
+    return (hi - lo) / 2
+
+
 def multi_metric(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """n (all rows) and mean and population std of several metrics in one pass."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *(f(m).alias(f"{m}_{name}") for m in metrics for name, f in (("mean", F.avg), ("std", F.stddev_pop))))
@@ -103,6 +116,7 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], metric: str = "psnr", order
     """
     kinds, names = dict(df.dtypes), [f"_o{i}" for i in range(len(order))]
     spec = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    ship(df.sparkSession)
     df = df.filter(F.col(metric).isNotNull()).select(*keys, F.col(metric).cast("double").alias("v"), *(F.col(c).alias(n) for n, c in zip(names, order)))
     sizes = df.groupBy(*keys).agg(F.count_if(~F.isnan("v")).alias("size"))
     df = df.join(sizes, list(keys)).filter(~F.isnan("v") | (F.col("size") == 0))
@@ -135,12 +149,18 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], metric: str = "psnr", order
     return small.groupBy(*keys).applyInPandas(interval, f"{spec}, ci95_lo double, ci95_hi double").unionByName(whole)
 
 
-def run_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """Rows, failures, elapsed times, throughput and sample statistics of metrics of `ok` rows."""
-    ok = F.col("status") == "ok"
+def run_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], wall_time_s: float | None = None) -> DataFrame:
+    """Rows, failures and, of the `ok` rows, mean and p95 of elapsed times, throughput and sample statistics of metrics.
+
+    Throughput is `ok` rows by wall time, which is that of one worker (the sum of all elapsed times)
+    unless given. Without `ok` rows times and throughput are 0. A null status is no `ok`.
+    """
+    ok = F.col("status").eqNullSafe("ok")
+    elapsed, wall = F.when(ok, F.col("elapsed_s")), F.sum("elapsed_s") if wall_time_s is None else F.lit(float(wall_time_s))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
     return df.groupBy(*keys).agg(
         F.count("*").alias("n_rows"), F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_error"), (F.count_if(~ok) / F.count("*")).alias("error_rate"),
-        F.avg("elapsed_s").alias("mean_elapsed"), F.percentile("elapsed_s", 0.95).alias("p95_elapsed"), F.when(F.sum("elapsed_s") > 0, F.count("*") / F.sum("elapsed_s")).alias("throughput"),
+        zero(F.avg(elapsed)).alias("mean_elapsed"), zero(F.percentile(elapsed, 0.95)).alias("p95_elapsed"), zero(F.when(wall > 0, F.count_if(ok) / wall)).alias("throughput"),
         *(f(F.when(ok, F.col(m))).alias(f"{m}_{name}") for m in metrics for name, f in (("mean", F.avg), ("std", F.stddev_samp))),
     )
 

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import fills
 from ..operators.select import remaining
 from ..schemas import ENTROPY_COLUMNS, METRICS, RESULTS
+from ..session import ship
 
+ENTROPY_WINDOWS = (7, 15, 31)
 FIELDS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RESULTS)
 
 
@@ -35,14 +37,16 @@ def local_entropy(grey: np.ndarray, window: int) -> np.ndarray:
     return np.maximum(np.log2(n) - total / n, 0.0)
 
 
-def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int, int], params: dict[str, dict] | None = None, keep_arrays: bool = False, tasks: int | None = None) -> DataFrame:
+def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int, int], params: dict[str, dict] | None = None, keep_arrays: bool = False, tasks: int | None = None, windows: Sequence[int] = ENTROPY_WINDOWS) -> DataFrame:
     """Results rows for every patch row and method.
 
     patches: seed, noise_level, patch_id, satellite, gap_fraction, clean, degraded and mask
     arrays. A patch crosses into Python once and all methods run on it there; an error makes a row with
-    status `error` and NULL metrics. With keep_arrays the reconstruction comes along. A table of few
-    bytes is one task by itself; `tasks` deals its patches out, as the work is in the methods.
+    status `error` and NULL metrics. With keep_arrays the reconstruction comes along. A column
+    `wanted` (array of method names) narrows a row's methods. A table of few bytes is one task by itself;
+    `tasks` deals its patches out, as the work is in the methods. `windows` are those of the entropies.
     """
+    ship(patches.sparkSession)
     params = params or {}
     chosen = [fills.method(m) for m in methods]
     h, w, c = shape
@@ -57,10 +61,10 @@ def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int,
                     clean, degraded = (np.asarray(x, np.float32).reshape(h, w, c)[..., 0 if c == 1 else slice(None)] for x in (p.clean, p.degraded))
                     mask = np.asarray(p.mask).reshape(h, w) != 0
                     grey = clean if c == 1 else clean.mean(2)
-                    entropies, broken = {f"entropy_{n}": float(local_entropy(grey, n).mean()) for n in (7, 15, 31)}, None
+                    entropies, broken = {f"entropy_{n}": float(local_entropy(grey, n).mean()) for n in windows}, None
                 except Exception as e:  # unusable arrays: every method's row says so
                     entropies, broken = {}, e
-                for m in chosen:
+                for m in chosen if p.wanted is None else [m for m in chosen if m.name in set(p.wanted)]:
                     row = {"seed": p.seed, "noise_level": p.noise_level, "method": m.name, "method_category": m.category, "patch_id": p.patch_id, "satellite": p.satellite, "gap_fraction": p.gap_fraction, "status": "ok"}
                     began = time.perf_counter()
                     try:
@@ -80,14 +84,17 @@ def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int,
 
     if tasks:
         patches = patches.repartition(tasks)
-    out = patches.select("seed", "noise_level", "patch_id", "satellite", "gap_fraction", "clean", "degraded", "mask").mapInPandas(run, FIELDS + (", reconstruction array<float>" if keep_arrays else ""))
+    if "wanted" not in patches.columns:
+        patches = patches.withColumn("wanted", F.lit(None).cast("array<string>"))
+    out = patches.select("seed", "noise_level", "patch_id", "satellite", "gap_fraction", "clean", "degraded", "mask", "wanted").mapInPandas(run, FIELDS + (", reconstruction array<float>" if keep_arrays else ""))
     return out.withColumns({m: F.when(~F.isnan(m), F.col(m)) for m in (*METRICS, *ENTROPY_COLUMNS)})
 
 
 def resume(patches: DataFrame, done: DataFrame | None, methods: Sequence[str], shape: tuple[int, int, int], retry_errors: bool = False, tasks: int | None = None) -> DataFrame:
     """evaluate() of the patch and method pairs without a row in `done`.
 
-    Arrays take no part in the anti join: only the keys of what is left are joined back to them.
+    Arrays take no part in the anti join: only the keys of what is left are joined back to them,
+    with the methods that a patch still wants; no other method runs on it.
     """
     if done is None:
         return evaluate(patches, methods, shape, tasks=tasks)
@@ -95,6 +102,4 @@ def resume(patches: DataFrame, done: DataFrame | None, methods: Sequence[str], s
     keys = patches.select("seed", "noise_level", "patch_id").withColumn("method", F.explode(F.array(*map(F.lit, names))))
     left = remaining(keys, done, retry_errors=retry_errors)
     wanted = left.groupBy("seed", "noise_level", "patch_id").agg(F.collect_set("method").alias("wanted"))
-    rows = patches.join(wanted, ["seed", "noise_level", "patch_id"])
-    out = evaluate(rows, methods, shape, tasks=tasks)
-    return out.join(left, ["seed", "noise_level", "patch_id", "method"], "left_semi").select(*out.columns)
+    return evaluate(patches.join(wanted, ["seed", "noise_level", "patch_id"]), methods, shape, tasks=tasks)

@@ -11,6 +11,7 @@ from ..operators import fills
 from ..operators import raster as ra
 from ..operators import stats as st
 from .evaluate import evaluate, resume
+from ..session import ship
 from .registry import query, r
 from .views import BANDS_SQL, PIXELS_SQL, patches, pixel_view
 
@@ -182,4 +183,5 @@ def moran_permutation(spark, sf):
             got = [st.moran_permutation(np.asarray(c).reshape(8, 8)) for c in pdf["clean"]]
             yield pd.DataFrame({"patch_id": pdf["patch_id"], "moran_i": [g["i"] for g in got], "p": [g["p"] for g in got], "significant_cells": [int((g["local_p"] <= 0.05).sum()) for g in got]})
 
+    ship(spark)
     return patches(spark, sf).select("patch_id", "clean").repartition(_tasks(spark)).mapInPandas(run, "patch_id long, moran_i double, p double, significant_cells long")

@@ -80,7 +80,7 @@ def grouped_means(spark, sf):
     return _rounded(fact(spark, sf).groupBy("method").agg(*(F.avg(m).alias(m) for m in ("psnr", "ssim", "rmse"))))
 
 
-@query(f"{W} SELECT method, count(*) AS n_rows, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status <> 'ok') AS n_error, round(avg(CASE WHEN status <> 'ok' THEN 1.0 ELSE 0 END), 6) AS error_rate, round(avg(elapsed_s), 6) AS mean_elapsed, round(quantile_cont(elapsed_s, 0.95), 6) AS p95_elapsed, round(count(*) / sum(elapsed_s), 6) AS throughput, round(avg(psnr), 6) AS psnr_mean, round(stddev_samp(psnr), 6) AS psnr_std FROM fact GROUP BY 1")
+@query(f"{W} SELECT method, count(*) AS n_rows, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status <> 'ok') AS n_error, round(avg(CASE WHEN status <> 'ok' THEN 1.0 ELSE 0 END), 6) AS error_rate, round(coalesce(avg(elapsed_s) FILTER (status = 'ok'), 0), 6) AS mean_elapsed, round(coalesce(quantile_cont(elapsed_s, 0.95) FILTER (status = 'ok'), 0), 6) AS p95_elapsed, round(coalesce(count(*) FILTER (status = 'ok') / sum(elapsed_s), 0), 6) AS throughput, round(avg(psnr) FILTER (status = 'ok'), 6) AS psnr_mean, round(stddev_samp(psnr) FILTER (status = 'ok'), 6) AS psnr_std FROM fact GROUP BY 1")
 def run_summary(spark, sf):
     return _rounded(su.run_summary(fact(spark, sf), ["method"], ["psnr"]))
 

@@ -76,20 +76,33 @@ def vif_two(spark, sf):
     return st.vif(fact(spark, sf), ["entropy_7", "entropy_15"]).select("name", r("vif"))
 
 
-@query()
+def _inside(density: str, end: str) -> str:
+    """SQL for the integral of a density of t from 0 to end, by Simpson's rule in 2,000 steps."""
+    return f"list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density.replace('(t)', f'({end} * i / 2000.0::DOUBLE)')})) * {end} / 6000"
+
+
+_KRUSKAL = f"k AS (SELECT method, psnr, rank() OVER (ORDER BY psnr) + (count(*) OVER (PARTITION BY psnr) - 1) / 2.0::DOUBLE AS rk FROM fact WHERE psnr IS NOT NULL), g AS (SELECT method, count(*) AS c, sum(rk) AS s FROM k GROUP BY 1), t AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*)::DOUBLE AS t FROM k GROUP BY psnr)), a AS (SELECT count(*) AS k, sum(c)::DOUBLE AS n, sum(s * s / c) AS u FROM g), h AS (SELECT k, n, (12 / (n * (n + 1)) * u - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM a, t)"
+
+
+# five methods make four degrees of freedom, for which the chi-squared tail has a closed form
+@query(f"{W}, {_KRUSKAL} SELECT k, CAST(n AS BIGINT) AS n, round(h, 4) AS h, CASE WHEN k = 5 THEN round(exp(-h / 2) * (1 + h / 2), 6) END AS p FROM h")
 def kruskal_p(spark, sf):
-    return st.kruskal_test(fact(spark, sf), "method", "psnr")
+    return st.kruskal_test(fact(spark, sf), "method", "psnr").select("k", "n", F.round("h", 4).alias("h"), r("p"))
 
 
-@query()
+_PAIRS = "f AS (SELECT method AS g, psnr AS v FROM fact WHERE psnr IS NOT NULL), p AS (SELECT a.g AS a, b.g AS b FROM (SELECT DISTINCT g FROM f) a JOIN (SELECT DISTINCT g FROM f) b ON a.g < b.g), k AS (SELECT a, b, g, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY a, b, v)::DOUBLE AS t FROM p JOIN f ON g = a OR g = b), s AS (SELECT a, b, (count(*) FILTER (g = a))::DOUBLE AS na, (count(*) FILTER (g = b))::DOUBLE AS nb, sum(rk) FILTER (g = a) AS ra, sum(t * t - 1) AS ties FROM k GROUP BY 1, 2), z AS (SELECT a, b, greatest(abs(ra - na * (na + 1) / 2 - na * nb / 2) - 0.5, 0) / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))) AS z FROM s)"
+
+
+@query(f"{W}, {_PAIRS}, q AS (SELECT a, b, z, greatest(0, 1 - 2 * {_inside('exp(-(t) * (t) / 2)', 'z')} / sqrt(2 * pi())) AS p FROM z) SELECT a, b, round(z, 4) AS z, round(p, 6) AS p, round(least(1, p * count(*) OVER ()), 6) AS p_corrected, p * count(*) OVER () <= 0.05 AS significant FROM q")
 def pairwise_p(spark, sf):
-    return st.pairwise_test(fact(spark, sf), "method", "psnr")
+    return st.pairwise_test(fact(spark, sf), "method", "psnr").select("a", "b", F.round("z", 4).alias("z"), r("p"), r("p_corrected"), "significant")
 
 
-@query()
+@query(f"{W}, {_LONG}, k AS ({_RANKED}), c AS (SELECT method, x_name, y_name, count(*)::DOUBLE AS n, corr(rx, ry) AS rho FROM k GROUP BY 1, 2, 3), t AS (SELECT *, n - 2 AS v, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS z FROM c), p AS (SELECT *, greatest(0, 1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * {_inside('pow(1 + (t) * (t) / v, -(v + 1) / 2)', 'z')}) AS p FROM t), o AS (SELECT *, row_number() OVER (ORDER BY p, method, x_name, y_name) AS i, count(*) OVER () AS m FROM p), q AS (SELECT *, least(1, min(p * m / i) OVER (ORDER BY p DESC, method DESC, x_name DESC, y_name DESC ROWS UNBOUNDED PRECEDING)) AS q FROM o) SELECT method, x_name, y_name, round(rho, 6) AS rho, round(p, 6) AS p, round(q, 6) AS q, q <= 0.05 AS significant FROM q")
 def correlation_p(spark, sf):
     c = st.correlations(fact(spark, sf), ["entropy_7", "entropy_15"], ["psnr", "ssim"])
-    return st.fdr(st.with_p(c, "rho", "p"), "p", key=["method", "x_name", "y_name"])
+    q = st.fdr(st.with_p(c, "rho", "p"), "p", key=["method", "x_name", "y_name"])
+    return q.select("method", "x_name", "y_name", r("rho"), r("p"), r("q"), "significant")
 
 
 @query()
@@ -104,7 +117,11 @@ def checkpoint_stream(spark, sf):
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        root = tempfile.mkdtemp()
     root = f"{root}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
     for _ in range(2):

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def session(app: str = "gapweave", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive plans, UTC time and small Arrow batches for rasters."""
@@ -20,3 +28,19 @@ def session(app: str = "gapweave", master: str | None = None, **conf: str) -> Sp
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, through Spark's own file server."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="ship"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    out = folder / f"{root.name}.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(out))
+    _shipped.add(sc.applicationId)

@@ -40,8 +40,11 @@ def test_contract(name, patch):
     one[7, 7] = True
     single = m.apply(np.where(one, 0, clean[..., 0]), one)
     assert single.shape == (16, 16) and abs(single[7, 7] - clean[7, 7, 0]) < (0.6 if name in ("cs_wavelet", "non_local", "dct", "cs_dct") else 0.2)
-    with pytest.raises(MethodError):
-        m.apply(clean, np.ones_like(mask))
+    if name == "non_local":  # the one method that refuses a raster without known pixels
+        with pytest.raises(MethodError):
+            m.apply(clean, np.ones_like(mask))
+    else:
+        assert m.apply(clean, np.ones_like(mask)).shape == clean.shape
     with pytest.raises(DimensionError):
         m.apply(clean, mask[:8])
 
@@ -207,7 +210,7 @@ def test_ragged_csv(spark, tmp_path):
     p = tmp_path / "r.csv"
     p.write_text("method,entropy_7,psnr\nidw,1.5,20\nidw,2.5,3.5,1.0,21\nidw,9\n")
     rows = tables.csv_ragged(spark, str(p)).orderBy("psnr").collect()
-    assert [(r["entropy_7"], r["entropy_15"], r["entropy_31"], r["psnr"]) for r in rows] == [(1.5, None, None, 20.0), (2.5, 3.5, 1.0, 21.0)] or len(rows) == 2
+    assert [(r["entropy_7"], r["entropy_15"], r["entropy_31"], r["psnr"]) for r in rows] == [(1.5, None, None, 20.0), (2.5, 3.5, 1.0, 21.0)]
     p.write_text("method,psnr\nidw,1,2,3,4,5,6,7,8\n")
     with pytest.raises(SchemaError):
         tables.csv_ragged(spark, str(p))
@@ -273,7 +276,7 @@ def test_sinks(spark, tmp_path):
 
 def test_evaluation_reports_errors_and_resumes(spark, patch):
     clean, mask = patch
-    rows = [(0, "inf", i, "s2", 0.1, clean.ravel().tolist(), np.where(mask[..., None], 0, clean).ravel().tolist(), (mask if i else np.ones_like(mask)).ravel().astype(int).tolist()) for i in range(3)]
+    rows = [(0, "inf", i, "s2", 0.1, clean.ravel().tolist(), np.where(mask[..., None], 0, clean).ravel().tolist(), mask.ravel().astype(int).tolist()[: 256 if i else 10]) for i in range(3)]
     df = spark.createDataFrame(rows, "seed int, noise_level string, patch_id long, satellite string, gap_fraction double, clean array<float>, degraded array<float>, mask array<int>")
     got = evaluate(df, ["idw", "l1_dct"], (16, 16, 3))
     assert got.schema.names == RESULTS.names
