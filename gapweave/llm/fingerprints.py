@@ -25,7 +25,7 @@ BIN_BITS = 8
 BINS = 1 << BIN_BITS
 LOW_BITS = 8
 PROBES = 6
-RANGES = 256  # key ranges in which the order of documents is found
+RANGE_ROWS, MOST_RANGES = 50_000, 1024  # key ranges in which the order of documents is found
 
 
 def _let(value: Column, body) -> Column:
@@ -104,15 +104,17 @@ def likeness(a: Column, b: Column) -> Column:
 def following(docs: DataFrame) -> DataFrame:
     """(doc_id, next struct<doc_id>, need): the next smaller doc_id, the largest after the last; need from n.
 
-    docs has doc_id and n. Ids are put in RANGES key ranges by approximate quantiles and
-    ordered within each; only the ranges' largest ids reach the driver.
+    docs has doc_id and n. Ids are put in key ranges of about RANGE_ROWS rows by approximate quantiles
+    (MOST_RANGES of them at most) and ordered within each; only the ranges' largest ids reach the
+    driver.
     """
     ids = docs.groupBy("doc_id").agg(F.max("n").alias("n"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / RANGES for k in range(1, RANGES)], 10_000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / MOST_RANGES for k in range(1, MOST_RANGES)], 10_000).alias("q"), F.count("*").alias("rows")).first()
+    ranges = min(MOST_RANGES, cuts["rows"] // RANGE_ROWS + 1)
+    cuts = sorted({(cuts["q"] or [None] * MOST_RANGES)[k * MOST_RANGES // ranges - 1] for k in range(1, ranges)} - {None})
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
     placed = ids.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(place))
-    tops = {r["range"]: r["top"] for r in placed.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}  # RANGES + 1 rows at most
+    tops = {r["range"]: r["top"] for r in placed.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}  # MOST_RANGES + 1 rows at most
     order = sorted(tops, reverse=True)
     after = dict(zip(order, [*order[1:], *order[:1]]))
     table = F.array(*(F.lit(tops[after[r]] if r in after else None).cast("long") for r in range(-1, max(order, default=-1) + 1)))
@@ -126,26 +128,30 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     The last third of a text's code points gives way to the first as many of the next
     document's. Codes of the texts are computed once and kept in the shared folder; both joins
-    of texts read the same exchange, and all joins run on doc_id alone.
+    of texts read the same exchange, and where an id has one text, codes are joined on the id alone.
+    Texts of an id that has several, and of null ids, are joined on the id and the text's hash, so
+    that many texts under one id are spread and meet no other's codes.
     """
     _arrow.shared_dir(docs.sparkSession)
     # ids as keys without nulls, so that aggregations and joins on them share one partitioning
     key = lambda c, p="": [F.coalesce(c, F.lit(0)).alias(f"{p}k"), F.col(c).isNull().alias(f"{p}z")]
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     code = base.select(*key("doc_id"), F.xxhash64("text").alias("h"), codes(F.col("text")).alias("codes")).groupBy("k", "z", "h").agg(F.first("codes").alias("codes")).checkpoint()
-    near = following(base.select("doc_id", F.length("text").alias("n"))).select(*key("doc_id", "to_"), *key("next.doc_id"), "need")
-    texts = base.select(*key("doc_id"), "text")
+    near = following(base.select("doc_id", F.length("text").alias("n"))).select(*key("doc_id", "to_"), *key("next.doc_id"), "need").checkpoint()
+    crowd = code.groupBy("k", "z").agg(F.count("*").alias("texts")).filter("texts > 1 or z").select("k", "z", F.lit(True).alias("crowded")).checkpoint()
+    texts = base.select(*key("doc_id"), "text").join(crowd, ["k", "z"], "left")
 
     def coded(rows: DataFrame, name: str) -> DataFrame:
-        """rows with the codes of their text; equal hashes are no join key, so rows stay where k and z put them."""
-        c = code.select("k", "z", F.col("h").alias("_h"), F.col("codes").alias(name))
-        return rows.join(c, ["k", "z"]).filter(F.col("h").bitwiseXOR(F.col("_h")) == 0).drop("_h")
+        """rows with the codes of their text; rows of ids with one text stay where k and z put them."""
+        c = code.select("k", "z", "h", F.col("codes").alias(name))
+        alone = rows.filter("crowded is null").join(c.drop("h"), ["k", "z"])
+        return alone.unionByName(rows.filter("crowded is not null").join(c, ["k", "z", "h"]).select(*alone.columns))
 
-    heads = texts.join(near, ["k", "z"]).select("k", "z", "to_k", "to_z", F.xxhash64("text").alias("h"), F.left("text", "need").alias("head"))
+    heads = texts.join(near, ["k", "z"]).select("k", "z", "crowded", "to_k", "to_z", F.xxhash64("text").alias("h"), F.left("text", "need").alias("head"))
     heads = coded(heads, "next_codes").groupBy(F.col("to_k").alias("k"), F.col("to_z").alias("z")).agg(F.min(F.struct("h", "head", "next_codes")).alias("donor"))
-    both = texts.join(heads, ["k", "z"]).select("k", "z", "text", "donor", F.length("text").alias("n_chars"))
+    both = texts.join(heads, ["k", "z"]).select("k", "z", "crowded", "text", "donor", F.length("text").alias("n_chars"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     both = both.withColumn("edited", F.concat(F.left("text", F.col("n_chars") - cut), F.left(F.col("donor.head"), cut)))
-    both = both.select("k", "z", F.col("n_chars").cast("long").alias("n_chars"), F.xxhash64("text").alias("h"), "edited", F.col("donor.next_codes").alias("next_codes"))
+    both = both.select("k", "z", "crowded", F.col("n_chars").cast("long").alias("n_chars"), F.xxhash64("text").alias("h"), "edited", F.col("donor.next_codes").alias("next_codes"))
     both = coded(both, "codes").select(F.when(~F.col("z"), F.col("k")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "codes", codes(F.col("edited")).alias("edited_codes"), "next_codes")
     return both.select("doc_id", "n_chars", "edited_sha256", packed(F.col("codes")).alias("fingerprint"), packed(F.col("edited_codes")).alias("edited_fingerprint"), likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"), likeness(F.col("codes"), F.col("next_codes")).alias("near_next"))
