@@ -1,19 +1,19 @@
-"""SentencePiece encoding and decoding by a forward pass over a trie of distinct marked words.
+"""SentencePiece encoding and decoding by Viterbi passes over a trie of distinct marked words.
 
-The vocabulary is a BPE model with byte fallback. A word is a run of space marks and the
-characters behind it up to a line's end; no piece crosses from a character to a mark or over a
-line's end, so words are encoded alone.
+A word is a run of space marks and the characters behind it up to a line's end; no piece of the
+vocabulary crosses from a character to a mark or over a line's end, so words are encoded alone.
 Distinct words of a slice are sorted; walking them in this order is a depth-first traversal of
-their trie, and the forward states of a shared prefix are kept on a stack and used again.
+their trie. For each prefix the best score of its segmentations into pieces and the length of the
+last piece stand on a stack, so words with a common prefix use its forward scores again.
 
-A plain Viterbi pass with the model's scores gives segmentations that merges never make, so
-the forward state is the last piece of the prefix's merge encoding: of the pieces that end at a
-place, exactly one follows the state at its start in a way merges allow (`compatible`), and it
-is the one the pass keeps. Results equal the library's.
+A segmentation's score is the sum of its pieces' scores in the vocabulary file. A character
+without a piece is written in byte pieces, each BYTE_PENALTY below the least score. Of equal
+scores the longest last piece wins. The public vocabulary was made by merges, and merging gives
+other pieces than the best score for some words; `merges` asks for the library's ids instead.
 
-Cases: null is an empty text; an empty text has no ids; decoding restores every text exactly but
-for U+2581, which stands for a space; null doc_ids and repeated rows are kept; an empty table
-gives no rows; further columns are ignored.
+Cases: null is an empty text; an empty text has no ids; words and texts of any length are encoded
+alike; decoding restores every text exactly but for U+2581, which stands for a space; null doc_ids
+and repeated rows are kept; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +31,14 @@ from . import _arrow, _tokens
 
 MARK = "▁"
 CACHE_CHARS, CACHE_PAIRS = 12_000_000, 600_000
+BYTE_PENALTY = 10.0
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Model:
-    """Pieces, their ranks and the forward pass of one vocabulary file."""
+    """Pieces, their scores and the forward pass of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, merges: bool = False):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,6 +53,9 @@ class Model:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.id[p] = i
                 self.rank[p] = -sp.get_score(i)
+        self.merges = merges
+        self.score = {p: -r for p, r in self.rank.items()}
+        self.byte_score = min(self.score.values(), default=0.0) - BYTE_PENALTY
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces of this vocabulary cross word bounds")
         if any("\n" in p for p in self.id):
@@ -117,7 +121,7 @@ class Model:
         return known
 
     def step(self, word: str, states: list[str], at: int) -> str:
-        """The last piece of the encoding of word[:at], given those of all shorter prefixes."""
+        """The last piece of the merge encoding of word[:at], given those of all shorter prefixes."""
         for size in self.ends.get(word[at - 2 : at], ()) if at > 1 else ():
             if size <= at:
                 p = word[at - size : at]
@@ -126,17 +130,38 @@ class Model:
         return word[at - 1]
 
     def forward(self, words: list[str]) -> Iterator[list[str]]:
-        """Encodings of sorted distinct words; states of the prefix shared with the word before are reused."""
+        """Best segmentations of sorted distinct words; forward scores of the prefix shared with the word before are reused."""
+        score, ends, single, low = self.score, self.ends, self.score.get, self.byte_score
+        best, sizes, before = [0.0], [0], ""
+        for w in words:
+            same = _shared(before, w)
+            del best[same + 1 :], sizes[same + 1 :]
+            for at in range(same + 1, len(w) + 1):
+                top, length = -1e300, 1
+                for size in ends.get(w[at - 2 : at], ()) if at > 1 else ():
+                    if size <= at and (s := score.get(w[at - size : at])) is not None and (s := s + best[at - size]) > top:
+                        top, length = s, size
+                s = single(w[at - 1])
+                if (s := best[at - 1] + (low * len(w[at - 1].encode()) if s is None else s)) > top:
+                    top, length = s, 1
+                best.append(top)
+                sizes.append(length)
+            before = w
+            out, at = [], len(w)
+            while at:
+                out.append(w[at - sizes[at] : at])
+                at -= sizes[at]
+            out.reverse()
+            yield out
+
+    def merged(self, words: list[str]) -> Iterator[list[str]]:
+        """Merge encodings of sorted distinct words: the state of a prefix is the one last piece that merges allow."""
         states, before = [""], ""
         for w in words:
-            if len(w) > 4096:  # deeper than a trie of words: merged by definition, without states
+            if len(w) > 4096:  # the same result by a heap, without a state for each of its prefixes
                 yield self.merge_long(w)
                 continue
-            same = 0
-            for x, y in zip(before, w):
-                if x != y:
-                    break
-                same += 1
+            same = _shared(before, w)
             del states[same + 1 :]
             for at in range(same + 1, len(w) + 1):
                 states.append(self.step(w, states, at))
@@ -164,7 +189,7 @@ class Model:
         parts = [_split(t) for t in texts]
         flat = [w for p in parts for w in p]
         if new := sorted({w for w in flat if w not in self.index}):
-            found = [self.numbers(p) for p in self.forward(new)]
+            found = [self.numbers(p) for p in (self.merged(new) if self.merges else self.forward(new))]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))])
@@ -188,6 +213,14 @@ class Model:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def _shared(a: str, b: str) -> int:
+    """The length of the common prefix of two texts."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(k for k in range(n) if a[k] != b[k])
+
+
 def _split(text: str | None) -> list[str]:
     """Marked words and line ends of a text with its leading mark; no piece crosses either."""
     if not text:
@@ -206,23 +239,23 @@ def _split(text: str | None) -> list[str]:
     return out
 
 
-_models: dict[str, Model] = {}
+_models: dict[tuple[str, bool], Model] = {}
 
 
-def model(path: str) -> Model:
+def model(path: str, merges: bool = False) -> Model:
     """The model of this process for a vocabulary file."""
-    if path not in _models:
-        _models[path] = Model(path)
-    return _models[path]
+    if (path, merges) not in _models:
+        _models[path, merges] = Model(path, merges)
+    return _models[path, merges]
 
 
-def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids array<int>, n_tokens and ids_crc32 (little-endian unsigned 32-bit ids) of every text."""
+def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", merges: bool = False) -> DataFrame:
+    """doc_id, ids array<int>, n_tokens and ids_crc32 (little-endian unsigned 32-bit ids) of every text; `merges` as in the module's docstring."""
     _arrow.ship(docs.sparkSession)
     path = path or _tokens.tokenizer_path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(path, merges)
         for batch in batches:
             for part in _arrow.slices(batch, "text"):
                 ids, at = m.encode(part.column("text").to_pylist())

@@ -360,14 +360,18 @@ def test_pii_on_cases(docs, none):
 # ---- 8 SentencePiece ------------------------------------------------------------------------
 
 
-def test_pieces_equal_the_library(rows):
+def odd_texts(rows):
+    rng = np.random.default_rng(5)
+    odd = ["".join(chr(c) for c in rng.choice([32, 9, 10, 97, 101, 0xE9, 0x65E5, 0x1F600, 46, 45], 40)) for _ in range(200)]
+    return [t for _, t, *_ in rows] + odd + ["a" * 5000, "  two", "end  "]
+
+
+def test_merged_pieces_equal_the_library(rows):
     import sentencepiece
 
     path = _tokens.tokenizer_path("piece_bpe_32k.model")
-    m, sp = pieces.model(path), sentencepiece.SentencePieceProcessor(model_file=path)
-    rng = np.random.default_rng(5)
-    odd = ["".join(chr(c) for c in rng.choice([32, 9, 10, 97, 101, 0xE9, 0x65E5, 0x1F600, 46, 45], 40)) for _ in range(200)]
-    texts = [t for _, t, *_ in rows] + odd + ["a" * 5000, "  two", "end  "]
+    m, sp = pieces.model(path, merges=True), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = odd_texts(rows)
     ids, at = m.encode(texts)
     for k, t in enumerate(texts):
         mine = ids[at[k] : at[k + 1]]
@@ -375,6 +379,49 @@ def test_pieces_equal_the_library(rows):
         assert m.decode(mine) == (t or "")
 
 
+def test_pieces_are_the_best_segmentation(rows):
+    path = _tokens.tokenizer_path("piece_bpe_32k.model")
+    m, library = pieces.model(path), pieces.model(path, merges=True)
+
+    def best(w):
+        """Of all segmentations the one with the highest score, then with the longest last pieces."""
+        found = []
+        for cut in range(1 << len(w) - 1):
+            parts, at = [], 0
+            for k in range(1, len(w) + 1):
+                if k == len(w) or cut >> k - 1 & 1:
+                    parts.append(w[at:k])
+                    at = k
+            if all(p in m.score or len(p) == 1 for p in parts):
+                total = sum(m.score[p] if p in m.score else m.byte_score * len(p.encode()) for p in parts)
+                found.append((total, [len(p) for p in reversed(parts)], parts))
+        return max(found)[2]
+
+    texts = odd_texts(rows)
+    words = sorted({w for t in texts for w in pieces._split(t)})
+    short = [w for w in words if len(w) <= 11]
+    assert len(short) > 300 and list(m.forward(short)) == [best(w) for w in short]
+    value = lambda parts: sum(m.score.get(p, m.byte_score * len(p.encode())) for p in parts)
+    for w, mine, theirs in zip(words, m.forward(words), library.merged(words)):
+        assert "".join(mine) == w and value(mine) >= value(theirs)
+    ids, at = m.encode(texts)
+    for k, t in enumerate(texts):
+        assert m.decode(ids[at[k] : at[k + 1]]) == (t or "")
+
+
+def test_pieces_query_equals_a_plain_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    from gapweave.llm import queries
+
+    m = pieces.Model(_tokens.tokenizer_path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    for r in queries.op8_sentencepiece(spark, "/root/testdata/sf0.001").collect():
+        t = texts[r["doc_id"]]
+        ids = [i for w in pieces._split(t) for i in m.numbers(next(m.forward([w])))]
+        want = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(t), hashlib.sha256(t.encode()).hexdigest())
+        assert (r["n_tokens"], r["ids_crc32"], r["n_chars"], r["decoded_sha256"]) == want
+
+
 def test_pieces_as_columns(docs, none):
     encoded = pieces.encode(docs)
     back = pieces.decode(encoded).join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).distinct(), "doc_id")
