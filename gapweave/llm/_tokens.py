@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 
-CACHE_CHARS = 24_000_000
+CACHE_CHARS = 6_000_000
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -21,8 +21,9 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
 class ChunkEncoder:
     """Encodes texts chunk by chunk, where spaces, tabs and line ends are bounds no token crosses.
 
-    It suits tokenizers that drop white space. Each distinct chunk is encoded once; the cache
-    is emptied when it holds more than CACHE_CHARS characters.
+    It suits tokenizers that drop white space. Each distinct chunk is encoded once; when the cache
+    holds more than CACHE_CHARS characters, only the chunks that were met most often stay, half as
+    many characters at most.
     """
 
     def __init__(self, path: str):
@@ -32,18 +33,28 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self._clear()
 
+    def _shed(self) -> None:
+        words, n = list(self.index), len(self.index)
+        order = np.argsort(-self.met[:n], kind="stable")
+        chars = np.cumsum(np.fromiter(map(len, words), np.int64, n)[order])
+        keep = order[(self.met[order] > 1) & (chars <= CACHE_CHARS // 2)]
+        keep = np.append(0, keep[keep > 0])
+        kept = [self.ids[a : a + k].copy() for a, k in zip(self.start[keep].tolist(), self.size[keep].tolist())]
+        self._clear()
+        self._put([words[k] for k in keep[1:].tolist()], kept[1:])
+
     def _clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size, self.chars = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.start, self.size, self.met, self.chars = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def _add(self, new: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+    def _put(self, new: list[str], found: list) -> None:
+        """Add chunks that are not in the cache, with their ids."""
         n = len(self.index)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         total = int(sizes.sum())
         while len(self.start) < n + len(new):
-            self.start, self.size = np.concatenate([self.start, self.start * 0]), np.concatenate([self.size, self.size * 0])
+            self.start, self.size, self.met = (np.concatenate([x, x * 0]) for x in (self.start, self.size, self.met))
         while len(self.ids) < self.used + total:
             self.ids = np.concatenate([self.ids, self.ids * 0])
         self.size[n : n + len(new)] = sizes
@@ -57,12 +68,13 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the n + 1 places where texts begin; null counts as empty."""
         if self.chars > CACHE_CHARS:
-            self._clear()
+            self._shed()
         parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         flat = [w for p in parts for w in p]
         if new := [w for w in set(flat) if w not in self.index]:
-            self._add(new)
+            self._put(new, [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)])
         at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        self.met[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         size = self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import _arrow
 
@@ -10,22 +10,21 @@ from . import _arrow
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every linked node, root being the least node of its component.
 
-    Each step joins links with the least neighbour of a node, found by an aggregation that
-    combines before its shuffle; no step gathers a node's neighbours. Links are cut off their
-    lineage in the shared folder after every round. Loops, repeats and nulls are ignored; no
-    links give no rows.
+    A step looks at the links by one end, takes the least neighbour of that end and links the others
+    to it: first larger neighbours to the least one (large star), then smaller ones (small star).
+    Links are cut off their lineage in the shared folder after every round. Loops, repeats and nulls
+    are ignored; no links give no rows.
     """
     _arrow.shared_dir(links.sparkSession)
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct().checkpoint()
-    before = None
+    end, before = Window.partitionBy("u"), None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
         before = state
-        both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least)
-        e = small.distinct().checkpoint()
+        both = e.union(e.select("v", "u")).withColumn("m", F.least(F.min("v").over(end), "u"))
+        large = both.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        small = large.withColumn("m", F.min("v").over(end))
+        pairs = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        e = small.select(pairs.alias("p")).select("p.*").filter("u <> v").distinct().checkpoint()

@@ -185,6 +185,19 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _dense_or_places(counts: np.ndarray) -> bytes:
+    """SLICE counters as their bytes, those of one weight side by side (so that compression finds the zeros), or, if shorter, the places of what was counted."""
+    if counts.sum() < SLICE // 2:
+        return np.repeat(np.arange(SLICE, dtype=np.uint16), counts).tobytes()
+    return np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _counts(raw: bytes) -> np.ndarray:
+    if len(raw) < 8 * SLICE:
+        return np.bincount(np.frombuffer(raw, np.uint16), minlength=SLICE)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def frequency_classes(docs: DataFrame) -> np.ndarray:
     """A class from 0 (least) to 255 (most frequent) for each of PLACES counters.
 
@@ -208,23 +221,20 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
             total += np.bincount((np.concatenate(held) & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
         parts = total.reshape(-1, SLICE)
         used = np.flatnonzero(parts.any(1))
-        # bytes of the same weight side by side, so that the shuffle's compression finds the zeros
-        planes = [np.ascontiguousarray(parts[k].view(np.uint8).reshape(-1, 8).T).tobytes() for k in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(planes, pa.binary())], ["slice", "planes"])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([_dense_or_places(parts[k]) for k in used], pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, x in zip(batch.column("slice").to_pylist(), batch.column("planes")):
-                x = np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-                sums[k] = sums[k] + x if k in sums else x
+            for k, x in zip(batch.column("slice").to_pylist(), batch.column("counts")):
+                sums[k] = sums.get(k, 0) + _counts(x.as_py())
         for k, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "planes"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "counts"])
 
-    schema = "slice int, planes binary"
+    schema = "slice int, counts binary"
     sums = docs.select("text").mapInArrow(tally, schema).repartition(_partitions(docs.sparkSession), "slice").mapInArrow(add, schema).toArrow()
     total = np.zeros((PLACES // SLICE, SLICE), np.float32)
-    for k, x in zip(sums.column("slice").to_pylist(), sums.column("planes").to_pylist()):
+    for k, x in zip(sums.column("slice").to_pylist(), sums.column("counts").to_pylist()):
         total[k] = np.frombuffer(x, np.int64)
     mean = total.mean(dtype=np.float64)
     above = (total.ravel() - np.float32(mean)) / np.float32(np.sqrt(mean + 1))
@@ -466,17 +476,17 @@ def _block_pairs(table: pa.Table, percent: int, closest: bool) -> list[tuple[int
     return out
 
 
-def _across(members: DataFrame, percent: int, closest: bool) -> DataFrame:
+def _across(members: DataFrame, nodes: DataFrame, percent: int, closest: bool) -> DataFrame:
     """Pairs of nodes of different components of the same list that no filter rules out; with `closest` for each node and other component of a block the closest one.
 
-    members: sig, gid, code, place, sid, n, bits, comp. The nodes of a list's largest component are dealt
-    to blocks of about BLOCK and meet only the nodes outside it; those are few where a list is long,
-    and are dealt to blocks that meet each other too.
+    members: sig, gid, code, place, sid, comp. Lists with one component are left out. The nodes of a
+    list's largest component are dealt to blocks of about BLOCK and meet only the nodes outside it;
+    those are few where a list is long, and are dealt to blocks that meet each other too.
     """
     sizes = members.groupBy("sig", "comp").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"))
     blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
     sizes = sizes.select("sig", F.col("top.comp").alias("top"), blocks(F.col("m") - F.col("top.c")).alias("others"), blocks(F.col("top.c")).alias("tops")).filter("others > 0")
-    m = members.join(sizes, "sig").withColumn("h", F.xxhash64("sid", "sig"))
+    m = members.join(sizes, "sig").join(nodes.select("sid", "n", "bits"), "sid").withColumn("h", F.xxhash64("sid", "sig"))
     m = m.withColumn("i", F.when(F.col("comp") == F.col("top"), F.col("others") + F.pmod("h", F.col("tops"))).otherwise(F.pmod("h", F.col("others"))).cast("int"))
     m = m.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(F.col("comp") == F.col("top"), F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1)))
     m = m.select("sig", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "gid", "code", "place", "sid", "comp", "n", "bits")
@@ -550,14 +560,11 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
     whole = whole.union(lists.filter(F.size("gids") > SMALL).select("sig")).distinct()
     listed = lists.join(whole, "sig", "left_semi").select("sig", F.posexplode("gids").alias("at", "gid"), "codes", "places")
     listed = listed.select("sig", "gid", F.expr("codes[at]").alias("code"), F.expr("places[at]").cast("int").alias("place"))
-    listed = listed.union(several.filter("k > 2").select("gid", "gid", F.lit(0), F.lit(0)))
+    listed = listed.union(several.filter("k > 2").select("gid", "gid", F.lit(0), F.lit(0))).join(nodes.select("sid", "gid"), "gid").checkpoint()
     for closest in (True, False):
         comp = components(links)
-        placed = nodes.select("sid", "gid").join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "gid", F.coalesce("root", "sid").alias("comp"))
-        members = listed.join(placed, "gid")
-        mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-        members = members.join(mixed, "sig", "left_semi").join(nodes.select("sid", "n", "bits"), "sid")
-        more = _across(members, percent, closest).join(tested, ["a", "b"], "left_anti").checkpoint()
+        members = listed.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root").checkpoint()
+        more = _across(members, nodes, percent, closest).join(tested, ["a", "b"], "left_anti").checkpoint()
         links = links.union(_verified(more, base, nodes, percent))
         tested = tested.union(more)
     comp = components(links)
