@@ -541,3 +541,14 @@ def test_secrets_take_private_keys_whole(spark):
     df = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in secrets.scan(df, secrets.train(secrets.labelled_findings()), ("doc_id", "text"), redact="[SECRET]").collect()}
     assert [r["text"] for _, r in sorted(got.items())] == ["é before\n[SECRET]\nafter [SECRET] end", "open [SECRET]\nand prose goes on here", "[SECRET] alone"]
+
+
+def test_token_cache_sheds_without_changing_ids(rows, monkeypatch):
+    monkeypatch.setattr(_tokens, "CACHE_CHARS", 300)
+    e = _tokens.ChunkEncoder(_tokens.tokenizer_path("word_bpe_49k.json"))
+    texts = [t for _, t, *_ in rows]
+    for k in range(0, len(texts), 5):
+        ids, at = e.encode(texts[k : k + 5])
+        for j, t in enumerate(texts[k : k + 5]):
+            assert ids[at[j] : at[j + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+    assert 1 < len(e.index) < len({w for t in texts for w in (t or "").split()})
