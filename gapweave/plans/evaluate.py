@@ -37,6 +37,45 @@ def local_entropy(grey: np.ndarray, window: int) -> np.ndarray:
     return np.maximum(np.log2(n) - total / n, 0.0)
 
 
+def entropies(patches: DataFrame, shape: tuple[int, int, int], stored: DataFrame | None = None, windows: Sequence[int] = ENTROPY_WINDOWS) -> DataFrame:
+    """patch_id and entropy_N for each window: the manifest's mean_entropy_N, else that of `stored`, else computed from `clean`.
+
+    patches: patch_id, clean and what the manifest has of the mean_entropy_N columns; `stored` has one row a
+    patch_id and some of the entropy_N columns. NaN counts as missing. Pixels of patches that lack nothing are not
+    sent to Python; a patch without usable pixels keeps nulls.
+    """
+    names = [f"entropy_{n}" for n in windows]
+    number = lambda c: F.when(~F.isnan(c), c.cast("double"))
+    known = {n: [number(F.col(f"mean_{n}"))] if f"mean_{n}" in patches.columns else [] for n in names}
+    rows = patches.select("patch_id", "clean", *(f"mean_{n}" for n in names if known[n]))
+    if stored is not None:
+        have = [n for n in names if n in stored.columns]
+        rows = rows.join(stored.select("patch_id", *(F.col(n).alias(f"stored_{n}") for n in have)), "patch_id", "left")
+        for n in have:
+            known[n].append(number(F.col(f"stored_{n}")))
+    rows = rows.select("patch_id", "clean", *(F.coalesce(*known[n], F.lit(None).cast("double")).alias(n) for n in names))
+    lacking = F.exists(F.array(*names), lambda x: x.isNull())
+    h, w, c = shape
+    ship(patches.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, pixels in pdf["clean"].items():
+                try:
+                    grey = None if pixels is None else np.asarray(pixels, float).reshape(h, w, c).mean(2)
+                except (TypeError, ValueError):  # not this many numbers
+                    grey = None
+                if grey is not None and np.isfinite(grey).all():
+                    for n, name in zip(windows, names):
+                        if pd.isna(pdf.at[i, name]):
+                            pdf.at[i, name] = local_entropy(grey, n).mean()
+            yield pdf[["patch_id", *names]]
+
+    kind = dict(patches.dtypes)["patch_id"]
+    out = rows.withColumn("clean", F.when(lacking, F.col("clean"))).mapInPandas(run, f"patch_id {kind}, " + ", ".join(f"{n} double" for n in names))
+    return out.withColumns({n: number(F.col(n)) for n in names})
+
+
 def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int, int], params: dict[str, dict] | None = None, keep_arrays: bool = False, tasks: int | None = None, windows: Sequence[int] = ENTROPY_WINDOWS) -> DataFrame:
     """Results rows for every patch row and method.
 

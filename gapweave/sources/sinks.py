@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.scalars import NOISE_LABELS, lookup
 from ..operators.summary import extremes
 from .tables import exists
 
@@ -16,20 +17,43 @@ def append(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
 
 
 def rewrite(df: DataFrame, path: str, key: str = "patch_id") -> None:
-    """Overwrite a table, keeping columns only the stored one has; written beside, then swapped in."""
+    """Overwrite a table, keeping columns only the stored one has; written beside, then swapped in.
+
+    The stored table is moved aside first and deleted last: if the swap stops between, it lies whole under
+    `<path>.before` and the next call puts it back. A key that the stored table repeats is an error; rows of a
+    null key get no kept columns.
+    """
     spark = df.sparkSession
-    if exists(spark, path):
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    there, staged, before = (p(path.rstrip("/") + end) for end in ("", ".staged", ".before"))
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def move(a, b):
+        if not fs.rename(a, b):
+            raise OSError(f"{a} could not be moved to {b}")
+
+    if fs.exists(before) and not fs.exists(there):
+        move(before, there)
+    stored = exists(spark, path)
+    if stored:
         old = spark.read.parquet(path)
         extra = [c for c in old.columns if c not in df.columns]
         if extra:
-            df = df.join(old.select(key, *extra), key, "left")
-    staged = f"{path.rstrip('/')}.staged"
-    df.write.mode("overwrite").parquet(staged)
-    p = spark._jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(p(path), True)
-    if not fs.rename(p(staged), p(path)):
-        raise OSError(f"{staged} could not be moved to {path}")
+            kept = old.filter(F.col(key).isNotNull()).select(key, *extra)
+            if kept.groupBy(key).count().filter("count > 1").limit(1).count():
+                raise ValueError(f"{path} repeats values of {key}")
+            df = df.join(kept, key, "left")
+    df.write.mode("overwrite").parquet(str(staged.toString()))
+    if stored:
+        fs.delete(before, True)
+        move(there, before)
+    move(staged, there)
+    fs.delete(before, True)
+
+
+def by_noise_label(df: DataFrame, path: str) -> None:
+    """Evaluation rows as CSV, one folder for each label of a noise level; other levels keep their own name."""
+    df.withColumn("noise", lookup(F.col("noise_level"), NOISE_LABELS)).write.mode("overwrite").option("header", True).partitionBy("noise").csv(path)
 
 
 def summaries(df: DataFrame, path: str) -> None:

@@ -205,3 +205,74 @@ def test_executors_get_the_package(spark):
 
     ship(spark)
     assert any("gapweave.zip" in str(f) for f in spark.sparkContext.listFiles)
+
+
+@pytest.mark.parametrize("model", sorted(fills.RISES))
+def test_every_variogram_keeps_known_pixels_and_smooth_fields(model):
+    y, x = np.mgrid[:12, :12] / 11
+    clean, mask = 0.5 + 0.3 * np.sin(2 * x) * np.cos(y), np.random.default_rng(5).random((12, 12)) < 0.3
+    got = fills.kriging(np.where(mask, 0, clean), mask, model=model)
+    assert np.array_equal(got[~mask], clean[~mask]) and np.abs(got - clean)[mask].mean() < 0.05
+
+
+def test_unknown_variogram_is_an_error(patch):
+    with pytest.raises(fills.MethodError):
+        fills.kriging(*patch, model="cubic")
+
+
+def test_variogram_finds_the_slope_of_a_line():
+    points = np.stack([np.arange(40.0), np.zeros(40)], 1)
+    nugget, slope, _ = fills.variogram(points, points[:, 0], 6, "linear")
+    assert nugget == 0 and slope > 0
+    p = fills.variogram(points, points[:, 0], 6, "power")[2]
+    assert 1.6 < p < 2
+
+
+def test_entropies_without_usable_pixels_are_null(spark):
+    rows = [(1, [0.0, 1.0, 0.0, 1.0], float("nan"), None), (2, None, None, None), (3, [1.0], None, 2.0), (4, [0.5] * 4, 3.0, float("nan"))]
+    p = spark.createDataFrame(rows, "patch_id long, clean array<double>, mean_entropy_3 double, mean_entropy_5 double")
+    got = {r[0]: r[1:] for r in ev.entropies(p, (2, 2, 1), windows=[3, 5]).collect()}
+    assert got == {1: (1.0, 1.0), 2: (None, None), 3: (None, 2.0), 4: (3.0, 0.0)}
+    stored = spark.createDataFrame([(1, 7.0), (2, 8.0)], "patch_id long, entropy_3 double")
+    got = {r[0]: r[1:] for r in ev.entropies(p, (2, 2, 1), stored, [3, 5]).collect()}
+    assert got == {1: (7.0, 1.0), 2: (8.0, None), 3: (None, 2.0), 4: (3.0, 0.0)}
+    assert ev.entropies(p.limit(0), (2, 2, 1), stored).count() == 0
+
+
+def test_summary_with_interval_is_the_bootstrap_of_each_group(spark):
+    values = {k: np.random.default_rng(i).random(30).round(6) for i, k in enumerate("ab")}
+    df = spark.createDataFrame([(k, i, float(x)) for k, v in values.items() for i, x in enumerate(v)] + [(None, 0, 1.0), ("c", 0, None)], "method string, i int, psnr double")
+    got = {r["method"]: r for r in summary.with_interval(df, ["method"], order=["i"]).collect()}
+    assert set(got) == {"a", "b"}
+    for k, v in values.items():
+        assert np.allclose((got[k]["ci95_lo"], got[k]["ci95_hi"]), summary.bootstrap_mean(v)) and abs(got[k]["mean"] - v.mean()) < 1e-12
+
+
+def test_grids_and_preferred_columns():
+    assert [scalars.grid_shape(n) for n in (0, 1, 2, 4, 5, 7, 13, 17)] == [(1, 1), (1, 2), (1, 2), (2, 2), (2, 3), (3, 3), (4, 4), (5, 4)]
+    assert scalars.preferred(["entropy_31", "entropy_15"]) == "entropy_15" and scalars.preferred(["x", "entropy_9", "entropy_31"]) == "entropy_31"
+    assert scalars.preferred(["entropy_7", "entropy_15"], ("entropy_15", "entropy_7")) == "entropy_15" and scalars.preferred(["psnr"]) is None
+
+
+def test_rewrite_keeps_columns_and_mends_a_stopped_swap(spark, tmp_path):
+    import os
+
+    from gapweave.sources import sinks
+
+    path = str(tmp_path / "t")
+    sinks.rewrite(spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "patch_id int, note string"), path)
+    os.rename(path, path + ".before")  # as if the swap had stopped
+    sinks.rewrite(spark.createDataFrame([(1, 5), (3, 6), (None, 7)], "patch_id int, v int"), path)
+    got = {tuple(r) for r in spark.read.parquet(path).select("patch_id", "v", "note").collect()}
+    assert got == {(1, 5, "a"), (3, 6, None), (None, 7, None)} and sorted(os.listdir(tmp_path)) == ["t"]
+    sinks.rewrite(spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "patch_id int, v int, note string"), path)
+    with pytest.raises(ValueError):
+        sinks.rewrite(spark.createDataFrame([(1, 5)], "patch_id int, w int"), path)
+
+
+def test_csv_by_noise_label(spark, tmp_path):
+    from gapweave.sources import sinks
+
+    sinks.by_noise_label(spark.createDataFrame([("inf", 1), ("20", 2), ("7", 3)], "noise_level string, n int"), str(tmp_path / "c"))
+    got = {(r["noise"], r["n"]) for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()}
+    assert got == {("gap_only", "1"), ("snr20dB", "2"), ("7", "3")}
