@@ -76,17 +76,6 @@ def row_mean(*columns: str) -> Column:
     return F.when(count > 0, total / count)
 
 
-def grid_shape(n: int, least: int = 2, most: int = 4, steepest: float = 1.35) -> tuple[int, int]:
-    """Rows and columns of a near-square grid of n panels, one column wider where it would be too tall."""
-    if n <= 0:
-        return 1, 1
-    side = next(k for k in range(1, n + 1) if k * k >= n)
-    cols = min(max(side, least), most)
-    tall = -(-n // cols) / cols > steepest
-    cols += tall and cols < most
-    return -(-n // cols), cols
-
-
 def arguments(options: Column) -> Column:
     """`--name value` pairs of a map of texts by key, underscores as hyphens; null values are left out."""
     entries = F.array_sort(F.filter(F.map_entries(options), lambda e: e["value"].isNotNull()))

@@ -449,9 +449,9 @@ def report_scalars(spark, sf):
     return o.select("o_orderkey", S.p_text(F.col("p")).alias("p_text"), F.round(2 * F.col("k") - 1, 6).alias("cliff"), F.least(F.lit(1.0), F.col("p") * 10).alias("bonferroni"))
 
 
-@query(f"{W} SELECT order_id, line_no, CASE noise_level WHEN 'inf' THEN 'gap_only' WHEN '40' THEN 'snr40dB' WHEN '30' THEN 'snr30dB' ELSE 'snr20dB' END AS noise, round((psnr - entropy_7) / 2, 6) AS half_width, concat_ws(' ', '--batch-size ' || line_no, '--noise-level ' || noise_level, CASE WHEN seed > 0 THEN '--seed ' || seed END) AS arguments FROM fact")
+@query(f"{W} SELECT order_id, line_no, CASE noise_level WHEN 'inf' THEN 'gap_only' WHEN '40' THEN 'snr40dB' WHEN '30' THEN 'snr30dB' ELSE 'snr20dB' END AS noise, (psnr - entropy_7) / 2 AS half_width, concat_ws(' ', '--batch-size ' || line_no, '--noise-level ' || noise_level, CASE WHEN seed > 0 THEN '--seed ' || seed END) AS arguments FROM fact")
 def report_texts(spark, sf):
     """Noise labels, half the width between two bounds and arguments of a command."""
     text = lambda c: F.col(c).cast("string")
     options = F.create_map(F.lit("seed"), F.when(F.col("seed") > 0, text("seed")), F.lit("noise_level"), text("noise_level"), F.lit("batch_size"), text("line_no"))
-    return fact(spark, sf).select("order_id", "line_no", S.lookup(F.col("noise_level"), S.NOISE_LABELS).alias("noise"), F.round(su.half_width(F.col("entropy_7"), F.col("psnr")), 6).alias("half_width"), S.arguments(options).alias("arguments"))
+    return fact(spark, sf).select("order_id", "line_no", S.lookup(F.col("noise_level"), S.NOISE_LABELS).alias("noise"), su.half_width(F.col("entropy_7"), F.col("psnr")).alias("half_width"), S.arguments(options).alias("arguments"))

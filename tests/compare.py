@@ -22,7 +22,7 @@ def rows(names: list[str], data: list) -> list[tuple]:
     return sorted((tuple(r[i] for i in order) for r in data), key=lambda r: tuple((v is None, str(round(v, 3) + 0.0) if isinstance(v, float) else str(v)) for v in r))
 
 
-def same(a, b, tolerance: float = 2e-6) -> bool:
+def same(a, b, tolerance: float = 1e-9) -> bool:
     if a is None or b is None:
         return a is None and b is None
     if isinstance(a, float) or isinstance(b, float):

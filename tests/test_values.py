@@ -248,8 +248,7 @@ def test_summary_with_interval_is_the_bootstrap_of_each_group(spark):
         assert np.allclose((got[k]["ci95_lo"], got[k]["ci95_hi"]), summary.bootstrap_mean(v)) and abs(got[k]["mean"] - v.mean()) < 1e-12
 
 
-def test_grids_and_preferred_columns():
-    assert [scalars.grid_shape(n) for n in (0, 1, 2, 4, 5, 7, 13, 17)] == [(1, 1), (1, 2), (1, 2), (2, 2), (2, 3), (3, 3), (4, 4), (5, 4)]
+def test_preferred_columns():
     assert scalars.preferred(["entropy_31", "entropy_15"]) == "entropy_15" and scalars.preferred(["x", "entropy_9", "entropy_31"]) == "entropy_31"
     assert scalars.preferred(["entropy_7", "entropy_15"], ("entropy_15", "entropy_7")) == "entropy_15" and scalars.preferred(["psnr"]) is None
 
