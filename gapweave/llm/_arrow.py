@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,23 +17,6 @@ from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, through Spark's own file server."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="ship")) / f"{root.name}.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(str(out))
-    _shipped.add(sc.applicationId)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; set only where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

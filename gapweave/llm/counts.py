@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship
 from . import _arrow, _tokens
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -30,7 +31,7 @@ DELTAS = "source string, lang string, tokenizer_version string, n_docs long, n_t
 
 def count_tokens(docs: DataFrame, version: str = "word_bpe_49k", folder: str | None = None, keep: tuple[str, ...] = ("doc_id", "source", "lang")) -> DataFrame:
     """`keep` columns, tokenizer_version and n_tokens of every whole text (null: 0)."""
-    _arrow.ship(docs.sparkSession)
+    ship(docs.sparkSession)
     path = _tokens.tokenizer_path(f"{version}.json", folder)
     kinds = dict(docs.dtypes)
 

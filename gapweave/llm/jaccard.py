@@ -41,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship
 from . import _arrow
 from .components import components
 
@@ -515,7 +516,7 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
     component as the one with the least doc_id (null last) and text hash, or has no words.
     """
     spark = docs.sparkSession
-    _arrow.ship(spark)
+    ship(spark)
     _arrow.shared_dir(spark)
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     base = base.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))

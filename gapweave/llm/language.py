@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import ship
 from . import _arrow
 
 HIDDEN = 8
@@ -195,7 +196,7 @@ def _lettered(raw: bytes) -> bool:
 
 def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Net:
     """Learn from text and lang of the rows for which `learn` holds; a hash of doc_id and text samples them."""
-    _arrow.ship(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = docs.filter(learn).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("h"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -216,7 +217,7 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> N
 
 def identify(docs: DataFrame, net: Net, keep: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """`keep` columns, the predicted language and its pooled probability of every whole text."""
-    _arrow.ship(docs.sparkSession)
+    ship(docs.sparkSession)
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out[0]}` string, `{out[1]}` double"
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from . import _arrow
 
 BLOCK = 576
@@ -160,7 +161,7 @@ def demux(stream: bytes) -> tuple[bytes, np.ndarray, np.ndarray, int, int]:
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes (before padding) and media: a transport stream for each text."""
-    _arrow.ship(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +179,7 @@ def read(stored: DataFrame, payloads: bool = False) -> DataFrame:
     With `payloads` the payload itself comes along. feature: transport packets of the stream,
     units, random-access points, counter errors, first and last stamp, distinct byte values.
     """
-    _arrow.ship(stored.sparkSession)
+    ship(stored.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stamps array<long>, access_points array<long>"
     names = [x.split()[0] for x in schema.split(", ")] + ["payload"] * payloads
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())] + [pa.binary()] * payloads

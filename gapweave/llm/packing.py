@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from . import _arrow, _tokens
 
 CAPACITY = 4096
@@ -100,7 +101,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacit
     `tokenizer` is the path of a vocabulary file on the executors. With `with_ids` the pieces
     carry their ids. Sequence ids are unique, not dense: the task's number stands in the high bits.
     """
-    _arrow.ship(docs.sparkSession)
+    ship(docs.sparkSession)
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     path = tokenizer or _tokens.tokenizer_path("word_bpe_49k.json")
     types = [pa.int64()] * 9 + [pa.list_(pa.int32())] * with_ids

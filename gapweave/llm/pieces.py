@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from . import _arrow, _tokens
 
 MARK = "▁"
@@ -251,7 +252,7 @@ def model(path: str, merges: bool = False) -> Model:
 
 def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", merges: bool = False) -> DataFrame:
     """doc_id, ids array<int>, n_tokens and ids_crc32 (little-endian unsigned 32-bit ids) of every text; `merges` as in the module's docstring."""
-    _arrow.ship(docs.sparkSession)
+    ship(docs.sparkSession)
     path = path or _tokens.tokenizer_path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +270,7 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
 
 def decode(encoded: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns and the text of the ids of every row."""
-    _arrow.ship(encoded.sparkSession)
+    ship(encoded.sparkSession)
     path = path or _tokens.tokenizer_path("piece_bpe_32k.model")
     kinds = dict(encoded.dtypes)
 

@@ -25,6 +25,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from . import _arrow
 
 BASE = ("email", "ip", "card", "phone")
@@ -221,7 +222,7 @@ def spans(t: str) -> list[tuple[str, int, int]]:
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and spans array<struct<kind, start, end>> of every document."""
-    _arrow.ship(docs.sparkSession)
+    ship(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

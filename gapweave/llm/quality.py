@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import ship
 from . import _arrow
 
 DIM = 192
@@ -141,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: object, label: str = "quali
     labels has doc_id and the label column (0 or 1). A fifth of the labelled rows calibrates.
     """
     spark = docs.sparkSession
-    _arrow.ship(spark)
+    ship(spark)
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # statistics are a few numbers a row, so the shuffle of the join carries no text
@@ -200,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: object, label: str = "quali
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
     """`keep` columns and the calibrated score of each text (0 to 1, higher: better) under the name `out`."""
-    _arrow.ship(docs.sparkSession)
+    ship(docs.sparkSession)
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out}` double"
 

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from . import _arrow, _tokens
 
 TREES, DEPTH, LEAF, SEED = 40, 10, 2, 5
@@ -304,7 +305,7 @@ def scan(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",), p
 
     With `redact`, the kept text has this string in the place of each secret.
     """
-    _arrow.ship(docs.sparkSession)
+    ship(docs.sparkSession)
     kinds = dict(docs.dtypes)
     struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("secret", pa.bool_())]))
     vocabulary = vocabulary or _tokens.tokenizer_path("word_bpe_49k.json")
