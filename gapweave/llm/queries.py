@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import counts, fingerprints, jaccard, language, media, packing, pieces, pii, quality, secrets
+from . import counts, fingerprints, jaccard, language, media, packing, pieces, pii, quality, secrets, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("stamps", "access_points")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_fingerprints, op5_token_counts, op6_ngram_jaccard, op7_pii, op8_sentencepiece, op9_packing, op10_media)}
+    return {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_fingerprints, op5_token_counts, op6_ngram_jaccard, op7_pii, op8_sentencepiece, op9_packing, op10_media, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
