@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of its own in the shared one, deleted at the end."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and its n + 1 offsets; null counts as empty."""
     column = pc.fill_null(column, "")
@@ -89,6 +102,7 @@ LOWER[65:91] += 32
 LOWER_CODE = BYTE_CODE[LOWER]
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])  # what separates terms of digits, letters and bytes over 127
 
 
 def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,11 +115,11 @@ def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and the n + 1 word numbers at which documents begin."""
+def words(buf: np.ndarray, at: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes not set in `apart`, and the n + 1 word numbers at which documents begin."""
     n = len(buf)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~SPACE[buf]
+    inside[1:-1] = ~apart[buf]
     first = inside[1:-1] & ~inside[:-2]
     last = inside[1:-1] & ~inside[2:]
     edges = at[1:-1]
@@ -116,9 +130,9 @@ def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(buf: np.ndarray, at: np.ndarray, code: np.ndarray = LOWER_CODE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, at: np.ndarray, code: np.ndarray = LOWER_CODE, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (A-Z lower-cased) and the documents' word numbers."""
-    starts, ends, bounds = words(buf, at)
+    starts, ends, bounds = words(buf, at, apart)
     if not len(starts):
         return np.zeros(0, np.uint64), bounds
     up, down = _upto(len(buf))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import counts, fingerprints, jaccard, language, media, packing, pieces, pii, quality, secrets, whitening
+from . import counts, fingerprints, jaccard, language, lexical, media, packing, pieces, pii, quality, secrets, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,13 +75,27 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("stamps", "access_points")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_fingerprints, op5_token_counts, op6_ngram_jaccard, op7_pii, op8_sentencepiece, op9_packing, op10_media, op13_whitening)}
+    return {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_fingerprints, op5_token_counts, op6_ngram_jaccard, op7_pii, op8_sentencepiece, op9_packing, op10_media, op11_lexical_search, op13_whitening)}
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+LEXICAL_SQL = f"""WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY 1),
+b AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score FROM b JOIN w USING (term) JOIN p USING (term) JOIN d USING (doc_id), c GROUP BY 1, 2),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_lexical_search": LEXICAL_SQL}
