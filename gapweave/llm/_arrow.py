@@ -15,7 +15,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 20
 
@@ -44,6 +44,19 @@ def scratch(spark: SparkSession, name: str) -> Iterator[str]:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Tables:
+    """Tables written one after another to a folder: each cuts the lineage where executors can read it again."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.n = spark, path, 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        at = f"{self.path}/{self.n}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and its n + 1 offsets; null counts as empty."""
     column = pc.fill_null(column, "")

@@ -21,8 +21,8 @@ document's set holds its distinct shingles of WIDTH words (64-bit hashes). Sets
    that are still open, all pairs left. So links between components are all found, and a group of
    near copies is merged without its pairs being listed.
 
-Memory: a task holds one bucket of postings (17 bytes each), one block pair, or one pivot's set
-and the set that is compared with it.
+Memory: a task holds one bucket of postings (19 bytes each; their number follows the counted shingles), one
+block pair, or one set and the set that is compared with it. What follows the lists is in `links`.
 
 Cases: null, empty and wordless texts have n_shingles 0 and link with nothing; shorter texts
 have their whole sequence as one shingle; very long texts are taken whole; rows with the same
@@ -43,49 +43,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
 from . import _arrow
-from .components import components
+from .links import PLACE_SCALE, Filter, alike, bitmap, labelled, partitions, set_id, sets, settle, signed, size_code
 
 WIDTH, PERCENT = 5, 80
 PLACES, SLICE = 1 << 20, 1 << 14  # frequency counters, and those of them that travel in one row
 SMALL = 16  # groups of a list whose pairs are all taken if they pass the filters
 STAR = 256  # groups of a list that one pivot can take
-BLOCK = 2048
-SIZE_SCALE, PLACE_SCALE = 2048, 256  # steps of a size's logarithm, and of a place as a share of the size
-MOST_BITS = 1 << 17  # of a bitmap; smaller sets have a bit or two for each shingle
-BROADCAST_ROWS = 200_000  # rows of up to 28 bytes
-TOKEN_BYTES = 6  # of a shingle's hash in a posting; fewer bits only add candidates
-POSTING = TOKEN_BYTES + 8 + 2 + 1
+POSTING = 8 + 8 + 2 + 1  # bytes of a posting: shingle, group, size, place
+BUCKET = 4 << 20  # bytes of postings that a task holds at once
 FLUSH = 16 << 20  # bytes of text between two flushes of a task's buckets
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _sets(part: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """The sorted set of each document of a slice."""
-    h, at = _arrow.shingle_hashes(*_arrow.utf8(part.column("text")), WIDTH)
-    for k in range(part.num_rows):
-        u = np.sort(h[at[k] : at[k + 1]])
-        if len(u) > 1:
-            keep = np.empty(len(u), bool)
-            keep[0] = True
-            np.not_equal(u[1:], u[:-1], out=keep[1:])
-            u = u[keep]
-        yield u
-
-
-def set_id(u: np.ndarray) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(u.tobytes()))
-
-
 def group_key(first: np.ndarray, size: int) -> int:
     """128 bits for a prefix and a set size; the lower 64 are the group's id."""
     return xxhash.xxh3_128_intdigest(first.tobytes(), size)
 
 
 def _group(key: int) -> int:
-    return _signed(key & (1 << 64) - 1)
+    return signed(key & (1 << 64) - 1)
 
 
 def prefix(u: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -95,46 +70,7 @@ def prefix(u: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> np.nda
     return u[np.argsort(c, kind="stable")[:size]]
 
 
-def bitmap(u: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles that fall on each place."""
-    size = min(MOST_BITS, max(64, 1 << (len(u) - 1).bit_length()))
-    return np.packbits(np.bincount((u >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1 != 0).tobytes()
-
-
-def _apart(x: bytes, y: bytes) -> int:
-    """The distance of two bitmaps, the longer one folded to the length of the shorter one."""
-    while len(x) != len(y):
-        if len(x) < len(y):
-            x, y = y, x
-        half = len(x) // 2
-        x = (int.from_bytes(x[:half], "big") ^ int.from_bytes(x[half:], "big")).to_bytes(half, "big")
-    return (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count()
-
-
-def size_code(n: int) -> int:
-    return min(65535, int(math.log(n) * SIZE_SCALE))
-
-
-class _Filter:
-    """Which pairs of a list's groups can link, by size and by place; lenient by more than the codes' rounding.
-
-    A shared shingle at places i and j of two sets in one order leaves at most min(i, j) shared
-    shingles before it and min(n - i, m - j) from it on.
-    """
-
-    def __init__(self, code: np.ndarray, place: np.ndarray, percent: int):
-        self.code, self.percent = code.astype(np.int64), percent
-        self.n = np.exp(self.code / SIZE_SCALE)
-        self.before, self.after = self.n * (place + 1.0) / PLACE_SCALE, self.n * (1 - place / PLACE_SCALE)
-        self.slack = math.ceil(SIZE_SCALE * math.log(100 / percent)) + 2
-
-    def __call__(self, k, other) -> np.ndarray:
-        shared = np.minimum(self.before[k], self.before[other]) + 1 + np.minimum(self.after[k], self.after[other])
-        need = self.percent * (self.n[k] + self.n[other]) / (100 + self.percent)
-        return (np.abs(self.code[k] - self.code[other]) <= self.slack) & (shared * 1.002 + 1 >= need * 0.999)
-
-
-def pivots(allowed: _Filter, n: int) -> np.ndarray:
+def pivots(allowed: Filter, n: int) -> np.ndarray:
     """For each group of a list in order of size the group that it is paired with, or itself.
 
     The list is taken in runs of STAR groups. In a run the first group without a pivot becomes one
@@ -154,7 +90,7 @@ def pivots(allowed: _Filter, n: int) -> np.ndarray:
     return lead
 
 
-def partnered(allowed: _Filter, n: int) -> np.ndarray:
+def partnered(allowed: Filter, n: int) -> np.ndarray:
     """Which groups of a list in order of size pass the filter with any other one; neighbours are tried first."""
     every = np.arange(n)
     out = np.zeros(n, bool)
@@ -172,7 +108,7 @@ def partnered(allowed: _Filter, n: int) -> np.ndarray:
     return out
 
 
-def group_pairs(allowed: _Filter, n: int) -> tuple[np.ndarray, np.ndarray]:
+def group_pairs(allowed: Filter, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of a list's groups that are taken at once, by places in the list."""
     if n <= SMALL:
         one, other = np.triu_indices(n, 1)
@@ -182,10 +118,6 @@ def group_pairs(allowed: _Filter, n: int) -> tuple[np.ndarray, np.ndarray]:
     return lead[lead != every], every[lead != every]
 
 
-def _partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _dense_or_places(counts: np.ndarray) -> bytes:
     """SLICE counters as their bytes, those of one weight side by side (so that compression finds the zeros), or, if shorter, the places of what was counted."""
     if counts.sum() < SLICE // 2:
@@ -199,8 +131,8 @@ def _counts(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def frequency_classes(docs: DataFrame) -> np.ndarray:
-    """A class from 0 (least) to 255 (most frequent) for each of PLACES counters.
+def frequency_classes(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """A class from 0 (least) to 255 (most frequent) for each of PLACES counters, and the number of all shingles.
 
     Every shingle of every document is counted once at the place of its low bits. A place's class
     follows from how many standard deviations of a mean place's count it lies above the mean (in
@@ -213,7 +145,7 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
         total, held, size = np.zeros(PLACES, np.int64), [], 0
         for batch in batches:
             for part in _arrow.slices(batch, "text"):
-                held += list(_sets(part))
+                held += list(sets(part, WIDTH))
                 size += sum(map(len, held[-part.num_rows :]))
                 if size > PLACES:
                     total += np.bincount((np.concatenate(held) & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
@@ -233,13 +165,13 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "counts"])
 
     schema = "slice int, counts binary"
-    sums = docs.select("text").mapInArrow(tally, schema).repartition(_partitions(docs.sparkSession), "slice").mapInArrow(add, schema).toArrow()
+    sums = docs.select("text").mapInArrow(tally, schema).repartition(partitions(docs.sparkSession), "slice").mapInArrow(add, schema).toArrow()
     total = np.zeros((PLACES // SLICE, SLICE), np.float32)
     for k, x in zip(sums.column("slice").to_pylist(), sums.column("counts").to_pylist()):
         total[k] = np.frombuffer(x, np.int64)
     mean = total.mean(dtype=np.float64)
     above = (total.ravel() - np.float32(mean)) / np.float32(np.sqrt(mean + 1))
-    return np.clip(np.where(above < 10, 40 + 8 * above, 120 + 8 * np.log2(np.maximum(above, 10) / 10)), 0, 255).astype(np.uint8)
+    return np.clip(np.where(above < 10, 40 + 8 * above, 120 + 8 * np.log2(np.maximum(above, 10) / 10)), 0, 255).astype(np.uint8), int(total.sum(dtype=np.float64))
 
 
 def _packed(keys: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -267,10 +199,11 @@ def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndar
         yield np.concatenate(held)
 
 
-def _lists(base: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
+def _lists(base: DataFrame, classes: np.ndarray, percent: int, total: int) -> DataFrame:
     """sig, gids, codes, places, ones, others: each list of groups that can link once, in order of size, with the pairs to take by places in it."""
-    parts = _partitions(base.sparkSession)
-    buckets = max(64, 4 * parts)
+    parts = partitions(base.sparkSession)
+    # a prefix holds about the share of its set that links need not share
+    buckets = max(64, 4 * parts, min(1 << 30, total * (100 - percent) // 100 * POSTING // BUCKET))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -278,12 +211,12 @@ def _lists(base: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
 
         def out():
             x = np.concatenate(tokens)
-            return _packed(x, np.concatenate([x.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES], np.concatenate(tails)], 1), buckets)
+            return _packed(x, np.concatenate([x.view(np.uint8).reshape(-1, 8), np.concatenate(tails)], 1), buckets)
 
         for batch in batches:
             for part in _arrow.slices(batch, "text"):
                 size += part.nbytes
-                for u in _sets(part):
+                for u in sets(part, WIDTH):
                     if not len(u):
                         continue
                     p = prefix(u, classes, percent)
@@ -311,10 +244,9 @@ def _lists(base: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for raw in _unpacked(batches, POSTING):
-            token, gid = np.zeros((len(raw), 8), np.uint8), np.ascontiguousarray(raw[:, TOKEN_BYTES : TOKEN_BYTES + 8])
-            token[:, :TOKEN_BYTES] = raw[:, :TOKEN_BYTES]
-            token, gid = token.view(np.uint64).ravel(), gid.view(np.int64).ravel()
-            code = np.ascontiguousarray(raw[:, TOKEN_BYTES + 8 : TOKEN_BYTES + 10]).view(np.uint16).ravel()
+            token = np.ascontiguousarray(raw[:, :8]).view(np.uint64).ravel()
+            gid = np.ascontiguousarray(raw[:, 8:16]).view(np.int64).ravel()
+            code = np.ascontiguousarray(raw[:, 16:18]).view(np.uint16).ravel()
             # most shingles stand in one posting only: leave them before the sort by three keys
             order = np.argsort(token, kind="stable")
             t = token[order]
@@ -326,7 +258,7 @@ def _lists(base: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
             token, gid, code, place = token[fresh], gid[fresh], code[fresh], place[fresh]
             first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
             size = np.diff(np.append(first, len(token)))
-            allowed = _Filter(code, place, percent)
+            allowed = Filter(code, place, percent)
             twos = first[size == 2]
             hopeless = set(twos[~allowed(twos, twos + 1)].tolist())
             rows = []
@@ -338,10 +270,10 @@ def _lists(base: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
                     continue
                 seen.add(s)
                 take = np.arange(a, a + n)
-                take = take[partnered(_Filter(code[take], place[take], percent), n)]
+                take = take[partnered(Filter(code[take], place[take], percent), n)]
                 if len(take):
-                    one, other = group_pairs(_Filter(code[take], place[take], percent), len(take))
-                    rows.append((_signed(s), gid[take], code[take].astype(np.int32), place[take].astype(np.int16), one.astype(np.int32), other.astype(np.int32)))
+                    one, other = group_pairs(Filter(code[take], place[take], percent), len(take))
+                    rows.append((signed(s), gid[take], code[take].astype(np.int32), place[take].astype(np.int16), one.astype(np.int32), other.astype(np.int32)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["sig", "gids", "codes", "places", "ones", "others"])
             if len(seen) > 500_000:
@@ -349,164 +281,7 @@ def _lists(base: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
 
     postings = base.select("text").mapInArrow(post, "bucket int, payload binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     # equal lists of several tasks stand for different shingles; the places of one of them are enough, as each alone bounds the pairs
-    return postings.mapInArrow(lists, "sig long, gids array<long>, codes array<int>, places array<short>, ones array<int>, others array<int>").dropDuplicates(["sig"]).checkpoint()
-
-
-def _alike(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sizes (n, m) and bitmaps (x, y) allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            good = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
-            x, y = batch.column("x"), batch.column("y")
-            for k in np.flatnonzero(good).tolist():
-                # intersection <= (n + m - apart) / 2, and it must reach percent * (n + m) / (100 + percent)
-                total = int(n[k] + m[k])
-                good[k] = (total - _apart(x[k].as_py(), y[k].as_py())) * (100 + percent) >= 2 * percent * total
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, base: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b of nodes that link, by their whole sets, which are built anew from the texts.
-
-    The set of a and those of its partners meet in one task, one after another. Texts outside the
-    pairs do not reach Python. The rows that tell where a set must go are broadcast only if they were
-    counted to be no more than BROADCAST_ROWS; otherwise both sides are shuffled.
-    """
-    to = pairs.select("a", F.col("b").alias("sid"), F.lit(1).alias("role")).union(pairs.select("a", F.col("a").alias("sid"), F.lit(0)).distinct())
-    sent = F.broadcast if 2 * pairs.count() <= BROADCAST_ROWS else (lambda df: df)
-    keys = nodes.select("sid", "key").join(sent(to.select("sid").distinct()), "sid", "left_semi").select("key").distinct()
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _arrow.slices(batch, "text"):
-                found = [u for u in _sets(part) if len(u)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(set_id, found), pa.int64()), pa.array([u.tobytes() for u in found], pa.binary())], ["sid", "shingles"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pivot = None, None
-        for batch in batches:
-            left, right = [], []
-            for a, sid, role, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "sid", "role")), batch.column("shingles")):
-                if not role:
-                    now, pivot = a, np.frombuffer(raw.as_py(), np.uint64)
-                elif a == now:
-                    u = np.frombuffer(raw.as_py(), np.uint64)
-                    both = np.sort(np.concatenate([pivot, u]))
-                    shared = int((both[1:] == both[:-1]).sum())
-                    if 100 * shared >= percent * (len(both) - shared):
-                        left.append(a)
-                        right.append(sid)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    sets = base.join(sent(keys), "key", "left_semi").select("text").mapInArrow(take, "sid long, shingles binary")
-    met = sets.join(sent(to), "sid").select("a", "sid", "role", "shingles")
-    return met.repartition(_partitions(base.sparkSession), "a").sortWithinPartitions("a", "role").mapInArrow(run, "a long, b long").checkpoint()
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """The rows of each key after another from batches that are sorted by key."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy() for k in keys]
-        edge = np.zeros(batch.num_rows, bool)
-        edge[0] = True
-        for c in columns:
-            edge[1:] |= c[1:] != c[:-1]
-        starts = np.append(np.flatnonzero(edge), batch.num_rows)
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            key = tuple(int(c[a]) for c in columns)
-            if key != now and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _block_pairs(table: pa.Table, percent: int, closest: bool) -> list[tuple[int, int]]:
-    """Pairs of nodes of one block pair: groups are filtered first, then their nodes by component and bitmap."""
-    p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-    gid, sid, comp, n, i = (table.column(c).to_numpy() for c in ("gid", "sid", "comp", "n", "i"))
-    raw = table.column("bits").to_pylist()
-    longs = np.array([len(x) for x in raw])
-    kinds = {}
-    for length in np.unique(longs).tolist():
-        at = np.flatnonzero(longs == length)
-        kinds[length] = at, np.frombuffer(b"".join(raw[k] for k in at.tolist()), np.uint64).reshape(len(at), length // 8)
-    row = np.zeros(len(sid), np.int64)
-    for at, _ in kinds.values():
-        row[at] = np.arange(len(at))
-    _, first, group = np.unique(gid, return_index=True, return_inverse=True)
-    allowed = _Filter(table.column("code").to_numpy()[first], table.column("place").to_numpy()[first], percent)
-    out: list[tuple[int, int]] = []
-    everyone = np.arange(len(first))
-    order = np.argsort(group, kind="stable")
-    ends = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
-    for g in range(len(first)):
-        passes = allowed(g, everyone)[group]
-        for k in order[ends[g] : ends[g + 1]].tolist():
-            # within one block each pair once; between two blocks from the first to the second
-            if p != q and i[k] != p:
-                continue
-            at = np.flatnonzero(passes & (comp != comp[k]) & (np.minimum(n[k], n) * 100 >= np.maximum(n[k], n) * percent) & ((sid > sid[k]) if p == q else (i == q)))
-            if not len(at):
-                continue
-            margin = np.zeros(len(at), np.int64)
-            for length in np.unique(longs[at]).tolist():
-                here = longs[at] == length
-                x, y = kinds[longs[k]][1][row[k]], kinds[length][1][row[at[here]]]
-                while x.shape[-1] > y.shape[-1]:
-                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                while y.shape[-1] > x.shape[-1]:
-                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-                total = n[at[here]] + n[k]
-                margin[here] = (total - np.bitwise_count(y ^ x).sum(1, dtype=np.int64)) * (100 + percent) - 2 * percent * total
-            at, margin = at[margin >= 0], margin[margin >= 0]
-            if closest and len(at) > 1:
-                at = at[np.lexsort((sid[at], -margin))]
-                at = at[np.unique(comp[at], return_index=True)[1]]
-            out += [(min(x, sid[k]), max(x, sid[k])) for x in sid[at].tolist()]
-    return out
-
-
-def _across(members: DataFrame, nodes: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Pairs of nodes of different components of the same list that no filter rules out; with `closest` for each node and other component of a block the closest one.
-
-    members: sig, gid, code, place, sid, comp. Lists with one component are left out. The nodes of a
-    list's largest component are dealt to blocks of about BLOCK and meet only the nodes outside it;
-    those are few where a list is long, and are dealt to blocks that meet each other too.
-    """
-    sizes = members.groupBy("sig", "comp").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"))
-    blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
-    sizes = sizes.select("sig", F.col("top.comp").alias("top"), blocks(F.col("m") - F.col("top.c")).alias("others"), blocks(F.col("top.c")).alias("tops")).filter("others > 0")
-    m = members.join(sizes, "sig").join(nodes.select("sid", "n", "bits"), "sid").withColumn("h", F.xxhash64("sid", "sig"))
-    m = m.withColumn("i", F.when(F.col("comp") == F.col("top"), F.col("others") + F.pmod("h", F.col("tops"))).otherwise(F.pmod("h", F.col("others"))).cast("int"))
-    m = m.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(F.col("comp") == F.col("top"), F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1)))
-    m = m.select("sig", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "gid", "code", "place", "sid", "comp", "n", "bits")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-
-        def out():
-            x = np.array(sorted(found), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
-
-        for table in _runs(batches, ("sig", "p", "q")):
-            found.update(_block_pairs(table, percent, closest))
-            if len(found) > 200_000:
-                yield out()
-                found.clear()
-        yield out()
-
-    return m.repartition(_partitions(members.sparkSession), "sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long").distinct()
+    return postings.mapInArrow(lists, "sig long, gids array<long>, codes array<int>, places array<short>, ones array<int>, others array<int>").dropDuplicates(["sig"])
 
 
 def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", by_row: bool = False) -> DataFrame:
@@ -517,61 +292,49 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
     """
     spark = docs.sparkSession
     ship(spark)
-    _arrow.shared_dir(spark)
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    base = base.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
-    further = ["text_hash"] if by_row else []
-    if by_row:
-        base = base.withColumn("text_hash", F.xxhash64("text"))
+    base = base.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("text_hash", F.xxhash64("text"))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    classes = frequency_classes(base)
+    classes, total = frequency_classes(base)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _arrow.slices(batch, "text"):
                 n, sid, gid, bits = [], [], [], []
-                for u in _sets(part):
+                for u in sets(part, WIDTH):
                     n.append(len(u))
                     sid.append(set_id(u) if len(u) else None)
                     gid.append(_group(group_key(prefix(u, classes, percent), len(u))) if len(u) else None)
                     bits.append(bitmap(u) if len(u) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(gid, pa.int64()), pa.array(bits, pa.binary()), *map(part.column, further)],
-                    ["doc_id", "key", "n", "sid", "gid", "bits", *further],
+                    [*map(part.column, ("doc_id", "key", "text_hash")), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(gid, pa.int64()), pa.array(bits, pa.binary())],
+                    ["doc_id", "key", "text_hash", "n", "sid", "gid", "bits"],
                 )
 
-    rows = base.mapInArrow(describe, "doc_id long, key long, n long, sid long, gid long, bits binary" + "".join(f", {c} long" for c in further)).checkpoint()
-    per_set = [F.min(c).alias(c) for c in ("gid", "n", "key", "bits")] + [F.min("doc_id").alias("least"), *([F.min(row).alias("first")] if by_row else [])]
-    nodes = rows.filter("sid is not null").groupBy("sid").agg(*per_set).checkpoint()
-
-    lists = _lists(base, classes, percent)
-    several = nodes.groupBy("gid").agg(F.count("*").alias("k"), F.min("sid").alias("head")).checkpoint()
-
-    # pairs of groups, expanded to the first node of the pivot group and all nodes of the other one
-    entries = lists.select("gids", F.explode(F.arrays_zip("ones", "others")).alias("p"))
-    groups = entries.select(F.expr("gids[p.ones]").alias("one"), F.expr("gids[p.others]").alias("gid")).distinct()
-    groups = groups.union(several.filter("k > 1").select("gid", "gid"))
-    heads = several.join(nodes.select(F.col("sid").alias("head"), "n", F.col("bits").alias("x")), "head").select(F.col("gid").alias("one"), F.col("head").alias("a"), "n", "x")
-    pairs = groups.join(heads, "one").join(nodes.select("gid", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "gid").filter("a <> b")
-    tested = _alike(pairs, percent).distinct().checkpoint()
-    links = _verified(tested, base, nodes, percent)
-
-    # lists whose pairs of nodes are not all tested yet: long ones, and those with a group of several nodes
-    whole = lists.filter(F.size("gids") <= SMALL).select("sig", F.explode("gids").alias("gid")).join(several.filter("k > 1"), "gid").select("sig")
-    whole = whole.union(lists.filter(F.size("gids") > SMALL).select("sig")).distinct()
-    listed = lists.join(whole, "sig", "left_semi").select("sig", F.posexplode("gids").alias("at", "gid"), "codes", "places")
-    listed = listed.select("sig", "gid", F.expr("codes[at]").alias("code"), F.expr("places[at]").cast("int").alias("place"))
-    listed = listed.union(several.filter("k > 2").select("gid", "gid", F.lit(0), F.lit(0))).join(nodes.select("sid", "gid"), "gid").checkpoint()
-    for closest in (True, False):
-        comp = components(links)
-        members = listed.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root").checkpoint()
-        more = _across(members, nodes, percent, closest).join(tested, ["a", "b"], "left_anti").checkpoint()
-        links = links.union(_verified(more, base, nodes, percent))
-        tested = tested.union(more)
-    comp = components(links)
-
-    full = nodes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = full.groupBy("root").agg(F.min("least").alias("component_id"), *([F.min("first").alias("stands")] if by_row else []))
-    labels = full.join(least, "root").select("sid", "component_id", *(["stands"] if by_row else []))
-    more_columns = ["text_hash", F.coalesce(F.col("stands").eqNullSafe(row) | F.col("sid").isNull(), F.lit(False)).alias("stays")] if by_row else []
-    return rows.join(labels, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"), *more_columns)
+    with _arrow.scratch(spark, "jaccard") as path:
+        table = _arrow.Tables(spark, path)
+        rows = table(base.mapInArrow(describe, "doc_id long, key long, text_hash long, n long, sid long, gid long, bits binary"))
+        per_set = [F.min(c).alias(c) for c in ("gid", "n", "key", "bits")]
+        nodes = table(rows.filter("sid is not null").groupBy("sid").agg(*per_set, F.min("doc_id").alias("least"), F.min(row).alias("first")))
+        lists = table(_lists(base, classes, percent, total))
+        several = table(nodes.groupBy("gid").agg(F.count("*").alias("k"), F.min("sid").alias("head")))
+
+        # pairs of groups, expanded to the first node of the pivot group and all nodes of the other one
+        entries = lists.select("gids", F.explode(F.arrays_zip("ones", "others")).alias("p"))
+        groups = entries.select(F.expr("gids[p.ones]").alias("one"), F.expr("gids[p.others]").alias("gid")).distinct()
+        groups = groups.union(several.filter("k > 1").select("gid", "gid"))
+        heads = several.select(F.col("gid").alias("one"), F.col("head").alias("a"))
+        pairs = groups.join(heads, "one").join(nodes.select("gid", F.col("sid").alias("b")), "gid").filter("a <> b")
+        tested = table(alike(pairs.select("a", "b").distinct(), nodes, percent))
+
+        # lists whose pairs of nodes are not all tested yet: long ones, and those with a group of several nodes
+        whole = lists.filter(F.size("gids") <= SMALL).select("sig", F.explode("gids").alias("gid")).join(several.filter("k > 1"), "gid").select("sig")
+        whole = whole.union(lists.filter(F.size("gids") > SMALL).select("sig")).distinct()
+        listed = lists.join(whole, "sig", "left_semi").select("sig", F.posexplode("gids").alias("at", "gid"), "codes", "places")
+        listed = listed.select("sig", "gid", F.expr("codes[at]").alias("code"), F.expr("places[at]").cast("int").alias("place"))
+        listed = table(listed.union(several.filter("k > 2").select("gid", "gid", F.lit(0), F.lit(0))).join(nodes.select("sid", "gid"), "gid"))
+
+        comp = settle(tested, listed, nodes, base, percent, WIDTH, table)
+        out = labelled(rows.select("doc_id", "text_hash", "n", "sid"), nodes, comp)
+        stays = F.coalesce(F.col("stands").eqNullSafe(row) | F.col("sid").isNull(), F.lit(False)).alias("stays")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"), *(["text_hash", stays] if by_row else [])).checkpoint()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gapweave.llm import _arrow, _tokens, components, counts, fingerprints, jaccard, language, media, packing, pieces, pii, quality, secrets
+from gapweave.llm import _arrow, _tokens, components, counts, fingerprints, jaccard, language, links, media, packing, pieces, pii, quality, secrets
 
 
 
@@ -279,7 +279,8 @@ def test_join_finds_links_beyond_pivots(spark):
 
 
 def test_join_compares_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(links, "BLOCK", 3)
+    monkeypatch.setattr(links, "DEALT", 2)
     base = [f"w{i}" for i in range(60)]
     rows = []
     for k in range(30):
@@ -295,8 +296,8 @@ def test_join_compares_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("small", [16, 2])
 def test_join_of_groups_with_several_nodes(spark, monkeypatch, small):
     # short sets: prefixes of a few shingles, so that many nodes share one
-    for name, value in (("SMALL", small), ("STAR", 3), ("BLOCK", 4)):
-        monkeypatch.setattr(jaccard, name, value)
+    for module, name, value in ((jaccard, "SMALL", small), (jaccard, "STAR", 3), (links, "BLOCK", 4)):
+        monkeypatch.setattr(module, name, value)
     rng = np.random.default_rng(7)
     rows = []
     for k in range(90):
@@ -312,11 +313,15 @@ def test_join_of_groups_with_several_nodes(spark, monkeypatch, small):
         assert got == brute(rows, percent)
 
 
-def test_components_of_long_chains(spark):
-    links = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7), (None, 3), (100, 101)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert all(got[k] == 0 for k in range(41)) and got[102] == got[101] == got[100] == 100
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+def test_components_of_long_chains_and_hubs(spark, tmp_path):
+    table = _arrow.Tables(spark, str(tmp_path))
+    chain = [((k * 37) % 101, ((k + 1) * 37) % 101) for k in range(100)]  # nodes of a chain in no order
+    pairs = [*chain, (1000, 1001), (1002, 1001), (7, 7), (None, 3), (1000, 1001), *((5000, 5001 + k) for k in range(300)), *((6000 - k, 6000) for k in range(50))]
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    got = {r["node"]: r["root"] for r in components.components(df, table).collect()}
+    assert all(got[k] == 0 for k in range(101)) and got[1002] == got[1001] == got[1000] == 1000
+    assert all(got[5000 + k] == 5000 for k in range(301)) and all(got[6000 - k] == 5951 for k in range(50))
+    assert components.components(spark.createDataFrame([], "a long, b long"), table).count() == 0
 
 
 # ---- 7 PII ----------------------------------------------------------------------------------
