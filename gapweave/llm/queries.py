@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import counts, fingerprints, jaccard, language, lexical, media, packing, pieces, pii, quality, secrets, whitening
+from . import circulant, counts, fingerprints, jaccard, language, lexical, media, packing, pieces, pii, quality, secrets, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,12 +79,16 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant.dedup(_documents(spark, sf_dir))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_fingerprints, op5_token_counts, op6_ngram_jaccard, op7_pii, op8_sentencepiece, op9_packing, op10_media, op11_lexical_search, op13_whitening)}
+    return {f.__name__: f for f in (op1_language_id, op2_secrets, op3_quality, op4_fingerprints, op5_token_counts, op6_ngram_jaccard, op7_pii, op8_sentencepiece, op9_packing, op10_media, op11_lexical_search, op12_near_dedup, op13_whitening)}
 
 
 _TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"

@@ -10,7 +10,7 @@ from gapweave.llm import queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", [*range(1, 11), 12])
 def test_each_operator_has_one_query_over_all_documents(spark, n):
     names = [k for k in __spark_entry__.queries() if re.match(rf"op{n}_", k)]
     assert len(names) == 1
