@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import ConfigError
 from ..schemas import NOISE_LEVELS
+from . import order
 
 BUCKETS = ("low", "medium", "high")
 
@@ -41,8 +41,8 @@ def bucket_mask(value: Column, low: Column | float, high: Column | float, names:
 
 
 def cutoffs(df: DataFrame, column: str, quantiles: Sequence[float] = (1 / 3, 2 / 3), by: Sequence[str] = ()) -> DataFrame:
-    """One row (for each group of `by`) with the exact, linearly interpolated quantiles lo and hi."""
-    q = df.filter(F.col(column).isNotNull()).groupBy(*by).agg(F.percentile(column, list(quantiles)).alias("q"))
+    """One row (for each group of `by`) with the exact, linearly interpolated quantiles lo and hi; none without values."""
+    q = order.quantiles(df, column, quantiles, by)
     return q.select(*by, F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
 
 
@@ -106,31 +106,32 @@ def first_seed(selections: DataFrame) -> DataFrame:
 
 
 def hash_split(df: DataFrame, key: str, by: str, shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
-    """Stratified train, val and test by the order of a hash within each stratum; the rest is test."""
-    w = Window.partitionBy(by).orderBy(F.sha2(F.concat_ws("|", F.col(by), F.col(key).cast("string")), 256), key)
-    n = F.count("*").over(Window.partitionBy(by))
-    place = F.row_number().over(w)
-    a = F.floor(n * shares[0])
-    b = a + F.floor(n * shares[1])
-    return df.withColumn("split", F.when(place <= a, "train").when(place <= b, "val").otherwise("test"))
+    """Stratified train, val and test by the order of a hash within each stratum; the rest is test.
+
+    The sizes are exact; places come from counts by ranges of the hash, so no stratum is one task.
+    """
+    placed = order.hash_places(df, [by], F.concat_ws("|", F.col(by), F.col(key).cast("string")), key)
+    sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
+    a = F.floor(F.col("_n") * shares[0])
+    b = a + F.floor(F.col("_n") * shares[1])
+    split = F.when(F.col("place") <= a, "train").when(F.col("place") <= b, "val").otherwise("test")
+    return order.same_groups(placed, sizes, [by]).withColumn("split", split).select(*df.columns, "split")
 
 
 def sample_ids(df: DataFrame, by: str, most: int, seed: int = 42, key: str = "patch_id") -> DataFrame:
-    """At most `most` ids of each group, drawn without replacement from the sorted ids, in order.
+    """by, key and draw (from 0): at most `most` ids of each group, drawn without replacement in the order of a seeded hash.
 
-    Candidates are cut to the `most` first by a seeded hash before they reach Python, so no
-    group is gathered whole; numpy draws their order.
+    Any engine with SHA-256 makes the same draw. Ids are placed by counts of hash ranges, so no group is
+    gathered or sorted whole, whatever `most` is.
     """
-    kind = dict(df.dtypes)
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    picked = df.select(by, key).distinct().withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+    ids = df.select(by, key).distinct()
+    placed = order.hash_places(ids, [by], F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), key)
+    return placed.filter(F.col("place") <= most).select(by, key, (F.col("place") - 1).alias("draw"))
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(pdf[key].to_numpy())
-        order = np.random.default_rng(seed).permutation(len(ids))
-        return pd.DataFrame({by: pdf[by].iloc[:1].repeat(len(ids)).to_numpy(), key: ids, "draw": order})
 
-    return picked.groupBy(by).applyInPandas(draw, f"{by} {kind[by]}, {key} {kind[key]}, draw long")
+def spawned(seeds: Sequence[int]) -> list[int]:
+    """An independent seed for the draw of each seed."""
+    return [int(child.generate_state(1)[0]) for child in np.random.SeedSequence(list(seeds)).spawn(len(seeds))]
 
 
 def patch_plan(train: DataFrame, seeds: Sequence[int], most: int | None = None) -> DataFrame:
@@ -142,8 +143,8 @@ def patch_plan(train: DataFrame, seeds: Sequence[int], most: int | None = None)
     if most is None:
         return train.select("satellite", "patch_id").distinct().withColumn("seed", F.lit(int(seeds[0])))
     draws = None
-    for pos, (seed, child) in enumerate(zip(seeds, np.random.SeedSequence(list(seeds)).spawn(len(seeds)))):
-        got = sample_ids(train, "satellite", most, int(child.generate_state(1)[0])).select("satellite", "patch_id", F.lit(int(seed)).alias("seed"), F.lit(pos).alias("seed_pos"))
+    for pos, (seed, drawn) in enumerate(zip(seeds, spawned(seeds))):
+        got = sample_ids(train, "satellite", most, drawn).select("satellite", "patch_id", F.lit(int(seed)).alias("seed"), F.lit(pos).alias("seed_pos"))
         draws = got if draws is None else draws.unionByName(got)
     return first_seed(draws)
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import tails
-from ..session import ship
+from ..session import shared_dir, ship
+from . import order
 
 ALPHA = 0.05
 MAX_LEVELS = 1000  # of a category that becomes 0/1 columns
@@ -29,43 +30,24 @@ def _p(function, *columns: Column) -> Column:
     return run(*columns)
 
 
-def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
-    """Average ranks with ties, from counts of distinct values: no window runs over single rows.
-
-    Values are counted, counts are summed within each group, and ranks are joined back. Without
-    groups, running counts go over SPANS value ranges first, so no task gets all values.
-    """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    if by:
-        upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-        ranks = counts.withColumn(out, upto - (F.col("_c") - 1) / 2)
-    else:
-        edges = counts.agg(F.percentile_approx(value, [k / 64 for k in range(1, 64)], 1000).alias("q")).first()["q"] or []
-        edges = sorted(set(edges))
-        span = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(value))) if edges else F.lit(0)
-        counts = counts.withColumn("_s", span)
-        before = {r["_s"]: r["n"] for r in counts.groupBy("_s").agg(F.sum("_c").alias("n")).collect()}  # 64 rows at most
-        total, start = 0, []
-        for k in range(len(edges) + 1):
-            start.append(total)
-            total += before.get(k, 0)
-        upto = F.sum("_c").over(Window.partitionBy("_s").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.get(F.array(*map(F.lit, start)), F.col("_s"))
-        ranks = counts.withColumn(out, upto - (F.col("_c") - 1) / 2).drop("_s")
-    keys = [*by, value]
-    return df.join(ranks.withColumn(out, F.col(out).cast("double")).drop("_c"), keys)
-
-
 def correlations(df: DataFrame, xs: Sequence[str], ys: Sequence[str], by: Sequence[str] = ("method",)) -> DataFrame:
     """Pearson and Spearman of every pair of columns by group: by, x_name, y_name, n, r, rho.
 
-    Column pairs become rows of one frame, so all tests are one pass. Pairs need both values;
-    fewer than three give NULL.
+    A column is counted and ranked once, among the rows of each partner that has a value; all pairs are then
+    one aggregation. Pairs need both values, fewer than three give NULL; rows of a null group are dropped.
     """
-    pairs = F.explode(F.array(*(F.struct(F.lit(x).alias("x_name"), F.lit(y).alias("y_name"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for x in xs for y in ys)))
-    long = df.select(*by, pairs.alias("p")).select(*by, "p.*").filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    keys = [*by, "x_name", "y_name"]
-    ranked = average_ranks(average_ranks(long, "x", keys, "rx"), "y", keys, "ry")
-    got = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.corr("rx", "ry").alias("rho"))
+    has = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    rows = df.select(*by, *(F.col(c).cast("double").alias(c) for c in dict.fromkeys((*xs, *ys)))).na.drop(subset=list(by))
+    wide = rows
+    for own, others, side in ((xs, ys, "x"), (ys, xs, "y")):
+        for i, c in enumerate(own):
+            ranks = order.rank_table(rows.filter(has(c)), c, by, {f"_{side}{i}_{k}": has(o) for k, o in enumerate(others)})
+            wide = wide.join(ranks, [*by, c], "left")
+    pairs = [(i, j, x, y) for i, x in enumerate(xs) for j, y in enumerate(ys)]
+    one = lambda i, j, x, y: (F.count_if(has(x) & has(y)).alias(f"n{i}_{j}"), F.corr(F.when(has(x) & has(y), F.col(x)), F.when(has(x) & has(y), F.col(y))).alias(f"r{i}_{j}"), F.corr(f"_x{i}_{j}", f"_y{j}_{i}").alias(f"k{i}_{j}"))
+    got = wide.groupBy(*by).agg(*(c for p in pairs for c in one(*p)))
+    long = F.explode(F.array(*(F.struct(F.lit(x).alias("x_name"), F.lit(y).alias("y_name"), F.col(f"n{i}_{j}").alias("n"), F.col(f"r{i}_{j}").alias("r"), F.col(f"k{i}_{j}").alias("rho")) for i, j, x, y in pairs)))
+    got = got.select(*by, long.alias("p")).select(*by, "p.*").filter("n > 0")
     return got.withColumns({c: F.when(F.col("n") >= 3, F.col(c)) for c in ("r", "rho")})
 
 
@@ -73,25 +55,30 @@ def with_p(df: DataFrame, r: str, out: str, n: str = "n") -> DataFrame:
     return df.withColumn(out, _p(lambda a, b: tails.correlation_p(a, int(b)), F.col(r), F.col(n)))
 
 
-def fdr(df: DataFrame, p: str, out: str = "q", by: Sequence[str] = (), key: Sequence[str] = ()) -> DataFrame:
-    """Benjamini-Hochberg over the tests of a report: q and whether it is significant. NaN stays out."""
+def fdr(df: DataFrame, p: str, out: str = "q", by: Sequence[str] = ()) -> DataFrame:
+    """Benjamini-Hochberg over the tests of a report: q and whether it is significant. Null and NaN stay out.
+
+    Equal p share the rank of the last of them, whose p m / rank is the least, so q belongs to a distinct p: counts run
+    up over ranges of p and the least quotient runs down over them; no task sees all tests.
+    """
     tested = F.col(p).isNotNull() & ~F.isnan(p)
-    w = Window.partitionBy(*by, tested).orderBy(p, *key)
-    m = F.count("*").over(Window.partitionBy(*by, tested))
-    df = df.withColumn("_q", F.col(p) * m / F.row_number().over(w))
-    back = Window.partitionBy(*by, tested).orderBy(F.desc(p), *(F.desc(k) for k in key)).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.least(F.min("_q").over(back), F.lit(1.0))
-    return df.withColumn(out, F.when(tested, q)).withColumn("significant", F.coalesce(F.col(out) <= ALPHA, F.lit(False))).drop("_q")
+    counts = df.filter(tested).groupBy(*by, p).agg(F.count("*").alias("_c"))
+    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_m"))
+    placed = order.same_groups(order.running(counts, by, p, ["_c"]), sizes, by).withColumn("_quotient", F.col(p) * F.col("_m") / F.col("upto__c"))
+    qs = order.least_from(placed.select(*by, p, "_quotient"), by, p, "_quotient", "_q").select(*by, p, F.least("_q", F.lit(1.0)).alias(out))
+    got = order.same_groups(df, qs, [*by, p], "left").withColumn(out, F.when(tested, F.col(out)))
+    return got.withColumn("significant", F.coalesce(F.col(out) <= ALPHA, F.lit(False)))
 
 
 def kruskal(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Tie-corrected H, groups, n and epsilon squared; fewer than two groups give NULL."""
-    df = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*by, group, value)
-    ranked = average_ranks(df, value, by)
-    groups = ranked.groupBy(*by, group).agg(F.count("*").alias("c"), F.sum("rank").alias("s"))
+    """Tie-corrected H, groups, n and epsilon squared, all from one count by group and value; fewer than two groups give NULL."""
+    counts = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("_c"))
+    values = counts.groupBy(*by, value).agg(F.sum("_c").alias("_t"))
+    ranks = order.running(values, by, value, ["_t"]).select(*by, value, "_t", (F.col("upto__t") - (F.col("_t") - 1) / 2).alias("_rank"))
+    groups = order.same_groups(counts, ranks.drop("_t"), [*by, value]).groupBy(*by, group).agg(F.sum("_c").alias("c"), F.sum(F.col("_rank") * F.col("_c")).alias("s"))
     total = groups.groupBy(*by).agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("u"))
-    ties = df.groupBy(*by, value).agg(F.count("*").cast("double").alias("t")).groupBy(*by).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
-    both = total.join(ties, list(by)) if by else total.crossJoin(ties)  # one row each
+    t = F.col("_t").cast("double")
+    both = order.same_groups(total, values.groupBy(*by).agg(F.sum(t * t * t - t).alias("ties")), by)
     n = F.col("n").cast("double")
     h = (12 / (n * (n + 1)) * F.col("u") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
     return both.withColumn("h", F.when(F.col("k") >= 2, h)).withColumn("epsilon_sq", F.col("h") / (n - 1)).select(*by, "k", "n", "h", "epsilon_sq")
@@ -104,17 +91,16 @@ def kruskal_test(df: DataFrame, group: str, value: str) -> DataFrame:
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     """All pairs of groups: sizes, U of the first, Cliff's delta and the tie-corrected z.
 
-    Counts of distinct values by group are joined on the pair, so what is ranked again for each
-    pair is values, not rows. The number of groups is that of methods.
+    Counts of distinct values by group go to each pair of their group, so what is ranked again for each
+    pair is values, not rows, in value ranges. The number of groups is that of methods.
     """
     df = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     counts = df.groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
     names = counts.select("g").distinct()
     pairs = names.select(F.col("g").alias("a")).join(names.select(F.col("g").alias("b")), F.col("a") < F.col("b"))
-    rows = counts.join(F.broadcast(pairs), (F.col("g") == F.col("a")) | (F.col("g") == F.col("b")))  # pairs of method names
-    values = rows.groupBy("a", "b", "v").agg(F.sum(F.when(F.col("g") == F.col("a"), F.col("c")).otherwise(0)).alias("ca"), F.sum("c").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("a", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = values.withColumn("rank", (upto - (F.col("c") - 1) / 2).cast("double"))
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("g"))
+    values = counts.join(sides, "g").groupBy("a", "b", "v").agg(F.sum(F.when(F.col("g") == F.col("a"), F.col("c")).otherwise(0)).alias("ca"), F.sum("c").alias("c"))
+    ranked = order.running(values, ["a", "b"], "v", ["c"]).withColumn("rank", (F.col("upto_c") - (F.col("c") - 1) / 2).cast("double"))
     t = F.col("c").cast("double")
     got = ranked.groupBy("a", "b").agg(F.sum("ca").alias("n_a"), (F.sum("c") - F.sum("ca")).alias("n_b"), F.sum(F.col("rank") * F.col("ca")).alias("ra"), F.sum(t * t * t - t).alias("ties"))
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
@@ -152,14 +138,15 @@ def dummies(df: DataFrame, columns: Sequence[str], levels: dict[str, list[str]]
 def robust_regression(df: DataFrame, metric: str, numeric: Sequence[str], categories: Sequence[str] = ("method", "noise_level"), steps: int = 50, tolerance: float = 1e-8) -> tuple[pd.DataFrame, dict]:
     """Huber regression by reweighted least squares: coefficients and fit statistics.
 
-    Each step is one pass that sums normal equations of fixed size; residuals never leave the
-    executors. The scale is the median absolute residual, an exact percentile of the cluster.
-    Fewer than ten rows give an empty table.
+    The rows are written once to the shared folder. Each step is a pass that sums normal equations of fixed size, and the
+    two of an exact selection for the scale, the median absolute residual; residuals never leave the
+    executors. Fewer than ten rows give an empty table.
     """
+    shared_dir(df.sparkSession)
     df = df.na.drop(subset=[metric, *numeric, *categories])
     df, extra = dummies(df, categories)
     names = ["const", *numeric, *extra]
-    rows = df.select(F.array(F.lit(1.0), *(F.col(c).cast("double") for c in names[1:])).alias("x"), F.col(metric).cast("double").alias("y"))
+    rows = df.select(F.array(F.lit(1.0), *(F.col(c).cast("double") for c in names[1:])).alias("x"), F.col(metric).cast("double").alias("y")).checkpoint()
     n = rows.count()
     if n < 10:
         return pd.DataFrame(columns=["term", "coef", "se", "z", "p", "ci_lo", "ci_hi"]), {"n": n}
@@ -179,7 +166,7 @@ def robust_regression(df: DataFrame, metric: str, numeric: Sequence[str], catego
     scale = before = None
     for _ in range(steps):
         r = F.col("y") - fitted(beta)
-        scale = rows.agg(F.percentile(F.abs(r), 0.5).alias("m")).first()["m"] / MAD_TO_SIGMA
+        scale = order.quantiles(rows.select(F.abs(r).alias("r")), "r", [0.5]).first()["q"][0] / MAD_TO_SIGMA
         if not scale:
             break
         beta, _ = normal(F.least(F.lit(1.0), HUBER_T / F.greatest(F.abs(r / scale), F.lit(1e-300))))

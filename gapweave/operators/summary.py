@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import ship
+from . import order
 from .select import terciles
 
 RESAMPLES, LEVEL, SEED = 10_000, 0.95, 42
@@ -22,8 +23,11 @@ def summary(df: DataFrame, keys: Sequence[str], metric: str = "psnr", spread: bo
     df = df.filter(F.col(metric).isNotNull())
     for k in keys:
         df = df.filter(F.col(k).isNotNull())
-    more = [F.percentile(metric, 0.5).alias("median"), F.stddev_pop(metric).alias("std")] if spread else []
-    return df.groupBy(*keys).agg(F.count(metric).alias("n"), F.avg(metric).alias("mean"), *more)
+    got = df.groupBy(*keys).agg(F.count(metric).alias("n"), F.avg(metric).alias("mean"), *([F.stddev_pop(metric).alias("std")] if spread else []))
+    if not spread:
+        return got
+    median = order.quantiles(df, metric, [0.5], keys).select(*keys, F.get("q", F.lit(0)).alias("median"))
+    return order.same_groups(got, median, keys, "left").select(*keys, "n", "mean", "median", "std")
 
 
 def by_method(df: DataFrame, metric: str = "psnr") -> DataFrame:
@@ -158,11 +162,13 @@ def run_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], wall
     ok = F.col("status").eqNullSafe("ok")
     elapsed, wall = F.when(ok, F.col("elapsed_s")), F.sum("elapsed_s") if wall_time_s is None else F.lit(float(wall_time_s))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return df.groupBy(*keys).agg(
+    got = df.groupBy(*keys).agg(
         F.count("*").alias("n_rows"), F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_error"), (F.count_if(~ok) / F.count("*")).alias("error_rate"),
-        zero(F.avg(elapsed)).alias("mean_elapsed"), zero(F.percentile(elapsed, 0.95)).alias("p95_elapsed"), zero(F.when(wall > 0, F.count_if(ok) / wall)).alias("throughput"),
+        zero(F.avg(elapsed)).alias("mean_elapsed"), zero(F.when(wall > 0, F.count_if(ok) / wall)).alias("throughput"),
         *(f(F.when(ok, F.col(m))).alias(f"{m}_{name}") for m in metrics for name, f in (("mean", F.avg), ("std", F.stddev_samp))),
     )
+    p95 = order.quantiles(df.filter(ok), "elapsed_s", [0.95], keys).select(*keys, F.get("q", F.lit(0)).alias("p95_elapsed"))
+    return order.same_groups(got, p95, keys, "left").withColumn("p95_elapsed", zero(F.col("p95_elapsed")))
 
 
 def shares(df: DataFrame, key: str, expected: dict[str, float], within: float = 0.01) -> DataFrame:
@@ -192,7 +198,7 @@ def extremes(df: DataFrame, by: str, score: str, k: int, key: str = "patch_id")
 def representatives(df: DataFrame, column: str, points: Sequence[float] = (0.1, 0.5, 0.9), key: str = "patch_id") -> DataFrame:
     """The row nearest to each percentile of a column, the least key among equals."""
     df = df.filter(F.col(column).isNotNull())
-    q = df.agg(F.percentile(column, list(points)).alias("q"))
+    q = order.quantiles(df, column, points)
     targets = q.select(F.posexplode("q").alias("i", "target")).select("target", F.get(F.array(*map(F.lit, points)), F.col("i")).alias("percentile"))
     near = df.crossJoin(F.broadcast(targets)).groupBy("percentile").agg(F.min(F.struct(F.abs(F.col(column) - F.col("target")).alias("d"), F.col(key).alias(key), F.col(column).alias(column))).alias("best"))
     return near.select("percentile", f"best.{key}", f"best.{column}")
@@ -226,8 +232,8 @@ def linear_fit(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 def boxes(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Quartiles, mean and the whiskers: the last values within 1.5 quartile ranges."""
     df = df.filter(F.col(value).isNotNull())
-    q = df.groupBy(*keys).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("q"), F.avg(value).alias("mean"), F.count("*").alias("n"))
-    q = q.select(*keys, "n", "mean", *(F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)))
+    q = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    q = order.same_groups(q, order.quantiles(df, value, [0.25, 0.5, 0.75], keys), keys).select(*keys, "n", "mean", *(F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)))
     v, span = F.col(value), F.col("q3") - F.col("q1")
     inside = df.join(q, list(keys)).groupBy(*keys).agg(F.min(F.when(v >= F.col("q1") - 1.5 * span, v)).alias("whisker_lo"), F.max(F.when(v <= F.col("q3") + 1.5 * span, v)).alias("whisker_hi"))
     return q.join(inside, list(keys))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import order
 from ..operators import stats as st
+from ..session import shared_dir
 from ..streaming.checkpoints import incremental
 from .registry import query, r
 from .views import FACT_SQL, fact, table
@@ -14,12 +16,12 @@ W = f"WITH {FACT_SQL}"
 
 @query(f"{W} SELECT order_id, line_no, rank() OVER (PARTITION BY method ORDER BY entropy_7) + (count(*) OVER (PARTITION BY method, entropy_7) - 1) / 2.0::DOUBLE AS rank FROM fact")
 def avg_rank(spark, sf):
-    return st.average_ranks(fact(spark, sf).select("method", "order_id", "line_no", "entropy_7"), "entropy_7", ["method"]).select("order_id", "line_no", "rank")
+    return order.average_ranks(fact(spark, sf).select("method", "order_id", "line_no", "entropy_7"), "entropy_7", ["method"]).select("order_id", "line_no", "rank")
 
 
 @query("SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS rank FROM lineitem")
 def global_rank(spark, sf):
-    return st.average_ranks(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity").select("l_orderkey", "l_linenumber", "rank")
+    return order.average_ranks(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity").select("l_orderkey", "l_linenumber", "rank")
 
 
 @query(f"{W} SELECT method, count(*) AS n, round(corr(entropy_7, psnr), 6) AS r FROM fact WHERE psnr IS NOT NULL GROUP BY 1")
@@ -52,7 +54,7 @@ def pivot_corr(spark, sf):
 @query("WITH t AS (SELECT p_partkey AS test, ((p_partkey * 7919) % 10007 + 0.5) / 20014.0 AS p FROM part), k AS (SELECT *, row_number() OVER (ORDER BY p, test) AS i, count(*) OVER () AS m FROM t) SELECT test, round(least(1, min(p * m / i) OVER (ORDER BY p DESC, test DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM k")
 def fdr_bh(spark, sf):
     t = table(spark, sf, "part").select(F.col("p_partkey").alias("test"), (((F.col("p_partkey") * 7919) % 10007 + F.lit(0.5)) / F.lit(20014.0)).cast("double").alias("p"))
-    return st.fdr(t, "p", key=["test"]).select("test", r("q"))
+    return st.fdr(t, "p").select("test", r("q"))
 
 
 @query(f"{W}, k AS (SELECT method, psnr, rank() OVER (ORDER BY psnr) + (count(*) OVER (PARTITION BY psnr) - 1) / 2.0::DOUBLE AS rk FROM fact WHERE psnr IS NOT NULL), g AS (SELECT method, count(*) AS c, sum(rk) AS s FROM k GROUP BY 1), t AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*)::DOUBLE AS t FROM k GROUP BY psnr)), a AS (SELECT count(*) AS k, sum(c)::DOUBLE AS n, sum(s * s / c) AS u FROM g), h AS (SELECT k, n, (12 / (n * (n + 1)) * u - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM a, t) SELECT k, CAST(n AS BIGINT) AS n, round(h, 4) AS h, round(h / (n - 1), 8) AS epsilon_sq FROM h")
@@ -101,7 +103,7 @@ def pairwise_p(spark, sf):
 @query(f"{W}, {_LONG}, k AS ({_RANKED}), c AS (SELECT method, x_name, y_name, count(*)::DOUBLE AS n, corr(rx, ry) AS rho FROM k GROUP BY 1, 2, 3), t AS (SELECT *, n - 2 AS v, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS z FROM c), p AS (SELECT *, greatest(0, 1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * {_inside('pow(1 + (t) * (t) / v, -(v + 1) / 2)', 'z')}) AS p FROM t), o AS (SELECT *, row_number() OVER (ORDER BY p, method, x_name, y_name) AS i, count(*) OVER () AS m FROM p), q AS (SELECT *, least(1, min(p * m / i) OVER (ORDER BY p DESC, method DESC, x_name DESC, y_name DESC ROWS UNBOUNDED PRECEDING)) AS q FROM o) SELECT method, x_name, y_name, round(rho, 6) AS rho, round(p, 6) AS p, round(q, 6) AS q, q <= 0.05 AS significant FROM q")
 def correlation_p(spark, sf):
     c = st.correlations(fact(spark, sf), ["entropy_7", "entropy_15"], ["psnr", "ssim"])
-    q = st.fdr(st.with_p(c, "rho", "p"), "p", key=["method", "x_name", "y_name"])
+    q = st.fdr(st.with_p(c, "rho", "p"), "p")
     return q.select("method", "x_name", "y_name", r("rho"), r("p"), r("q"), "significant")
 
 
@@ -114,15 +116,9 @@ def robust_regression(spark, sf):
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def checkpoint_stream(spark, sf):
     """Events read by a stream that is started twice; the second start adds nothing."""
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = tempfile.mkdtemp()
-    root = f"{root}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
     for _ in range(2):
         incremental(spark, f"{sf}/events.parquet*", schema, f"{root}/out", f"{root}/state", lambda df: df.select("event_id", "event_type", "value"))

@@ -171,7 +171,7 @@ def test_moran():
 
 def test_fdr_leaves_nan_out(spark):
     df = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, float("nan")), (5, None)], "i int, p double")
-    got = {r["i"]: (r["q"], r["significant"]) for r in stats.fdr(df, "p", key=["i"]).collect()}
+    got = {r["i"]: (r["q"], r["significant"]) for r in stats.fdr(df, "p").collect()}
     assert got[1][0] == pytest.approx(0.03) and got[2][0] == pytest.approx(0.04) and got[4] == got[5] == (None, False)
 
 
