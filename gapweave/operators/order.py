@@ -114,4 +114,4 @@ def quantiles(df: DataFrame, column: str, points: Sequence[float], by: Sequence[
     share = F.col("_at") - F.floor("_at")
     value = F.when(share == 0, F.col("_x")).otherwise(F.col("_x") + (F.col("_y") - F.col("_x")) * share)
     every = F.array_sort(F.collect_list(F.struct("i", value.alias("q"))))  # as many as points
-    return found.groupBy(*by).agg(F.transform(every, lambda s: s["q"]).alias(out))
+    return found.groupBy(*by).agg(F.transform(every, lambda s: s["q"]).alias(out)).filter(F.size(out) > 0)
