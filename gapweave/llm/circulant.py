@@ -6,8 +6,8 @@ coordinate k is the least value of the permutation `order` over the scattered ce
 coordinates make a band, and sets that agree in a band meet. Two sets of similarity s miss each other in all bands with
 probability (1 - s^ROWS)^BANDS: 2.4e-9 at 0.85, less above.
 
-Equal sets are one node. The nodes of one band value are a list; equal lists are one. In each list all nodes are
-paired with the one of the least id, filtered by size and parity bitmap and verified on whole sets; lists that still hold
+Equal sets are one node. The nodes of one band value are a list; equal lists are one. Each node is paired with the
+least node of all its lists, filtered by size and parity bitmap and verified on whole sets; lists that still hold
 several components after that go on in `links.settle`, which compares all their pairs across components. The signature
 only proposes: every link is confirmed on whole sets.
 
@@ -114,15 +114,18 @@ def dedup(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
         nodes = table(rows.filter("sid is not null").groupBy("sid").agg(*(F.min(c).alias(c) for c in ("n", "key", "bits", "bands")), F.min("doc_id").alias("least"), first))
 
-        met = nodes.select("sid", "n", F.explode("bands").alias("band"))
+        met = nodes.select("sid", F.explode("bands").alias("band"))
+        several = met.groupBy("band").agg(F.count("*").alias("c"), F.min("sid").alias("a")).filter("c > 1")
+        members = table(met.join(several, "band"))
         which = [F.bit_xor(F.xxhash64(F.lit(k), "sid")).alias(f"x{k}") for k in (0, 1)]  # a set of nodes by two sums of hashes
-        lists = met.groupBy("band").agg(F.count("*").alias("c"), F.min("sid").alias("a"), *which).filter("c > 1")
-        lists = table(lists.groupBy("x0", "x1", "c").agg(F.min("band").alias("band"), F.min("a").alias("a")))
-        members = table(met.join(lists.select("band", "a", "c"), "band"))
-        tested = table(alike(members.filter("sid <> a").select("a", F.col("sid").alias("b")).distinct(), nodes, percent))
+        lists = members.groupBy("band").agg(F.count("*").alias("c"), *which).groupBy("x0", "x1", "c").agg(F.min("band").alias("band"))
+        code = F.floor(F.log("n") * SIZE_SCALE).cast("int").alias("code")
+        listed = members.join(lists.select("band"), "band", "left_semi").join(nodes.select("sid", "n"), "sid")
+        listed = table(listed.select(F.col("band").alias("sig"), F.col("sid").alias("gid"), code, F.lit(0).alias("place"), "sid"))
+        # each node first meets the least node of all its lists only; components decide what else must be looked at
+        firsts = members.groupBy(F.col("sid").alias("b")).agg(F.min("a").alias("a")).filter("a <> b")
+        tested = table(alike(firsts.select("a", "b"), nodes, percent))
 
-        code = F.floor(F.log("n") * SIZE_SCALE).cast("int")
-        listed = members.filter("c > 2").select(F.col("band").alias("sig"), F.col("sid").alias("gid"), code.alias("code"), F.lit(0).alias("place"), "sid")
         comp = settle(tested, listed, nodes, base, percent, WIDTH, table)
         out = labelled(rows.select("doc_id", "n", "sid"), nodes, comp)
         component = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))

@@ -26,7 +26,7 @@ from .components import components
 BLOCK, BLOCK_BYTES = 4096, 4 << 20  # nodes of a list that travel together, and bytes of their bitmaps
 DEALT = 512  # partners of a node that meet it in one task
 SIZE_SCALE, PLACE_SCALE = 2048, 256  # steps of a size's logarithm, and of a place as a share of the size
-MOST_BITS = 1 << 17  # of a bitmap; smaller sets have a bit or two for each shingle
+MOST_BITS = 1 << 18  # of a bitmap; smaller sets have four to eight bits for each shingle
 BROADCAST_ROWS = 200_000  # rows of up to 28 bytes
 
 
@@ -53,7 +53,7 @@ def set_id(u: np.ndarray) -> int:
 
 def bitmap(u: np.ndarray) -> bytes:
     """Parities of the numbers of shingles that fall on each place."""
-    size = min(MOST_BITS, max(64, 1 << (len(u) - 1).bit_length()))
+    size = min(MOST_BITS, max(64, 4 << (len(u) - 1).bit_length()))
     return np.packbits(np.bincount((u >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1 != 0).tobytes()
 
 
