@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import ship
-from . import order
+from . import order as od
+from .bootstrap import WHOLE, bootstrap_chunk, bootstrap_mean, bootstrap_paths, intervals  # noqa: F401
 from .select import terciles
 
-RESAMPLES, LEVEL, SEED = 10_000, 0.95, 42
-
 
 def summary(df: DataFrame, keys: Sequence[str], metric: str = "psnr", spread: bool = True) -> DataFrame:
     """keys, n (non-null), mean and, with spread, median and population std of a metric.
@@ -26,8 +22,8 @@ def summary(df: DataFrame, keys: Sequence[str], metric: str = "psnr", spread: bo
     got = df.groupBy(*keys).agg(F.count(metric).alias("n"), F.avg(metric).alias("mean"), *([F.stddev_pop(metric).alias("std")] if spread else []))
     if not spread:
         return got
-    median = order.quantiles(df, metric, [0.5], keys).select(*keys, F.get("q", F.lit(0)).alias("median"))
-    return order.same_groups(got, median, keys, "left").select(*keys, "n", "mean", "median", "std")
+    median = od.quantiles(df, metric, [0.5], keys).select(*keys, F.get("q", F.lit(0)).alias("median"))
+    return od.same_groups(got, median, keys, "left").select(*keys, "n", "mean", "median", "std")
 
 
 def by_method(df: DataFrame, metric: str = "psnr") -> DataFrame:
@@ -56,101 +52,15 @@ def multi_metric(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) ->
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *(f(m).alias(f"{m}_{name}") for m in metrics for name, f in (("mean", F.avg), ("std", F.stddev_pop))))
 
 
-def bootstrap_mean(values: np.ndarray, resamples: int = RESAMPLES, level: float = LEVEL, seed: int = SEED) -> tuple[float, float]:
-    """Percentile interval of the mean; draws come in chunks that hold about a million indices."""
-    values = values[~np.isnan(values)]
-    if not len(values):
-        return float("nan"), float("nan")
-    rng = np.random.default_rng(seed)
-    step = max(1, 1_000_000 // len(values))
-    means = np.concatenate([values[rng.integers(0, len(values), (min(step, resamples - k), len(values)))].mean(1) for k in range(0, resamples, step)])
-    tail = (1 - level) / 2
-    return tuple(float(x) for x in np.quantile(means, [tail, 1 - tail]))
-
-
-def bootstrap_paths(sizes: Sequence[int]) -> list[list[tuple[int, int, int, int]]]:
-    """For each chunk the splits (first chunk, end, values on the left, on the right) of a binary tree that lead to it."""
-    sums, out, todo = np.concatenate([[0], np.cumsum(sizes)]), [[] for _ in sizes], [(0, len(sizes), [])]
-    while todo:
-        a, b, path = todo.pop()
-        if b - a == 1:
-            out[a] = path
-        else:
-            m = (a + b) // 2
-            path = [*path, (a, b, int(sums[m] - sums[a]), int(sums[b] - sums[m]))]
-            todo += [(a, m, path), (m, b, path)]
-    return out
-
-
-def bootstrap_chunk(values: np.ndarray, weights: np.ndarray, chunk: int, path: Sequence[tuple[int, int, int, int]], resamples: int = RESAMPLES, seed: int = SEED) -> np.ndarray:
-    """What one chunk of a group adds to the sum of each resample.
-
-    A resample's draws fall on the chunks by a multinomial law. Each split of the path draws its
-    binomial share with a seed of its own, so chunks agree on their counts without seeing each
-    other; a chunk then draws that many of its own values.
-    """
-    total = int(weights.sum())
-    counts = np.full(resamples, path[0][2] + path[0][3] if path else total)
-    for a, b, left, right in path:
-        share = np.random.default_rng([seed, 1, a, b]).binomial(counts, left / (left + right))
-        counts = share if chunk < (a + b) // 2 else counts - share
-    rng, out = np.random.default_rng([seed, 2, chunk]), np.zeros(resamples)
-    if total > 20 * len(values):  # many equal values: a draw for each value is shorter than one for each row
-        step = max(1, 1_000_000 // len(values))
-        for k in range(0, resamples, step):
-            out[k : k + step] = rng.multinomial(counts[k : k + step], weights / total) @ values
-        return out
-    values = np.repeat(values, weights)
-    step = max(1, 1_000_000 // total)
-    for k in range(0, resamples, step):
-        n = counts[k : k + step]
-        drawn, some = values[rng.integers(0, total, int(n.sum()))], np.flatnonzero(n)
-        if len(some):
-            out[k + some] = np.add.reduceat(drawn, (np.cumsum(n) - n)[some])
-    return out
-
-
-def bootstrap_ci(df: DataFrame, keys: Sequence[str], metric: str = "psnr", order: Sequence[str] = (), most: int = 20_000) -> DataFrame:
-    """keys, ci95_lo and ci95_hi of the mean: percentiles of 10,000 resamples of all values.
-
-    A group of up to `most` values replays numpy's generator in the order of `order`. A larger one
-    is dealt into chunks of about `most` values by hash; every chunk adds its part to the sums of
-    the same resamples, with seeds of its own, so no group is ever gathered whole. NaN counts
-    as missing; a group of nothing else has null bounds.
-    """
-    kinds, names = dict(df.dtypes), [f"_o{i}" for i in range(len(order))]
-    spec = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    ship(df.sparkSession)
-    df = df.filter(F.col(metric).isNotNull()).select(*keys, F.col(metric).cast("double").alias("v"), *(F.col(c).alias(n) for n, c in zip(names, order)))
-    sizes = df.groupBy(*keys).agg(F.count_if(~F.isnan("v")).alias("size"))
-    df = df.join(sizes, list(keys)).filter(~F.isnan("v") | (F.col("size") == 0))
-    part = F.pmod(F.xxhash64("v", *names), F.ceil(F.col("size") / most)).alias("chunk")
-    small = df.filter(F.col("size") <= most).select(*keys, "v", *names)
-    large = df.filter(F.col("size") > most).groupBy(*keys, part, "v").agg(F.count("*").alias("m"))
-    chunks = large.groupBy(*keys, "chunk").agg(F.sum("m").alias("m"))
-
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = bootstrap_mean(pdf.sort_values([*names, "v"])["v"].to_numpy())
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "ci95_lo": [lo], "ci95_hi": [hi]})
-
-    def paths(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk").reset_index(drop=True)
-        found = bootstrap_paths(pdf["m"].tolist())
-        return pdf[[*keys]].assign(chunk=pdf["chunk"], place=range(len(pdf)), path=[[x for split in p for x in split] for p in found])
-
-    def sums(pdf: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
-        pdf, flat = pdf.sort_values("v"), np.asarray(at["path"].iloc[0], np.int64).reshape(-1, 4).tolist()
-        s = bootstrap_chunk(pdf["v"].to_numpy(), pdf["m"].to_numpy(), int(at["place"].iloc[0]), flat)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(s) for k in keys}, "resample": np.arange(len(s)), "s": s})
-
-    where = chunks.groupBy(*keys).applyInPandas(paths, f"{spec}, chunk long, place long, path array<long>")
-    # a fixed number of partitions: a chunk is short in bytes and long in work
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = large.repartition(n, *keys, "chunk").groupBy(*keys, "chunk").cogroup(where.groupBy(*keys, "chunk")).applyInPandas(sums, f"{spec}, resample int, s double")
-    means = parts.groupBy(*keys, "resample").agg(F.sum("s").alias("s")).join(sizes, list(keys)).withColumn("mean", F.col("s") / F.col("size"))
-    bounds = F.percentile("mean", [(1 - LEVEL) / 2, (1 + LEVEL) / 2])
-    whole = means.groupBy(*keys).agg(bounds.alias("q")).select(*keys, F.get("q", F.lit(0)).alias("ci95_lo"), F.get("q", F.lit(1)).alias("ci95_hi"))
-    return small.groupBy(*keys).applyInPandas(interval, f"{spec}, ci95_lo double, ci95_hi double").unionByName(whole)
+def bootstrap_ci(df: DataFrame, keys: Sequence[str], metric: str = "psnr", order: Sequence[str] = (), most: int = WHOLE) -> DataFrame:
+    """keys, ci95_lo and ci95_hi of one metric's mean; groups without a value have no row."""
+    got = intervals(df.filter(F.col(metric).isNotNull()), keys, [metric], order, most)
+    return got.withColumnsRenamed({f"{metric}_ci95_{e}": f"ci95_{e}" for e in ("lo", "hi")})
+
+
+def with_intervals(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], order: Sequence[str] = (), most: int = WHOLE) -> DataFrame:
+    """multi_metric() and the interval of each metric's mean, all metrics from one set of resamples."""
+    return od.same_groups(multi_metric(df, keys, metrics), intervals(df, keys, metrics, order, most), keys)
 
 
 def run_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], wall_time_s: float | None = None) -> DataFrame:
@@ -167,8 +77,8 @@ def run_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], wall
         zero(F.avg(elapsed)).alias("mean_elapsed"), zero(F.when(wall > 0, F.count_if(ok) / wall)).alias("throughput"),
         *(f(F.when(ok, F.col(m))).alias(f"{m}_{name}") for m in metrics for name, f in (("mean", F.avg), ("std", F.stddev_samp))),
     )
-    p95 = order.quantiles(df.filter(ok), "elapsed_s", [0.95], keys).select(*keys, F.get("q", F.lit(0)).alias("p95_elapsed"))
-    return order.same_groups(got, p95, keys, "left").withColumn("p95_elapsed", zero(F.col("p95_elapsed")))
+    p95 = od.quantiles(df.filter(ok), "elapsed_s", [0.95], keys).select(*keys, F.get("q", F.lit(0)).alias("p95_elapsed"))
+    return od.same_groups(got, p95, keys, "left").withColumn("p95_elapsed", zero(F.col("p95_elapsed")))
 
 
 def shares(df: DataFrame, key: str, expected: dict[str, float], within: float = 0.01) -> DataFrame:
@@ -198,7 +108,7 @@ def extremes(df: DataFrame, by: str, score: str, k: int, key: str = "patch_id")
 def representatives(df: DataFrame, column: str, points: Sequence[float] = (0.1, 0.5, 0.9), key: str = "patch_id") -> DataFrame:
     """The row nearest to each percentile of a column, the least key among equals."""
     df = df.filter(F.col(column).isNotNull())
-    q = order.quantiles(df, column, points)
+    q = od.quantiles(df, column, points)
     targets = q.select(F.posexplode("q").alias("i", "target")).select("target", F.get(F.array(*map(F.lit, points)), F.col("i")).alias("percentile"))
     near = df.crossJoin(F.broadcast(targets)).groupBy("percentile").agg(F.min(F.struct(F.abs(F.col(column) - F.col("target")).alias("d"), F.col(key).alias(key), F.col(column).alias(column))).alias("best"))
     return near.select("percentile", f"best.{key}", f"best.{column}")
@@ -233,7 +143,7 @@ def boxes(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Quartiles, mean and the whiskers: the last values within 1.5 quartile ranges."""
     df = df.filter(F.col(value).isNotNull())
     q = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
-    q = order.same_groups(q, order.quantiles(df, value, [0.25, 0.5, 0.75], keys), keys).select(*keys, "n", "mean", *(F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)))
+    q = od.same_groups(q, od.quantiles(df, value, [0.25, 0.5, 0.75], keys), keys).select(*keys, "n", "mean", *(F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)))
     v, span = F.col(value), F.col("q3") - F.col("q1")
     inside = df.join(q, list(keys)).groupBy(*keys).agg(F.min(F.when(v >= F.col("q1") - 1.5 * span, v)).alias("whisker_lo"), F.max(F.when(v <= F.col("q3") + 1.5 * span, v)).alias("whisker_hi"))
     return q.join(inside, list(keys))

@@ -425,6 +425,26 @@ def _draw_sql(rows: str, seed: int, most: int) -> str:
     return f"SELECT satellite, patch_id, place FROM (SELECT satellite, patch_id, row_number() OVER (PARTITION BY satellite ORDER BY sha256(concat({seed}, '|', patch_id)), patch_id) AS place FROM (SELECT DISTINCT satellite, patch_id FROM {rows})) WHERE place <= {most}"
 
 
+@query()
+def method_intervals(spark, sf):
+    """The summary of each method with the interval of its mean."""
+    return su.with_interval(fact(spark, sf), ["method"], "psnr", ["order_id", "line_no"])
+
+
+@query()
+def scenario_intervals(spark, sf):
+    """Models by scenario, satellite and noise level: mean, spread and interval of every metric from one set of resamples."""
+    f = fact(spark, sf).filter("method_category <> 'spatial'").withColumn("entropy_scenario", F.when(F.col("seed") == 0, "low").otherwise("all"))
+    return su.with_intervals(f, ["method", "entropy_scenario", "satellite", "noise_level"], ["psnr", "ssim", "rmse"], ["order_id", "line_no"])
+
+
+@query()
+def combined_intervals(spark, sf):
+    """Both kinds of method on their shared metrics, with intervals."""
+    f = fact(spark, sf).select("method", "noise_level", "psnr", "ssim", "order_id", "line_no", F.when(F.col("method_category") == "spatial", "classical").otherwise("dl").alias("type"))
+    return su.with_intervals(f, ["type", "method", "noise_level"], ["psnr", "ssim"], ["order_id", "line_no"])
+
+
 @query(f"{W} SELECT satellite, patch_id, place - 1 AS draw FROM ({_draw_sql('fact', 42, 30)})")
 def sample_ids(spark, sf):
     return sel.sample_ids(fact(spark, sf), "satellite", 30)
