@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import order as od
-from .bootstrap import WHOLE, bootstrap_chunk, bootstrap_mean, bootstrap_paths, intervals  # noqa: F401
+from .bootstrap import RESAMPLES, WHOLE, bootstrap_chunk, bootstrap_mean, bootstrap_paths, intervals  # noqa: F401
 from .select import terciles
 
 
@@ -53,8 +53,8 @@ def multi_metric(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) ->
 
 
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], metric: str = "psnr", order: Sequence[str] = (), most: int = WHOLE) -> DataFrame:
-    """keys, ci95_lo and ci95_hi of one metric's mean; groups without a value have no row."""
-    got = intervals(df.filter(F.col(metric).isNotNull()), keys, [metric], order, most)
+    """keys, ci95_lo and ci95_hi of one metric's mean; groups of a null key or of null values have no row."""
+    got = intervals(df.na.drop(subset=list(keys)).filter(F.col(metric).isNotNull()), keys, [metric], order, most)
     return got.withColumnsRenamed({f"{metric}_ci95_{e}": f"ci95_{e}" for e in ("lo", "hi")})
 
 
