@@ -46,6 +46,11 @@ def thresholded(mask: Column) -> Column:
     return F.transform(mask, lambda v: (v > 0.5).cast("int"))
 
 
+def inverted(mask: Column) -> Column:
+    """1 for 0 and 0 for 1: a mask of valid cells as one of gaps."""
+    return F.transform(mask, lambda v: 1 - v)
+
+
 def first_channel(mask: Column, bands: int) -> Column:
     return F.filter(mask, lambda v, i: i % bands == 0)
 
@@ -74,26 +79,95 @@ def error_map(px: DataFrame, clean: str = "clean", other: str = "rec") -> DataFr
     return px.groupBy("patch_id", "y", "x").agg(F.avg((F.col(clean) - F.col(other)) ** 2).alias("err"))
 
 
-def local_entropy(px: DataFrame, window: int) -> DataFrame:
-    """Base-2 entropy of grey levels in the odd window around each pixel, clipped to the raster.
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once for each row, as a lambda's variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _upto(n: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(n - 1))
+
+
+def grey_levels(values: Column, bands: int = 1) -> Column:
+    """The mean of each cell's bands stretched to 0..255 by truncation; a span under 1e-10 is all 0."""
+    cells = F.transform(F.sequence(F.lit(0), F.size(values) - bands, F.lit(bands)), lambda p: F.aggregate(F.slice(values, p + 1, bands), F.lit(0.0), lambda s, v: s + v) / bands)
+    return _let(cells, lambda c: _let(F.struct(F.array_min(c).alias("lo"), F.array_max(c).alias("hi")), lambda r: F.transform(c, lambda v: F.when(r["hi"] - r["lo"] < 1e-10, 0).otherwise(F.floor((v - r["lo"]) * 255 / (r["hi"] - r["lo"]))).cast("int"))))
 
-    Bands are averaged and stretched to 0..255 by truncation. Each pixel is sent to the cells
-    whose window covers it, and counts by cell and level are added before the shuffle.
+
+def entropy_map(values: Column, window: int, height: int, width: int, bands: int = 1) -> Column:
+    """Base-2 entropy of grey levels in the odd window around each cell, clipped to the raster, as an array.
+
+    One histogram slides along each row: a step takes the column that leaves the window out of it and puts the
+    entering one in, and mends the sum of c log2 c by the counts that change. Nothing leaves the row of the raster.
     """
     if window < 1 or window % 2 == 0:
         raise ValueError("the window must be odd and positive")
     r = window // 2
-    grey = px.groupBy("patch_id", "y", "x").agg(F.avg("v").alias("v"))
-    w = Window.partitionBy("patch_id")
-    low, high = F.min("v").over(w), F.max("v").over(w)
-    level = F.when(high - low < 1e-10, 0).otherwise(F.floor((F.col("v") - low) * 255 / (high - low))).cast("int")
-    grey = grey.select("patch_id", "y", "x", level.alias("g"), F.max("y").over(w).alias("ym"), F.max("x").over(w).alias("xm"))
-    cells = grey.withColumn("cy", F.explode(F.sequence(F.greatest(F.col("y") - r, F.lit(0)), F.least(F.col("y") + r, F.col("ym")))))
-    cells = cells.withColumn("cx", F.explode(F.sequence(F.greatest(F.col("x") - r, F.lit(0)), F.least(F.col("x") + r, F.col("xm")))))
-    counts = cells.groupBy("patch_id", "cy", "cx", "g").agg(F.count("*").alias("c"))
-    c = F.col("c").cast("double")
-    got = counts.groupBy("patch_id", "cy", "cx").agg(F.sum(c).alias("n"), F.sum(c * F.log2(c)).alias("s"))
-    return got.select("patch_id", F.col("cy").alias("y"), F.col("cx").alias("x"), (F.log2("n") - F.col("s") / F.col("n")).alias("entropy"))
+    term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(0.0)
+
+    def moved(state: Column, move: Column) -> Column:
+        at, d = move["level"], move["d"]
+        c = F.get(state["n"], at)
+        counts = F.concat(F.slice(state["n"], 1, at), F.array(c + d), F.slice(state["n"], at + 2, F.size(state["n"]) - at - 1))
+        return F.struct(counts.alias("n"), (state["s"] + term(c + d) - term(c)).alias("s"))
+
+    def along_row(g: Column, y: Column, kinds: Column) -> Column:
+        above, below = F.greatest(y - r, F.lit(0)), F.least(y + r, F.lit(height - 1))
+        column = lambda x, d: F.transform(F.sequence(above, below), lambda k: F.struct(F.get(g, k * width + x).alias("level"), F.lit(d).alias("d")))
+        none = F.slice(column(F.lit(0), 0), 1, 0)
+        first = F.flatten(F.transform(_upto(min(r + 1, width)), lambda x: column(x, 1)))
+        empty = F.struct(F.array_repeat(F.lit(0), kinds).alias("n"), F.lit(0.0).alias("s"))
+
+        def step(state: Column, x: Column) -> Column:
+            enters = F.when((x > 0) & (x + r < width), column(x + r, 1)).otherwise(none)
+            leaves = F.when(x > r, column(x - r - 1, -1)).otherwise(none)
+            n = ((below - above + 1) * (F.least(x + r, F.lit(width - 1)) - F.greatest(x - r, F.lit(0)) + 1)).cast("double")
+            now = F.aggregate(F.concat(enters, leaves), F.struct(state["n"].alias("n"), state["s"].alias("s")), moved)
+            return _let(now, lambda h: F.struct(h["n"].alias("n"), h["s"].alias("s"), F.array_append(state["out"], F.log2(n) - h["s"] / n).alias("out")))
+
+        start = F.aggregate(first, empty, moved)
+        with_out = _let(start, lambda h: F.struct(h["n"].alias("n"), h["s"].alias("s"), F.array().cast("array<double>").alias("out")))
+        return F.aggregate(_upto(width), with_out, step, lambda state: state["out"])
+
+    # levels are numbered among those that occur, so a histogram is no longer than they are
+    numbered = lambda g: _let(F.array_sort(F.array_distinct(g)), lambda k: F.struct(F.transform(g, lambda v: (F.array_position(k, v) - 1).cast("int")).alias("g"), F.size(k).alias("kinds")))
+    rows = lambda l: F.flatten(F.transform(_upto(height), lambda y: along_row(l["g"], y, l["kinds"])))  # noqa: E731, E741
+    return _let(grey_levels(values, bands), lambda g: _let(numbered(g), rows))
+
+
+def nearest_cells(mask: Column, height: int, width: int, radius: float | None = None) -> Column:
+    """For each cell the index of the nearest known one (mask 0), ties by row, then column; itself if known, null if none is.
+
+    Two separable passes: two scans of each row find the nearest known column, then a cell takes the best of its own
+    column's rows. A raster costs cells * (width + height), and nothing leaves its row.
+    """
+
+    def scanned(row: Column, backward: bool) -> Column:
+        last = lambda s, x: F.when(F.get(row, x) == 0, x).otherwise(s["last"])
+        start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<int>").alias("out"))
+        places = F.sequence(F.lit(width - 1), F.lit(0), F.lit(-1)) if backward else _upto(width)
+        out = F.aggregate(places, start, lambda s, x: F.struct(last(s, x).alias("last"), F.array_append(s["out"], last(s, x)).alias("out")), lambda s: s["out"])
+        return F.reverse(out) if backward else out
+
+    def closest(left: Column, right: Column, x: Column) -> Column:
+        return F.when(left < 0, right).when((right < 0) | (x - left <= right - x), left).otherwise(right)
+
+    in_row = lambda row: _let(scanned(row, True), lambda right: F.transform(scanned(row, False), lambda left, x: closest(left, F.get(right, x), x)))
+    near = F.transform(_upto(height), lambda y: _let(F.slice(mask, y * width + 1, width), in_row))
+
+    def best(n: Column, i: Column) -> Column:
+        y, x = F.floor(i / width).cast("int"), i % width
+        at = lambda k, kx: F.when(kx >= 0, F.struct(((y - k) * (y - k) + (x - kx) * (x - kx)).alias("d2"), (k * width + kx).alias("at")))
+        found = F.array_min(F.transform(_upto(height), lambda k: _let(F.get(F.get(n, k), x), lambda kx: at(k, kx))))
+        return found["at"] if radius is None else _let(found, lambda f: F.when(f["d2"] <= radius * radius, f["at"]))
+
+    return _let(near, lambda n: F.transform(mask, lambda m, i: F.when(m == 0, i).otherwise(best(n, i))))
+
+
+def nearest_fill(values: Column, mask: Column, height: int, width: int, bands: int = 1, radius: float | None = None) -> Column:
+    """An array with its gaps taken from the nearest known cell, as they are where there is none (within the radius)."""
+    at = lambda cells, i: F.get(values, F.get(cells, F.floor(i / bands).cast("int")) * bands + i % bands)
+    return _let(nearest_cells(mask, height, width, radius), lambda cells: F.transform(values, lambda v, i: F.coalesce(at(cells, i), v)))
 
 
 def _gaps_and_known(px: DataFrame) -> DataFrame:
@@ -103,18 +177,6 @@ def _gaps_and_known(px: DataFrame) -> DataFrame:
     return gap.join(known, ["patch_id", "b"]).withColumn("d2", (dy * dy + dx * dx).cast("double"))
 
 
-def fill_nearest(px: DataFrame, radius: float | None = None) -> DataFrame:
-    """Gaps filled with the nearest known pixel, ties by place; px has v and gap (0 or 1).
-
-    The nearest is a minimum that is combined before the shuffle, not a sort of all distances.
-    """
-    near = _gaps_and_known(px)
-    if radius is not None:
-        near = near.filter(F.col("d2") <= radius * radius)
-    best = near.groupBy("patch_id", "y", "x", "b").agg(F.min(F.struct("d2", "ky", "kx", "kv")).alias("best")).select("patch_id", "y", "x", "b", F.col("best.kv").alias("fill"))
-    return px.join(best, ["patch_id", "y", "x", "b"], "left").withColumn("rec", F.coalesce("fill", "v")).drop("fill")
-
-
 def fill_idw(px: DataFrame, power: float = 2.0, radius: float | None = None) -> DataFrame:
     """Gaps filled with means of known pixels weighted by 1 / distance ** power; a radius is that of a square window."""
     near = _gaps_and_known(px)

@@ -11,7 +11,8 @@ from ..operators import fills
 from ..operators import raster as ra
 from ..operators import stats as st
 from .evaluate import entropies, evaluate, resume
-from ..session import ship
+from ..session import scratch, ship
+from ..sources import npy, sinks
 from .registry import query, r
 from .views import BANDS_SQL, PIXELS_SQL, patches, pixel_view
 
@@ -79,9 +80,32 @@ def raster_error_map(spark, sf):
     return ra.error_map(_filled(spark, sf, 4)).withColumn("err", r(F.col("err")))
 
 
-@query(f"{P}, g AS (SELECT patch_id, y, x, CASE WHEN max(v) OVER w - min(v) OVER w < 1e-10 THEN 0 ELSE CAST(floor((v - min(v) OVER w) * 255 / (max(v) OVER w - min(v) OVER w)) AS INT) END AS g FROM px WINDOW w AS (PARTITION BY patch_id)), c AS (SELECT a.patch_id, a.y, a.x, b.g, count(*) AS c FROM g a JOIN g b ON a.patch_id = b.patch_id AND abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3 GROUP BY 1, 2, 3, 4), e AS (SELECT patch_id, y, x, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM c GROUP BY 1, 2, 3) SELECT patch_id, round(avg(e), 5) AS mean_entropy FROM e GROUP BY 1")
+_ENTROPY_SQL = f"{P}, g AS (SELECT patch_id, y, x, CASE WHEN max(v) OVER w - min(v) OVER w < 1e-10 THEN 0 ELSE CAST(floor((v - min(v) OVER w) * 255 / (max(v) OVER w - min(v) OVER w)) AS INT) END AS g FROM px WINDOW w AS (PARTITION BY patch_id)), c AS (SELECT a.patch_id, a.y, a.x, b.g, count(*) AS c FROM g a JOIN g b ON a.patch_id = b.patch_id AND abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3 GROUP BY 1, 2, 3, 4), e AS (SELECT patch_id, y, x, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM c GROUP BY 1, 2, 3) SELECT patch_id, round(avg(e), 5) AS mean_entropy FROM e GROUP BY 1"
+
+
+@query(_ENTROPY_SQL)
 def raster_entropy(spark, sf):
-    return ra.local_entropy(pixel_view(spark, sf), 7).groupBy("patch_id").agg(F.round(F.avg("entropy"), 5).alias("mean_entropy"))
+    mean = F.aggregate(ra.entropy_map(F.col("clean"), 7, 8, 8), F.lit(0.0), lambda s, v: s + v) / 64
+    return patches(spark, sf).repartition(_tasks(spark)).select("patch_id", F.round(mean, 5).alias("mean_entropy"))
+
+
+@query(_ENTROPY_SQL.replace("mean_entropy", "mean_entropy_7"))
+def entropy_maps(spark, sf):
+    """Maps written as array files in two runs, the second of which resumes; the means of what is stored."""
+    p = patches(spark, sf).select("patch_id", "clean").repartition(_tasks(spark))
+    with scratch(spark, "entropy") as path:
+        sinks.entropy_maps(p.filter("patch_id % 2 = 0"), path, (8, 8, 1), [7])
+        return sinks.entropy_maps(p, path, (8, 8, 1), [7]).select("patch_id", F.round("mean_entropy_7", 5).alias("mean_entropy_7")).checkpoint()
+
+
+@query("SELECT patch_id, variant, cells, round(total, 4) AS total FROM (SELECT vec_id AS patch_id, 'clean' AS variant, [4, 4, 4] AS cells, list_sum(list_transform(range(64), lambda p: embedding[(p % 4) * 16 + p // 4 + 1]::DOUBLE * (p + 1))) AS total FROM embeddings UNION ALL SELECT vec_id, 'mask', [4, 4], list_sum(list_transform(range(16), lambda p: CASE WHEN (vec_id * 7 + p * 13) % 10 < 3 THEN 0 ELSE p + 1 END))::DOUBLE FROM embeddings)")
+def stored_arrays(spark, sf):
+    """Band-major patches and masks of valid cells, written as array files and read back; totals are weighted by place."""
+    p = patches(spark, sf, 4).select("patch_id", "raw", "mask", F.col("label").cast("string").alias("satellite"))
+    weighted = F.aggregate(F.transform("values", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    with scratch(spark, "arrays") as path:
+        sinks.patch_arrays(p.withColumnRenamed("raw", "clean").repartition(_tasks(spark)), path, (4, 4, 4))
+        return npy.arrays(spark, path).select("patch_id", "variant", F.col("shape").alias("cells"), F.round(weighted, 4).alias("total")).checkpoint()
 
 
 @query(f"{P}, g AS (SELECT patch_id, CASE WHEN max(v) OVER w - min(v) OVER w < 1e-10 THEN 0 ELSE CAST(floor((v - min(v) OVER w) * 255 / (max(v) OVER w - min(v) OVER w)) AS INT) END AS g FROM px WINDOW w AS (PARTITION BY patch_id)), c AS (SELECT patch_id, g, count(*) AS c FROM g GROUP BY 1, 2), e AS (SELECT patch_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM c GROUP BY 1) SELECT patch_id, CASE patch_id % 3 WHEN 0 THEN 1.5 WHEN 1 THEN patch_id / 2.0::DOUBLE ELSE round(e, 5) END AS entropy_15 FROM e")
@@ -95,7 +119,9 @@ def entropy_fallback(spark, sf):
 
 @query(f"{P}, k AS (SELECT g.patch_id, g.y, g.x, k.v AS fill, row_number() OVER (PARTITION BY g.patch_id, g.y, g.x ORDER BY (g.y-k.y)*(g.y-k.y)+(g.x-k.x)*(g.x-k.x), k.y, k.x) AS n FROM px g JOIN px k ON g.patch_id = k.patch_id AND g.gap = 1 AND k.gap = 0) SELECT patch_id, y, x, round(fill, 6) AS fill FROM k WHERE n = 1")
 def fill_nearest(spark, sf):
-    return ra.fill_nearest(pixel_view(spark, sf)).filter("gap = 1").select("patch_id", "y", "x", F.round("rec", 6).alias("fill"))
+    p, mask = F.col("p"), F.col("mask")
+    filled = patches(spark, sf).repartition(_tasks(spark)).select("patch_id", "mask", F.posexplode(ra.nearest_fill(F.col("clean"), mask, 8, 8)).alias("p", "v"))
+    return filled.filter(F.get(mask, p) == 1).select("patch_id", F.floor(p / 8).cast("int").alias("y"), (p % 8).cast("int").alias("x"), F.round("v", 6).alias("fill"))
 
 
 @query(f"{P}, {IDW_SQL} SELECT patch_id, y, x, round(rec, 5) AS fill FROM rec WHERE gap = 1")

@@ -1,7 +1,7 @@
 """NPY files as a Spark data source: scans planned from names and headers, writes that are kept whole or not at all.
 
 `spark.read.format("npy")` has one row a file (or a slice of one): path, folder (below the root), patch_id and variant from the
-name, dtype, shape, first (the slice's first row), values in row-major order, error. A schema with fewer of these columns
+name, dtype, shape, first (the slice's first row), values in row-major order (floats, doubles if the schema says so), error. A schema with fewer of these columns
 reads less: without `values` no array body is opened, and without shape, dtype, values and error no file is.
 Equality and IN filters on patch_id, variant and folder choose files before any is opened. Options: `partition_bytes` of a task; `slice_rows`, the rows of the first axis in a
 row, for arrays that are not to be read whole.
@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..session import ship
 
@@ -74,6 +74,7 @@ class Files(InputPartition):
 class Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.columns = schema.fieldNames()
+        self.kind = np.float64 if "values" in self.columns and schema["values"].dataType == ArrayType(DoubleType()) else np.float32
         self.root = options["path"]
         self.most = int(options.get("partition_bytes", PARTITION_BYTES))
         self.rows = int(options.get("slice_rows", 0))
@@ -139,7 +140,7 @@ class Reader(DataSourceReader):
             a = np.frombuffer(raw, dtype)
             if columns_first:
                 a = a.reshape(shape, order="F").ravel()
-            yield said | {"first": first, "values": a.astype(np.float32).tolist()}
+            yield said | {"first": first, "values": a.astype(self.kind).tolist()}
 
 
 def named(path: str) -> tuple[int | None, str | None]:
