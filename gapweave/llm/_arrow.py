@@ -6,30 +6,17 @@ slices of bounded size, so the memory of a task does not follow the size of its
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_dir
+from ..session import scratch, shared_dir  # noqa: F401  for the operators
 
 SLICE_BYTES = 1 << 20
 
-@contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[str]:
-    """A folder of its own in the shared one, deleted at the end."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    try:
-        yield path
-    finally:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 class Tables:
     """Tables written one after another to a folder: each cuts the lineage where executors can read it again."""
 
