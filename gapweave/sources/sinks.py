@@ -117,6 +117,6 @@ def artifacts(reconstructions: DataFrame, path: str, first: int = 0, top_k: int
     chosen = seeded.withColumn("_n", F.row_number().over(w.orderBy("patch_id"))).filter(F.col("_n") <= first).select(*names)
     if top_k:
         ids = extremes(keys.select("noise_level", "patch_id", score).distinct(), "noise_level", score, top_k).select("noise_level", "patch_id").distinct()
-        chosen = chosen.union(keys.select(*names).join(ids, ["noise_level", "patch_id"], "left_semi"))
+        chosen = chosen.unionByName(keys.select(*names).join(ids, ["noise_level", "patch_id"], "left_semi"))
     kept = reconstructions.join(chosen.distinct(), names, "left_semi").dropDuplicates(names)
     kept.write.mode("overwrite").partitionBy("noise_level", "method").parquet(path)
