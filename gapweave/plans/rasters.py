@@ -12,7 +12,7 @@ from ..operators import raster as ra
 from ..operators import stats as st
 from .evaluate import entropies, evaluate, resume
 from ..session import scratch, ship
-from ..sources import npy, sinks
+from ..sources import lookup, npy, sinks
 from .registry import query, r
 from .views import BANDS_SQL, PIXELS_SQL, patches, pixel_view
 
@@ -98,6 +98,19 @@ def entropy_maps(spark, sf):
         return sinks.entropy_maps(p, path, (8, 8, 1), [7]).select("patch_id", F.round("mean_entropy_7", 5).alias("mean_entropy_7")).checkpoint()
 
 
+@query(f"WITH {PIXELS_SQL}, s AS (SELECT patch_id, CASE patch_id % 3 WHEN 0 THEN 'array' WHEN 1 THEN 'image' END AS source, CASE patch_id % 3 WHEN 0 THEN v::FLOAT::DOUBLE WHEN 1 THEN (floor(v * 255.0::DOUBLE + 0.5) / 255)::FLOAT::DOUBLE END AS v FROM px WHERE y < 6) SELECT patch_id, source, round(sum(v), 4) AS total FROM s GROUP BY 1, 2")
+def reconstruction_lookup(spark, sf):
+    """Reconstructions stored as arrays, as images or not at all, looked up in this order."""
+    p = patches(spark, sf).select("patch_id", F.lit("idw").alias("method"), F.lit("inf").alias("noise_level"), F.slice("clean", 1, 48).alias("values")).repartition(_tasks(spark))
+    files = p.select("patch_id", F.lit(None).cast("string").alias("variant"), F.array(*map(F.lit, (4, 4, 3))).alias("shape"), "values", "method", "noise_level")
+    total = F.aggregate("values", F.lit(0.0), lambda s, v: s + v)
+    with scratch(spark, "lookup") as path:
+        npy.write(files.filter("patch_id % 3 = 0").withColumn("folder", F.concat_ws("/", "noise_level", "method")), f"{path}/reconstruction_arrays")
+        npy.write(files.filter("patch_id % 3 < 2").withColumn("folder", F.col("method")), f"{path}/reconstruction_images", suffix=".png", dtype="float64")
+        got = lookup.reconstructions(p.select("noise_level", "method", "patch_id"), path)
+        return got.select("patch_id", "source", F.round(total, 4).alias("total")).checkpoint()
+
+
 @query("SELECT patch_id, variant, cells, round(total, 4) AS total FROM (SELECT vec_id AS patch_id, 'clean' AS variant, [4, 4, 4] AS cells, list_sum(list_transform(range(64), lambda p: embedding[(p % 4) * 16 + p // 4 + 1]::DOUBLE * (p + 1))) AS total FROM embeddings UNION ALL SELECT vec_id, 'mask', [4, 4], list_sum(list_transform(range(16), lambda p: CASE WHEN (vec_id * 7 + p * 13) % 10 < 3 THEN 0 ELSE p + 1 END))::DOUBLE FROM embeddings)")
 def stored_arrays(spark, sf):
     """Band-major patches and masks of valid cells, written as array files and read back; totals are weighted by place."""

@@ -4,9 +4,10 @@
 name, dtype, shape, first (the slice's first row), values in row-major order (floats, doubles if the schema says so), error. A schema with fewer of these columns
 reads less: without `values` no array body is opened, and without shape, dtype, values and error no file is.
 Equality and IN filters on patch_id, variant and folder choose files before any is opened. Options: `partition_bytes` of a task; `slice_rows`, the rows of the first axis in a
-row, for arrays that are not to be read whole.
+row, for arrays that are not to be read whole; `suffix` of the files (contents are read of NPY files only).
 
-`df.write.format("npy")` takes patch_id, variant, shape and values, and folder if there is one. Tasks write beside the
+`df.write.format("npy")` takes patch_id, variant (may be null), shape and values, and folder if there is one; with the
+option suffix ".png" values of [0, 1] become images of 8 bits. Tasks write beside the
 root and a job's end moves the finished tasks' files in; a task that dies or is run twice, and a job that fails, leave
 nothing. `mode("overwrite")` replaces files of the same name only; `append` fails where one is there.
 
@@ -33,10 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from ..functions import png
 from ..session import ship
 
 SCHEMA = "path string, folder string, patch_id long, variant string, dtype string, shape array<int>, first long, values array<float>, error string"
-NAME = re.compile(r"(\d+)(?:_(.*))?\.npy$")
+NAME = re.compile(r"(\d+)(?:_(.*))?\.(?:npy|png)$")
 PARTITION_BYTES = 64 << 20
 FROM_NAME = {"path", "folder", "patch_id", "variant"}
 
@@ -78,6 +80,7 @@ class Reader(DataSourceReader):
         self.root = options["path"]
         self.most = int(options.get("partition_bytes", PARTITION_BYTES))
         self.rows = int(options.get("slice_rows", 0))
+        self.suffix = options.get("suffix", ".npy")
         self.wanted: dict[str, set] = {}
 
     def pushFilters(self, filters):
@@ -92,9 +95,9 @@ class Reader(DataSourceReader):
     def partitions(self):
         fs, root = opened(self.root)
         out, held, size = [], [], 0
-        for info in sorted(fs.get_file_info(pafs.FileSelector(root, recursive=True)), key=lambda x: x.path):
+        for info in sorted(fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)), key=lambda x: x.path):
             below = os.path.relpath(info.path, root)
-            if info.type != pafs.FileType.File or not below.endswith(".npy") or below.startswith("_") or "/_" in below or not self._chosen(below):
+            if info.type != pafs.FileType.File or not below.endswith(self.suffix) or below.startswith("_") or "/_" in below or not self._chosen(below):
                 continue
             # what no body is read of weighs a page
             weight = max(info.size or 0, 4096) if "values" in self.columns else 4096
@@ -161,7 +164,7 @@ class Writer(DataSourceWriter):
         if missing := {"patch_id", "variant", "shape", "values"} - set(schema.fieldNames()):
             raise ValueError(f"an array table needs {', '.join(sorted(missing))}")
         self.root, self.overwrite = options["path"], overwrite
-        self.dtype = options.get("dtype", "float32")
+        self.dtype, self.suffix = options.get("dtype", "float32"), options.get("suffix", ".npy")
         self.staging = f"_writing-{uuid.uuid4().hex}"
         fs, root = opened(self.root)
         fs.create_dir(f"{root}/{self.staging}", recursive=True)
@@ -176,12 +179,15 @@ class Writer(DataSourceWriter):
             at = "/".join(x for x in (folder, r.get("folder")) if x)
             a = np.asarray(r["values"], self.dtype).reshape(r["shape"])
             self._within(fs, root, at)
-            name = f"{at}/{r['patch_id']:07d}_{r['variant']}.npy"
+            name = f"{at}/{r['patch_id']:07d}{'' if r['variant'] is None else '_' + r['variant']}{self.suffix}"
+            some = True
             if fs.get_file_info(name).type != pafs.FileType.NotFound:
                 raise ValueError("two rows have the same file")
             with fs.open_output_stream(name) as out:
+                if self.suffix == ".png":
+                    out.write(png.encode(np.clip(np.floor(a * 255.0 + 0.5), 0, 255)))
+                    continue
                 np.lib.format.write_array(_Sink(out), a, allow_pickle=False)
-            some = True
         return Written(folder if some else None)
 
     def _within(self, fs: pafs.FileSystem, root: str, folder: str) -> None:
