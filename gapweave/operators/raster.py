@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import f1_of_accuracy, psnr_of_mse
+from ..functions.scalars import f1_of_accuracy, let, psnr_of_mse
 
 THRESHOLDS = {"002": 0.02, "005": 0.05, "01": 0.10}
 
@@ -79,11 +79,6 @@ def error_map(px: DataFrame, clean: str = "clean", other: str = "rec") -> DataFr
     return px.groupBy("patch_id", "y", "x").agg(F.avg((F.col(clean) - F.col(other)) ** 2).alias("err"))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once for each row, as a lambda's variable."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _upto(n: int) -> Column:
     return F.sequence(F.lit(0), F.lit(n - 1))
 
@@ -91,7 +86,7 @@ def _upto(n: int) -> Column:
 def grey_levels(values: Column, bands: int = 1) -> Column:
     """The mean of each cell's bands stretched to 0..255 by truncation; a span under 1e-10 is all 0."""
     cells = F.transform(F.sequence(F.lit(0), F.size(values) - bands, F.lit(bands)), lambda p: F.aggregate(F.slice(values, p + 1, bands), F.lit(0.0), lambda s, v: s + v) / bands)
-    return _let(cells, lambda c: _let(F.struct(F.array_min(c).alias("lo"), F.array_max(c).alias("hi")), lambda r: F.transform(c, lambda v: F.when(r["hi"] - r["lo"] < 1e-10, 0).otherwise(F.floor((v - r["lo"]) * 255 / (r["hi"] - r["lo"]))).cast("int"))))
+    return let(cells, lambda c: let(F.struct(F.array_min(c).alias("lo"), F.array_max(c).alias("hi")), lambda r: F.transform(c, lambda v: F.when(r["hi"] - r["lo"] < 1e-10, 0).otherwise(F.floor((v - r["lo"]) * 255 / (r["hi"] - r["lo"]))).cast("int"))))
 
 
 def entropy_map(values: Column, window: int, height: int, width: int, bands: int = 1) -> Column:
@@ -123,16 +118,16 @@ def entropy_map(values: Column, window: int, height: int, width: int, bands: int
             leaves = F.when(x > r, column(x - r - 1, -1)).otherwise(none)
             n = ((below - above + 1) * (F.least(x + r, F.lit(width - 1)) - F.greatest(x - r, F.lit(0)) + 1)).cast("double")
             now = F.aggregate(F.concat(enters, leaves), F.struct(state["n"].alias("n"), state["s"].alias("s")), moved)
-            return _let(now, lambda h: F.struct(h["n"].alias("n"), h["s"].alias("s"), F.array_append(state["out"], F.log2(n) - h["s"] / n).alias("out")))
+            return let(now, lambda h: F.struct(h["n"].alias("n"), h["s"].alias("s"), F.array_append(state["out"], F.log2(n) - h["s"] / n).alias("out")))
 
         start = F.aggregate(first, empty, moved)
-        with_out = _let(start, lambda h: F.struct(h["n"].alias("n"), h["s"].alias("s"), F.array().cast("array<double>").alias("out")))
+        with_out = let(start, lambda h: F.struct(h["n"].alias("n"), h["s"].alias("s"), F.array().cast("array<double>").alias("out")))
         return F.aggregate(_upto(width), with_out, step, lambda state: state["out"])
 
     # levels are numbered among those that occur, so a histogram is no longer than they are
-    numbered = lambda g: _let(F.array_sort(F.array_distinct(g)), lambda k: F.struct(F.transform(g, lambda v: (F.array_position(k, v) - 1).cast("int")).alias("g"), F.size(k).alias("kinds")))
+    numbered = lambda g: let(F.array_sort(F.array_distinct(g)), lambda k: F.struct(F.transform(g, lambda v: (F.array_position(k, v) - 1).cast("int")).alias("g"), F.size(k).alias("kinds")))
     rows = lambda l: F.flatten(F.transform(_upto(height), lambda y: along_row(l["g"], y, l["kinds"])))  # noqa: E731, E741
-    return _let(grey_levels(values, bands), lambda g: _let(numbered(g), rows))
+    return let(grey_levels(values, bands), lambda g: let(numbered(g), rows))
 
 
 def nearest_cells(mask: Column, height: int, width: int, radius: float | None = None) -> Column:
@@ -152,22 +147,22 @@ def nearest_cells(mask: Column, height: int, width: int, radius: float | None =
     def closest(left: Column, right: Column, x: Column) -> Column:
         return F.when(left < 0, right).when((right < 0) | (x - left <= right - x), left).otherwise(right)
 
-    in_row = lambda row: _let(scanned(row, True), lambda right: F.transform(scanned(row, False), lambda left, x: closest(left, F.get(right, x), x)))
-    near = F.transform(_upto(height), lambda y: _let(F.slice(mask, y * width + 1, width), in_row))
+    in_row = lambda row: let(scanned(row, True), lambda right: F.transform(scanned(row, False), lambda left, x: closest(left, F.get(right, x), x)))
+    near = F.transform(_upto(height), lambda y: let(F.slice(mask, y * width + 1, width), in_row))
 
     def best(n: Column, i: Column) -> Column:
         y, x = F.floor(i / width).cast("int"), i % width
         at = lambda k, kx: F.when(kx >= 0, F.struct(((y - k) * (y - k) + (x - kx) * (x - kx)).alias("d2"), (k * width + kx).alias("at")))
-        found = F.array_min(F.transform(_upto(height), lambda k: _let(F.get(F.get(n, k), x), lambda kx: at(k, kx))))
-        return found["at"] if radius is None else _let(found, lambda f: F.when(f["d2"] <= radius * radius, f["at"]))
+        found = F.array_min(F.transform(_upto(height), lambda k: let(F.get(F.get(n, k), x), lambda kx: at(k, kx))))
+        return found["at"] if radius is None else let(found, lambda f: F.when(f["d2"] <= radius * radius, f["at"]))
 
-    return _let(near, lambda n: F.transform(mask, lambda m, i: F.when(m == 0, i).otherwise(best(n, i))))
+    return let(near, lambda n: F.transform(mask, lambda m, i: F.when(m == 0, i).otherwise(best(n, i))))
 
 
 def nearest_fill(values: Column, mask: Column, height: int, width: int, bands: int = 1, radius: float | None = None) -> Column:
     """An array with its gaps taken from the nearest known cell, as they are where there is none (within the radius)."""
     at = lambda cells, i: F.get(values, F.get(cells, F.floor(i / bands).cast("int")) * bands + i % bands)
-    return _let(nearest_cells(mask, height, width, radius), lambda cells: F.transform(values, lambda v, i: F.coalesce(at(cells, i), v)))
+    return let(nearest_cells(mask, height, width, radius), lambda cells: F.transform(values, lambda v, i: F.coalesce(at(cells, i), v)))
 
 
 def _gaps_and_known(px: DataFrame) -> DataFrame:

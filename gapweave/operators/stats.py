@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import tails
+from ..functions.scalars import let
 from ..session import shared_dir, ship
 from . import order
 
@@ -204,7 +205,7 @@ def neighbours(px: DataFrame, value: str = "v") -> DataFrame:
     # cells come to their neighbours by eight shifted copies: an equi-join in all keys
     moves = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)))
     sent = z.withColumn("m", moves).select("patch_id", (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"), F.col("z").alias("nz"))
-    lag = sent.groupBy("patch_id", "y", "x").agg(F.avg("nz").alias("lag"))
+    lag = sent.groupBy("patch_id", "y", "x").agg(F.avg("nz").alias("lag"), F.count("*").alias("around"))
     return z.join(lag, ["patch_id", "y", "x"])
 
 
@@ -232,6 +233,75 @@ def quadrants(px: DataFrame, value: str = "v") -> DataFrame:
     return neighbours(px, value).select("patch_id", "y", "x", q.alias("quadrant"))
 
 
+def permutations_of(spark: SparkSession, cells: int, permutations: int, seed: int = 42) -> DataFrame:
+    """k, place and cell of permutations 1, 2, ... of the cells 0, 1, ..., in the order of a hash of seed, k and cell.
+
+    Any engine with MD5 makes the same ones. They are permutations * cells rows, whatever the rasters are.
+    """
+    k, c = F.col("k"), F.col("cell")
+    every = spark.range(1, permutations + 1).select(F.col("id").alias("k")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    order_by = F.md5(F.concat_ws("|", F.lit(str(seed)), k.cast("string"), c.cast("string")))
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(order_by)))
+
+
+def _folded(larger: Column, permutations: int) -> Column:
+    """The pseudo-p of how many of the permutations reach a statistic, from the nearer end."""
+    return (F.least(larger, permutations - larger) + 1) / F.lit(permutations + 1.0)
+
+
+def _degenerate(px: DataFrame, value: str, gap: str | None) -> DataFrame:
+    """patch_id of rasters whose (gap) cells have fewer than three different values."""
+    return (px if gap is None else px.filter(F.col(gap) == 1)).groupBy("patch_id").agg(F.count_distinct(value).alias("kinds")).filter("kinds < 3").select("patch_id")
+
+
+def local_p(px: DataFrame, width: int, cells: int, permutations: int = 999, seed: int = 42, value: str = "v", gap: str | None = None) -> DataFrame:
+    """patch_id, y, x, quadrant and pseudo-p of each cell's local Moran statistic, by conditional permutation.
+
+    A cell stays, and its neighbours are dealt the first others of a permutation, as many as it has; all rasters share the
+    permutations. What is dealt to a raster in one permutation is one row of nine values, which meets the
+    raster's cells by patch; a cell's counts are merged. Rasters with fewer than three values have p 1 and quadrant 0; with `gap`
+    only gap cells count, the others take their mean.
+    """
+    spark = px.sparkSession
+    z = neighbours(px if gap is None else masked(px, value, gap), value).withColumn("cell", F.col("y") * width + F.col("x"))
+    deals = F.broadcast(permutations_of(spark, cells, permutations, seed).filter("place <= 9"))  # 9 rows a permutation
+    dealt = z.select("patch_id", "cell", "z").join(deals, "cell").groupBy("patch_id", "k").agg(F.array_sort(F.collect_list(F.struct("place", F.col("cell").alias("c"), F.col("z").alias("dealt")))).alias("hand"))
+    others = F.slice(F.filter("hand", lambda h: h["c"] != F.col("cell")), F.lit(1), F.col("around").cast("int"))
+    mean = F.aggregate(others, F.lit(0.0), lambda s, h: s + h["dealt"]) / F.col("around")
+    reaches = F.round(F.col("z") * mean, 9) >= F.round(F.col("z") * F.col("lag"), 9)
+    got = z.join(dealt, "patch_id").groupBy("patch_id", "y", "x", "z", "lag").agg(F.count_if(reaches).alias("larger"))
+    odd = _degenerate(px, value, gap).withColumn("odd", F.lit(True))
+    got = got.join(odd, "patch_id", "left")
+    quadrant = F.when(F.col("z") > 0, F.when(F.col("lag") > 0, 1).otherwise(4)).otherwise(F.when(F.col("lag") > 0, 2).otherwise(3))
+    return got.select("patch_id", "y", "x", F.when(F.col("odd"), 0).otherwise(quadrant).alias("quadrant"), F.when(F.col("odd"), 1.0).otherwise(_folded(F.col("larger"), permutations)).alias("p"))
+
+
+def global_p(px: DataFrame, height: int, width: int, permutations: int = 999, seed: int = 42, value: str = "v", gap: str | None = None) -> DataFrame:
+    """patch_id, moran_i and its pseudo-p: how many permutations of the whole raster reach it.
+
+    Each raster is one array; a permutation is a row that meets it by broadcast, and only counts are merged.
+    """
+    spark, cells = px.sparkSession, height * width
+    base = px if gap is None else masked(px, value, gap)
+    place = (F.col("y") * width + F.col("x")).cast("int")
+    ordered = F.array_sort(F.collect_list(F.struct(place.alias("at"), F.col(value).cast("double").alias("v"))))
+    rasters = base.groupBy("patch_id").agg(F.transform(ordered, lambda s: s["v"]).alias("vs"), F.avg(value).alias("mean"))
+    rasters = rasters.select("patch_id", F.transform("vs", lambda v: v - F.col("mean")).alias("z"))
+    around = [[(y + dy) * width + x + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and 0 <= y + dy < height and 0 <= x + dx < width] for y in range(height) for x in range(width)]
+    near = F.array(*(F.array(*map(F.lit, a)) for a in around))
+    lags = lambda z: F.transform(near, lambda a: F.aggregate(a, F.lit(0.0), lambda s, j: s + F.get(z, j)) / F.size(a))
+    cross = lambda z: F.aggregate(F.zip_with(z, lags(z), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    deals = permutations_of(spark, cells, permutations, seed).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "cell"))), lambda s: s["cell"]).alias("cells"))
+    square = F.aggregate("z", F.lit(0.0), lambda s, v: s + v * v)
+    rasters = rasters.withColumn("a", cross(F.col("z"))).withColumn("b", square)
+    # permutations rows of cells numbers each
+    met = rasters.crossJoin(F.broadcast(deals)).withColumn("s", let(F.transform("cells", lambda c: F.get("z", c)), cross))
+    got = met.groupBy("patch_id", "a", "b").agg(F.count_if(F.round("s", 9) >= F.round("a", 9)).alias("larger"))
+    odd = _degenerate(px, value, gap).withColumn("odd", F.lit(True))
+    got = got.join(odd, "patch_id", "left").withColumn("odd", F.coalesce("odd", F.col("b") == 0))
+    return got.select("patch_id", F.when(F.col("odd"), 0.0).otherwise(F.col("a") / F.col("b")).alias("moran_i"), F.when(F.col("odd"), 1.0).otherwise(_folded(F.col("larger"), permutations)).alias("p"))
+
+
 def lattice_lag(z: np.ndarray) -> np.ndarray:
     """Mean of the queen neighbours of each cell of (..., h, w)."""
     pad = [(0, 0)] * (z.ndim - 2) + [(1, 1), (1, 1)]
