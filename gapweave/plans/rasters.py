@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import display_range
-from ..operators import fills
+from ..operators import fills, models
 from ..operators import raster as ra
 from ..operators import stats as st
 from .evaluate import entropies, evaluate, resume
@@ -205,6 +205,31 @@ def global_moran_p(spark, sf):
     return st.global_p(pixel_view(spark, sf).repartition(_tasks(spark), "patch_id"), 8, 8, 99).select("patch_id", F.round("moran_i", 5).alias("moran_i"), r("p"))
 
 
+#: Patches at four noise levels; what a level adds follows from patch and place.
+_AMPLITUDE = {"inf": 0.0, "40": 0.01, "30": 0.03, "20": 0.1}
+_SCENARIOS = {"low": ["low"], "upper": ["medium", "high"], "all": None}
+_NOISY = f"lv AS (SELECT unnest({list(_AMPLITUDE)}) AS noise_level, unnest({list(_AMPLITUDE.values())})::DOUBLE AS amp), pt AS (SELECT vec_id AS patch_id, CAST(label % 3 AS VARCHAR) AS satellite, CASE WHEN vec_id % 10 < 7 THEN 'train' WHEN vec_id % 10 = 7 THEN 'val' ELSE 'test' END AS split, list_max(embedding)::DOUBLE AS entropy_7 FROM embeddings), d AS (SELECT patch_id, noise_level, y, x, v AS clean, gap, v + amp * ((patch_id * 31 + (y * 8 + x) * 17) % 101 - 50) / 50 AS d FROM px, lv)"
+
+
+@query(f"""{P}, {_NOISY}, wh AS (SELECT patch_id, noise_level, avg(d) AS whole FROM d WHERE gap = 0 GROUP BY 1, 2),
+g AS (SELECT a.patch_id, a.noise_level, a.y, a.x, any_value(a.clean) AS clean, avg(b.d) AS near FROM d a LEFT JOIN d b ON a.patch_id = b.patch_id AND a.noise_level = b.noise_level AND b.gap = 0 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.gap = 1 GROUP BY 1, 2, 3, 4),
+f AS (SELECT patch_id, noise_level, clean, coalesce(near, whole, 0) AS near, coalesce(whole, 0) AS whole FROM g LEFT JOIN wh USING (patch_id, noise_level)),
+q AS (SELECT satellite, quantile_cont(entropy_7, 1.0/3) AS lo, quantile_cont(entropy_7, 2.0/3) AS hi FROM pt WHERE split = 'train' GROUP BY 1),
+sc AS (SELECT pt.*, s.entropy_scenario FROM pt LEFT JOIN q USING (satellite) JOIN (SELECT unnest(['low', 'upper', 'all']) AS entropy_scenario) s ON entropy_scenario = 'all' OR (entropy_scenario = 'low' AND entropy_7 <= lo) OR (entropy_scenario = 'upper' AND entropy_7 > lo)),
+m AS (SELECT entropy_scenario, avg(clean) AS my, avg(near) AS mn, avg(whole) AS mw, var_pop(near) AS vn, var_pop(whole) AS vw, covar_pop(near, whole) AS nw, covar_pop(near, clean) AS ny, covar_pop(whole, clean) AS wy FROM sc JOIN f USING (patch_id) WHERE split = 'train' AND noise_level = 'inf' GROUP BY 1),
+k AS (SELECT *, (vw * ny - nw * wy) / (vn * vw - nw * nw) AS kn, (vn * wy - nw * ny) / (vn * vw - nw * nw) AS kw FROM m),
+e AS (SELECT entropy_scenario, noise_level, satellite, patch_id, entropy_7, clean - greatest(0, least(1, my + kn * (near - mn) + kw * (whole - mw))) AS e FROM sc JOIN f USING (patch_id) JOIN k USING (entropy_scenario) WHERE split = 'test')
+SELECT entropy_scenario, noise_level, satellite, patch_id, round(entropy_7, 6) AS entropy_7, round(count(*) / 64.0::DOUBLE, 6) AS gap_fraction, round(sqrt(avg(e * e)), 5) AS rmse, round(10 * log10(1 / avg(e * e)), 4) AS psnr FROM e GROUP BY ALL""")
+def scenario_models(spark, sf):
+    """Linear models by scenario of entropy, evaluated on the test patches at every noise level."""
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("noise_level"), F.lit(a).alias("amp")) for k, a in _AMPLITUDE.items()))).alias("l")
+    p = patches(spark, sf).repartition(_tasks(spark)).select("patch_id", (F.col("label") % 3).cast("string").alias("satellite"), F.array_max("raw").alias("entropy_7"), "clean", "mask", levels).select("*", "l.*")
+    noisy = F.transform("clean", lambda v, i: v + F.col("amp") * ((F.col("patch_id") * 31 + i * 17) % 101 - 50) / 50)
+    split = F.when(F.col("patch_id") % 10 < 7, "train").when(F.col("patch_id") % 10 == 7, "val").otherwise("test")
+    got = models.run_scenarios(p.withColumn("degraded", noisy).withColumn("split", split), _SCENARIOS, (8, 8, 1))
+    return got.select("entropy_scenario", "noise_level", "satellite", "patch_id", r("entropy_7"), r("gap_fraction"), F.round("rmse", 5).alias("rmse"), F.round("psnr", 4).alias("psnr"))
+
+
 def _rows(spark, sf, bands: int = 1) -> DataFrame:
     return patches(spark, sf, bands).select(F.lit(0).alias("seed"), F.lit("inf").alias("noise_level"), "patch_id", F.col("label").cast("string").alias("satellite"), ra.gap_fraction(F.col("mask")).alias("gap_fraction"), "clean", "degraded", "mask")
 
