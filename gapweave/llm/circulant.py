@@ -6,8 +6,8 @@ coordinate k is the least value of the permutation `order` over the scattered ce
 coordinates make a band, and sets that agree in a band meet. Two sets of similarity s miss each other in all bands with
 probability (1 - s^ROWS)^BANDS: 2.4e-9 at 0.85, less above.
 
-Equal sets are one node. The nodes of one band value are a list; equal lists are one. Each node is paired with the
-least node of all its lists, filtered by size and parity bitmap and verified on whole sets; lists that still hold
+Equal sets are one node. The nodes of one band value are a list; equal lists are one. Each node is paired with two
+of its lists' least nodes, filtered by size and parity bitmap and verified on whole sets; lists that still hold
 several components after that go on in `links.settle`, which compares all their pairs across components. The signature
 only proposes: every link is confirmed on whole sets.
 
@@ -122,9 +122,9 @@ def dedup(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
         code = F.floor(F.log("n") * SIZE_SCALE).cast("int").alias("code")
         listed = members.join(lists.select("band"), "band", "left_semi").join(nodes.select("sid", "n"), "sid")
         listed = table(listed.select(F.col("band").alias("sig"), F.col("sid").alias("gid"), code, F.lit(0).alias("place"), "sid"))
-        # each node first meets the least node of all its lists only; components decide what else must be looked at
-        firsts = members.groupBy(F.col("sid").alias("b")).agg(F.min("a").alias("a")).filter("a <> b")
-        tested = table(alike(firsts.select("a", "b"), nodes, percent))
+        # each node first meets two of its lists' least nodes only; components decide what else must be looked at
+        firsts = members.groupBy(F.col("sid").alias("b")).agg(F.array(F.min("a"), F.max("a")).alias("heads")).select(F.explode("heads").alias("a"), "b")
+        tested = table(alike(firsts.filter("a <> b").distinct(), nodes, percent))
 
         comp = settle(tested, listed, nodes, base, percent, WIDTH, table)
         out = labelled(rows.select("doc_id", "n", "sid"), nodes, comp)

@@ -2,8 +2,9 @@
 
 What finds the lists differs (shared prefixes, equal bands of a signature); what follows is the same. Equal sets
 are one node (`sid`), with the set's size and a parity bitmap. `settle` starts from some verified
-links, merges them to components and looks only at lists that still hold several of them: first each node with
-the closest one of every other component, then all pairs of different components that no filter rules out.
+links, merges them to components and looks only at lists that still hold several of them: first, in rounds, each node
+with its closest ones of a few other components, so that components at least halve where their closest nodes link, then
+all pairs of different components that no filter rules out.
 So no link between components is missed, and a group of near copies is merged without its pairs being listed.
 
 Whole sets are compared for every link. A node's partners are dealt to tasks by counted degree, a list's nodes to
@@ -24,6 +25,8 @@ from . import _arrow
 from .components import components
 
 BLOCK, BLOCK_BYTES = 4096, 4 << 20  # nodes of a list that travel together, and bytes of their bitmaps
+CLOSEST = 3  # components that a node meets in a block while lists hold many
+ROUNDS = 3  # of closest nodes before all pairs that are left
 DEALT = 512  # partners of a node that meet it in one task
 SIZE_SCALE, PLACE_SCALE = 2048, 256  # steps of a size's logarithm, and of a place as a share of the size
 MOST_BITS = 1 << 18  # of a bitmap; smaller sets have four to eight bits for each shingle
@@ -219,13 +222,13 @@ def _block_pairs(table: pa.Table, percent: int, closest: bool) -> list[tuple[int
             at, margin = at[margin >= 0], margin[margin >= 0]
             if closest and len(at) > 1:
                 at = at[np.lexsort((sid[at], -margin))]
-                at = at[np.unique(comp[at], return_index=True)[1]]
+                at = at[np.sort(np.unique(comp[at], return_index=True)[1])[:CLOSEST]]
             out += [(min(x, sid[k]), max(x, sid[k])) for x in sid[at].tolist()]
     return out
 
 
 def across(members: DataFrame, nodes: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Pairs of nodes of different components of the same list that no filter rules out; with `closest` for each node and other component of a block the closest one.
+    """Pairs of nodes of different components of the same list that no filter rules out; with `closest` for each node its closest ones of CLOSEST other components of a block.
 
     members: sig, gid, code, place, sid, comp. Lists with one component are left out. The nodes of a
     list's largest component are dealt to blocks and meet only the nodes outside it;
@@ -261,17 +264,24 @@ def across(members: DataFrame, nodes: DataFrame, percent: int, closest: bool) ->
 def settle(tested: DataFrame, listed: DataFrame, nodes: DataFrame, base: DataFrame, percent: int, width: int, table: _arrow.Tables) -> DataFrame:
     """node and root of every node that links, from tested pairs a, b and the lists (sig, gid, code, place, sid) whose pairs are not all among them."""
     links = table(verified(tested, base, nodes, percent, width))
-    for closest in (True, False):
-        comp = components(links, table)
+    comp = components(links, table)
+    rounds, closest = 0, True
+    while True:
         members = table(listed.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root"))
         more = table(across(members, nodes, percent, closest).join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
+        found = None if more.isEmpty() else table(verified(more, base, nodes, percent, width))
+        if found is None or found.isEmpty():
             if not closest:
                 return comp
-            continue
-        links = table(links.union(verified(more, base, nodes, percent, width)))
+            closest = False
+        else:
+            links = links.union(found)
+            comp = components(links, table)
+            if not closest:
+                return comp
+            rounds += 1
+            closest = rounds < ROUNDS
         tested = tested.union(more)
-    return components(links, table)
 
 
 def labelled(rows: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:

@@ -101,5 +101,22 @@ k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DES
 SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50"""
 
 
+def _components_sql(width: int, percent: int) -> str:
+    """node and root (the least doc_id that links reach) over all pairs of sets that share a shingle."""
+    words = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+    shingles = f"CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width - 1}], ' '))) END"
+    return f"""WITH RECURSIVE s AS (SELECT doc_id, {shingles} AS s FROM (SELECT doc_id, {words} AS w FROM documents)),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= {percent} * (any_value(x.n) + any_value(y.n) - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node),
+r AS (SELECT node, min(root) AS root FROM c GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, root AS component_id"""
+
+
+JACCARD_SQL = f"{_components_sql(5, 80)} FROM s JOIN r ON doc_id = node"
+DEDUP_SQL = f"{_components_sql(3, 85)}, doc_id = root AS kept FROM s JOIN r ON doc_id = node"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_lexical_search": LEXICAL_SQL}
+    return {"op6_ngram_jaccard": JACCARD_SQL, "op11_lexical_search": LEXICAL_SQL, "op12_near_dedup": DEDUP_SQL}
