@@ -8,7 +8,8 @@ stream through the tables, checks their CRCs and the counters, reassembles the p
 returns the payload with its time stamps and random-access points.
 
 Cases: a null or empty text is 576 bytes of 255; null doc_ids and repeated rows are kept; an
-empty table gives no rows; other columns of the input are ignored. A damaged stream raises.
+empty table gives no rows; other columns of the input are ignored. A damaged stream raises: lost sync, tables whose CRC
+fails, gaps in counters or time stamps, incomplete packets, a payload shorter than n_bytes. A packet sent twice in a row counts once.
 """
 
 from __future__ import annotations
@@ -123,7 +124,10 @@ def _parsed(packet: np.ndarray, table: int) -> bytes:
 
 
 def demux(stream: bytes) -> tuple[bytes, np.ndarray, np.ndarray, int, int]:
-    """Payload, time stamps, indices of random-access units, packets of the elementary stream, counter errors."""
+    """Payload, time stamps, indices of random-access units, packets of the elementary stream, repeated packets.
+
+    A packet may be sent twice in a row; the repeat is skipped. A gap in counters or time stamps is an error.
+    """
     if len(stream) % 188:
         raise ValueError("not whole transport packets")
     p = np.frombuffer(stream, np.uint8).reshape(-1, 188)
@@ -138,7 +142,12 @@ def demux(stream: bytes) -> tuple[bytes, np.ndarray, np.ndarray, int, int]:
     p = p[pid == es]
     control = p[:, 3] >> 4 & 3
     p, control = p[(control & 1) == 1], control[(control & 1) == 1]
-    errors = int(((p[1:, 3].astype(np.int16) - p[:-1, 3] & 15) != 1).sum())
+    repeated = np.append(False, (p[1:] == p[:-1]).all(1))
+    if (repeated[1:] & repeated[:-1]).any():
+        raise ValueError("a packet is there three times")
+    p, control = p[~repeated], control[~repeated]
+    if ((p[1:, 3].astype(np.int16) - p[:-1, 3] & 15) != 1).any():
+        raise ValueError("packets are lost: the continuity counter jumps")
     field = (control & 2) != 0
     head = np.where(field, 5 + p[:, 4].astype(np.int64), 4)
     begins = (p[:, 1] & 0x40) != 0
@@ -149,6 +158,8 @@ def demux(stream: bytes) -> tuple[bytes, np.ndarray, np.ndarray, int, int]:
     if (take(0) | take(1)).any() or (take(2) != 1).any():
         raise ValueError("no elementary packet where one must begin")
     stamps = (take(9) >> 1 & 7) << 30 | take(10) << 22 | take(11) >> 1 << 15 | take(12) << 7 | take(13) >> 1
+    if (np.diff(stamps) % (1 << 33) != TICKS).any():
+        raise ValueError("units are lost: the time stamps jump")
     sizes = take(4) << 8 | take(5)
     head[units] += 9 + take(8)
     body = p[np.arange(188) >= head[:, None]]
@@ -156,7 +167,7 @@ def demux(stream: bytes) -> tuple[bytes, np.ndarray, np.ndarray, int, int]:
     if (got != sizes - 3 - take(8)).any():
         raise ValueError("an elementary packet is incomplete")
     marks = field[units] & (rows[:, 4] > 0) & ((rows[:, 5] & 0x40) != 0)
-    return body.tobytes(), stamps, np.flatnonzero(marks), len(p), errors
+    return body.tobytes(), stamps, np.flatnonzero(marks), len(p), int(repeated.sum())
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,7 +188,7 @@ def read(stored: DataFrame, payloads: bool = False) -> DataFrame:
     """Stored streams read back: digests of payload and stream, time stamps and random-access points.
 
     With `payloads` the payload itself comes along. feature: transport packets of the stream,
-    units, random-access points, counter errors, first and last stamp, distinct byte values.
+    units, random-access points, repeated packets, first and last stamp, distinct byte values.
     """
     ship(stored.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stamps array<long>, access_points array<long>"
@@ -189,9 +200,11 @@ def read(stored: DataFrame, payloads: bool = False) -> DataFrame:
             for part in _arrow.slices(batch, "media", SLICE):
                 rows = []
                 for doc, n, media in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
-                    payload, stamps, marks, packets, errors = demux(media)
+                    payload, stamps, marks, packets, repeats = demux(media)
+                    if n is not None and not n <= len(payload) <= max(n + BLOCK - 1, BLOCK):
+                        raise ValueError("the stream ends before its payload")
                     seen = int((np.bincount(np.frombuffer(payload, np.uint8), minlength=256) > 0).sum())
-                    feature = f"packets={packets};units={len(stamps)};access={len(marks)};errors={errors};first={stamps[0]};last={stamps[-1]};values={seen}"
+                    feature = f"packets={packets};units={len(stamps)};access={len(marks)};repeats={repeats};first={stamps[0]};last={stamps[-1]};values={seen}"
                     rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, stamps, marks, payload)[: len(names)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
