@@ -15,7 +15,6 @@ columns of the changes are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,12 +46,13 @@ def count_tokens(docs: DataFrame, version: str = "word_bpe_49k", folder: str | N
 
 
 def deltas(changes: DataFrame) -> DataFrame:
-    """Signed sums of changes: op (insert, delete or revise), KEYS, n_tokens and, for revise, old_n_tokens."""
+    """Signed sums of changes: op (insert, delete or revise), KEYS, n_tokens, for revise old_n_tokens, and rows if a change stands for several equal ones."""
     n, old = F.coalesce("n_tokens", F.lit(0)), F.coalesce("old_n_tokens", F.lit(0)) if "old_n_tokens" in changes.columns else F.lit(0)
     kind = F.col("op")
     docs = F.when(kind == "insert", 1).when(kind == "delete", -1).when(kind == "revise", 0).otherwise(F.raise_error(F.concat(F.lit("unknown operation "), F.coalesce(kind, F.lit("null")))).cast("int"))
     tokens = F.when(kind == "insert", n).when(kind == "delete", -n).otherwise(n - old)
-    return changes.groupBy(*KEYS).agg(F.sum(docs.cast("long")).alias("n_docs"), F.sum(tokens.cast("long")).alias("n_tokens"))
+    many = F.col("rows") if "rows" in changes.columns else F.lit(1)
+    return changes.groupBy(*KEYS).agg(F.sum((docs * many).cast("long")).alias("n_docs"), F.sum((tokens * many).cast("long")).alias("n_tokens"))
 
 
 class Store:
@@ -103,18 +103,21 @@ def replay(docs: DataFrame, version: str = "word_bpe_49k", folder: str | None =
     include an end token; the revision is sent again.
     """
     spark = docs.sparkSession
-    root = f"{_arrow.shared_dir(spark)}/counts-{uuid.uuid4().hex}"
-    fields = docs.select("doc_id", "source", "lang", F.col("text").cast("string").alias("text"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), F.coalesce(F.hash("text"), F.lit(0)).alias("h2"))
-    rows = count_tokens(fields, version, folder, ("doc_id", "source", "lang", "h", "h2"))
-    rows.withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{root}/ledger")
-    ledger = spark.read.parquet(f"{root}/ledger")
-    store = Store(spark, f"{root}/store")
-    store.commit("load", ledger.withColumn("op", F.lit("insert")))
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang", "row"))
-    first = ledger.groupBy("h", "h2").agg(least["row"].alias("first"))
-    marked = ledger.join(first, ["h", "h2"]).withColumn("stays", F.col("row") == F.col("first"))
-    store.commit("copies", marked.filter("not stays").withColumn("op", F.lit("delete")))
-    revised = marked.filter("stays").select("source", "lang", "tokenizer_version", F.lit("revise").alias("op"), F.col("n_tokens").alias("old_n_tokens"), (F.col("n_tokens") + 1).alias("n_tokens"))
-    store.commit("end-token", revised)
-    store.commit("end-token", revised)
-    return store.totals()
+    with _arrow.scratch(spark, "counts") as root:
+        fields = docs.select("doc_id", "source", "lang", F.col("text").cast("string").alias("text"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), F.coalesce(F.hash("text"), F.lit(0)).alias("h2"))
+        count_tokens(fields, version, folder, ("doc_id", "source", "lang", "h", "h2")).write.parquet(f"{root}/ledger")
+        ledger = spark.read.parquet(f"{root}/ledger")
+        store = Store(spark, f"{root}/store")
+        store.commit("load", ledger.withColumn("op", F.lit("insert")))
+        # a text's copies are counted by source and language before they meet the one that stays: no task sees them one by one
+        text = ["h", "h2"]
+        least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("source").alias("s"), F.col("lang").alias("l"))).alias("first")
+        first = ledger.groupBy(*text).agg(least).select(*text, "first.s", "first.l")
+        copies = ledger.groupBy(*text, *KEYS, "n_tokens").agg(F.count("*").alias("n"))
+        marked = copies.join(first, text).withColumn("stays", F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")))
+        gone = marked.withColumn("rows", F.col("n") - F.col("stays").cast("long")).filter("rows > 0")
+        store.commit("copies", gone.withColumn("op", F.lit("delete")))
+        revised = marked.filter("stays").select(*KEYS, F.lit("revise").alias("op"), F.col("n_tokens").alias("old_n_tokens"), (F.col("n_tokens") + 1).alias("n_tokens"))
+        store.commit("end-token", revised)
+        store.commit("end-token", revised)
+        return store.totals().checkpoint()

@@ -474,8 +474,8 @@ def test_packing_is_whole(docs, rows, none):
 def test_streams_round_trip(n):
     payload = np.random.default_rng(n).integers(0, 256, n, np.uint8).tobytes()
     stream = media.mux(payload)
-    back, stamps, marks, packets, errors = media.demux(stream)
-    assert back == payload and errors == 0 and len(stream) % 188 == 0
+    back, stamps, marks, packets, repeats = media.demux(stream)
+    assert back == payload and repeats == 0 and len(stream) % 188 == 0
     assert stamps.tolist() == [k * media.TICKS for k in range(-(-n // media.UNIT))]
     assert marks.tolist() == list(range(0, len(stamps), media.RAP)) and packets == len(stream) // 188 - 2
 
@@ -485,11 +485,34 @@ def test_damage_is_noticed():
     lost = bytes(stream[: 188 * 5] + stream[188 * 6 :])
     with pytest.raises(ValueError):
         media.demux(lost)
+    twice = bytes(stream[: 188 * 6] + stream[188 * 5 : 188 * 6] + stream[188 * 6 :])
+    assert media.demux(twice)[0] == b"x" * 9216 and media.demux(twice)[4] == 1  # a legal repeat
+    with pytest.raises(ValueError):
+        media.demux(bytes(stream[: 188 * 6] + 2 * stream[188 * 5 : 188 * 6] + stream[188 * 6 :]))
     stream[20] ^= 1
     with pytest.raises(ValueError):
         media.demux(bytes(stream))
 
 
+def test_a_lost_unit_or_end_is_noticed(spark):
+    payload = bytes(range(256)) * (media.UNIT * 5 // 256)
+    stream = media.mux(payload)
+    p = np.frombuffer(stream, np.uint8).reshape(-1, 188)
+    begins = np.flatnonzero((p[:, 1] & 0x40 != 0) & ((p[:, 1] & 31).astype(int) * 256 + p[:, 2] == media.ES_PID))
+    cut = np.delete(p, np.arange(begins[1], begins[2]), 0)
+    with pytest.raises(ValueError, match="lost"):
+        media.demux(cut.tobytes())
+    # counters mended as a careless editor would: the stamps still tell
+    mended = cut.copy()
+    es = np.flatnonzero((mended[:, 1] & 31).astype(int) * 256 + mended[:, 2] == media.ES_PID)
+    mended[es, 3] = mended[es, 3] & 0xF0 | np.arange(len(es)) & 15
+    with pytest.raises(ValueError, match="stamps"):
+        media.demux(mended.tobytes())
+    short = spark.createDataFrame([(1, len(payload), bytearray(p[: begins[-1]].tobytes()))], "doc_id long, n_bytes long, media binary")
+    with pytest.raises(Exception, match="ends before"):
+        media.read(short).collect()
+
+
 def test_media_columns(docs, rows, none):
     got = media.read(media.store(docs), payloads=True).collect()
     assert len(got) == len(rows)
@@ -498,7 +521,7 @@ def test_media_columns(docs, rows, none):
         raw = texts[r["doc_id"]]
         want = raw.ljust(max(1, -(-len(raw) // 576)) * 576, b"\xff")
         assert (r["n_bytes"], r["payload_bytes"], bytes(r["payload"]), r["tail_crc32"]) == (len(raw), len(want), want, zlib.crc32(want[-32:]))
-        assert r["payload_sha256"] == hashlib.sha256(want).hexdigest() and "errors=0" in r["feature"]
+        assert r["payload_sha256"] == hashlib.sha256(want).hexdigest() and "repeats=0" in r["feature"]
     assert media.read(media.store(none)).count() == 0
 
 
