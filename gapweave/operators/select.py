@@ -105,6 +105,11 @@ def first_seed(selections: DataFrame) -> DataFrame:
     return selections.groupBy("satellite", "patch_id").agg(F.min_by("seed", "seed_pos").alias("seed"))
 
 
+def outside(selections: DataFrame, train: DataFrame) -> DataFrame:
+    """Stored selections (satellite, patch_id) that are no training patches; a valid selection has none."""
+    return selections.select("satellite", "patch_id").distinct().join(train.select("satellite", "patch_id").distinct(), ["satellite", "patch_id"], "left_anti")
+
+
 def hash_split(df: DataFrame, key: str, by: str, shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
     """Stratified train, val and test by the order of a hash within each stratum; the rest is test.
 

@@ -81,6 +81,27 @@ def run_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], wall
     return od.same_groups(got, p95, keys, "left").withColumn("p95_elapsed", zero(F.col("p95_elapsed")))
 
 
+def grid_summary(runs: DataFrame, parameters: Sequence[str], metrics: Sequence[str], wall: DataFrame) -> DataFrame:
+    """One row for each run of a parameter grid: its parameters, wall_time_s and the figures of run_summary by that wall time.
+
+    runs: the parameters, status, elapsed_s and metrics; wall: the parameters and wall_time_s. A run without results has no row.
+    """
+    got = run_summary(runs, parameters, metrics).drop("throughput")
+    timed = od.same_groups(got, wall.select(*parameters, "wall_time_s"), parameters, "left")
+    return timed.withColumn("throughput", F.when(F.col("wall_time_s") > 0, F.col("n_ok") / F.col("wall_time_s")).otherwise(0.0))
+
+
+def model_cards(epochs: DataFrame) -> DataFrame:
+    """model, n_params, training time, best epoch (the first with the least val_loss), that loss and the number of epochs.
+
+    epochs: model, n_params (the same in all rows), epoch, val_loss and seconds of each epoch; NaN losses are no best ones.
+    """
+    loss = F.when(~F.isnan("val_loss"), F.col("val_loss"))
+    best = F.min(F.when(loss.isNotNull(), F.struct(loss.alias("val_loss"), "epoch"))).alias("b")
+    got = epochs.groupBy("model").agg(F.max("n_params").alias("n_params"), F.sum("seconds").alias("time_s"), best, F.count("*").alias("n_epochs"))
+    return got.select("model", "n_params", "time_s", F.col("b.epoch").alias("best_epoch"), F.col("b.val_loss").alias("val_loss"), "n_epochs")
+
+
 def shares(df: DataFrame, key: str, expected: dict[str, float], within: float = 0.01) -> DataFrame:
     """Share of each value and whether it lies within the tolerance of what is expected."""
     counts = df.groupBy(key).agg(F.count("*").alias("n"))

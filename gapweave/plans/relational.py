@@ -9,7 +9,9 @@ from ..operators import order
 from ..operators import select as sel
 from ..operators import summary as su
 from ..schemas import NOISE_LEVELS
-from ..sources.tables import unified_names, union
+from ..session import scratch
+from ..sources.sinks import append
+from ..sources.tables import parquet, unified_names, union
 from .registry import query, r
 from .views import FACT_SQL, fact, patches, table
 
@@ -294,6 +296,33 @@ def best_epoch(spark, sf):
     return got.select("model", F.col("b.epoch").alias("best_epoch"), F.col("b.val_loss").alias("val_loss"), "n_epochs")
 
 
+@query(f"WITH {_EPOCHS} SELECT model, (model * 1000 + 7)::BIGINT AS n_params, round(sum(val_loss / 10), 6) AS time_s, arg_min(epoch, (val_loss, epoch)) AS best_epoch, min(val_loss) AS val_loss, count(*) AS n_epochs FROM e GROUP BY 1")
+def model_cards(spark, sf):
+    e = _epochs(spark, sf).withColumn("n_params", F.col("model") * 1000 + 7).withColumn("seconds", F.col("val_loss") / 10)
+    return su.model_cards(e).withColumn("time_s", r(F.col("time_s")))
+
+
+_WALL = "w AS (SELECT DISTINCT seed, noise_level, (seed + 2) * 10.0::DOUBLE AS wall_time_s FROM fact)"
+
+
+@query(f"{W}, {_WALL} SELECT seed, noise_level, any_value(wall_time_s) AS wall_time_s, count(*) AS n_rows, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status <> 'ok') AS n_error, round(avg(CASE WHEN status <> 'ok' THEN 1.0 ELSE 0 END), 6) AS error_rate, round(avg(elapsed_s) FILTER (status = 'ok'), 6) AS mean_elapsed, round(quantile_cont(elapsed_s, 0.95) FILTER (status = 'ok'), 6) AS p95_elapsed, round(count(*) FILTER (status = 'ok') / any_value(wall_time_s), 6) AS throughput, round(avg(psnr) FILTER (status = 'ok'), 6) AS psnr_mean, round(stddev_samp(psnr) FILTER (status = 'ok'), 6) AS psnr_std FROM fact JOIN w USING (seed, noise_level) GROUP BY 1, 2")
+def grid_summary(spark, sf):
+    """Summaries of grid runs, appended run by run to one table and read back."""
+    f = fact(spark, sf)
+    wall = f.select("seed", "noise_level", ((F.col("seed") + 2) * 10.0).alias("wall_time_s")).distinct()
+    with scratch(spark, "grid") as path:
+        for seed in (0, 1, 2):
+            append(su.grid_summary(f.filter(F.col("seed") == seed), ["seed", "noise_level"], ["psnr"], wall), path)
+        return _rounded(parquet(spark, path)).checkpoint()
+
+
+@query(f"{W} SELECT DISTINCT satellite, patch_id FROM fact WHERE seed = 0 EXCEPT SELECT satellite, patch_id FROM fact WHERE split = 'train'")
+def selection_subset(spark, sf):
+    """Selected patches that are no training patches."""
+    f = fact(spark, sf)
+    return sel.outside(f.filter("seed = 0"), sel.only(f, "train"))
+
+
 @query(f"WITH {_EPOCHS}, b AS (SELECT *, min(val_loss) OVER (PARTITION BY model ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e), i AS (SELECT *, CASE WHEN before IS NULL OR val_loss < before - 1e-4 THEN epoch END AS better FROM b), s AS (SELECT *, epoch - max(better) OVER (PARTITION BY model ORDER BY epoch) AS waited FROM i) SELECT model, min(epoch) AS stop_epoch FROM s WHERE waited >= 5 GROUP BY 1")
 def early_stop(spark, sf):
     w = Window.partitionBy("model").orderBy("epoch")

@@ -15,7 +15,7 @@ from ..errors import ConfigError, SchemaError
 from ..operators.select import bucket_names
 from ..schemas import HISTORY, NOISE_LEVELS, RESULTS, nan_to_null
 
-CSV = {"header": "true", "positiveInf": "inf", "negativeInf": "-inf", "nanValue": "nan"}
+CSV = {"header": "true", "escape": '"', "positiveInf": "inf", "negativeInf": "-inf", "nanValue": "nan"}
 
 
 def parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -30,10 +30,20 @@ def csv(spark: SparkSession, path: str | list[str], schema: T.StructType, column
     return df.select(*columns) if columns else df
 
 
+#: A comma outside double quotes.
+_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def fields(line: Column) -> Column:
+    """The fields of a CSV line, quotes taken off and doubled ones halved."""
+    bare = lambda v: F.replace(F.substr(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(F.split(line, _COMMA, -1), lambda v: F.when((F.length(v) > 1) & v.startswith('"') & v.endswith('"'), bare(v)).otherwise(v))
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file from its first line."""
-    first = spark.read.text(path).limit(1).collect()
-    return first[0][0].split(",") if first else []
+    """Column names of a CSV file from its first line, with CSV's quoting; none of an empty file."""
+    first = spark.read.text(path).limit(1).select(fields(F.col("value")).alias("c")).collect()
+    return list(first[0]["c"]) if first else []
 
 
 def csv_by_name(spark: SparkSession, path: str, schema: T.StructType, names: Sequence[str], prefix: str = "mean_entropy_") -> DataFrame:
@@ -41,15 +51,19 @@ def csv_by_name(spark: SparkSession, path: str, schema: T.StructType, names: Seq
     return csv(spark, path, schema, [c.name for c in schema if c.name in names or c.name.startswith(prefix)])
 
 
-def csv_lenient(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows, bad lines): lines that do not fit the schema are set aside, not fatal. One row is one line."""
-    first = ",".join(header(spark, path))
+def csv_lenient(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad lines): lines that do not fit the schema are set aside, not fatal.
+
+    Each file's first line is its header, and no other line is taken for one. With `multi_line` quoted fields may hold line ends; a file
+    is one task then.
+    """
     full = T.StructType([*schema, T.StructField("_bad", T.StringType())])
-    options = {k: v for k, v in CSV.items() if k != "header"} | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full)
-    rows = spark.read.text(path).filter((F.col("value") != first) & (F.col("value") != "")).select("value", F.from_csv("value", ddl, options).alias("r"))
-    good = rows.filter("r._bad is null").select(*(F.col("r")[f.name].alias(f.name) for f in schema))
-    return nan_to_null(good), rows.filter("r._bad is not null").select(F.col("value").alias("line"))
+    options = CSV | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "multiLine": str(multi_line).lower(), "columnPruning": "false", "enforceSchema": "true"}
+    names = [f.name for f in schema]
+    # Spark refuses a scan of the corrupt column alone; a test that it cannot fold away, and that always holds, keeps the others in it
+    read = F.xxhash64(*names) % 2 + F.rand(0) < 2
+    rows = spark.read.options(**options).schema(full).csv(path).filter(read)
+    return nan_to_null(rows.filter("_bad is null").select(*names)), rows.filter("_bad is not null").select(F.col("_bad").alias("line"))
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +87,7 @@ def csv_ragged(spark: SparkSession, path: str, windows: Sequence[int] = (7, 15,
     at = max((names.index(c) + 1 for c in have), default=len(names))
     wide = [*names[:at], *missing, *names[at:]]
     kinds = {f.name: f.dataType.simpleString() for f in RESULTS}
-    cells = spark.read.text(path).filter(F.col("value") != ",".join(names)).select(F.split("value", ",", -1).alias("c"))
+    cells = spark.read.text(path).select(fields(F.col("value")).alias("c")).filter(F.col("c") != F.array(*map(F.lit, names)))
 
     def part(columns: list[str]) -> DataFrame:
         value = lambda i: F.nullif(F.get("c", F.lit(i)), F.lit(""))
@@ -128,9 +142,10 @@ def selections(spark: SparkSession, path: str, expected: dict | None = None) ->
     raw = spark.read.text(path, wholetext=True)
     both = raw.select(F.from_json("value", f"struct<metadata: map<string, string>, selections: {inner}>").alias("a"), F.from_json("value", inner).alias("b"), F.get_json_object("value", "$.selections").isNotNull().alias("wrapped"))
     if expected:
-        stored = both.select("a.metadata").first()
-        found = (stored and stored[0]) or {}
-        if any(str(found.get(k)) != str(v) for k, v in expected.items()):
+        agrees = F.lit(True)
+        for k, v in expected.items():
+            agrees = agrees & F.coalesce(F.try_element_at("a.metadata", F.lit(k)) == str(v), F.lit(False))
+        if not both.filter(~agrees).isEmpty():  # every file's, not only the first one's
             raise ConfigError("the stored selections were made for another configuration")
     maps = both.select(F.when(F.col("wrapped"), F.col("a.selections")).otherwise(F.col("b")).alias("m"))
     rows = maps.select(F.explode("m").alias("satellite", "s")).select("satellite", F.explode("s").alias("seed", "ids")).select("satellite", F.col("seed").cast("int").alias("seed"), F.explode("ids").alias("patch_id"))
