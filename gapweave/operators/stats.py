@@ -60,12 +60,13 @@ def fdr(df: DataFrame, p: str, out: str = "q", by: Sequence[str] = ()) -> DataFr
     """Benjamini-Hochberg over the tests of a report: q and whether it is significant. Null and NaN stay out.
 
     Equal p share the rank of the last of them, whose p m / rank is the least, so q belongs to a distinct p: counts run
-    up over ranges of p and the least quotient runs down over them; no task sees all tests. Counts and quotients
-    are written to the shared folder, so the tests themselves are computed twice, not for every range pass.
+    up over ranges of p and the least quotient runs down over them; no task sees all tests. The tests and
+    the quotients are written to the shared folder once, so no range pass computes them again.
     """
     shared_dir(df.sparkSession)
+    df = df.checkpoint()
     tested = F.col(p).isNotNull() & ~F.isnan(p)
-    counts = df.filter(tested).groupBy(*by, p).agg(F.count("*").alias("_c")).checkpoint()
+    counts = df.filter(tested).groupBy(*by, p).agg(F.count("*").alias("_c"))
     sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_m"))
     placed = order.same_groups(order.running(counts, by, p, ["_c"]), sizes, by).withColumn("_quotient", F.col(p) * F.col("_m") / F.col("upto__c"))
     qs = order.least_from(placed.select(*by, p, "_quotient").checkpoint(), by, p, "_quotient", "_q").select(*by, p, F.least("_q", F.lit(1.0)).alias(out))
