@@ -34,6 +34,7 @@ from .links import SIZE_SCALE, alike, bitmap, labelled, set_id, sets, settle
 
 WIDTH, PERCENT = 3, 85
 ROWS, BANDS = 6, 42
+CLOSEST, SCALE = 3, 4  # components that a node meets in a round; size of a parity bitmap
 CELLS = 1 << 15  # scattered cells that go through all coordinates before the next ones
 
 
@@ -91,7 +92,7 @@ def _described(base: DataFrame) -> DataFrame:
                     cells = scatter((np.concatenate([found[k] for k in some]) >> np.uint64(32)).astype(np.uint32))
                     hashes[some] = bands(signatures(cells, np.concatenate([[0], np.cumsum(n[some])[:-1]])))
                 rows = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * BANDS, pa.array(hashes.view(np.int64).ravel()))
-                values = [pa.array(n), pa.array([set_id(u) if len(u) else None for u in found], pa.int64()), pa.array([bitmap(u) if len(u) else None for u in found], pa.binary()), rows]
+                values = [pa.array(n), pa.array([set_id(u) if len(u) else None for u in found], pa.int64()), pa.array([bitmap(u, SCALE) if len(u) else None for u in found], pa.binary()), rows]
                 yield pa.RecordBatch.from_arrays([*map(part.column, ("doc_id", "key", "text_hash")), *values], ["doc_id", "key", "text_hash", "n", "sid", "bits", "bands"])
 
     return base.mapInArrow(run, "doc_id long, key long, text_hash long, n long, sid long, bits binary, bands array<long>")
@@ -126,7 +127,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
         firsts = members.groupBy(F.col("sid").alias("b")).agg(F.array(F.min("a"), F.max("a")).alias("heads")).select(F.explode("heads").alias("a"), "b")
         tested = table(alike(firsts.filter("a <> b").distinct(), nodes, percent))
 
-        comp = settle(tested, listed, nodes, base, percent, WIDTH, table)
+        comp = settle(tested, listed, nodes, base, percent, WIDTH, table, CLOSEST)
         out = labelled(rows.select("doc_id", "n", "sid"), nodes, comp)
         component = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))
         return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")).checkpoint()

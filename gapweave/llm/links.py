@@ -25,11 +25,10 @@ from . import _arrow
 from .components import components
 
 BLOCK, BLOCK_BYTES = 4096, 4 << 20  # nodes of a list that travel together, and bytes of their bitmaps
-CLOSEST = 3  # components that a node meets in a block while lists hold many
 ROUNDS = 3  # of closest nodes before all pairs that are left
 DEALT = 512  # partners of a node that meet it in one task
 SIZE_SCALE, PLACE_SCALE = 2048, 256  # steps of a size's logarithm, and of a place as a share of the size
-MOST_BITS = 1 << 18  # of a bitmap; smaller sets have four to eight bits for each shingle
+MOST_BITS = 1 << 17  # of a bitmap, times its scale; smaller sets have as many bits for each shingle as the scale, or up to twice as many
 BROADCAST_ROWS = 200_000  # rows of up to 28 bytes
 
 
@@ -54,9 +53,9 @@ def set_id(u: np.ndarray) -> int:
     return signed(xxhash.xxh3_64_intdigest(u.tobytes()))
 
 
-def bitmap(u: np.ndarray) -> bytes:
+def bitmap(u: np.ndarray, scale: int = 1) -> bytes:
     """Parities of the numbers of shingles that fall on each place."""
-    size = min(MOST_BITS, max(64, 4 << (len(u) - 1).bit_length()))
+    size = min(scale * MOST_BITS, max(64, scale << (len(u) - 1).bit_length()))
     return np.packbits(np.bincount((u >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1 != 0).tobytes()
 
 
@@ -181,7 +180,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
-def _block_pairs(table: pa.Table, percent: int, closest: bool) -> list[tuple[int, int]]:
+def _block_pairs(table: pa.Table, percent: int, closest: bool, most: int | None = None) -> list[tuple[int, int]]:
     """Pairs of nodes of one block pair: groups are filtered first, then their nodes by component and bitmap."""
     p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
     gid, sid, comp, n, i = (table.column(c).to_numpy() for c in ("gid", "sid", "comp", "n", "i"))
@@ -222,13 +221,13 @@ def _block_pairs(table: pa.Table, percent: int, closest: bool) -> list[tuple[int
             at, margin = at[margin >= 0], margin[margin >= 0]
             if closest and len(at) > 1:
                 at = at[np.lexsort((sid[at], -margin))]
-                at = at[np.sort(np.unique(comp[at], return_index=True)[1])[:CLOSEST]]
+                at = at[np.sort(np.unique(comp[at], return_index=True)[1])[:most]]
             out += [(min(x, sid[k]), max(x, sid[k])) for x in sid[at].tolist()]
     return out
 
 
-def across(members: DataFrame, nodes: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Pairs of nodes of different components of the same list that no filter rules out; with `closest` for each node its closest ones of CLOSEST other components of a block.
+def across(members: DataFrame, nodes: DataFrame, percent: int, closest: bool, most: int | None = None) -> DataFrame:
+    """Pairs of nodes of different components of the same list that no filter rules out; with `closest` for each node the closest one of every other component of a block, or of the `most` closest components.
 
     members: sig, gid, code, place, sid, comp. Lists with one component are left out. The nodes of a
     list's largest component are dealt to blocks and meet only the nodes outside it;
@@ -252,7 +251,7 @@ def across(members: DataFrame, nodes: DataFrame, percent: int, closest: bool) ->
             return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
         for table in _runs(batches, ("sig", "p", "q")):
-            found.update(_block_pairs(table, percent, closest))
+            found.update(_block_pairs(table, percent, closest, most))
             if len(found) > 200_000:
                 yield out()
                 found.clear()
@@ -261,14 +260,17 @@ def across(members: DataFrame, nodes: DataFrame, percent: int, closest: bool) ->
     return m.repartition(partitions(members.sparkSession), "sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
-def settle(tested: DataFrame, listed: DataFrame, nodes: DataFrame, base: DataFrame, percent: int, width: int, table: _arrow.Tables) -> DataFrame:
-    """node and root of every node that links, from tested pairs a, b and the lists (sig, gid, code, place, sid) whose pairs are not all among them."""
+def settle(tested: DataFrame, listed: DataFrame, nodes: DataFrame, base: DataFrame, percent: int, width: int, table: _arrow.Tables, most: int | None = None) -> DataFrame:
+    """node and root of every node that links, from tested pairs a, b and the lists (sig, gid, code, place, sid) whose pairs are not all among them.
+
+    `most` other components are met by a node in each of ROUNDS rounds of closest nodes; without it there is one round, over all of them.
+    """
     links = table(verified(tested, base, nodes, percent, width))
     comp = components(links, table)
     rounds, closest = 0, True
     while True:
         members = table(listed.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root"))
-        more = table(across(members, nodes, percent, closest).join(tested, ["a", "b"], "left_anti"))
+        more = table(across(members, nodes, percent, closest, most).join(tested, ["a", "b"], "left_anti"))
         found = None if more.isEmpty() else table(verified(more, base, nodes, percent, width))
         if found is None or found.isEmpty():
             if not closest:
@@ -280,7 +282,7 @@ def settle(tested: DataFrame, listed: DataFrame, nodes: DataFrame, base: DataFra
             if not closest:
                 return comp
             rounds += 1
-            closest = rounds < ROUNDS
+            closest = most is not None and rounds < ROUNDS
         tested = tested.union(more)
 
 
