@@ -37,6 +37,36 @@ def local_entropy(grey: np.ndarray, window: int) -> np.ndarray:
     return np.maximum(np.log2(n) - total / n, 0.0)
 
 
+PIXELS = 256  # of rasters whose windows are counted by comparing all pairs of pixels
+CHUNK = 1 << 14  # pixels of rasters handled together
+
+
+def mean_entropies(grey: np.ndarray, windows: Sequence[int]) -> np.ndarray:
+    """(n, windows): means of local_entropy of rasters (n, h, w)."""
+    n, h, w = grey.shape
+    if h * w > PIXELS or any(k < 1 or k % 2 == 0 for k in windows):
+        return np.array([[local_entropy(g, k).mean() for k in windows] for g in grey]).reshape(n, len(windows))
+    v = grey.reshape(n, -1).astype(float)
+    low, span = v.min(1, keepdims=True), np.ptp(v, axis=1)[:, None]
+    g = np.where(span < 1e-10, 0, (v - low) * 255 / np.where(span < 1e-10, 1, span)).astype(np.int64)
+    same = (g[:, :, None] == g[:, None, :]).astype(np.float32)
+    y, x = np.divmod(np.arange(h * w), w)
+    log2 = np.log2(np.maximum(np.arange(h * w + 1), 1))
+    out, done = np.empty((n, len(windows))), {}
+    for at, k in enumerate(windows):
+        reach = min(k // 2, max(h, w) - 1)
+        if reach not in done:
+            inside = (np.abs(y[:, None] - y) <= reach) & (np.abs(x[:, None] - x) <= reach)
+            size = inside.sum(1)
+            # every pixel of a window adds the logarithm of how many there share its level
+            near = inside.astype(np.float32) @ same if not inside.all() else same.sum(1, keepdims=True)
+            logs = log2[near.astype(np.int32)]
+            total = np.einsum("ij,kij->ki", inside.astype(float), logs) if not inside.all() else logs.sum(2)
+            done[reach] = np.maximum(np.log2(size[: total.shape[1]]) - total / size[: total.shape[1]], 0.0).mean(1)
+        out[:, at] = done[reach]
+    return out
+
+
 def entropies(patches: DataFrame, shape: tuple[int, int, int], stored: DataFrame | None = None, windows: Sequence[int] = ENTROPY_WINDOWS) -> DataFrame:
     """patch_id and entropy_N for each window: the manifest's mean_entropy_N, else that of `stored`, else computed from `clean`.
 
@@ -84,6 +114,8 @@ def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int,
     status `error` and NULL metrics. With keep_arrays the reconstruction comes along. A column
     `wanted` (array of method names) narrows a row's methods. A table of few bytes is one task by itself;
     `tasks` deals its patches out, as the work is in the methods. `windows` are those of the entropies.
+    Methods run on stacks of patches, so elapsed_s is a patch's share of its stack's time; a stack that fails
+    is run again patch by patch.
     """
     ship(patches.sparkSession)
     params = params or {}
@@ -91,35 +123,68 @@ def evaluate(patches: DataFrame, methods: Sequence[str], shape: tuple[int, int,
     h, w, c = shape
     columns = [f.name for f in RESULTS] + ["reconstruction"] * keep_arrays
     texts = [f.name for f in RESULTS if f.dataType.simpleString() == "string"]
+    keys = ["seed", "noise_level", "patch_id", "satellite", "gap_fraction"]
+
+    def arrays(p) -> tuple:
+        """clean, degraded, mask and entropies of one patch, or the error that its arrays raise."""
+        try:
+            clean, degraded = (np.asarray(x, np.float32).reshape(h, w, c)[..., 0 if c == 1 else slice(None)] for x in (p.clean, p.degraded))
+            mask = np.asarray(p.mask).reshape(h, w) != 0
+            grey = clean if c == 1 else clean.mean(2)
+            return clean, degraded, mask, grey if np.isfinite(grey).all() else [float(local_entropy(grey, n).mean()) for n in windows]
+        except Exception as e:  # unusable arrays: every method's row says so
+            return (e,)
+
+    def judged(m: fills.Method, clean: np.ndarray, degraded: np.ndarray, mask: np.ndarray) -> tuple[dict, np.ndarray]:
+        filled = m.apply_many(degraded, mask, **params.get(m.name, {}))
+        return fills.metrics_many(clean, filled, mask), filled
+
+    def rows_of(m: fills.Method, some: pd.DataFrame, stacks: list, values: np.ndarray) -> pd.DataFrame:
+        """The rows of one method for patches with usable arrays."""
+        out = some[keys].assign(method=m.name, method_category=m.category, status="ok")
+        began = time.perf_counter()
+        try:
+            got, filled = judged(m, *stacks)
+            wrong = [None] * len(some)
+        except Exception as e:
+            if len(some) > 1:
+                return pd.concat([rows_of(m, some.iloc[k : k + 1], [x[k : k + 1] for x in stacks], values[k : k + 1]) for k in range(len(some))])
+            got, filled, wrong = {}, None, [f"{type(e).__name__}: {e}"]  # a patch's failure is a row, the job goes on
+        found = got | ({f"entropy_{n}": values[:, k] for k, n in enumerate(windows)} if got else {})
+        out = out.assign(**found, error_msg=wrong, elapsed_s=(time.perf_counter() - began) / len(some))
+        if not got:
+            out["status"] = "error"
+        if keep_arrays:
+            out["reconstruction"] = [None] * len(some) if filled is None else list(filled.reshape(len(some), -1))
+        return out
+
+    def handled(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        read = [arrays(p) for p in pdf.itertuples(index=False)]
+        wanted = [None if x is None else set(x) for x in pdf["wanted"]]
+        good = [k for k, x in enumerate(read) if len(x) > 1]
+        values = np.empty((len(pdf), len(windows)))
+        finite = [k for k in good if isinstance(read[k][3], np.ndarray)]
+        if finite:
+            values[finite] = mean_entropies(np.stack([read[k][3] for k in finite]), windows)
+        for k in set(good) - set(finite):
+            values[k] = read[k][3]
+        for m in chosen:
+            at = [k for k in good if wanted[k] is None or m.name in wanted[k]]
+            if at:
+                yield rows_of(m, pdf.iloc[at], [np.stack([read[k][i] for k in at]) for i in range(3)], values[at])
+            bad = [k for k, x in enumerate(read) if len(x) == 1 and (wanted[k] is None or m.name in wanted[k])]
+            if bad:
+                errors = [f"{type(read[k][0]).__name__}: {read[k][0]}" for k in bad]
+                yield pdf[keys].iloc[bad].assign(method=m.name, method_category=m.category, status="error", error_msg=errors, elapsed_s=0.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, CHUNK // (h * w))
         for pdf in batches:
-            rows = []
-            for p in pdf.itertuples(index=False):
-                try:
-                    clean, degraded = (np.asarray(x, np.float32).reshape(h, w, c)[..., 0 if c == 1 else slice(None)] for x in (p.clean, p.degraded))
-                    mask = np.asarray(p.mask).reshape(h, w) != 0
-                    grey = clean if c == 1 else clean.mean(2)
-                    entropies, broken = {f"entropy_{n}": float(local_entropy(grey, n).mean()) for n in windows}, None
-                except Exception as e:  # unusable arrays: every method's row says so
-                    entropies, broken = {}, e
-                for m in chosen if p.wanted is None else [m for m in chosen if m.name in set(p.wanted)]:
-                    row = {"seed": p.seed, "noise_level": p.noise_level, "method": m.name, "method_category": m.category, "patch_id": p.patch_id, "satellite": p.satellite, "gap_fraction": p.gap_fraction, "status": "ok"}
-                    began = time.perf_counter()
-                    try:
-                        if broken:
-                            raise broken
-                        filled = m.apply(degraded, mask, **params.get(m.name, {}))
-                        row |= fills.all_metrics(clean, filled, mask)
-                        row |= entropies
-                        if keep_arrays:
-                            row["reconstruction"] = filled.ravel()
-                    except Exception as e:  # a patch's failure is a row, the job goes on
-                        row |= {"status": "error", "error_msg": f"{type(e).__name__}: {e}"}
-                    row["elapsed_s"] = time.perf_counter() - began
-                    rows.append(row)
-            # text as objects: Spark takes no chunked string columns
-            yield pd.DataFrame(rows, columns=columns).astype(dict.fromkeys(texts, object))
+            for k in range(0, len(pdf), step):
+                for out in handled(pdf.iloc[k : k + step]):
+                    # text as objects: Spark takes no chunked string columns
+                    out = out.reindex(columns=columns)
+                    yield out.astype(dict.fromkeys(texts, object)).where(out.notna(), None).astype({f: float for f in columns if f not in texts and f in (*METRICS, *ENTROPY_COLUMNS)})
 
     if tasks:
         patches = patches.repartition(tasks)
