@@ -196,7 +196,8 @@ _DEALS = "deals AS (SELECT k, cell, row_number() OVER (PARTITION BY k ORDER BY m
 @query(f"{P}, {_LAG}, {_DEALS}, d AS (SELECT patch_id, k, place, cell, z AS dealt FROM l JOIN deals ON y * 8 + x = cell WHERE place <= 9), h AS (SELECT l.patch_id, y, x, l.z, lag, k, dealt, row_number() OVER (PARTITION BY l.patch_id, y, x, k ORDER BY place) AS r FROM l JOIN d ON l.patch_id = d.patch_id AND d.cell <> y * 8 + x), m AS (SELECT patch_id, y, x, k, any_value(z) AS z, any_value(lag) AS lag, avg(dealt) AS mean FROM h WHERE r <= (1 + (y > 0)::INT + (y < 7)::INT) * (1 + (x > 0)::INT + (x < 7)::INT) - 1 GROUP BY 1, 2, 3, 4), c AS (SELECT patch_id, y, x, any_value(z) AS z, any_value(lag) AS lag, count(*) FILTER (round(z * mean, 9) >= round(z * lag, 9)) AS larger FROM m GROUP BY 1, 2, 3) SELECT patch_id, y, x, CASE WHEN z > 0 THEN CASE WHEN lag > 0 THEN 1 ELSE 4 END ELSE CASE WHEN lag > 0 THEN 2 ELSE 3 END END AS quadrant, round((least(larger, 99 - larger) + 1) / 100.0::DOUBLE, 6) AS p FROM c")
 def local_moran_p(spark, sf):
     """Pseudo-p of each cell from 99 permutations."""
-    return st.local_p(pixel_view(spark, sf), 8, 64, 99).withColumn("p", r(F.col("p")))
+    rasters = patches(spark, sf).select("patch_id", F.col("clean").alias("values"), F.array_repeat(F.lit(1), 64).alias("inside"))
+    return st.local_p_arrays(rasters.repartition(_tasks(spark)), 8, 64, 99).withColumn("p", r(F.col("p")))
 
 
 @query(f"{P}, {_LAG}, {_DEALS}, near AS (SELECT a.c AS cell, b.c AS other FROM range(64) a(c), range(64) b(c) WHERE a.c <> b.c AND abs(a.c // 8 - b.c // 8) <= 1 AND abs(a.c % 8 - b.c % 8) <= 1), dealt AS (SELECT patch_id, k, place - 1 AS slot, z FROM deals JOIN z ON cell = y * 8 + x), lags AS (SELECT patch_id, k, near.cell, avg(z) AS lag FROM near JOIN dealt ON other = slot GROUP BY 1, 2, 3), s AS (SELECT patch_id, k, sum(z * lag) AS s FROM dealt JOIN lags USING (patch_id, k) WHERE slot = cell GROUP BY 1, 2), o AS (SELECT patch_id, sum(z * lag) AS a, sum(z * z) AS b FROM l GROUP BY 1) SELECT patch_id, round(any_value(a / b), 5) AS moran_i, round((least(count(*) FILTER (round(s, 9) >= round(a, 9)), count(*) FILTER (round(s, 9) < round(a, 9))) + 1) / 100.0::DOUBLE, 6) AS p FROM s JOIN o USING (patch_id) GROUP BY 1")
@@ -268,8 +269,10 @@ def evaluate_pipeline(spark, sf):
 def moran_permutation(spark, sf):
     def run(batches):
         for pdf in batches:
-            got = [st.moran_permutation(np.asarray(c).reshape(8, 8)) for c in pdf["clean"]]
-            yield pd.DataFrame({"patch_id": pdf["patch_id"], "moran_i": [g["i"] for g in got], "p": [g["p"] for g in got], "significant_cells": [int((g["local_p"] <= 0.05).sum()) for g in got]})
+            for k in range(0, len(pdf), 16):
+                part = pdf.iloc[k : k + 16]
+                got = st.moran_permutations(np.array(part["clean"].tolist()).reshape(-1, 8, 8))
+                yield pd.DataFrame({"patch_id": part["patch_id"], "moran_i": got["i"], "p": got["p"], "significant_cells": (got["local_p"] <= 0.05).sum((1, 2))})
 
     ship(spark)
     return patches(spark, sf).select("patch_id", "clean").repartition(_tasks(spark)).mapInPandas(run, "patch_id long, moran_i double, p double, significant_cells long")
