@@ -12,8 +12,9 @@ from ..session import ship
 from . import order as od
 
 RESAMPLES, LEVEL, SEED = 10_000, 0.95, 42
+SLACK = 3.5  # standard deviations by which Poisson numbers stay under the draws that they stand for
 WHOLE = 20_000  # values of a group up to which the generator is replayed as for one array
-STEP = 1 << 18  # draws at once
+STEP = 1 << 18  # draws at once: they stay in the processor's cache
 
 
 def _bounds(means: np.ndarray, level: float) -> np.ndarray:
@@ -53,28 +54,93 @@ def bootstrap_chunk(values: np.ndarray, weights: np.ndarray, chunk: int, path: S
 
     A resample's draws fall on the chunks by a multinomial law. Each split of the path draws its
     binomial share with a seed of its own, so chunks agree on their counts without seeing each
-    other; a chunk then draws that many of its own rows, the same ones for every metric.
+    other; a chunk then draws that many of its own rows, the same ones for every metric: how often each
+    row is drawn as Poisson numbers, which meet all metrics in one product of matrices.
     """
     total = int(weights.sum())
     counts = np.full(resamples, path[0][2] + path[0][3] if path else total)
     for a, b, left, right in path:
         share = np.random.default_rng([seed, 1, a, b]).binomial(counts, left / (left + right)) if left + right else counts * 0
         counts = share if chunk < (a + b) // 2 else counts - share
-    rng, out = np.random.default_rng([seed, 2, chunk]), np.zeros((resamples, *values.shape[1:]))
+    out = np.zeros((resamples, *values.shape[1:]))
     if not total:
         return out
     if total > 20 * len(values):  # many equal rows: a draw for each distinct one is shorter than one for each row
-        step = max(1, STEP // len(values))
+        rng, step = np.random.default_rng([seed, 2, chunk]), max(1, STEP // len(values))
         for k in range(0, resamples, step):
             out[k : k + step] = rng.multinomial(counts[k : k + step], weights / total) @ values
         return out
-    values = np.repeat(values, weights, axis=0)
-    step = max(1, STEP // total)
+    rng = np.random.Generator(np.random.SFC64([seed, 2, chunk]))
+    columns = values.reshape(len(values), -1)
+    center = weights @ columns / total
+    # how often rows are drawn stands beside the columns, which are taken from their mean and so lose nothing to their size
+    weighed = np.concatenate([columns - center, np.ones((len(values), 1))], 1)
+    rate = max(0.0, 1 - SLACK / np.sqrt(total))
+    # a number for w equal rows is the sum of those for the powers of two in w
+    powers = [(_poisson_table(rate * 2**b), weighed[some]) for b in range(int(weights.max()).bit_length()) if len(some := np.flatnonzero(weights >> b & 1))] if rate else []
+    upto = np.cumsum(weights)
+    step = max(1, STEP // max(1, sum(len(w) for _, w in powers)))
     for k in range(0, resamples, step):
         n = counts[k : k + step]
-        drawn, some = np.take(values, rng.integers(0, total, int(n.sum()), dtype=np.uint32), axis=0), np.flatnonzero(n)
-        if len(some):
-            out[k + some] = np.add.reduceat(drawn, (np.cumsum(n) - n)[some], axis=0)
+        got = _drawn(rng, weighed, upto, powers, n, rate)
+        out[k : k + step] = (got[:, :-1] + n[:, None] * center).reshape(out[k : k + step].shape)
+    return out
+
+
+def _poisson_table(rate: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The rate, the distribution function and numbers by the first 16 random bits, NaN where these leave them open."""
+    k = np.arange(int(rate + 12 * np.sqrt(rate) + 40))
+    ends = np.cumsum(np.exp(k * np.log(rate) - rate - np.concatenate([[0.0], np.cumsum(np.log(k[1:]))])))
+    cells = np.arange((1 << 16) + 1) / (1 << 16)
+    first = np.searchsorted(ends, cells[:-1], "right")
+    is_open = first != np.searchsorted(ends, cells[1:], "left")
+    return rate, ends, np.where(is_open, np.nan, first.astype(float))
+
+
+def _poisson(rng: np.random.Generator, table: tuple, shape: tuple[int, int]) -> np.ndarray:
+    """Poisson numbers by inversion; a number whose 16 bits leave it open gets 53 more."""
+    rate, ends, first = table
+    if rate > 1 << 14:
+        return rng.poisson(rate, shape).astype(float)
+    size = shape[0] * shape[1]
+    bits = rng.integers(0, 1 << 64, -(-size // 4), dtype=np.uint64).view(np.uint16)[:size]
+    if rate > 16:
+        out = np.take(first, bits)
+        rest = np.flatnonzero(np.isnan(out))
+    else:  # comparisons with the few bounds are shorter than a look-up
+        last = (1 << 16) - 1
+        bounds = np.minimum(ends * (1 << 16), last).astype(np.uint16)
+        out, is_open = np.zeros(size, np.uint8), bits == last
+        for e in bounds[bounds < last]:
+            out += bits > e
+            is_open |= bits == e
+        out, rest = out.astype(float), np.flatnonzero(is_open)
+    out[rest] = np.searchsorted(ends, (bits[rest] + rng.random(len(rest))) / (1 << 16), "right")
+    return out.reshape(shape)
+
+
+def _drawn(rng: np.random.Generator, weighed: np.ndarray, upto: np.ndarray, powers: list, counts: np.ndarray, rate: float) -> np.ndarray:
+    """Sums of `weighed` over counts[k] rows drawn with replacement, for each k; its last column is 1.
+
+    Poisson numbers given their sum are multinomial. So numbers whose sum is counts[k] at most, filled up by single
+    draws, have the law of counts[k] draws whatever the sum was; those that exceed it are thrown away whole.
+    """
+    total = int(upto[-1])
+    out, todo = np.zeros((len(counts), weighed.shape[1])), np.flatnonzero(counts > rate * total) if powers else []
+    for _ in range(3):
+        if not len(todo):
+            break
+        got = sum(_poisson(rng, table, (len(todo), len(rows))) @ rows for table, rows in powers)
+        fits = got[:, -1] <= counts[todo]
+        out[todo[fits]] = got[fits]
+        todo = todo[~fits]
+    left = counts - np.rint(out[:, -1]).astype(np.int64)
+    some = np.flatnonzero(left)
+    if len(some):
+        n = left[some]
+        at = rng.integers(0, total, int(n.sum()), dtype=np.uint32 if total < 1 << 32 else np.int64)
+        drawn = np.take(weighed, at if total == len(weighed) else np.searchsorted(upto, at, "right"), axis=0)
+        out[some] += np.add.reduceat(drawn, np.cumsum(n) - n, axis=0)
     return out
 
 
@@ -83,7 +149,7 @@ def intervals(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], order:
 
     Metrics with as many values in a group share one set of draws. A group of up to `most` rows
     replays numpy's generator over each metric's values in the order of `order`. A larger one is dealt into chunks of about
-    `most` rows by hash; every chunk adds its part to the sums of the same resamples, with seeds of its own, so
+    `most` rows by a hash of the values, so that equal ones meet and are counted; every chunk adds its part to the sums of the same resamples, with seeds of its own, so
     no group is gathered whole. Null and NaN are missing; without values the bounds are null. Null keys are keys.
     """
     kinds, names = dict(df.dtypes), [f"_o{i}" for i in range(len(order))]
@@ -95,7 +161,7 @@ def intervals(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], order:
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"), *(F.count(v).alias(f"_n{v}") for v in vs))
     sized = od.same_groups(df, sizes.select(*keys, "_size"), keys)
     small = sized.filter(F.col("_size") <= most).select(*keys, *vs, *names)
-    part = F.pmod(F.xxhash64(*vs, *names), F.ceil(F.col("_size") / most)).alias("_chunk")
+    part = F.pmod(F.xxhash64(*vs), F.ceil(F.col("_size") / most)).alias("_chunk")
     large = sized.filter(F.col("_size") > most).groupBy(*keys, part, *vs).agg(F.count("*").alias("_m"))
     chunks = large.groupBy(*keys, "_chunk").agg(*(F.sum(F.when(F.col(v).isNotNull(), F.col("_m")).otherwise(0)).alias(v) for v in vs))
 
