@@ -62,3 +62,9 @@ def test_two_metrics_share_the_drawn_rows():
     sums = bs.bootstrap_chunk(np.stack([x, 2 * x], 1), np.ones(300, int), 0, [], 50)
     assert np.allclose(sums[:, 1], 2 * sums[:, 0]) and np.allclose(sums[:, 0], bs.bootstrap_chunk(x, np.ones(300, int), 0, [], 50))
     assert summary.bootstrap_mean is bs.bootstrap_mean
+
+
+def test_equal_values_meet_whatever_their_order(spark):
+    pdf = frame({"a": 900}, np.random.default_rng(7))[["g", "i", "y"]]
+    got = [bs.intervals(spark.createDataFrame(pdf.assign(i=pdf.i + shift)), ["g"], ["y"], ["i"], most=150).first() for shift in (0, 10_000)]
+    assert got[0] == got[1]
