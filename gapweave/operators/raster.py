@@ -35,7 +35,7 @@ def value_range(array: Column) -> tuple[Column, Column]:
 def normalised(array: Column, clean: Column) -> Column:
     """An array in the range of the clean one, clipped to [0, 1]."""
     low, span = value_range(clean)
-    return F.transform(array, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - low) / span)))
+    return let(F.struct(low.alias("lo"), span.alias("span")), lambda s: F.transform(array, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - s["lo"]) / s["span"]))))
 
 
 def without_nan(array: Column) -> Column:

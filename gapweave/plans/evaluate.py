@@ -38,7 +38,8 @@ def local_entropy(grey: np.ndarray, window: int) -> np.ndarray:
 
 
 PIXELS = 256  # of rasters whose windows are counted by comparing all pairs of pixels
-CHUNK = 1 << 14  # pixels of rasters handled together
+PAIRS = 1 << 20  # pairs of pixels that are compared at once
+CHUNK = 1 << 15  # pixels of rasters handled together
 
 
 def mean_entropies(grey: np.ndarray, windows: Sequence[int]) -> np.ndarray:
@@ -46,6 +47,8 @@ def mean_entropies(grey: np.ndarray, windows: Sequence[int]) -> np.ndarray:
     n, h, w = grey.shape
     if h * w > PIXELS or any(k < 1 or k % 2 == 0 for k in windows):
         return np.array([[local_entropy(g, k).mean() for k in windows] for g in grey]).reshape(n, len(windows))
+    if n > (step := max(1, PAIRS // (h * w) ** 2)):
+        return np.concatenate([mean_entropies(grey[k : k + step], windows) for k in range(0, n, step)])
     v = grey.reshape(n, -1).astype(float)
     low, span = v.min(1, keepdims=True), np.ptp(v, axis=1)[:, None]
     g = np.where(span < 1e-10, 0, (v - low) * 255 / np.where(span < 1e-10, 1, span)).astype(np.int64)

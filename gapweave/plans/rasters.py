@@ -236,7 +236,8 @@ def _rows(spark, sf, bands: int = 1) -> DataFrame:
 
 
 def _tasks(spark) -> int:
-    return spark.sparkContext.defaultParallelism
+    """As many as shuffles have, or cores: a new session counts two cores until its executors have registered."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _fill(name: str):

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.scalars import let
+from ..operators.raster import value_range
+
 OK = "not (l_linestatus = 'F' and l_quantity < 3)"
 FACT = {
     "order_id": "l_orderkey",
@@ -49,9 +52,9 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def patches(spark: SparkSession, sf_dir: str, bands: int = 1) -> DataFrame:
     """patch_id, clean in [0, 1], mask of cells and degraded arrays of 8x8x1 or 4x4x4 rasters."""
     raw = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("patch_id"), "label", F.col("embedding").cast("array<double>").alias("raw"))
-    low, high = F.array_min("raw"), F.array_max("raw")
-    raw = raw.withColumn("lo", low).withColumn("span", F.when(high - low < 1e-8, 1.0).otherwise(high - low))
-    clean = F.transform("raw", lambda v: (v - F.col("lo")) / F.col("span"))
+    low, span = value_range(F.col("raw"))
+    # bound once a row: inside transform() they would be searched for once an element
+    clean = let(F.struct(low.alias("lo"), span.alias("span")), lambda s: F.transform("raw", lambda v: (v - s["lo"]) / s["span"]))
     mask = F.transform(F.sequence(F.lit(0), F.lit(64 // bands - 1)), lambda p: ((F.col("patch_id") * 7 + p * 13) % 10 < 3).cast("int"))
     df = raw.select("patch_id", "label", "raw", clean.alias("clean"), mask.alias("mask"))
     degraded = F.transform("clean", lambda v, i: F.when(F.get("mask", F.floor(i / bands).cast("int")) == 1, 0.0).otherwise(v))

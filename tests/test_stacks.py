@@ -1,10 +1,14 @@
 """Methods, metrics and entropies on stacks of rasters against one raster at a time."""
 
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gapweave.operators import fills
-from gapweave.plans import evaluate as ev
+from gapweave import catalog
+from gapweave.operators import fills, raster
+from gapweave.plans import evaluate as ev, views
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +60,25 @@ def test_a_failing_patch_fails_alone(spark):
     assert {k for k, r in got.items() if r["status"] == "error"} == {3, 6} and len(got) == 7
     assert got[3]["psnr"] is None and "no known pixels" in got[3]["error_msg"] and got[3]["seed"] == 0
     assert got[0]["error_msg"] is None and got[0]["rmse"] is not None and got[0]["entropy_15"] is not None
+
+
+def test_a_patch_searches_its_range_once(spark, tmp_path):
+    spark.createDataFrame([(1, [0.0, 2.0] * 32, 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for df in (views.patches(spark, str(tmp_path)), views.patches(spark, str(tmp_path)).select(raster.normalised(F.col("raw"), F.col("raw")))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_min" in plan and not re.search(r"lambdafunction\([^\n]*lambda x\S* - array_min", plan)
+    assert views.patches(spark, str(tmp_path)).first()["clean"] == [0.0, 1.0] * 32
+
+
+def test_tasks_do_not_hang_on_executors_that_have_registered(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 2)
+    plan = catalog.queries()["fill_rbf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 4, true" in plan
+
+
+@pytest.mark.parametrize("side", [4, 9])
+def test_entropies_in_several_steps(side, monkeypatch):
+    grey = np.random.default_rng(side).random((30, side, side))
+    want = ev.mean_entropies(grey, (3, 7, 15))
+    monkeypatch.setattr(ev, "PAIRS", 7 * side**4)
+    assert np.array_equal(ev.mean_entropies(grey, (3, 7, 15)), want)
