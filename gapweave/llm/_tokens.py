@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from itertools import chain, islice
 
 import numpy as np
 
 CACHE_CHARS = 6_000_000
+#: Letters without marks of their own, then signs other than the apostrophe: two pieces for SPLIT, whatever stands beside them.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -18,12 +24,30 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are met."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _lowers_and_splits(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases, cuts texts by SPLIT and encodes what lies between the cuts by itself."""
+    spec = json.loads(tokenizer.to_str())
+    lower = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    cut, bytes_ = ((spec["pre_tokenizer"] or {}).get("pretokenizers", []) + [{}, {}])[:2]
+    cuts = cut.get("pattern") == {"Regex": SPLIT} and cut["behavior"] == "Removed" and cut["invert"] and bytes_.get("type") == "ByteLevel" and not (bytes_["add_prefix_space"] or bytes_["use_regex"])
+    return lower and bool(cuts) and not any(SIMPLE.fullmatch(t["content"]) for t in spec["added_tokens"])
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk, where spaces, tabs and line ends are bounds no token crosses.
 
     It suits tokenizers that drop white space. Each distinct chunk is encoded once; when the cache
     holds more than CACHE_CHARS characters, only the chunks that were met most often stay, half as
-    many characters at most.
+    many characters at most. A chunk of letters and signs after them takes the ids of its lower-cased
+    letters and of its signs, where the tokenizer's rules allow it.
     """
 
     def __init__(self, path: str):
@@ -31,6 +55,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.simple = _lowers_and_splits(self.tokenizer)
         self._clear()
 
     def _shed(self) -> None:
@@ -41,16 +66,18 @@ class ChunkEncoder:
         keep = np.append(0, keep[keep > 0])
         kept = [self.ids[a : a + k].copy() for a, k in zip(self.start[keep].tolist(), self.size[keep].tolist())]
         self._clear()
-        self._put([words[k] for k in keep[1:].tolist()], kept[1:])
+        words = [words[k] for k in keep[1:].tolist()]
+        self.index.update(zip(words, range(1, len(words) + 1)))
+        self._put(words, kept[1:])
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
+        self.index = _Numbers({"": 0})
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size, self.met, self.chars = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def _put(self, new: list[str], found: list) -> None:
-        """Add chunks that are not in the cache, with their ids."""
-        n = len(self.index)
+        """Add the ids of the chunks that were numbered last."""
+        n = len(self.index) - len(new)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         total = int(sizes.sum())
         while len(self.start) < n + len(new):
@@ -59,27 +86,40 @@ class ChunkEncoder:
             self.ids = np.concatenate([self.ids, self.ids * 0])
         self.size[n : n + len(new)] = sizes
         self.start[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.used += total
         self.chars += sum(map(len, new))
-        for k, w in enumerate(new, n):
-            self.index[w] = k
+
+    def _ids(self, new: list[str]) -> list[list[int]]:
+        """The ids of chunks, the last ones of the index."""
+        n = len(self.index) - len(new)
+        halves = [(m[1].lower(), m[2]) if self.simple and (m := SIMPLE.fullmatch(w)) else (w, "") for w in new]
+        ids: dict[str, list[int]] = {"": []}
+        for w in dict.fromkeys(chain.from_iterable(halves)):
+            if w and (k := self.index.get(w, n)) < n:
+                ids[w] = self.ids[self.start[k] : self.start[k] + self.size[k]].tolist()
+        todo = [w for w in dict.fromkeys(chain.from_iterable(halves)) if w not in ids]
+        ids.update(zip(todo, (e.ids for e in self.tokenizer.encode_batch_fast(todo, add_special_tokens=False))))
+        return [ids[a] + ids[b] if b else ids[a] for a, b in halves]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the n + 1 places where texts begin; null counts as empty."""
         if self.chars > CACHE_CHARS:
             self._shed()
         parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        flat = [w for p in parts for w in p]
-        if new := [w for w in set(flat) if w not in self.index]:
-            self._put(new, [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)])
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        words, n = np.cumsum([0, *map(len, parts)]), len(self.index)
+        try:
+            at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(words[-1]))
+            if new := list(islice(self.index, n, None)):
+                self._put(new, self._ids(new))
+        except BaseException:  # numbered without ids
+            self._clear()
+            raise
         self.met[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         size = self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         out = self.ids[np.repeat(self.start[at] - ends + size, size) + np.arange(total)]
-        words = np.cumsum([0, *map(len, parts)])
         return out, np.concatenate([[0], ends])[words]
 
 

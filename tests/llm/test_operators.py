@@ -1,4 +1,5 @@
 import hashlib
+import json
 import re
 import zlib
 
@@ -467,6 +468,46 @@ def test_packing_is_whole(docs, rows, none):
     assert packing.pack(none).count() == 0
 
 
+class Spy:
+    """A tokenizer that notes what it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def __getattr__(self, name):
+        return lambda words, **k: self.asked.extend(words) or getattr(self.tokenizer, name)(words, **k)
+
+
+def test_forms_of_a_word_are_encoded_once():
+    e = _tokens.ChunkEncoder(_tokens.tokenizer_path("word_bpe_49k.json"))
+    e.tokenizer = spy = Spy(e.tokenizer)
+    e.encode(["Straße straße, Straße!! STRAßE.", "straße. word", "Word, WORD! straße"])
+    assert sorted(spy.asked) == ["!", "!!", ",", ".", "straße", "word"]
+
+
+@pytest.mark.parametrize("lower", [True, False])
+def test_chunks_have_the_tokenizers_ids(lower, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = _tokens.tokenizer_path("word_bpe_49k.json")
+    if not lower:  # other rules: chunks go whole
+        spec = json.loads(open(path).read())
+        spec["normalizer"]["normalizers"].pop()
+        path = str(tmp_path / "t.json")
+        open(path, "w").write(json.dumps(spec))
+    t, e = Tokenizer.from_file(path), _tokens.ChunkEncoder(path)
+    assert e.simple is lower
+    rng = np.random.default_rng(4)
+    marks = [*"aAzZéÉßÿÞ×÷İΣςıµªº.,!%-_<>|~`^'\"@", "'s", "'LL", "E\u0301", "H\u0331", "<\u0338", "\u0338", "7", "²", "中", "\U0001f600", "<|endoftext|>", "\x0b", "\u00a0", "\u2003", "\x00"]
+    texts = [" ".join("".join(rng.choice(marks, rng.integers(0, 6))) for _ in range(30)) for _ in range(200)] + [None, "", " ", "A. a. A.", "a."]
+    monkeypatch.setattr(_tokens, "CACHE_CHARS", 2000)  # chunks are dropped on the way
+    for k in range(0, len(texts), 20):
+        ids, at = e.encode(texts[k : k + 20])
+        for x, a, b in zip(texts[k : k + 20], at, at[1:]):
+            want = [i for w in re.split("[ \n\t\r]", x or "") for i in t.encode(w, add_special_tokens=False).ids]
+            assert ids[a:b].tolist() == want
+
+
 # ---- 10 media -------------------------------------------------------------------------------
 
 
