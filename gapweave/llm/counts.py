@@ -38,7 +38,7 @@ def count_tokens(docs: DataFrame, version: str = "word_bpe_49k", folder: str | N
         encoder = _tokens.encoder(path)
         for batch in batches:
             for part in _arrow.slices(batch, "text"):
-                _, at = encoder.encode(part.column("text").to_pylist())
+                _, at = encoder.encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([version] * part.num_rows), pa.array(np.diff(at))], [*keep, "tokenizer_version", "n_tokens"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", tokenizer_version string, n_tokens long"

@@ -118,7 +118,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacit
 
         for batch in batches:
             for part in _arrow.slices(batch, "text"):
-                ids, at = encoder.encode(part.column("text").to_pylist())
+                ids, at = encoder.encode(part.column("text"))
                 edges = at.tolist()
                 for k, doc in enumerate(part.column("doc_id").to_pylist()):
                     worker.add(doc, np.append(ids[edges[k] : edges[k + 1]], np.uint32(end_id)))

@@ -485,6 +485,22 @@ def test_forms_of_a_word_are_encoded_once():
     assert sorted(spy.asked) == ["!", "!!", ",", ".", "straße", "word"]
 
 
+def test_new_words_are_encoded_many_at_once():
+    import pyarrow as pa
+
+    e = _tokens.ChunkEncoder(_tokens.tokenizer_path("word_bpe_49k.json"))
+    e.tokenizer = spy = Spy(t := e.tokenizer)
+    rng = np.random.default_rng(6)
+    new = ["".join(rng.choice(list("aeinstÉöß"), rng.integers(1, 9))) + "".join(rng.choice(list(",.!#</>w"), rng.integers(0, 3))) for _ in range(3000)]
+    texts = [" ".join(new[:1500]) + " a1\u0338 2nd don't </w> <w/>", None, "", "\n".join(new[1500:]) + "\t\r", "w </w>x"]
+    for got in (texts, pa.array(["dropped", *texts], pa.string())[1:], pa.array(texts, pa.large_string())):
+        ids, at = e.encode(got)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert len(spy.asked) < 1500  # words go to the tokenizer one by one only if they are not letters and signs, or few
+    ids, at = e.encode([])
+    assert len(ids) == 0 and at.tolist() == [0]
+
+
 @pytest.mark.parametrize("lower", [True, False])
 def test_chunks_have_the_tokenizers_ids(lower, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
