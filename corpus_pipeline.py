@@ -35,6 +35,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are scored as empty ones; a score of exactly QUALITY_LEAST stays; equal
     texts have equal scores.
     """
+    _arrow.small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, F.lit(True))
     out = _free(docs, "_quality")
@@ -46,6 +47,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts, and texts without a letter, go; a probability of exactly LANGUAGE_LEAST stays.
     """
+    _arrow.small_batches(spark)
     net = language.train(docs, F.lit(True))
     named, sure = _free(docs, "_language"), _free(docs, "_sure")
     found = language.identify(docs, net, tuple(docs.columns), (named, sure))
@@ -59,6 +61,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     doc_id and text hash together, so a row keeps its place when another text has its doc_id; of
     rows with the same doc_id and text any one stays.
     """
+    _arrow.small_batches(spark)
     h, other, theirs = _free(docs, "_h"), _free(docs, "_id"), _free(docs, "_hash")
     away = jaccard.join(docs, by_row=True).filter("not stays").select(F.col("doc_id").alias(other), F.col("text_hash").alias(theirs)).distinct()
     rows = docs.withColumn(h, F.xxhash64("text"))
@@ -72,6 +75,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts stay as they are; of overlapping findings the longest secret is replaced;
     a score of exactly the threshold is a secret.
     """
+    _arrow.small_batches(spark)
     forest = secrets.train(secrets.labelled_findings())
     out = _free(docs, "_findings")
     found = secrets.scan(docs, forest, tuple(docs.columns), redact="[SECRET]", out=out)
@@ -81,6 +85,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in training sequences; a null or empty text is its end token alone."""
+    _arrow.small_batches(spark)
     return packing.pack(docs)
 
 

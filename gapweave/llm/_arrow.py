@@ -16,6 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch, shared_dir  # noqa: F401  for the operators
 
 SLICE_BYTES = 1 << 20
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on a session's Arrow batches have BATCH_ROWS rows at most: one of 10,000 documents lies whole in the JVM's buffers and again in Python."""
+    if not 0 < int(spark.conf.get(BATCH)) <= BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
 
 class Tables:
     """Tables written one after another to a folder: each cuts the lineage where executors can read it again."""

@@ -111,3 +111,23 @@ def test_stages_equal_brute_force(spark):
             assert start == at and zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()) == crc
             at += n
         assert at == len(ids)
+
+
+def test_stages_take_few_documents_to_an_arrow_batch(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    source, before = spark.read.parquet(f"{SF}/documents.parquet"), spark.conf.get(name)
+    try:
+        for rows, then in (("10000", 1000), ("0", 1000), ("64", 64)):  # 0: no bound
+            spark.conf.set(name, rows)
+            corpus_pipeline.packed(spark, source, SF)
+            assert int(spark.conf.get(name)) == then
+    finally:
+        spark.conf.set(name, before)
+
+    def stop(spark):
+        raise InterruptedError
+
+    monkeypatch.setattr(corpus_pipeline._arrow, "small_batches", stop)  # each stage begins with it
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(InterruptedError):
+            stage(spark, source, SF)
