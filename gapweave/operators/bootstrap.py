@@ -8,13 +8,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import ship
+from ..session import scratch, ship
 from . import order as od
 
 RESAMPLES, LEVEL, SEED = 10_000, 0.95, 42
 SLACK = 3.5  # standard deviations by which Poisson numbers stay under the draws that they stand for
 WHOLE = 20_000  # values of a group up to which the generator is replayed as for one array
 STEP = 1 << 18  # draws at once: they stay in the processor's cache
+LOOKED_UP, OPEN = 1 << 14, (1 << 16) - 1  # rates up to which Poisson numbers are looked up by 16 bits; what the bits leave open
+OWNERS = 1 << 22  # places of a table that finds the row of a single draw
+GROUPS = 100_000  # groups whose sizes are broadcast
 
 
 def _bounds(means: np.ndarray, level: float) -> np.ndarray:
@@ -65,7 +68,10 @@ def bootstrap_chunk(values: np.ndarray, weights: np.ndarray, chunk: int, path: S
     out = np.zeros((resamples, *values.shape[1:]))
     if not total:
         return out
-    if total > 20 * len(values):  # many equal rows: a draw for each distinct one is shorter than one for each row
+    rate, parts, shares = max(0.0, 1 - SLACK / np.sqrt(total)), _parts(weights), weights // np.gcd.reduce(weights)
+    # nanoseconds of a resample: a number of a part, a single draw and a table's share, or a binomial number of a row
+    taken = sum((3 if w <= LOOKED_UP else 80) * len(some) for w, some in parts.items()) + 10 * SLACK * np.sqrt(total) + 400 * len(parts)
+    if taken > 80 * len(values) or shares.sum() > OWNERS:
         rng, step = np.random.default_rng([seed, 2, chunk]), max(1, STEP // len(values))
         for k in range(0, resamples, step):
             out[k : k + step] = rng.multinomial(counts[k : k + step], weights / total) @ values
@@ -73,97 +79,118 @@ def bootstrap_chunk(values: np.ndarray, weights: np.ndarray, chunk: int, path: S
     rng = np.random.Generator(np.random.SFC64([seed, 2, chunk]))
     columns = values.reshape(len(values), -1)
     center = weights @ columns / total
-    # how often rows are drawn stands beside the columns, which are taken from their mean and so lose nothing to their size
-    weighed = np.concatenate([columns - center, np.ones((len(values), 1))], 1)
-    rate = max(0.0, 1 - SLACK / np.sqrt(total))
-    # a number for w equal rows is the sum of those for the powers of two in w
-    powers = [(_poisson_table(rate * 2**b), weighed[some]) for b in range(int(weights.max()).bit_length()) if len(some := np.flatnonzero(weights >> b & 1))] if rate else []
-    upto = np.cumsum(weights)
-    step = max(1, STEP // max(1, sum(len(w) for _, w in powers)))
+    # a row has a number in each of its parts; taken from their mean the values lose nothing to their size
+    at = np.concatenate(list(parts.values()))
+    weighed, place = (columns - center)[at], np.unique(at, return_index=True)[1]
+    tables, owners = [(_poisson_table(rate * w), len(some)) for w, some in parts.items()] if rate else [], np.repeat(place, shares)
+    step = max(1, int(STEP / (len(at) + SLACK * np.sqrt(total))))
     for k in range(0, resamples, step):
         n = counts[k : k + step]
-        got = _drawn(rng, weighed, upto, powers, n, rate)
-        out[k : k + step] = (got[:, :-1] + n[:, None] * center).reshape(out[k : k + step].shape)
+        got = _times(rng, len(at), tables, owners, n) @ weighed
+        out[k : k + step] = (got + n[:, None] * center).reshape(out[k : k + step].shape)
     return out
 
 
-def _poisson_table(rate: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """The rate, the distribution function and numbers by the first 16 random bits, NaN where these leave them open."""
+def _parts(weights: np.ndarray) -> dict[int, np.ndarray]:
+    """Rows by multiples that add up to their weights, each with one law of Poisson numbers.
+
+    A weight that many rows share is one multiple; others are sums of powers of two.
+    """
+    found, inverse, shared = np.unique(weights, return_inverse=True, return_counts=True)
+    own = 16 * shared >= len(weights)
+    out = {int(w): [np.flatnonzero(inverse == i)] for i, w in enumerate(found) if own[i]}
+    rest = np.where(own[inverse], 0, weights)
+    for b in range(int(rest.max()).bit_length()):
+        if len(at := np.flatnonzero(rest >> b & 1)):
+            out.setdefault(2**b, []).append(at)
+    return {w: np.sort(np.concatenate(at)) for w, at in out.items()}
+
+
+def _poisson_table(rate: float) -> tuple:
+    """The rate, the distribution function and numbers by the first 16 random bits, OPEN where these leave them open."""
+    if rate > LOOKED_UP:
+        return rate, None, None
     k = np.arange(int(rate + 12 * np.sqrt(rate) + 40))
     ends = np.cumsum(np.exp(k * np.log(rate) - rate - np.concatenate([[0.0], np.cumsum(np.log(k[1:]))])))
     cells = np.arange((1 << 16) + 1) / (1 << 16)
     first = np.searchsorted(ends, cells[:-1], "right")
     is_open = first != np.searchsorted(ends, cells[1:], "left")
-    return rate, ends, np.where(is_open, np.nan, first.astype(float))
+    return rate, ends, np.where(is_open, OPEN, first).astype(np.uint16)
 
 
 def _poisson(rng: np.random.Generator, table: tuple, shape: tuple[int, int]) -> np.ndarray:
     """Poisson numbers by inversion; a number whose 16 bits leave it open gets 53 more."""
     rate, ends, first = table
-    if rate > 1 << 14:
+    if ends is None:
         return rng.poisson(rate, shape).astype(float)
     size = shape[0] * shape[1]
     bits = rng.integers(0, 1 << 64, -(-size // 4), dtype=np.uint64).view(np.uint16)[:size]
-    if rate > 16:
-        out = np.take(first, bits)
-        rest = np.flatnonzero(np.isnan(out))
-    else:  # comparisons with the few bounds are shorter than a look-up
-        last = (1 << 16) - 1
-        bounds = np.minimum(ends * (1 << 16), last).astype(np.uint16)
-        out, is_open = np.zeros(size, np.uint8), bits == last
-        for e in bounds[bounds < last]:
-            out += bits > e
-            is_open |= bits == e
-        out, rest = out.astype(float), np.flatnonzero(is_open)
+    found = np.take(first, bits)
+    rest = np.flatnonzero(found == OPEN)
+    out = found.astype(float)
     out[rest] = np.searchsorted(ends, (bits[rest] + rng.random(len(rest))) / (1 << 16), "right")
     return out.reshape(shape)
 
 
-def _drawn(rng: np.random.Generator, weighed: np.ndarray, upto: np.ndarray, powers: list, counts: np.ndarray, rate: float) -> np.ndarray:
-    """Sums of `weighed` over counts[k] rows drawn with replacement, for each k; its last column is 1.
+def _times(rng: np.random.Generator, size: int, tables: list, owners: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each of `size` parts of rows is drawn in counts[k] draws of rows with replacement, for each k.
 
     Poisson numbers given their sum are multinomial. So numbers whose sum is counts[k] at most, filled up by single
     draws, have the law of counts[k] draws whatever the sum was; those that exceed it are thrown away whole.
+    A single draw is one of `owners`, in which a row's part stands as often as its weight asks for.
     """
-    total = int(upto[-1])
-    out, todo = np.zeros((len(counts), weighed.shape[1])), np.flatnonzero(counts > rate * total) if powers else []
-    for _ in range(3):
-        if not len(todo):
-            break
-        got = sum(_poisson(rng, table, (len(todo), len(rows))) @ rows for table, rows in powers)
-        fits = got[:, -1] <= counts[todo]
-        out[todo[fits]] = got[fits]
-        todo = todo[~fits]
-    left = counts - np.rint(out[:, -1]).astype(np.int64)
-    some = np.flatnonzero(left)
-    if len(some):
-        n = left[some]
-        at = rng.integers(0, total, int(n.sum()), dtype=np.uint32 if total < 1 << 32 else np.int64)
-        drawn = np.take(weighed, at if total == len(weighed) else np.searchsorted(upto, at, "right"), axis=0)
-        out[some] += np.add.reduceat(drawn, np.cumsum(n) - n, axis=0)
+
+    def numbers(n: int) -> np.ndarray:
+        if not tables:
+            return np.zeros((n, size))
+        got = [_poisson(rng, table, (n, wide)) for table, wide in tables]
+        return got[0] if len(got) == 1 else np.concatenate(got, 1)
+
+    out = numbers(len(counts))
+    left = counts - out.sum(1).astype(np.int64)
+    for _ in range(2):
+        if len(over := np.flatnonzero(left < 0)):
+            out[over] = numbers(len(over))
+            left[over] = counts[over] - out[over].sum(1).astype(np.int64)
+    over = left < 0
+    out[over], left[over] = 0, counts[over]
+    at = owners[rng.integers(0, len(owners), int(left.sum()), dtype=np.uint32)]
+    np.add.at(out.reshape(-1), at + np.repeat(np.arange(len(counts)) * size, left), 1.0)
     return out
 
 
-def intervals(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], order: Sequence[str] = (), most: int = WHOLE) -> DataFrame:
+def intervals(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], order: Sequence[str] = (), most: int = WHOLE, spread: bool = False) -> DataFrame:
     """keys and, for each metric, <metric>_ci95_lo and _hi of its mean: percentiles of 10,000 resamples of all its values.
 
-    Metrics with as many values in a group share one set of draws. A group of up to `most` rows
-    replays numpy's generator over each metric's values in the order of `order`. A larger one is dealt into chunks of about
-    `most` rows by a hash of the values, so that equal ones meet and are counted; every chunk adds its part to the sums of the same resamples, with seeds of its own, so
-    no group is gathered whole. Null and NaN are missing; without values the bounds are null. Null keys are keys.
+    A group of up to `most` rows replays numpy's generator over each metric's values in the order of `order`; metrics with
+    as many values share one set of draws. A larger one is dealt into chunks of about `most` distinct rows of values by their
+    hash, so that equal ones meet and are counted; metrics with values in the same rows share the draws, and every chunk
+    adds its part to the sums of the same resamples, with seeds of its own, so no group is gathered whole. Null and NaN are
+    missing; without values the bounds are null. Null keys are keys.
+
+    With `spread` n (all rows) and <metric>_mean and _std (population) stand before the bounds; there NaN is a value.
+    The rows are counted in one pass; the counts lie in the shared folder, from which they are deleted at the end.
     """
-    kinds, names = dict(df.dtypes), [f"_o{i}" for i in range(len(order))]
-    spec, out = ", ".join(f"`{k}` {kinds[k]}" for k in keys), [f"`{m}_ci95_{e}`" for m in metrics for e in ("lo", "hi")]
-    vs = [f"_v{i}" for i in range(len(metrics))]
+    vs, names = [f"_v{i}" for i in range(len(metrics))], [f"_o{i}" for i in range(len(order))]
     ship(df.sparkSession)
-    number = lambda m: F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double"))
-    df = df.select(*keys, *(number(m).alias(v) for m, v in zip(metrics, vs)), *(F.col(c).alias(n) for n, c in zip(names, order)))
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"), *(F.count(v).alias(f"_n{v}") for v in vs))
-    sized = od.same_groups(df, sizes.select(*keys, "_size"), keys)
-    small = sized.filter(F.col("_size") <= most).select(*keys, *vs, *names)
-    part = F.pmod(F.xxhash64(*vs), F.ceil(F.col("_size") / most)).alias("_chunk")
-    large = sized.filter(F.col("_size") > most).groupBy(*keys, part, *vs).agg(F.count("*").alias("_m"))
-    chunks = large.groupBy(*keys, "_chunk").agg(*(F.sum(F.when(F.col(v).isNotNull(), F.col("_m")).otherwise(0)).alias(v) for v in vs))
+    rows = df.select(*keys, *(F.col(m).cast("double").alias(v) for m, v in zip(metrics, vs)), *(F.col(c).alias(n) for n, c in zip(names, order)))
+    with scratch(df.sparkSession, "intervals") as path:
+        counted = rows.groupBy(*keys, *vs).agg(F.count("*").alias("_m"))
+        counted.write.parquet(path)
+        counted = df.sparkSession.read.schema(counted.schema).parquet(path)
+        return _intervals(rows, counted, keys, metrics, vs, names, most, spread).checkpoint()  # a row for each group
+
+
+def _intervals(rows: DataFrame, counted: DataFrame, keys: Sequence[str], metrics: Sequence[str], vs: Sequence[str], names: Sequence[str], most: int, spread: bool) -> DataFrame:
+    """The intervals of `rows` (keys, metrics `vs`, order `names`), of which `counted` holds each distinct one with its number _m."""
+    kinds = dict(rows.dtypes)
+    spec, out = ", ".join(f"`{k}` {kinds[k]}" for k in keys), [f"`{m}_ci95_{e}`" for m in metrics for e in ("lo", "hi")]
+    times, times_if = F.col("_m"), lambda c: F.sum(F.when(c, F.col("_m")).otherwise(0))
+    number = {v: F.when(~F.isnan(v), F.col(v)).alias(v) for v in vs}
+    each = [e for v in vs for e in (times_if(number[v].isNotNull()).alias(f"_n{v}"), times_if(F.col(v).isNotNull()).alias(f"_k{v}"), F.sum(F.col(v) * times).alias(f"_t{v}"))]
+    sizes = counted.groupBy(*keys).agg(F.sum("_m").alias("_size"), F.count("*").alias("_distinct"), *each).checkpoint()
+    groups, n_small = sizes.agg(F.count("*"), F.count_if(F.col("_size") <= most)).first()
+    few = F.broadcast if groups <= GROUPS else (lambda x: x)
 
     def shared(lists: list) -> dict:
         """Columns by what they must agree on to share draws."""
@@ -188,21 +215,40 @@ def intervals(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], order:
 
     def sums(pdf: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
         flat, place = [tuple(map(int, p)) for p in at["paths"].iloc[0]], int(at["place"].iloc[0])
-        columns = [pdf[[v, "_m"]].dropna().sort_values(v) for v in vs]
+        pdf = pdf.sort_values([*vs, "_m"])
+        values, weights, has = pdf[[*vs]].to_numpy(float), pdf["_m"].to_numpy(np.int64), pdf[[*vs]].notna().to_numpy()
         total = np.zeros((RESAMPLES, len(vs)))
-        for (path, _, same), which in shared([(p, len(c), tuple(c["_m"])) for p, c in zip(flat, columns)]).items():
-            splits = np.asarray(path, np.int64).reshape(-1, 4).tolist()
-            total[:, which] = bootstrap_chunk(np.stack([columns[i][vs[i]].to_numpy() for i in which], 1), np.array(same, int), place, splits)
+        for (path, _), which in shared([(p, has[:, i].tobytes()) for i, p in enumerate(flat)]).items():
+            splits, here = np.asarray(path, np.int64).reshape(-1, 4).tolist(), has[:, which[0]]
+            total[:, which] = bootstrap_chunk(values[np.ix_(here, which)], weights[here], place, splits)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(total) for k in keys}, "resample": np.arange(len(total)), **{f"s{v}": total[:, i] for i, v in enumerate(vs)}})
 
-    where = chunks.groupBy(*keys).applyInPandas(paths, f"{spec}, _chunk long, place long, paths array<array<long>>")
-    # a fixed number of partitions: a chunk is short in bytes and long in work
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = large.repartition(n, *keys, "_chunk").groupBy(*keys, "_chunk").cogroup(where.groupBy(*keys, "_chunk"))
-    parts = dealt.applyInPandas(sums, f"{spec}, resample int, " + ", ".join(f"s{v} double" for v in vs))
-    means = od.same_groups(parts.groupBy(*keys, "resample").agg(*(F.sum(f"s{v}").alias(f"s{v}") for v in vs)), sizes, keys)
-    # RESAMPLES values a group, whatever its size
-    bounds = means.groupBy(*keys).agg(*(F.percentile(F.when(F.col(f"_n{v}") > 0, F.col(f"s{v}") / F.col(f"_n{v}")), [(1 - LEVEL) / 2, (1 + LEVEL) / 2]).alias(v) for v in vs))
-    large_bounds = bounds.select(*keys, *(F.get(v, F.lit(e)).alias(f"{m}_ci95_{name}") for m, v in zip(metrics, vs) for e, name in enumerate(("lo", "hi"))))
-    got = small.groupBy(*keys).applyInPandas(whole, f"{spec}, " + ", ".join(f"{c} double" for c in out)).unionByName(large_bounds)
-    return got.withColumns({c.strip("`"): F.when(~F.isnan(c), F.col(c)) for c in out})
+    got = []
+    if n_small or not groups:
+        small = od.same_groups(rows, few(sizes.filter(F.col("_size") <= most).select(*keys)), keys).select(*keys, *number.values(), *names)
+        got.append(small.groupBy(*keys).applyInPandas(whole, f"{spec}, " + ", ".join(f"{c} double" for c in out)))
+    if n_small < groups:
+        large = od.same_groups(counted, few(sizes.filter(F.col("_size") > most).select(*keys, "_distinct")), keys)
+        large = large.select(*keys, *number.values(), "_m", "_distinct")
+        large = large.select(*keys, F.pmod(F.xxhash64(*vs), F.ceil(F.col("_distinct") / most)).alias("_chunk"), *vs, "_m")
+        chunks = large.groupBy(*keys, "_chunk").agg(*(times_if(F.col(v).isNotNull()).alias(v) for v in vs))
+        where = chunks.groupBy(*keys).applyInPandas(paths, f"{spec}, _chunk long, place long, paths array<array<long>>")
+        # a fixed number of partitions: a chunk is short in bytes and long in work
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = large.repartition(n, *keys, "_chunk").groupBy(*keys, "_chunk").cogroup(where.groupBy(*keys, "_chunk"))
+        parts = dealt.applyInPandas(sums, f"{spec}, resample int, " + ", ".join(f"s{v} double" for v in vs))
+        means = od.same_groups(parts.groupBy(*keys, "resample").agg(*(F.sum(f"s{v}").alias(f"s{v}") for v in vs)), few(sizes.select(*keys, *(f"_n{v}" for v in vs))), keys)
+        # RESAMPLES values a group, whatever its size
+        bounds = means.groupBy(*keys).agg(*(F.percentile(F.when(F.col(f"_n{v}") > 0, F.col(f"s{v}") / F.col(f"_n{v}")), [(1 - LEVEL) / 2, (1 + LEVEL) / 2]).alias(v) for v in vs))
+        got.append(bounds.select(*keys, *(F.get(v, F.lit(e)).alias(f"{m}_ci95_{name}") for m, v in zip(metrics, vs) for e, name in enumerate(("lo", "hi")))))
+    both = got[0].unionByName(got[1]) if len(got) == 2 else got[0]
+    both = both.withColumns({c.strip("`"): F.when(~F.isnan(c), F.col(c)) for c in out})
+    if not spread:
+        return both
+    middle = {v: F.when(F.col(f"_k{v}") > 0, F.col(f"_t{v}") / F.col(f"_k{v}")) for v in vs}
+    squares = od.same_groups(counted, few(sizes.select(*keys, *(c.alias(f"_c{v}") for v, c in middle.items()))), keys)
+    squares = squares.groupBy(*keys).agg(*(F.sum(times * F.pow(F.col(v) - F.col(f"_c{v}"), 2)).alias(f"_q{v}") for v in vs))
+    moments = od.same_groups(sizes, squares, keys)
+    std = lambda v: F.when(F.col(f"_k{v}") > 0, F.sqrt(F.col(f"_q{v}") / F.col(f"_k{v}")))
+    moments = moments.select(*keys, F.col("_size").alias("n"), *(c for m, v in zip(metrics, vs) for c in (middle[v].alias(f"{m}_mean"), std(v).alias(f"{m}_std"))))
+    return od.same_groups(moments, both, keys)

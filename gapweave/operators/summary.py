@@ -59,8 +59,8 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], metric: str = "psnr", order
 
 
 def with_intervals(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], order: Sequence[str] = (), most: int = WHOLE) -> DataFrame:
-    """multi_metric() and the interval of each metric's mean, all metrics from one set of resamples."""
-    return od.same_groups(multi_metric(df, keys, metrics), intervals(df, keys, metrics, order, most), keys)
+    """n (all rows), mean, population std and the interval of the mean of several metrics, from one count of the rows and one set of resamples."""
+    return intervals(df, keys, metrics, order, most, spread=True)
 
 
 def run_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], wall_time_s: float | None = None) -> DataFrame:
